@@ -22,3 +22,21 @@ def with_watchlist(df: DataFrame, text_col: str = "combined_prompt", words: Sequ
     return df.withColumn("watchlist_reason", F.coalesce(reason, F.lit(""))).withColumn(
         "watchlist_hit", reason.isNotNull()
     )
+
+
+def route_confidence(
+    df: DataFrame,
+    high: float = defaults.HIGH_CONF_THRESHOLD,
+    low: float = defaults.LOW_CONF_THRESHOLD,
+    conf_col: str = "combined_confidence",
+) -> DataFrame:
+    """label_source: ``semantic`` (>= high), ``llm_classify`` (>= low), else ``unclassified``."""
+    c = F.col(conf_col)
+    return df.withColumn(
+        "label_source",
+        F.when(c >= F.lit(high), F.lit("semantic")).when(c >= F.lit(low), F.lit("llm_classify")).otherwise(F.lit("unclassified")),
+    )
+
+
+def label_distribution(df: DataFrame, col: str = "label_source") -> DataFrame:
+    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))

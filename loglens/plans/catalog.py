@@ -68,3 +68,56 @@ def domain_prior(spark, sf_dir):
 def watchlist_hit(spark, sf_dir):
     s = routing.with_watchlist(_sessions(spark, sf_dir), words=fx.FIXTURE_WATCHLIST)
     return s.select("session_id", "watchlist_hit", "watchlist_reason")
+
+
+# ------------------------------------------------------------ scoring (F2)
+from loglens.operators import scoring  # noqa: E402
+
+
+def _scored(spark, sf_dir):
+    sims, cats = scoring.dense_similarities(fx.session_vecs(spark, sf_dir), fx.proto_vecs(spark, sf_dir))
+    best = scoring.with_best_category(scoring.with_hybrid_scores(sims, cats), cats)
+    return best, cats
+
+
+@query
+def cosine_topk(spark, sf_dir):
+    top = scoring.cosine_topk(fx.session_vecs(spark, sf_dir), fx.proto_vecs(spark, sf_dir), k=3)
+    return top.withColumn("cos", scoring.round4(F.col("cos")))
+
+
+@query
+def hybrid_scores(spark, sf_dir):
+    best, cats = _scored(spark, sf_dir)
+    return scoring.score_long(best, cats)
+
+
+@query
+def best_category(spark, sf_dir):
+    best, _ = _scored(spark, sf_dir)
+    return best.select(
+        "session_id", "predicted_domain", "domain_confidence", "predicted_intent", "intent_confidence", "combined_confidence"
+    )
+
+
+@query
+def score_map(spark, sf_dir):
+    best, _ = _scored(spark, sf_dir)
+    d = best.select("session_id", F.explode("all_domain_scores").alias("code", "score"))
+    i = best.select("session_id", F.explode("all_intent_scores").alias("code", "score"))
+    return d.unionByName(i)
+
+
+def _routed(spark, sf_dir):
+    best, _ = _scored(spark, sf_dir)
+    return routing.route_confidence(best, high=fx.FIXTURE_HIGH, low=fx.FIXTURE_LOW)
+
+
+@query
+def confidence_route(spark, sf_dir):
+    return _routed(spark, sf_dir).select("session_id", "combined_confidence", "label_source")
+
+
+@query
+def label_distribution(spark, sf_dir):
+    return routing.label_distribution(_routed(spark, sf_dir))

@@ -128,6 +128,69 @@ def _with(*ctes: str) -> str:
 LOGS_CHAIN = (F1_LOGS, NORM, WALK)
 
 
+def D(x) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+def R4(x: str) -> str:
+    """Same rounding steps as ``scoring.round4``."""
+    return f"(floor(({x}) * {D('10000.0')} + {D('0.5')}) / {D('10000.0')})"
+
+
+# ------------------------------------------------------------------ F2 vectors
+F2 = f"""
+protos0 AS (
+  SELECT CASE WHEN vec_id < 100 THEN 'domain' ELSE 'intent' END AS category_type, label AS ord,
+    (CASE WHEN vec_id < 100 THEN 'D' ELSE 'I' END) || lpad(CAST(label + 1 AS VARCHAR), 2, '0') AS code,
+    vec_id AS proto_id, CAST(embedding AS DOUBLE[]) AS vec,
+    row_number() OVER (PARTITION BY vec_id < 100, label ORDER BY vec_id) AS rnk
+  FROM embeddings WHERE vec_id < 200
+),
+protos AS (
+  SELECT *, CASE WHEN rnk = 1 THEN 'definition' WHEN rnk % 2 = 0 THEN 'keyword' ELSE 'phrase' END AS kind FROM protos0
+),
+svecs AS (
+  SELECT vec_id AS session_id,
+    CASE WHEN vec_id = 200 THEN list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * {D('0.0')})
+         ELSE CAST(embedding AS DOUBLE[]) END AS vec,
+    CASE WHEN vec_id % 2 = 0 THEN 'D' || lpad(CAST(vec_id % 10 + 1 AS VARCHAR), 2, '0') END AS domain_prior
+  FROM embeddings WHERE vec_id >= 200
+),
+sims AS (
+  SELECT s.session_id, s.domain_prior, p.category_type, p.code, p.ord, p.kind, p.proto_id,
+    CASE WHEN list_dot_product(s.vec, s.vec) = 0 OR list_dot_product(p.vec, p.vec) = 0 THEN {D('0.0')}
+         ELSE list_cosine_similarity(s.vec, p.vec) END AS cos
+  FROM svecs s CROSS JOIN protos p
+),
+cat AS (
+  SELECT session_id, domain_prior, category_type, code, ord,
+    max(cos) FILTER (WHERE kind = 'phrase') AS p, max(cos) FILTER (WHERE kind = 'keyword') AS k,
+    max(cos) FILTER (WHERE kind = 'definition') AS d
+  FROM sims GROUP BY session_id, domain_prior, category_type, code, ord
+),
+scored AS (
+  SELECT *, CASE WHEN category_type = 'domain' AND domain_prior = code
+                 THEN least((p * {D(defaults.WEIGHT_PHRASE)} + k * {D(defaults.WEIGHT_KEYWORD)} + d * {D(defaults.WEIGHT_DEFINITION)}) * {D(defaults.METADATA_BOOST)}, {D('1.0')})
+                 ELSE p * {D(defaults.WEIGHT_PHRASE)} + k * {D(defaults.WEIGHT_KEYWORD)} + d * {D(defaults.WEIGHT_DEFINITION)} END AS score
+  FROM cat
+),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, category_type ORDER BY score DESC, ord) AS r FROM scored)
+  WHERE r = 1
+),
+best2 AS (
+  SELECT d.session_id, d.code AS predicted_domain, {R4('d.score')} AS domain_confidence,
+         i.code AS predicted_intent, {R4('i.score')} AS intent_confidence,
+         {R4('(d.score + i.score) / 2')} AS combined_confidence
+  FROM best d JOIN best i ON d.session_id = i.session_id AND d.category_type = 'domain' AND i.category_type = 'intent'
+),
+routed AS (
+  SELECT *, CASE WHEN combined_confidence >= {D(fx.FIXTURE_HIGH)} THEN 'semantic'
+                 WHEN combined_confidence >= {D(fx.FIXTURE_LOW)} THEN 'llm_classify' ELSE 'unclassified' END AS label_source
+  FROM best2
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     wl_hit, wl_reason = watchlist_case("combined_prompt", fx.FIXTURE_WATCHLIST)
     out = {
@@ -145,4 +208,20 @@ SELECT session_id, division, {first_match_case('division', defaults.DEPARTMENT_D
         "watchlist_hit": _with(*LOGS_CHAIN, SESSIONS) + f"""
 SELECT session_id, {wl_hit} AS watchlist_hit, {wl_reason} AS watchlist_reason FROM sessions""",
     }
+    out.update({
+        "cosine_topk": _with(F2) + f"""
+SELECT session_id, rank, proto_id, {R4('cos')} AS cos FROM (
+  SELECT session_id, proto_id, cos, row_number() OVER (PARTITION BY session_id ORDER BY cos DESC, proto_id) AS rank
+  FROM sims) WHERE rank <= 3""",
+        "hybrid_scores": _with(F2) + f"""
+SELECT session_id, category_type, code, {R4('score')} AS score FROM scored""",
+        "best_category": _with(F2) + """
+SELECT session_id, predicted_domain, domain_confidence, predicted_intent, intent_confidence, combined_confidence FROM best2""",
+        "score_map": _with(F2) + f"""
+SELECT session_id, code, {R4('score')} AS score FROM scored""",
+        "confidence_route": _with(F2) + """
+SELECT session_id, combined_confidence, label_source FROM routed""",
+        "label_distribution": _with(F2) + """
+SELECT label_source, count(*) AS n FROM routed GROUP BY label_source""",
+    })
     return out
