@@ -40,3 +40,113 @@ def route_confidence(
 
 def label_distribution(df: DataFrame, col: str = "label_source") -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+
+
+MAX_BROADCAST_MATRIX = 1_000_000
+
+
+def apply_governance(
+    df: DataFrame,
+    matrix: DataFrame,
+    words: Sequence[str] = defaults.WATCHLIST,
+    text_col: str = "combined_prompt",
+    flag_sources: Sequence[str] = ("semantic",),
+) -> DataFrame:
+    """governance_flag / governance_reason.
+
+    The matrix level and reason apply only to rows whose label_source is in
+    ``flag_sources``; a watchlist hit sets HIGH for any row and appends its
+    reason as ``(reason + ' | ' + hit).strip(' |')``.  The matrix holds at
+    most one row per (domain, intent) pair, so it is broadcast after a size
+    check.
+    """
+    m = matrix.select(
+        F.col("domain").alias("_gd"), F.col("intent").alias("_gi"),
+        F.col("level").alias("_gl"), F.col("reason").alias("_gr"),
+    )
+    if matrix.count() <= MAX_BROADCAST_MATRIX:
+        m = F.broadcast(m)
+    cond = (
+        (F.col("predicted_domain") == F.col("_gd"))
+        & (F.col("predicted_intent") == F.col("_gi"))
+        & F.col("label_source").isin(list(flag_sources))
+    )
+    joined = with_watchlist(df.join(m, cond, "left"), text_col, words)
+    base_reason = F.coalesce(F.col("_gr"), F.lit(""))
+    hit = F.col("watchlist_hit")
+    return (
+        joined.withColumn(
+            "governance_flag",
+            F.when(hit, F.lit("HIGH")).when(F.col("_gl").isNotNull(), F.col("_gl")).otherwise(F.lit("NONE")),
+        )
+        .withColumn(
+            "governance_reason",
+            F.when(hit, strip_chars(F.concat(base_reason, F.lit(" | "), F.col("watchlist_reason")), " |")).otherwise(base_reason),
+        )
+        .drop("_gd", "_gi", "_gl", "_gr")
+    )
+
+
+def fallback_queue(df: DataFrame, truncate: int = defaults.FALLBACK_PROMPT_TRUNCATE) -> DataFrame:
+    """Sessions waiting for the fallback classifier, with the prompt excerpt
+    that classifier would receive (first ``truncate`` characters)."""
+    return df.where(F.col("label_source") == "llm_classify").withColumn(
+        "prompt_excerpt", F.substring(F.col("combined_prompt"), 1, truncate)
+    )
+
+
+def llm_fallback(df: DataFrame, classify=None) -> DataFrame:
+    """Fallback stage hook: identity by default (rows stay ``llm_classify``)."""
+    return df if classify is None else classify(df)
+
+
+def sinks() -> list[tuple[str, Column | None]]:
+    """(sink name, condition); ``None`` = every row."""
+    return [
+        ("classification_logs", None),
+        ("governance_alerts", F.col("governance_flag") == "HIGH"),
+        ("governance_monitoring", F.col("governance_flag") == "MEDIUM"),
+        ("llm_classify_queue", F.col("label_source") == "llm_classify"),
+        ("unclassified", F.col("label_source") == "unclassified"),
+    ]
+
+
+def route_outputs(df: DataFrame) -> DataFrame:
+    """(sink, record...) rows: every session goes to the full log and to each
+    conditional sink it qualifies for.  A single pass; sinks with no rows
+    simply produce no rows."""
+    tags = F.array(*[F.lit(name) if cond is None else F.when(cond, F.lit(name)) for name, cond in sinks()])
+    return df.withColumn("sink", F.explode(F.filter(tags, lambda x: x.isNotNull())))
+
+
+def write_outputs(df: DataFrame, out_dir: str, run_ts: str, columns: Sequence[str] = defaults.OUTPUT_COLUMNS) -> str:
+    """One job, one partitioned CSV write: ``out_dir/run_ts=<ts>/sink=<name>/``."""
+    target = f"{out_dir.rstrip('/')}/run_ts={run_ts}"
+    route_outputs(df.select(*columns)).write.mode("overwrite").partitionBy("sink").option("header", True).csv(target)
+    return target
+
+
+def run_summary(sessions: DataFrame, turns: DataFrame | None = None) -> DataFrame:
+    """(metric, n) rows: totals per label source and flag level, plus the
+    short-prompt turn count and rows dropped for a missing session id."""
+    c = F.col
+    agg = sessions.agg(
+        F.count(F.lit(1)).alias("total_sessions"),
+        F.count_if(c("label_source") == "semantic").alias("labelled_semantic"),
+        F.count_if(c("label_source") == "llm_classify").alias("llm_queue"),
+        F.count_if(c("label_source") == "unclassified").alias("unclassified"),
+        F.count_if(c("governance_flag") == "HIGH").alias("high_governance"),
+        F.count_if(c("governance_flag") == "MEDIUM").alias("medium_governance"),
+    )
+    names = ["total_sessions", "labelled_semantic", "llm_queue", "unclassified", "high_governance", "medium_governance"]
+    out = agg.select(F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*names))).alias("metric", "n"))
+    if turns is not None:
+        t = turns.agg(
+            F.count_if(c("is_short_prompt")).alias("short_prompts"),
+            F.count_if(c("session_id").isNull()).alias("dropped_null_session"),
+        )
+        tn = ["short_prompts", "dropped_null_session"]
+        out = out.unionByName(
+            t.select(F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in tn]), F.array(*tn))).alias("metric", "n"))
+        )
+    return out

@@ -56,6 +56,11 @@ def _collect_prototypes(protos: DataFrame, vec_col: str, max_rows: int):
     if n > max_rows:
         raise ValueError(f"prototype table has {n} rows; at most {max_rows} are supported")
     rows = protos.select("category_type", "ord", "code", "kind", vec_col).collect()
+    return categories_of(rows)
+
+
+def categories_of(rows):
+    """Category lists per axis from collected prototype rows (validated)."""
     by_axis: dict[str, dict[str, tuple[int, set]]] = {a: {} for a in AXES}
     for r in rows:
         ent = by_axis[r["category_type"]].setdefault(r["code"], (r["ord"], set()))
@@ -77,26 +82,29 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return m / norms
 
 
-def _kernel_plan(rows, cats: dict[str, Categories], vec_col: str):
-    """Unit-row matrix ordered by (axis, kind, category) and, per (axis, kind),
-    the column span of every category (empty span: no prototype in this block)."""
-    vecs, plan = [], []
+def kernel_layout(rows, cats: dict[str, Categories]):
+    """Prototype rows ordered by (axis, kind, category) and, per (axis, kind),
+    the column span of every category (empty span: no prototype here)."""
+    ordered, plan = [], []
     for axis in AXES:
         for kind in KINDS:
             spans = []
             for code in cats[axis].codes:
-                lo = len(vecs)
-                vecs.extend(
-                    np.asarray(r[vec_col], dtype=np.float64)
-                    for r in rows
-                    if r["category_type"] == axis and r["kind"] == kind and r["code"] == code
+                lo = len(ordered)
+                ordered.extend(
+                    r for r in rows if r["category_type"] == axis and r["kind"] == kind and r["code"] == code
                 )
-                spans.append((lo, len(vecs)))
+                spans.append((lo, len(ordered)))
             plan.append((axis, kind, spans))
-    return _unit_rows(np.vstack(vecs)), plan
+    return ordered, plan
+
+
+def _kernel_plan(rows, cats: dict[str, Categories], vec_col: str):
+    ordered, plan = kernel_layout(rows, cats)
+    return _unit_rows(np.vstack([np.asarray(r[vec_col], dtype=np.float64) for r in ordered])), plan
 
 
-def _segment_max(sims: np.ndarray, spans) -> np.ndarray:
+def segment_max(sims: np.ndarray, spans) -> np.ndarray:
     out = np.full((sims.shape[0], len(spans)), -np.inf)
     nonempty = [i for i, (lo, hi) in enumerate(spans) if hi > lo]
     if nonempty:
@@ -133,7 +141,7 @@ def _kernel_pass(df: DataFrame, rows, cats, vec_col: str, proto_vec_col: str, me
             cols = {}
             for (axis, kind, spans) in pl:
                 name = sims_field(axis, kind)
-                red = _segment_max(sims, spans)
+                red = segment_max(sims, spans)
                 if merge:
                     red = np.maximum(red, np.vstack([np.asarray(x, dtype=np.float64) for x in pdf[name]]))
                 cols[name] = list(red)

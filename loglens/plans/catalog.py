@@ -121,3 +121,84 @@ def confidence_route(spark, sf_dir):
 @query
 def label_distribution(spark, sf_dir):
     return routing.label_distribution(_routed(spark, sf_dir))
+
+
+# ---------------------------------------------- taxonomy, governance, flagship
+from loglens import defaults  # noqa: E402
+from loglens.operators import lexical  # noqa: E402
+from loglens.plans import classify  # noqa: E402
+from loglens.sources import taxonomy  # noqa: E402
+
+
+def _prototypes(spark, sf_dir):
+    return taxonomy.flatten_categories(fx.benchmark_categories(spark, sf_dir))
+
+
+def _matrix(spark):
+    e = fx.matrix_entries(spark)
+    return taxonomy.latest_per_pair(e, F.struct("list_no", "i"))
+
+
+@query
+def taxonomy_flatten(spark, sf_dir):
+    return _prototypes(spark, sf_dir)
+
+
+@query
+def governance_matrix(spark, sf_dir):
+    e = fx.order_flag_entries(spark, sf_dir)
+    return taxonomy.latest_per_pair(e, F.struct("list_no", "i"))
+
+
+@query
+def lexical_scores(spark, sf_dir):
+    """Best benchmark passage per document by lexical cosine (ties: smaller item_id)."""
+    from pyspark.sql import Window
+
+    from loglens.sources.tables import table
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    bench = table(spark, sf_dir, "benchmark", "item_id", "text")
+    cos = lexical.lexical_cosine(docs, "doc_id", "text", bench, "item_id", "text")
+    w = Window.partitionBy("doc_id").orderBy(F.desc("cos"), "item_id")
+    best = cos.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    return best.select("doc_id", "item_id", scoring.round4(F.col("cos")).alias("cos"))
+
+
+def _classified(spark, sf_dir):
+    return classify.classify_logs(
+        fx.logs(spark, sf_dir), _prototypes(spark, sf_dir), _matrix(spark),
+        watchlist=fx.FIXTURE_WATCHLIST, high=fx.FLAGSHIP_HIGH, low=fx.FLAGSHIP_LOW,
+    )
+
+
+def flagship(spark, sf_dir):
+    return _classified(spark, sf_dir).select(*defaults.OUTPUT_COLUMNS)
+
+
+@query
+def classify_logs(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query
+def governance_flags(spark, sf_dir):
+    return _classified(spark, sf_dir).select(
+        "session_id", "predicted_domain", "predicted_intent", "label_source", "governance_flag", "governance_reason"
+    )
+
+
+@query
+def llm_queue(spark, sf_dir):
+    return routing.fallback_queue(_classified(spark, sf_dir)).select("session_id", "combined_confidence", "prompt_excerpt")
+
+
+@query
+def route_outputs(spark, sf_dir):
+    return routing.route_outputs(_classified(spark, sf_dir)).select("sink", "session_id")
+
+
+@query
+def run_summary(spark, sf_dir):
+    turns = sessions.normalise_logs(fx.logs(spark, sf_dir))
+    return routing.run_summary(_classified(spark, sf_dir), turns)

@@ -22,6 +22,8 @@ COS = ["CO-A ", "co-b"]
 FIXTURE_WATCHLIST = ["bleed", "eaux", "lich"]
 # Router thresholds for the F2 score range.
 FIXTURE_LOW, FIXTURE_HIGH = 0.18, 0.21
+# Router thresholds for the lexical classifier over F1 (benchmark taxonomy).
+FLAGSHIP_LOW, FLAGSHIP_HIGH = 0.20, 0.30
 
 
 def _pick(index: Column, values: list) -> Column:
@@ -83,3 +85,71 @@ def session_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = F.when(F.col("vec_id") == 200, F.transform("embedding", lambda x: x * F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))
     prior = F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("D"), _pad2(F.col("vec_id") % 10 + 1)))
     return e.select(F.col("vec_id").alias("session_id"), vec.alias("vec"), prior.alias("domain_prior"))
+
+
+# --------------------------------------------------- taxonomy and governance
+N_BENCH_CATEGORIES = 10  # 5 domains + 5 intents
+
+
+def benchmark_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category rows of a taxonomy built from ``benchmark`` passages.
+
+    Category = item_id % 10 (0-4 domains D01-D05, 5-9 intents I01-I05);
+    with k = item_id div 10: k = 0 gives the definition, odd k keywords,
+    even k > 0 phrases (sorted, so the lists are deterministic).
+    """
+    b = table(spark, sf_dir, "benchmark", "item_id", "text")
+    cat = F.col("item_id") % N_BENCH_CATEGORIES
+    half = N_BENCH_CATEGORIES // 2
+    k = F.floor(F.col("item_id") / N_BENCH_CATEGORIES)
+    b = b.select(
+        F.when(cat < half, F.lit("domain")).otherwise(F.lit("intent")).alias("category_type"),
+        (cat % half).cast("int").alias("ord"),
+        F.concat(F.when(cat < half, F.lit("D")).otherwise(F.lit("I")), _pad2(cat % half + 1)).alias("code"),
+        k.alias("k"), "text",
+    )
+    return b.groupBy("category_type", "ord", "code").agg(
+        F.concat(F.lit("Category "), F.col("code")).alias("name"),
+        F.max(F.when(F.col("k") == 0, F.col("text"))).alias("definition"),
+        F.array_sort(F.collect_list(F.when(F.col("k") % 2 == 1, F.col("text")))).alias("keywords"),
+        F.array_sort(F.collect_list(F.when((F.col("k") % 2 == 0) & (F.col("k") > 0), F.col("text")))).alias("phrases"),
+    ).select("category_type", "ord", "code", F.concat(F.lit("Category "), F.col("code")).alias("name"),
+             "definition", "keywords", "phrases")
+
+
+# The governance pairs (domain, intent, level) of the shipped
+# risk matrix, high-risk list first, then medium-risk; reasons here are
+# neutral texts.  The last entry is a made-up repeat of an earlier pair with a
+# different level, to exercise "later entry wins".
+GOVERNANCE_PAIRS = [
+    ("D01", "I06", "HIGH"), ("D01", "I03", "HIGH"), ("D02", "I06", "HIGH"), ("D02", "I03", "HIGH"),
+    ("D02", "I04", "HIGH"), ("D05", "I03", "HIGH"), ("D05", "I06", "HIGH"), ("D04", "I03", "HIGH"),
+    ("D01", "I05", "MEDIUM"), ("D03", "I05", "MEDIUM"), ("D03", "I06", "MEDIUM"), ("D02", "I05", "MEDIUM"),
+    ("D04", "I04", "MEDIUM"), ("D06", "I06", "MEDIUM"),
+    ("D04", "I03", "MEDIUM"),
+]
+
+
+def matrix_entries(spark: SparkSession) -> DataFrame:
+    """F10 as ordered entries (list_no, i, domain, intent, level, reason)."""
+    rows = [
+        (0 if lvl == "HIGH" else 1, i, d, it, lvl, f"{lvl.lower()} risk pair {d}/{it}")
+        for i, (d, it, lvl) in enumerate(GOVERNANCE_PAIRS)
+    ]
+    return spark.createDataFrame(rows, "list_no int, i int, domain string, intent string, level string, reason string")
+
+
+def order_flag_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Governance entries derived from ``orders``: urgent/high priorities form
+    the high-risk list, the rest the medium-risk list, each in order-key
+    order; pair = (D + custkey % 10, I + orderkey % 7)."""
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
+    high = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    return o.select(
+        F.when(high, F.lit(0)).otherwise(F.lit(1)).alias("list_no"),
+        F.col("o_orderkey").alias("i"),
+        F.concat(F.lit("D"), _pad2(F.col("o_custkey") % 10 + 1)).alias("domain"),
+        F.concat(F.lit("I"), _pad2(F.col("o_orderkey") % 7 + 1)).alias("intent"),
+        F.when(high, F.lit("HIGH")).otherwise(F.lit("MEDIUM")).alias("level"),
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" "), F.col("o_orderpriority")).alias("reason"),
+    )

@@ -167,12 +167,17 @@ cat AS (
     max(cos) FILTER (WHERE kind = 'phrase') AS p, max(cos) FILTER (WHERE kind = 'keyword') AS k,
     max(cos) FILTER (WHERE kind = 'definition') AS d
   FROM sims GROUP BY session_id, domain_prior, category_type, code, ord
-),
+)"""
+
+
+def score_chain(cat: str, high: float, low: float) -> str:
+    """scored/best/best2/routed CTEs over a (session_id, domain_prior, category_type, code, ord, p, k, d) CTE."""
+    return f"""
 scored AS (
   SELECT *, CASE WHEN category_type = 'domain' AND domain_prior = code
                  THEN least((p * {D(defaults.WEIGHT_PHRASE)} + k * {D(defaults.WEIGHT_KEYWORD)} + d * {D(defaults.WEIGHT_DEFINITION)}) * {D(defaults.METADATA_BOOST)}, {D('1.0')})
                  ELSE p * {D(defaults.WEIGHT_PHRASE)} + k * {D(defaults.WEIGHT_KEYWORD)} + d * {D(defaults.WEIGHT_DEFINITION)} END AS score
-  FROM cat
+  FROM {cat}
 ),
 best AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, category_type ORDER BY score DESC, ord) AS r FROM scored)
@@ -185,12 +190,99 @@ best2 AS (
   FROM best d JOIN best i ON d.session_id = i.session_id AND d.category_type = 'domain' AND i.category_type = 'intent'
 ),
 routed AS (
-  SELECT *, CASE WHEN combined_confidence >= {D(fx.FIXTURE_HIGH)} THEN 'semantic'
-                 WHEN combined_confidence >= {D(fx.FIXTURE_LOW)} THEN 'llm_classify' ELSE 'unclassified' END AS label_source
+  SELECT *, CASE WHEN combined_confidence >= {D(high)} THEN 'semantic'
+                 WHEN combined_confidence >= {D(low)} THEN 'llm_classify' ELSE 'unclassified' END AS label_source
   FROM best2
 )"""
 
 
+
+F2_CHAIN = score_chain("cat", fx.FIXTURE_HIGH, fx.FIXTURE_LOW)
+
+TOKEN_RE = "'[\\p{L}\\p{N}]+'"
+
+# ------------------------------------------- benchmark taxonomy (prototypes)
+BENCH = f"""
+bcat AS (SELECT item_id, text, item_id % {fx.N_BENCH_CATEGORIES} AS c,
+                CAST(floor(item_id / {fx.N_BENCH_CATEGORIES}) AS BIGINT) AS k FROM benchmark),
+bprotos AS (
+  SELECT CASE WHEN c < {fx.N_BENCH_CATEGORIES // 2} THEN 'domain' ELSE 'intent' END AS category_type,
+    CAST(c % {fx.N_BENCH_CATEGORIES // 2} AS INTEGER) AS ord,
+    (CASE WHEN c < {fx.N_BENCH_CATEGORIES // 2} THEN 'D' ELSE 'I' END)
+      || lpad(CAST(c % {fx.N_BENCH_CATEGORIES // 2} + 1 AS VARCHAR), 2, '0') AS code,
+    CASE WHEN k = 0 THEN 'definition' WHEN k % 2 = 1 THEN 'keyword' ELSE 'phrase' END AS kind,
+    text, item_id AS proto_id
+  FROM bcat
+)"""
+
+
+def tf_ctes(name: str, id_col: str, text_sql: str, src: str) -> str:
+    return f"""
+{name}_tok AS (SELECT {id_col}, unnest(regexp_extract_all(lower({text_sql}), {TOKEN_RE})) AS token FROM {src}),
+{name}_tf AS (SELECT {id_col}, token, count(*) AS tf FROM {name}_tok GROUP BY {id_col}, token),
+{name}_nn AS (SELECT {id_col}, sum(tf * tf) AS nn FROM {name}_tf GROUP BY {id_col})"""
+
+
+def cos_cte(name: str, a: str, a_id: str, b: str, b_id: str) -> str:
+    return f"""
+{name} AS (
+  SELECT d.{a_id}, d.{b_id}, d.dot / (sqrt(CAST(x.nn AS DOUBLE)) * sqrt(CAST(y.nn AS DOUBLE))) AS cos
+  FROM (SELECT s.{a_id}, p.{b_id}, sum(s.tf * p.tf) AS dot FROM {a}_tf s JOIN {b}_tf p ON s.token = p.token
+        GROUP BY s.{a_id}, p.{b_id}) d
+  JOIN {a}_nn x ON x.{a_id} = d.{a_id} JOIN {b}_nn y ON y.{b_id} = d.{b_id}
+)"""
+
+
+LEX_SESSIONS = f"""
+sessions2 AS (SELECT *, {first_match_case('division', defaults.DEPARTMENT_DOMAIN_MAP)} AS domain_prior FROM sessions),
+{tf_ctes('st', 'session_id', 'combined_prompt', 'sessions2').strip()},
+{tf_ctes('pt', 'proto_id', 'text', 'bprotos').strip()},
+{cos_cte('lcos', 'st', 'session_id', 'pt', 'proto_id').strip()},
+grid AS (
+  SELECT s.session_id, s.domain_prior, c.category_type, c.code, c.ord
+  FROM sessions2 s CROSS JOIN (SELECT DISTINCT category_type, code, ord FROM bprotos) c
+),
+lpk AS (SELECT l.session_id, p.category_type, p.code, p.kind, max(l.cos) AS m
+        FROM lcos l JOIN bprotos p ON p.proto_id = l.proto_id GROUP BY l.session_id, p.category_type, p.code, p.kind),
+lcat AS (
+  SELECT g.session_id, g.domain_prior, g.category_type, g.code, g.ord,
+    coalesce(max(m) FILTER (WHERE kind = 'phrase'), {D('0.0')}) AS p,
+    coalesce(max(m) FILTER (WHERE kind = 'keyword'), {D('0.0')}) AS k,
+    coalesce(max(m) FILTER (WHERE kind = 'definition'), {D('0.0')}) AS d
+  FROM grid g LEFT JOIN lpk l ON l.session_id = g.session_id AND l.category_type = g.category_type AND l.code = g.code
+  GROUP BY g.session_id, g.domain_prior, g.category_type, g.code, g.ord
+)"""
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(q(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+MATRIX_ROWS = [
+    (0 if lvl == "HIGH" else 1, i, d, it, lvl, f"{lvl.lower()} risk pair {d}/{it}")
+    for i, (d, it, lvl) in enumerate(fx.GOVERNANCE_PAIRS)
+]
+GOV = f"""
+gm AS (
+  SELECT domain, intent, level, reason FROM (
+    SELECT *, row_number() OVER (PARTITION BY domain, intent ORDER BY list_no DESC, i DESC) AS r
+    FROM (VALUES {_values(MATRIX_ROWS)}) t(list_no, i, domain, intent, level, reason)) WHERE r = 1
+),
+flagged AS (
+  SELECT r.*, s.combined_prompt, s.username, s.co, s.user_type, s.division, s.turn_count, s.domain_prior,
+         s.first_timestamp, s.last_timestamp, gm.level AS mlevel, gm.reason AS mreason,
+         {{wl_hit}} AS wl_hit, {{wl_reason}} AS wl_reason
+  FROM routed r JOIN sessions2 s ON s.session_id = r.session_id
+  LEFT JOIN gm ON r.label_source = 'semantic' AND gm.domain = r.predicted_domain AND gm.intent = r.predicted_intent
+),
+gov AS (
+  SELECT *, CASE WHEN wl_hit THEN 'HIGH' WHEN mlevel IS NOT NULL THEN mlevel ELSE 'NONE' END AS governance_flag,
+         CASE WHEN wl_hit THEN trim(coalesce(mreason, '') || ' | ' || wl_reason, ' |') ELSE coalesce(mreason, '') END
+           AS governance_reason
+  FROM flagged
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     wl_hit, wl_reason = watchlist_case("combined_prompt", fx.FIXTURE_WATCHLIST)
     out = {
@@ -209,19 +301,67 @@ SELECT session_id, division, {first_match_case('division', defaults.DEPARTMENT_D
 SELECT session_id, {wl_hit} AS watchlist_hit, {wl_reason} AS watchlist_reason FROM sessions""",
     }
     out.update({
-        "cosine_topk": _with(F2) + f"""
+        "cosine_topk": _with(F2, F2_CHAIN) + f"""
 SELECT session_id, rank, proto_id, {R4('cos')} AS cos FROM (
   SELECT session_id, proto_id, cos, row_number() OVER (PARTITION BY session_id ORDER BY cos DESC, proto_id) AS rank
   FROM sims) WHERE rank <= 3""",
-        "hybrid_scores": _with(F2) + f"""
+        "hybrid_scores": _with(F2, F2_CHAIN) + f"""
 SELECT session_id, category_type, code, {R4('score')} AS score FROM scored""",
-        "best_category": _with(F2) + """
+        "best_category": _with(F2, F2_CHAIN) + """
 SELECT session_id, predicted_domain, domain_confidence, predicted_intent, intent_confidence, combined_confidence FROM best2""",
-        "score_map": _with(F2) + f"""
+        "score_map": _with(F2, F2_CHAIN) + f"""
 SELECT session_id, code, {R4('score')} AS score FROM scored""",
-        "confidence_route": _with(F2) + """
+        "confidence_route": _with(F2, F2_CHAIN) + """
 SELECT session_id, combined_confidence, label_source FROM routed""",
-        "label_distribution": _with(F2) + """
+        "label_distribution": _with(F2, F2_CHAIN) + """
 SELECT label_source, count(*) AS n FROM routed GROUP BY label_source""",
+    })
+    fl_hit, fl_reason = watchlist_case("s.combined_prompt", fx.FIXTURE_WATCHLIST)
+    flag_chain = _with(*LOGS_CHAIN, SESSIONS, BENCH, LEX_SESSIONS,
+                       score_chain("lcat", fx.FLAGSHIP_HIGH, fx.FLAGSHIP_LOW),
+                       GOV.replace("{wl_hit}", fl_hit).replace("{wl_reason}", fl_reason))
+    sinks = " UNION ALL ".join([
+        "SELECT 'classification_logs' AS sink, session_id FROM gov",
+        "SELECT 'governance_alerts', session_id FROM gov WHERE governance_flag = 'HIGH'",
+        "SELECT 'governance_monitoring', session_id FROM gov WHERE governance_flag = 'MEDIUM'",
+        "SELECT 'llm_classify_queue', session_id FROM gov WHERE label_source = 'llm_classify'",
+        "SELECT 'unclassified', session_id FROM gov WHERE label_source = 'unclassified'",
+    ])
+    out.update({
+        "taxonomy_flatten": _with(BENCH) + """
+SELECT category_type, ord, code, 'Category ' || code AS name, kind, text FROM bprotos""",
+        "governance_matrix": """
+SELECT domain, intent, level, reason FROM (
+  SELECT *, row_number() OVER (PARTITION BY domain, intent ORDER BY list_no DESC, i DESC) AS r FROM (
+    SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0 ELSE 1 END AS list_no, o_orderkey AS i,
+      'D' || lpad(CAST(o_custkey % 10 + 1 AS VARCHAR), 2, '0') AS domain,
+      'I' || lpad(CAST(o_orderkey % 7 + 1 AS VARCHAR), 2, '0') AS intent,
+      CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'HIGH' ELSE 'MEDIUM' END AS level,
+      'order ' || CAST(o_orderkey AS VARCHAR) || ' ' || o_orderpriority AS reason
+    FROM orders)) WHERE r = 1""",
+        "lexical_scores": _with(tf_ctes('dt', 'doc_id', 'text', 'documents'), tf_ctes('bt', 'item_id', 'text', 'benchmark'),
+                                cos_cte('dcos', 'dt', 'doc_id', 'bt', 'item_id')) + f"""
+SELECT doc_id, item_id, {R4('cos')} AS cos FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cos DESC, item_id) AS r FROM dcos) WHERE r = 1""",
+        "classify_logs": flag_chain + """
+SELECT session_id, username, co, user_type, division, combined_prompt, turn_count, predicted_domain,
+       domain_confidence, predicted_intent, intent_confidence, combined_confidence, label_source,
+       governance_flag, governance_reason, domain_prior, first_timestamp, last_timestamp FROM gov""",
+        "governance_flags": flag_chain + """
+SELECT session_id, predicted_domain, predicted_intent, label_source, governance_flag, governance_reason FROM gov""",
+        "llm_queue": flag_chain + f"""
+SELECT session_id, combined_confidence, substr(combined_prompt, 1, {defaults.FALLBACK_PROMPT_TRUNCATE}) AS prompt_excerpt
+FROM gov WHERE label_source = 'llm_classify'""",
+        "route_outputs": flag_chain + "\n" + sinks,
+        "run_summary": flag_chain + """,
+turns AS (SELECT * FROM norm2)
+SELECT 'total_sessions' AS metric, count(*) AS n FROM gov
+UNION ALL SELECT 'labelled_semantic', count(*) FILTER (WHERE label_source = 'semantic') FROM gov
+UNION ALL SELECT 'llm_queue', count(*) FILTER (WHERE label_source = 'llm_classify') FROM gov
+UNION ALL SELECT 'unclassified', count(*) FILTER (WHERE label_source = 'unclassified') FROM gov
+UNION ALL SELECT 'high_governance', count(*) FILTER (WHERE governance_flag = 'HIGH') FROM gov
+UNION ALL SELECT 'medium_governance', count(*) FILTER (WHERE governance_flag = 'MEDIUM') FROM gov
+UNION ALL SELECT 'short_prompts', count(*) FILTER (WHERE is_short_prompt) FROM turns
+UNION ALL SELECT 'dropped_null_session', count(*) FILTER (WHERE session_id IS NULL) FROM turns""",
     })
     return out
