@@ -202,3 +202,49 @@ def route_outputs(spark, sf_dir):
 def run_summary(spark, sf_dir):
     turns = sessions.normalise_logs(fx.logs(spark, sf_dir))
     return routing.run_summary(_classified(spark, sf_dir), turns)
+
+
+# ------------------------------------------------------- documents (F5)
+from loglens.operators import chunking  # noqa: E402
+from loglens.sources import documents  # noqa: E402
+
+
+def _doc_texts(spark, sf_dir):
+    return documents.assemble_pages(fx.doc_pages(spark, sf_dir))
+
+
+@query
+def pages_assemble(spark, sf_dir):
+    return _doc_texts(spark, sf_dir)
+
+
+@query
+def doc_metadata(spark, sf_dir):
+    return documents.document_metadata(fx.doc_pages(spark, sf_dir), fx.doc_info(spark, sf_dir))
+
+
+@query
+def section_boundaries(spark, sf_dir):
+    t = fx.order_texts(spark, sf_dir)
+    b = t.select("doc_id", F.explode(chunking.section_boundaries(F.col("text"))).alias("boundary"))
+    return b.select("doc_id", F.col("boundary").cast("bigint").alias("boundary"))
+
+
+@query
+def chunk_sections(spark, sf_dir):
+    t = chunking.with_boundaries(fx.order_texts(spark, sf_dir))
+    cuts = chunking.cut(F.col("text"), F.col("boundaries"))
+    return t.select("doc_id", F.posexplode(cuts).alias("section_idx", "section")).select(
+        "doc_id", F.col("section_idx").cast("bigint").alias("section_idx"), "section")
+
+
+@query
+def section_chunks(spark, sf_dir):
+    c = chunking.chunk_documents(fx.order_texts(spark, sf_dir))
+    return c.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk")
+
+
+@query
+def chunk_documents(spark, sf_dir):
+    c = chunking.chunk_documents(_doc_texts(spark, sf_dir))
+    return c.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk")

@@ -153,3 +153,82 @@ def order_flag_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(high, F.lit("HIGH")).otherwise(F.lit("MEDIUM")).alias("level"),
         F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" "), F.col("o_orderpriority")).alias("reason"),
     )
+
+
+# ---------------------------------------------------------- documents (F5)
+def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 pages: each line of a document is a page (1-based page_no)."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    return d.select("doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "line")).select(
+        "doc_id", (F.col("pos") + 1).cast("int").alias("page_no"), F.col("line").alias("text")
+    )
+
+
+def doc_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document metadata with gaps: title missing for doc_id % 4 = 0,
+    keywords for doc_id % 3 = 0; dates unknown."""
+    d = table(spark, sf_dir, "documents", "doc_id", "lang", "source")
+    return d.select(
+        "doc_id",
+        F.when(F.col("doc_id") % 4 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("Report "), F.col("doc_id").cast("string"))).alias("title"),
+        F.col("source").alias("author"),
+        F.col("lang").alias("subject"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.col("lang"), F.lit(","), F.col("source"))).alias("keywords"),
+        F.lit(None).cast("string").alias("creation_date"),
+        F.lit(None).cast("string").alias("modification_date"),
+    )
+
+
+NOTE_PARAGRAPH = "Delivery note for the order line. \n\n"
+NOTE_REPEAT = 100
+
+
+def order_text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, part_seq, text, is_boundary) parts of one text per order.
+
+    Per line item: ``\\nSection n: Items ...``, ``\\n1.n Terms of delivery by
+    <date>``, ``\\nIV. Risk level ...``, ``\\n2.n Payment schedule ...`` (each
+    a section start) and, for quantities >= 45, a long note of blank-line
+    separated paragraphs; urgent orders get ``\\nArticle IV: Urgent
+    handling`` and finished orders end in the all-caps ``\\nFINAL NOTICE``.
+    """
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    s = lambda c: F.col(c).cast("string")
+    qty = F.col("l_quantity").cast("bigint").cast("string")
+    price = F.floor(F.col("l_extendedprice")).cast("bigint").cast("string")
+    # (l_orderkey, l_linenumber) repeats in the data: number the lines of an
+    # order by the unique key (linenumber, partkey, suppkey, extendedprice).
+    li = li.withColumn("li", F.row_number().over(
+        Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
+    ln = F.col("li")
+    header = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("part_seq"),
+                      F.concat(F.lit("Order "), s("o_orderkey"), F.lit(" for customer "), s("o_custkey"), F.lit(".")).alias("text"),
+                      F.lit(False).alias("is_boundary"))
+    article = o.where(F.col("o_orderpriority") == "1-URGENT").select(
+        F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("part_seq"), F.lit("\nArticle IV: Urgent handling").alias("text"),
+        F.lit(True).alias("is_boundary"))
+    final = o.where(F.col("o_orderstatus") == "F").select(
+        F.col("o_orderkey").alias("doc_id"), F.lit(1000).alias("part_seq"), F.lit("\nFINAL NOTICE").alias("text"),
+        F.lit(True).alias("is_boundary"))
+    lines = li.select(
+        F.col("l_orderkey").alias("doc_id"),
+        F.array(
+            F.struct((ln * 10 + 1).alias("part_seq"), F.concat(F.lit("\nSection "), s("l_linenumber"), F.lit(": Items part "), s("l_partkey"), F.lit(" qty "), qty).alias("text"), F.lit(True).alias("is_boundary")),
+            F.struct((ln * 10 + 2).alias("part_seq"), F.concat(F.lit("\n1."), s("l_linenumber"), F.lit(" Terms of delivery by "), F.date_format("l_shipdate", "yyyy-MM-dd")).alias("text"), F.lit(True).alias("is_boundary")),
+            F.struct((ln * 10 + 3).alias("part_seq"), F.concat(F.lit("\nIV. Risk level "), s("l_linenumber"), F.lit(" price "), price).alias("text"), F.lit(True).alias("is_boundary")),
+            F.struct((ln * 10 + 4).alias("part_seq"), F.concat(F.lit("\n2."), s("l_linenumber"), F.lit(" Payment schedule "), price).alias("text"), F.lit(True).alias("is_boundary")),
+            F.struct((ln * 10 + 5).alias("part_seq"),
+                     F.when(F.col("l_quantity") >= 45, F.concat(F.lit("\n\n"), F.lit(NOTE_PARAGRAPH * NOTE_REPEAT), F.lit("End of note."))).alias("text"),
+                     F.lit(False).alias("is_boundary")),
+        ).alias("parts"),
+    ).select("doc_id", F.explode("parts").alias("p")).select("doc_id", "p.*").where(F.col("text").isNotNull())
+    return header.unionByName(article).unionByName(lines).unionByName(final)
+
+
+def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): the parts of each order joined in part order."""
+    parts = order_text_parts(spark, sf_dir)
+    return parts.groupBy("doc_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_seq", "text"))), lambda x: x["text"]), "").alias("text")
+    )

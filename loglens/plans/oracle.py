@@ -283,6 +283,83 @@ gov AS (
 )"""
 
 
+NL = "chr(10)"
+NN = "(chr(10) || chr(10))"
+
+# ------------------------------------------------------------- F5 documents
+F5_PAGES = f"""
+pages AS (
+  SELECT doc_id, CAST(unnest(range(1, len(ls) + 1)) AS INTEGER) AS page_no, unnest(ls) AS text
+  FROM (SELECT doc_id, string_split(text, {NL}) AS ls FROM documents)
+),
+dtexts AS (
+  SELECT doc_id, coalesce(string_agg('[Page ' || CAST(page_no AS VARCHAR) || '] ' || text, {NN} ORDER BY page_no)
+                          FILTER (WHERE {_strip('text')} <> ''), '') AS text
+  FROM pages GROUP BY doc_id
+)"""
+
+F5_ORDERS = f"""
+lines AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS li
+  FROM lineitem
+),
+oparts AS (
+  SELECT o_orderkey AS doc_id, 0 AS part_seq,
+         'Order ' || CAST(o_orderkey AS VARCHAR) || ' for customer ' || CAST(o_custkey AS VARCHAR) || '.' AS text,
+         false AS is_boundary FROM orders
+  UNION ALL SELECT o_orderkey, 1, {NL} || 'Article IV: Urgent handling', true FROM orders WHERE o_orderpriority = '1-URGENT'
+  UNION ALL SELECT o_orderkey, 1000, {NL} || 'FINAL NOTICE', true FROM orders WHERE o_orderstatus = 'F'
+  UNION ALL SELECT l_orderkey, li * 10 + 1, {NL} || 'Section ' || CAST(l_linenumber AS VARCHAR) || ': Items part '
+         || CAST(l_partkey AS VARCHAR) || ' qty ' || CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR), true FROM lines
+  UNION ALL SELECT l_orderkey, li * 10 + 2, {NL} || '1.' || CAST(l_linenumber AS VARCHAR) || ' Terms of delivery by '
+         || strftime(l_shipdate, '%Y-%m-%d'), true FROM lines
+  UNION ALL SELECT l_orderkey, li * 10 + 3, {NL} || 'IV. Risk level ' || CAST(l_linenumber AS VARCHAR) || ' price '
+         || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR), true FROM lines
+  UNION ALL SELECT l_orderkey, li * 10 + 4, {NL} || '2.' || CAST(l_linenumber AS VARCHAR) || ' Payment schedule '
+         || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR), true FROM lines
+  UNION ALL SELECT l_orderkey, li * 10 + 5,
+         {NN} || repeat({q(fx.NOTE_PARAGRAPH.replace(chr(10), "~"))}, {fx.NOTE_REPEAT}) || 'End of note.', false
+         FROM lines WHERE l_quantity >= 45
+),
+oparts2 AS (
+  SELECT doc_id, part_seq, replace(text, '~', {NL}) AS text, is_boundary,
+         coalesce(sum(length(replace(text, '~', {NL}))) OVER (PARTITION BY doc_id ORDER BY part_seq
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+         sum(CASE WHEN is_boundary THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY part_seq
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sec
+  FROM oparts
+),
+otexts AS (SELECT doc_id, string_agg(text, '' ORDER BY part_seq) AS text FROM oparts2 GROUP BY doc_id),
+obounds AS (SELECT doc_id, 0 AS boundary FROM otexts UNION SELECT doc_id, off FROM oparts2 WHERE is_boundary),
+osections AS (SELECT doc_id, sec, string_agg(text, '' ORDER BY part_seq) AS text FROM oparts2 GROUP BY doc_id, sec),
+onb AS (SELECT doc_id, count(*) AS nb FROM obounds GROUP BY doc_id)"""
+
+
+def pack_sql(name: str, src: str, keep_empty: bool, cs: int = defaults.CHUNK_SIZE) -> str:
+    """Paragraph packing as a recursive walk over (pid, text) rows of ``src``."""
+    fits = f"length(w.cur) + length(p.par) < {cs}"
+    empty_filter = "" if keep_empty else "AND emit <> ''"
+    return f"""
+{name}_p AS (
+  SELECT pid, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS par
+  FROM (SELECT pid, string_split(text, {NN}) AS ps FROM {src})
+),
+{name}_w AS (
+  SELECT pid, 0 AS i, '' AS cur, CAST(NULL AS VARCHAR) AS emit FROM {src}
+  UNION ALL
+  SELECT w.pid, p.i,
+    CASE WHEN {fits} THEN w.cur || p.par || {NN} ELSE p.par || {NN} END,
+    CASE WHEN {fits} THEN NULL ELSE w.cur END
+  FROM {name}_w w JOIN {name}_p p ON p.pid = w.pid AND p.i = w.i + 1
+),
+{name}_last AS (SELECT pid, i, cur FROM {name}_w QUALIFY row_number() OVER (PARTITION BY pid ORDER BY i DESC) = 1),
+{name} AS (
+  SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY o) - 1 AS chunk_idx, chunk FROM (
+    SELECT pid, i AS o, emit AS chunk FROM {name}_w WHERE emit IS NOT NULL {empty_filter}
+    UNION ALL SELECT pid, i + 1, cur FROM {name}_last WHERE cur <> '')
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     wl_hit, wl_reason = watchlist_case("combined_prompt", fx.FIXTURE_WATCHLIST)
     out = {
@@ -363,5 +440,38 @@ UNION ALL SELECT 'high_governance', count(*) FILTER (WHERE governance_flag = 'HI
 UNION ALL SELECT 'medium_governance', count(*) FILTER (WHERE governance_flag = 'MEDIUM') FROM gov
 UNION ALL SELECT 'short_prompts', count(*) FILTER (WHERE is_short_prompt) FROM turns
 UNION ALL SELECT 'dropped_null_session', count(*) FILTER (WHERE session_id IS NULL) FROM turns""",
+    })
+    lim = f"{defaults.CHUNK_SIZE} * {defaults.RESPLIT_FACTOR}"
+    out.update({
+        "pages_assemble": _with(F5_PAGES) + """
+SELECT doc_id, text FROM dtexts""",
+        "doc_metadata": _with(F5_PAGES) + f"""
+SELECT d.doc_id,
+  coalesce(CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE 'Report ' || CAST(d.doc_id AS VARCHAR) END, {q(defaults.UNKNOWN)}) AS title,
+  coalesce(d.source, {q(defaults.UNKNOWN)}) AS author, coalesce(d.lang, '') AS subject,
+  coalesce(CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE d.lang || ',' || d.source END, '') AS keywords,
+  '' AS creation_date, '' AS modification_date, CAST(c.n AS INTEGER) AS page_count
+FROM documents d JOIN (SELECT doc_id, count(*) AS n FROM pages GROUP BY doc_id) c ON c.doc_id = d.doc_id""",
+        "section_boundaries": _with(F5_ORDERS) + """
+SELECT doc_id, CAST(boundary AS BIGINT) AS boundary FROM obounds""",
+        "chunk_sections": _with(F5_ORDERS) + """
+SELECT doc_id, CAST(sec AS BIGINT) AS section_idx, text AS section FROM osections""",
+        "section_chunks": _with(
+            F5_ORDERS,
+            f"""long_secs AS (SELECT s.doc_id * 1000 + s.sec AS pid, s.text FROM osections s JOIN onb USING (doc_id)
+                WHERE onb.nb > 1 AND onb.nb < {defaults.MAX_SECTION_BOUNDARIES} AND length(s.text) > {lim})""",
+            pack_sql("lpk", "long_secs", keep_empty=False),
+            f"""whole AS (SELECT t.doc_id AS pid, t.text FROM otexts t JOIN onb USING (doc_id)
+                WHERE NOT (onb.nb > 1 AND onb.nb < {defaults.MAX_SECTION_BOUNDARIES}))""",
+            pack_sql("wpk", "whole", keep_empty=True),
+        ) + f"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec, sub) - 1 AS BIGINT) AS chunk_idx, chunk FROM (
+  SELECT s.doc_id, s.sec, 0 AS sub, s.text AS chunk FROM osections s JOIN onb USING (doc_id)
+  WHERE onb.nb > 1 AND onb.nb < {defaults.MAX_SECTION_BOUNDARIES} AND length(s.text) <= {lim}
+  UNION ALL SELECT CAST(pid // 1000 AS BIGINT), pid % 1000, chunk_idx, chunk FROM lpk)
+UNION ALL SELECT pid AS doc_id, CAST(chunk_idx AS BIGINT), chunk FROM wpk""",
+        "chunk_documents": _with(F5_PAGES, "dsrc AS (SELECT doc_id AS pid, text FROM dtexts)",
+                                 pack_sql("dpk", "dsrc", keep_empty=True)) + """
+SELECT pid AS doc_id, CAST(chunk_idx AS BIGINT) AS chunk_idx, chunk FROM dpk""",
     })
     return out
