@@ -248,3 +248,44 @@ def section_chunks(spark, sf_dir):
 def chunk_documents(spark, sf_dir):
     c = chunking.chunk_documents(_doc_texts(spark, sf_dir))
     return c.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk")
+
+
+# ------------------------------------------------------- summariser, chat
+from loglens.operators import completion  # noqa: E402
+from loglens.sources.tables import table  # noqa: E402
+
+
+def _doc_chunks(spark, sf_dir):
+    pages = fx.doc_pages(spark, sf_dir)
+    docs = documents.assemble_pages(pages).join(documents.document_metadata(pages, fx.doc_info(spark, sf_dir)), "doc_id")
+    b = chunking.with_boundaries(docs)
+    return b.select("doc_id", *completion.META,
+                    F.posexplode(chunking.semantic_chunks(F.col("text"), F.col("boundaries"))).alias("chunk_idx", "chunk"))
+
+
+@query
+def chunk_prompts(spark, sf_dir):
+    p = completion.map_chunks(_doc_chunks(spark, sf_dir))
+    return p.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "prompt")
+
+
+@query
+def summary_reduce(spark, sf_dir):
+    r = completion.reduce_summaries(completion.map_chunks(_doc_chunks(spark, sf_dir)))
+    return r.select("doc_id", "chunk_count", "final_prompt")
+
+
+@query
+def summarise_documents(spark, sf_dir):
+    s = completion.summarise(_doc_chunks(spark, sf_dir))
+    return s.select(
+        "doc_id", F.col("metadata.title").alias("title"), F.col("metadata.page_count").alias("page_count"), "chunk_count",
+        F.array_join("section_summaries", " || ").alias("section_summaries"), "final_summary",
+    )
+
+
+@query
+def chat_assemble(spark, sf_dir):
+    t = completion.chat_transcript(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return t.select("conv_id", F.size("messages").cast("bigint").alias("n_messages"),
+                    completion.render_chat(F.col("messages")).alias("prompt"))

@@ -360,6 +360,52 @@ def pack_sql(name: str, src: str, keep_empty: bool, cs: int = defaults.CHUNK_SIZ
 )"""
 
 
+def fill_sql(template: str, **exprs: str) -> str:
+    """``template.format(...)`` as a DuckDB concatenation."""
+    import re as _re
+
+    out, pos = [], 0
+    for m in _re.finditer(r"\{(\w+)\}", template):
+        out.append(q(template[pos: m.start()].replace("{{", "{").replace("}}", "}")))
+        out.append(f"CAST({exprs[m.group(1)]} AS VARCHAR)")
+        pos = m.end()
+    out.append(q(template[pos:].replace("{{", "{").replace("}}", "}")))
+    return "(" + " || ".join(out) + ")"
+
+
+def stub_sql(prompt: str) -> str:
+    return (f"({q(defaults.STUB_COMPLETION_PREFIX)} || substr({prompt}, 1, {defaults.STUB_COMPLETION_CHARS}) "
+            f"|| {q(defaults.STUB_COMPLETION_SUFFIX)})")
+
+
+SUMMARY = f"""
+dmeta AS (
+  SELECT d.doc_id,
+    coalesce(CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE 'Report ' || CAST(d.doc_id AS VARCHAR) END, {q(defaults.UNKNOWN)}) AS title,
+    coalesce(d.source, {q(defaults.UNKNOWN)}) AS author,
+    coalesce(CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE d.lang || ',' || d.source END, '') AS keywords,
+    CAST(c.n AS INTEGER) AS page_count
+  FROM documents d JOIN (SELECT doc_id, count(*) AS n FROM pages GROUP BY doc_id) c ON c.doc_id = d.doc_id
+),
+cprompts AS (
+  SELECT k.pid AS doc_id, k.chunk_idx, m.title, m.author, m.keywords, m.page_count,
+         {fill_sql(defaults.CHUNK_PROMPT_FINANCIAL, title='m.title', chunk='k.chunk')} AS prompt
+  FROM dpk k JOIN dmeta m ON m.doc_id = k.pid
+),
+csum AS (SELECT *, {stub_sql('prompt')} AS summary FROM cprompts),
+reduced AS (
+  SELECT doc_id, any_value(title) AS title, any_value(author) AS author, any_value(keywords) AS keywords,
+         any_value(page_count) AS page_count, CAST(count(*) AS INTEGER) AS chunk_count,
+         string_agg('Section ' || CAST(chunk_idx + 1 AS VARCHAR) || ' Summary:' || {NL} || summary, {NN} ORDER BY chunk_idx) AS all_s,
+         string_agg(summary, ' || ' ORDER BY chunk_idx) AS joined
+  FROM csum GROUP BY doc_id
+),
+finals AS (
+  SELECT *, {fill_sql(defaults.FINAL_PROMPT_FINANCIAL, title='title', author='author', keywords='keywords',
+                      page_count='page_count', all_summaries='all_s')} AS final_prompt FROM reduced
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     wl_hit, wl_reason = watchlist_case("combined_prompt", fx.FIXTURE_WATCHLIST)
     out = {
@@ -473,5 +519,19 @@ UNION ALL SELECT pid AS doc_id, CAST(chunk_idx AS BIGINT), chunk FROM wpk""",
         "chunk_documents": _with(F5_PAGES, "dsrc AS (SELECT doc_id AS pid, text FROM dtexts)",
                                  pack_sql("dpk", "dsrc", keep_empty=True)) + """
 SELECT pid AS doc_id, CAST(chunk_idx AS BIGINT) AS chunk_idx, chunk FROM dpk""",
+    })
+    doc_sum = _with(F5_PAGES, "dsrc AS (SELECT doc_id AS pid, text FROM dtexts)", pack_sql("dpk", "dsrc", keep_empty=True), SUMMARY)
+    out.update({
+        "chunk_prompts": doc_sum + """
+SELECT doc_id, CAST(chunk_idx AS BIGINT) AS chunk_idx, prompt FROM cprompts""",
+        "summary_reduce": doc_sum + """
+SELECT doc_id, chunk_count, final_prompt FROM finals""",
+        "summarise_documents": doc_sum + f"""
+SELECT doc_id, title, page_count, chunk_count, joined AS section_summaries, {stub_sql('final_prompt')} AS final_summary
+FROM finals""",
+        "chat_assemble": """
+SELECT conv_id, count(*) AS n_messages,
+       string_agg('<|' || role || '|>' || text || '<|end|>', '' ORDER BY turn) || '<|assistant|>' AS prompt
+FROM conversations GROUP BY conv_id""",
     })
     return out
