@@ -289,3 +289,47 @@ def chat_assemble(spark, sf_dir):
     t = completion.chat_transcript(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
     return t.select("conv_id", F.size("messages").cast("bigint").alias("n_messages"),
                     completion.render_chat(F.col("messages")).alias("prompt"))
+
+
+# ------------------------------------------------------------ e-mail threads
+from loglens.operators import email, threads  # noqa: E402
+
+
+@query
+def email_headers(spark, sf_dir):
+    h = email.extract_headers(fx.emails(spark, sf_dir))
+    return h.select(
+        "thread_id", "email_no", F.col("block_no").cast("bigint").alias("block_no"),
+        F.col("from").alias("from_addr"), "sent",
+        F.array_join("to", "|").alias("to_addrs"), F.size("to").cast("bigint").alias("n_to"),
+        F.array_join("cc", "|").alias("cc_addrs"), F.size("cc").cast("bigint").alias("n_cc"), "subject",
+    )
+
+
+def _findings(spark, sf_dir):
+    return threads.thread_findings(fx.thread_outputs(spark, sf_dir))
+
+
+@query
+def thread_findings(spark, sf_dir):
+    f = _findings(spark, sf_dir)
+    cols = []
+    for name in threads.LIST_NAMES:
+        cols += [F.array_join(name, "|").alias(name), F.size(name).cast("bigint").alias(f"n_{name}")]
+    return f.select("thread_id", *cols, "summary")
+
+
+@query
+def finding_rejects(spark, sf_dir):
+    return threads.finding_rejects(fx.thread_outputs(spark, sf_dir)).select("thread_id", "email_no", "out")
+
+
+@query
+def thread_report_prompt(spark, sf_dir):
+    return threads.report_prompt(_findings(spark, sf_dir)).select("thread_id", "report_prompt")
+
+
+@query
+def thread_fold(spark, sf_dir):
+    f = threads.fold_threads(fx.emails(spark, sf_dir), fn=threads.prompt_length_completion, flavour="summary")
+    return f.select("thread_id", "email_no", "summary")

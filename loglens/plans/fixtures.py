@@ -232,3 +232,50 @@ def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("doc_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_seq", "text"))), lambda x: x["text"]), "").alias("text")
     )
+
+
+# ------------------------------------------------------------ e-mails (F3, F9)
+def _order_mail_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return o.withColumn("email_no", F.row_number().over(w))
+
+
+def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one thread per customer, one mail per order in (date, key) order;
+    every third mail quotes the previous one below its own text."""
+    o = _order_mail_parts(spark, sf_dir)
+    s = lambda c: F.col(c).cast("string")
+    cc = F.when(F.col("o_orderkey") % 2 == 0, F.lit("\nCc: audit@example.com; legal@example.com")).otherwise(F.lit(""))
+    header = F.concat(
+        F.lit("From: Cust "), s("o_custkey"), F.lit(" &lt;c"), s("o_custkey"), F.lit("@example.com&gt;"),
+        F.lit("\nSent: "), F.date_format("o_orderdate", "yyyy-MM-dd"),
+        F.lit("\nTo: ops"), (F.col("o_orderkey") % 7).cast("string"), F.lit("@example.com;desk&amp;"), s("o_orderstatus"), F.lit("@example.com"),
+        cc,
+        F.lit("\nSubject: Order "), s("o_orderkey"), F.lit(" "), s("o_orderpriority"),
+    )
+    own = F.concat(header, F.lit("\n\nPlease process order "), s("o_orderkey"), F.lit(". Total "),
+                   F.floor("o_totalprice").cast("bigint").cast("string"), F.lit("."))
+    w = Window.partitionBy("o_custkey").orderBy("email_no")
+    o = o.withColumn("own", own).withColumn("prev", F.lag("own").over(w))
+    body = F.when((F.col("email_no") % 3 == 0) & F.col("prev").isNotNull(), F.concat(F.col("own"), F.lit("\n\n"), F.col("prev"))).otherwise(F.col("own"))
+    return o.select(F.col("o_custkey").alias("thread_id"), F.col("email_no").cast("int").alias("email_no"), body.alias("body"))
+
+
+def thread_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a model's JSON answer per e-mail; empty lists are left out;
+    'not json' for o_orderkey % 17 = 0, empty text for % 19 = 0."""
+    o = _order_mail_parts(spark, sf_dir)
+    s = lambda c: F.col(c).cast("string")
+    obj = F.struct(
+        F.array(F.concat(F.lit("process order "), s("o_orderkey"))).alias("new_commitments"),
+        F.array(F.floor("o_totalprice").cast("bigint").cast("string")).alias("monetary_mentions"),
+        F.array(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("deadlines"),
+        F.when(F.col("o_orderstatus") == "F", F.array(F.lit("breach"))).alias("legal_triggers"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("urgent"))).alias("escalation_flags"),
+        F.concat(F.lit("order "), s("o_orderkey"), F.lit(" "), s("o_orderstatus")).alias("summary_update"),
+    )
+    out = (F.when(F.col("o_orderkey") % 17 == 0, F.lit("not json"))
+           .when(F.col("o_orderkey") % 19 == 0, F.lit(""))
+           .otherwise(F.to_json(obj)))
+    return o.select(F.col("o_custkey").alias("thread_id"), F.col("email_no").cast("int").alias("email_no"), out.alias("out"))

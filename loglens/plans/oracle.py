@@ -406,6 +406,48 @@ finals AS (
 )"""
 
 
+MAILS = """
+mails AS (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS email_no FROM orders
+),
+mails2 AS (
+  SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY email_no) AS prev_key FROM mails
+),
+ok_out AS (SELECT * FROM mails WHERE NOT (o_orderkey % 17 = 0 OR o_orderkey % 19 = 0)),
+mail_own AS (
+  SELECT o_custkey AS thread_id, email_no,
+    'From: Cust ' || CAST(o_custkey AS VARCHAR) || ' &lt;c' || CAST(o_custkey AS VARCHAR) || '@example.com&gt;'
+    || chr(10) || 'Sent: ' || strftime(o_orderdate, '%Y-%m-%d')
+    || chr(10) || 'To: ops' || CAST(o_orderkey % 7 AS VARCHAR) || '@example.com;desk&amp;' || o_orderstatus || '@example.com'
+    || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || 'Cc: audit@example.com; legal@example.com' ELSE '' END
+    || chr(10) || 'Subject: Order ' || CAST(o_orderkey AS VARCHAR) || ' ' || o_orderpriority
+    || chr(10) || chr(10) || 'Please process order ' || CAST(o_orderkey AS VARCHAR) || '. Total '
+    || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '.' AS own
+  FROM mails
+),
+mail_body AS (
+  SELECT thread_id, email_no,
+    CASE WHEN email_no % 3 = 0 AND prev IS NOT NULL THEN own || chr(10) || chr(10) || prev ELSE own END AS body
+  FROM (SELECT *, lag(own) OVER (PARTITION BY thread_id ORDER BY email_no) AS prev FROM mail_own)
+)"""
+
+
+def _hdr(alias: str) -> str:
+    return f"""'Cust ' || CAST({alias}.o_custkey AS VARCHAR) || ' <c' || CAST({alias}.o_custkey AS VARCHAR) || '@example.com>' AS from_addr,
+    strftime({alias}.o_orderdate, '%Y-%m-%d') AS sent,
+    'ops' || CAST({alias}.o_orderkey % 7 AS VARCHAR) || '@example.com|desk&' || {alias}.o_orderstatus || '@example.com' AS to_addrs,
+    CAST(2 AS BIGINT) AS n_to,
+    CASE WHEN {alias}.o_orderkey % 2 = 0 THEN 'audit@example.com| legal@example.com' ELSE '' END AS cc_addrs,
+    CAST(CASE WHEN {alias}.o_orderkey % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_cc,
+    'Order ' || CAST({alias}.o_orderkey AS VARCHAR) || ' ' || {alias}.o_orderpriority AS subject"""
+
+
+def _list_json_sql(value_sql: str, cond: str, name: str) -> str:
+    items = f"string_agg('    \"' || {value_sql} || '\"', ',' || {NL} ORDER BY email_no) FILTER (WHERE {cond})"
+    return (f"'  \"{name}\": ' || CASE WHEN count(*) FILTER (WHERE {cond}) = 0 THEN '[]' "
+            f"ELSE '[' || {NL} || {items} || {NL} || '  ]' END")
+
+
 def oracle_sql() -> dict[str, str]:
     wl_hit, wl_reason = watchlist_case("combined_prompt", fx.FIXTURE_WATCHLIST)
     out = {
@@ -533,5 +575,59 @@ FROM finals""",
 SELECT conv_id, count(*) AS n_messages,
        string_agg('<|' || role || '|>' || text || '<|end|>', '' ORDER BY turn) || '<|assistant|>' AS prompt
 FROM conversations GROUP BY conv_id""",
+    })
+    from loglens.operators import threads as _th
+
+    findings_cols = {
+        "commitments": ("'process order ' || CAST(o_orderkey AS VARCHAR)", "TRUE"),
+        "monetary_mentions": ("CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR)", "TRUE"),
+        "deadlines": ("strftime(o_orderdate, '%Y-%m-%d')", "TRUE"),
+        "legal_triggers": ("'breach'", "o_orderstatus = 'F'"),
+        "escalation_flags": ("'urgent'", "o_orderpriority = '1-URGENT'"),
+    }
+    agg_cols, outer_cols = [], []
+    for name, (val, cond) in findings_cols.items():
+        agg_cols.append(f"coalesce(string_agg({val}, '|' ORDER BY email_no) FILTER (WHERE {cond}), '') AS {name}")
+        agg_cols.append(f"count(*) FILTER (WHERE {cond}) AS n_{name}")
+        outer_cols.append(f"coalesce(f.{name}, '') AS {name}")
+        outer_cols.append(f"coalesce(f.n_{name}, 0) AS n_{name}")
+    json_parts = f" || ',' || {NL} || ".join(_list_json_sql(v, c, n) for n, (v, c) in findings_cols.items())
+    summary_sql = f"coalesce(string_agg({NL} || 'order ' || CAST(o_orderkey AS VARCHAR) || ' ' || o_orderstatus, '' ORDER BY email_no), '')"
+    fold_const = len(_th._frame_py(defaults.SUMMARY_SYSTEM_MESSAGE, defaults.SUMMARY_USER_MESSAGE.format(summary="", email="")))
+    body_sql = "len(body)"
+    init = q(defaults.SUMMARY_INITIAL_STATE)
+    out.update({
+        "thread_fold": _with(MAILS, f"""
+fold AS (
+  SELECT thread_id, email_no, 'summary of ' || CAST({fold_const} + length({init}) + length(body) AS VARCHAR) || ' chars' AS summary
+  FROM mail_body WHERE email_no = 1
+  UNION ALL
+  SELECT b.thread_id, b.email_no, 'summary of ' || CAST({fold_const} + length(f.summary) + length(b.body) AS VARCHAR) || ' chars'
+  FROM fold f JOIN mail_body b ON b.thread_id = f.thread_id AND b.email_no = f.email_no + 1
+)""") + """
+SELECT thread_id, CAST(email_no AS INTEGER) AS email_no, summary FROM fold""",
+        "email_headers": _with(MAILS) + f"""
+SELECT m.o_custkey AS thread_id, CAST(m.email_no AS INTEGER) AS email_no, CAST(0 AS BIGINT) AS block_no, {_hdr('m')}
+FROM mails2 m
+UNION ALL
+SELECT m.o_custkey, CAST(m.email_no AS INTEGER), CAST(1 AS BIGINT), {_hdr('p')}
+FROM mails2 m JOIN orders p ON p.o_orderkey = m.prev_key WHERE m.email_no % 3 = 0""",
+        "thread_findings": _with(MAILS) + f"""
+SELECT t.thread_id, {", ".join(outer_cols)},
+       coalesce(f.summary, '') AS summary
+FROM (SELECT DISTINCT o_custkey AS thread_id FROM orders) t
+LEFT JOIN (SELECT o_custkey AS thread_id, {", ".join(agg_cols)}, {summary_sql} AS summary FROM ok_out GROUP BY o_custkey) f
+  ON f.thread_id = t.thread_id""",
+        "finding_rejects": _with(MAILS) + """
+SELECT o_custkey AS thread_id, CAST(email_no AS INTEGER) AS email_no,
+       CASE WHEN o_orderkey % 17 = 0 THEN 'not json' ELSE '' END AS out
+FROM mails WHERE o_orderkey % 17 = 0 OR o_orderkey % 19 = 0""",
+        "thread_report_prompt": _with(MAILS) + f"""
+SELECT t.thread_id, {fill_sql(defaults.CHAT_FRAME, system=q(defaults.FINDINGS_SYSTEM_MESSAGE),
+                               user=fill_sql(defaults.FINDINGS_REPORT_MESSAGE, summary='coalesce(f.summary, chr(0))', findings='coalesce(f.js, chr(0))'))} AS report_prompt
+FROM (SELECT DISTINCT o_custkey AS thread_id FROM orders) t
+LEFT JOIN (SELECT o_custkey AS thread_id, {summary_sql} AS summary,
+                  '{{' || {NL} || {json_parts} || {NL} || '}}' AS js FROM ok_out GROUP BY o_custkey) f
+  ON f.thread_id = t.thread_id""",
     })
     return out
