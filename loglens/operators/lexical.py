@@ -117,7 +117,6 @@ def lexical_similarities(
             nrows = len(pdf)
             out = pdf[cols]
             if nrows == 0:
-                yield out.assign(**{nm: pd.Series([], dtype=object) for nm in names})
                 continue
             lens = pdf["_toks"].map(len).to_numpy()
             flat = pd.DataFrame({

@@ -134,7 +134,6 @@ def _kernel_pass(df: DataFrame, rows, cats, vec_col: str, proto_vec_col: str, me
         m, pl = bc.value
         for pdf in batches:
             if len(pdf) == 0:
-                yield pdf if merge else pdf.assign(**{n: pd.Series([], dtype=object) for n in names})
                 continue
             v = _unit_rows(np.vstack([np.asarray(x, dtype=np.float64) for x in pdf[vec_col]]))
             sims = v @ m.T

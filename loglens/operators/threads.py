@@ -170,7 +170,8 @@ def fold_threads(
                 out["error"].append(err)
                 out["summary"].append(summary)
                 out["findings_json"].append(json.dumps(lists, indent=2) if flavour == "findings" else None)
-            yield pd.DataFrame(out)
+            if out[id_col]:
+                yield pd.DataFrame(out)
 
     return rows.mapInPandas(run, schema)
 

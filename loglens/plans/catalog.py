@@ -333,3 +333,48 @@ def thread_report_prompt(spark, sf_dir):
 def thread_fold(spark, sf_dir):
     f = threads.fold_threads(fx.emails(spark, sf_dir), fn=threads.prompt_length_completion, flavour="summary")
     return f.select("thread_id", "email_no", "summary")
+
+
+# ------------------------------------------------------------------ HTML
+from loglens.operators import html_text  # noqa: E402
+
+
+@query
+def html_lists(spark, sf_dir):
+    p = table(spark, sf_dir, "pages", "page_id", "html")
+    items = p.select("page_id", F.posexplode(html_text.list_items(F.col("html"))).alias("item_no", "item"))
+    return items.select("page_id", F.col("item_no").cast("bigint").alias("item_no"), email.html_unescape(F.col("item")).alias("item"))
+
+
+def _table_rows(spark, sf_dir):
+    return html_text.html_table_rows(fx.html_pages(spark, sf_dir))
+
+
+@query
+def html_tables(spark, sf_dir):
+    r = _table_rows(spark, sf_dir)
+    cells = r.select("page_id", "table_no", "row_no", F.posexplode(F.arrays_zip("headers", "values")).alias("col_no", "c"))
+    return cells.select(
+        "page_id", F.col("table_no").cast("bigint").alias("table_no"), F.col("row_no").cast("bigint").alias("row_no"),
+        F.col("col_no").cast("bigint").alias("col_no"), F.col("c.headers").alias("header"), F.col("c.values").alias("value"),
+    )
+
+
+@query
+def stopword_filter(spark, sf_dir):
+    r = _table_rows(spark, sf_dir)
+    return r.select(
+        "page_id", F.col("table_no").cast("bigint").alias("table_no"), F.col("row_no").cast("bigint").alias("row_no"),
+        html_text.row_text(F.col("headers"), F.col("values")).alias("row_text"),
+    )
+
+
+@query
+def html_text_pages(spark, sf_dir):
+    return html_text.html_to_text(fx.html_pages(spark, sf_dir))
+
+
+@query
+def page_body_json(spark, sf_dir):
+    j = fx.page_json(spark, sf_dir)
+    return j.select("page_id", html_text.page_body(F.col("json")).alias("html"))

@@ -279,3 +279,54 @@ def thread_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(F.col("o_orderkey") % 19 == 0, F.lit(""))
            .otherwise(F.to_json(obj)))
     return o.select(F.col("o_custkey").alias("thread_id"), F.col("email_no").cast("int").alias("email_no"), out.alias("out"))
+
+
+# ------------------------------------------------------------- HTML (F6, F7)
+TABLE_BUCKET = 50
+SUPPLIER_HEADERS = ["Name of the supplier", "Nation", "Balance"]
+CUSTOMER_HEADERS = ["Customer", "Segment of the market"]
+
+
+def _cells(*cols: Column) -> Column:
+    return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cols], F.lit("</tr>"))
+
+
+def _rows_in_order(key: str, row: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), row.alias("r")))), lambda x: x["r"]), "")
+
+
+def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with tables: suppliers by (nation, suppkey div 50) under a <th>
+    header row; customers by (nation, custkey div 50) with the header in the
+    first row's <td> and a one-cell closing row."""
+    nation = F.broadcast(table(spark, sf_dir, "nation", "n_nationkey", "n_name"))  # 25 rows
+    s = table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey", "s_acctbal").join(
+        nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    s_rows = s.withColumn("b", F.floor(F.col("s_suppkey") / TABLE_BUCKET)).groupBy("s_nationkey", "b", "n_name").agg(
+        _rows_in_order("s_suppkey", _cells(F.col("s_name"), F.col("n_name"), F.floor("s_acctbal").cast("bigint").cast("string"))).alias("rows"))
+    th = "".join(f"<th>{h}</th>" for h in SUPPLIER_HEADERS)
+    sup = s_rows.select(
+        (F.lit(1_000_000_000) + F.col("s_nationkey") * 1_000_000 + F.col("b")).cast("bigint").alias("page_id"),
+        F.concat(F.lit("<html><body><h2>Suppliers of "), F.col("n_name"), F.lit(f"</h2><table><tr>{th}</tr>"), F.col("rows"),
+                 F.lit("</table></body></html>")).alias("html"))
+    c = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    c_rows = c.withColumn("b", F.floor(F.col("c_custkey") / TABLE_BUCKET)).groupBy("c_nationkey", "b").agg(
+        _rows_in_order("c_custkey", _cells(F.col("c_name"), F.col("c_mktsegment"))).alias("rows"))
+    head = "".join(f"<td>{h}</td>" for h in CUSTOMER_HEADERS)
+    cus = c_rows.select(
+        (F.lit(2_000_000_000) + F.col("c_nationkey") * 1_000_000 + F.col("b")).cast("bigint").alias("page_id"),
+        F.concat(F.lit(f"<html><body><table><tr>{head}</tr>"), F.col("rows"),
+                 F.lit("<tr><td>Total</td></tr></table></body></html>")).alias("html"))
+    return sup.unionByName(cus)
+
+
+def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the ``pages`` table plus the table pages."""
+    return table(spark, sf_dir, "pages", "page_id", "html").unionByName(table_pages(spark, sf_dir))
+
+
+def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """each page wrapped as an API document {body: {storage: {value: html}}}."""
+    p = table(spark, sf_dir, "pages", "page_id", "html")
+    doc = F.struct(F.struct(F.struct(F.col("html").alias("value")).alias("storage")).alias("body"))
+    return p.select("page_id", F.to_json(doc).alias("json"))

@@ -448,6 +448,34 @@ def _list_json_sql(value_sql: str, cond: str, name: str) -> str:
             f"ELSE '[' || {NL} || {items} || {NL} || '  ]' END")
 
 
+def _sentence_sql(h: str, v: str, stop_list: str) -> str:
+    toks = f"regexp_extract_all({h} || ': ' || {v}, '\\w+|[^\\w\\s]')"
+    return f"array_to_string(list_filter({toks}, lambda t: NOT list_contains({stop_list}, lower(t))), ' ')"
+
+
+TABLE_CELLS = f"""
+sup AS (
+  SELECT CAST(1000000000 + s_nationkey * 1000000 + floor(s_suppkey / {fx.TABLE_BUCKET}) AS BIGINT) AS page_id,
+         row_number() OVER (PARTITION BY s_nationkey, floor(s_suppkey / {fx.TABLE_BUCKET}) ORDER BY s_suppkey) - 1 AS row_no,
+         s_name, n_name, CAST(CAST(floor(s_acctbal) AS BIGINT) AS VARCHAR) AS bal
+  FROM supplier JOIN nation ON n_nationkey = s_nationkey
+),
+cus AS (
+  SELECT CAST(2000000000 + c_nationkey * 1000000 + floor(c_custkey / {fx.TABLE_BUCKET}) AS BIGINT) AS page_id,
+         row_number() OVER (PARTITION BY c_nationkey, floor(c_custkey / {fx.TABLE_BUCKET}) ORDER BY c_custkey) - 1 AS row_no,
+         c_name, c_mktsegment
+  FROM customer
+),
+cells AS (
+  SELECT page_id, row_no, 0 AS col_no, {q(fx.SUPPLIER_HEADERS[0])} AS header, s_name AS value FROM sup
+  UNION ALL SELECT page_id, row_no, 1, {q(fx.SUPPLIER_HEADERS[1])}, n_name FROM sup
+  UNION ALL SELECT page_id, row_no, 2, {q(fx.SUPPLIER_HEADERS[2])}, bal FROM sup
+  UNION ALL SELECT page_id, row_no, 0, {q(fx.CUSTOMER_HEADERS[0])}, c_name FROM cus
+  UNION ALL SELECT page_id, row_no, 1, {q(fx.CUSTOMER_HEADERS[1])}, c_mktsegment FROM cus
+  UNION ALL SELECT page_id, count(*), 0, {q(fx.CUSTOMER_HEADERS[0])}, 'Total' FROM cus GROUP BY page_id
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     wl_hit, wl_reason = watchlist_case("combined_prompt", fx.FIXTURE_WATCHLIST)
     out = {
@@ -630,4 +658,23 @@ LEFT JOIN (SELECT o_custkey AS thread_id, {summary_sql} AS summary,
                   '{{' || {NL} || {json_parts} || {NL} || '}}' AS js FROM ok_out GROUP BY o_custkey) f
   ON f.thread_id = t.thread_id""",
     })
+    from loglens.operators.html_text import english_stop_words
+
+    stop_list = "[" + ", ".join(q(w) for w in english_stop_words()) + "]"
+    li = "regexp_extract_all(html, '(?is)<li(?:\\s[^>]*)?>(.*?)</li>', 1)"
+    own = ("array_to_string(list_filter(list_transform(string_split_regex(x, '<[^>]*>'), "
+           "lambda f: regexp_replace(f, '^\\s+|\\s+$', '', 'g')), lambda f: f <> ''), '')")
+    out.update({
+        "html_lists": f"""
+SELECT page_id, CAST(unnest(range(0, len(items))) AS BIGINT) AS item_no, unnest(items) AS item
+FROM (SELECT page_id, list_transform({li}, lambda x: {own}) AS items FROM pages)""",
+        "html_tables": _with(TABLE_CELLS) + """
+SELECT page_id, CAST(0 AS BIGINT) AS table_no, CAST(row_no AS BIGINT) AS row_no, CAST(col_no AS BIGINT) AS col_no,
+       header, value FROM cells""",
+        "stopword_filter": _with(TABLE_CELLS) + f"""
+SELECT page_id, CAST(0 AS BIGINT) AS table_no, CAST(row_no AS BIGINT) AS row_no,
+       string_agg({_sentence_sql('header', 'value', stop_list)}, ', ' ORDER BY col_no) AS row_text
+FROM cells GROUP BY page_id, row_no""",
+        "page_body_json": "SELECT page_id, html FROM pages",
+    })
     return out
