@@ -378,3 +378,17 @@ def html_text_pages(spark, sf_dir):
 def page_body_json(spark, sf_dir):
     j = fx.page_json(spark, sf_dir)
     return j.select("page_id", html_text.page_body(F.col("json")).alias("html"))
+
+
+# ------------------------------------------------------------ import graph
+from loglens.operators import imports  # noqa: E402
+
+
+@query
+def module_nodes(spark, sf_dir):
+    return imports.module_nodes(fx.source_files(spark, sf_dir)).select("module", "path")
+
+
+@query
+def import_edges(spark, sf_dir):
+    return imports.import_edges(fx.source_files(spark, sf_dir))

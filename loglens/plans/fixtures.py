@@ -330,3 +330,42 @@ def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages", "page_id", "html")
     doc = F.struct(F.struct(F.struct(F.col("html").alias("value")).alias("storage")).alias("body"))
     return p.select("page_id", F.to_json(doc).alias("json"))
+
+
+# ---------------------------------------------------------- source tree (F4)
+BROKEN_EVERY = 13
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``src/s<k>.py`` per supplier importing ``p<partkey>`` for every part
+    it supplies (``from p.core import x`` for even keys, ``import p.core as c``
+    for odd), plus relative imports (``from . import``, ``from .s<k>``,
+    ``from .util``) and ``import sys`` inside a function; every 13th supplier's
+    file does not parse.  ``lib/p<k>.py`` for parts with p_size <= 25;
+    ``old/p<k>.py`` (importing p<k+1>) for p_size = 1, which wins the name
+    clash; ``notes/s<k>.txt`` files that are not Python."""
+    pairs = table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey").distinct()
+    per_supp = pairs.groupBy("l_suppkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("pks"))
+    sup = table(spark, sf_dir, "supplier", "s_suppkey").join(per_supp, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    k = F.col("s_suppkey").cast("string")
+    lines = F.transform(
+        F.coalesce(F.col("pks"), F.array().cast("array<bigint>")),
+        lambda pk: F.when(pk % 2 == 0, F.concat(F.lit("from p"), pk.cast("string"), F.lit(".core import x\n")))
+        .otherwise(F.concat(F.lit("import p"), pk.cast("string"), F.lit(".core as c"), pk.cast("string"), F.lit("\n"))),
+    )
+    content = F.concat(
+        F.lit('"""Supplier '), k, F.lit('."""\n'), F.array_join(lines, ""),
+        F.lit("from . import sibling\nfrom .s"), k, F.lit(" import y\nfrom .util import z\n\n"),
+        F.lit("def helper():\n    import sys\n    return sys\n"),
+        F.when(F.col("s_suppkey") % BROKEN_EVERY == 0, F.lit("def broken(:\n")).otherwise(F.lit("")),
+    )
+    src = sup.select(F.concat(F.lit("src/s"), k, F.lit(".py")).alias("path"), content.alias("content"))
+    notes = sup.select(F.concat(F.lit("notes/s"), k, F.lit(".txt")).alias("path"), F.lit("import p1\n").alias("content"))
+    part = table(spark, sf_dir, "part", "p_partkey", "p_size")
+    pk = F.col("p_partkey").cast("string")
+    lib = part.where(F.col("p_size") <= 25).select(
+        F.concat(F.lit("lib/p"), pk, F.lit(".py")).alias("path"), F.concat(F.lit("VALUE = "), pk, F.lit("\n")).alias("content"))
+    legacy = part.where(F.col("p_size") == 1).select(
+        F.concat(F.lit("old/p"), pk, F.lit(".py")).alias("path"),
+        F.concat(F.lit("import p"), (F.col("p_partkey") + 1).cast("string"), F.lit("\n")).alias("content"))
+    return src.unionByName(notes).unionByName(lib).unionByName(legacy)

@@ -677,4 +677,24 @@ SELECT page_id, CAST(0 AS BIGINT) AS table_no, CAST(row_no AS BIGINT) AS row_no,
 FROM cells GROUP BY page_id, row_no""",
         "page_body_json": "SELECT page_id, html FROM pages",
     })
+    nodes = """
+nodes AS (
+  SELECT 's' || CAST(s_suppkey AS VARCHAR) AS module, 'src/s' || CAST(s_suppkey AS VARCHAR) || '.py' AS path FROM supplier
+  UNION ALL
+  SELECT 'p' || CAST(p_partkey AS VARCHAR),
+         CASE WHEN p_size = 1 THEN 'old/p' ELSE 'lib/p' END || CAST(p_partkey AS VARCHAR) || '.py'
+  FROM part WHERE p_size <= 25
+)"""
+    out.update({
+        "module_nodes": _with(nodes) + "\nSELECT module, path FROM nodes",
+        "import_edges": _with(nodes) + f"""
+SELECT DISTINCT 's' || CAST(l_suppkey AS VARCHAR) AS src, 'p' || CAST(l_partkey AS VARCHAR) AS dst
+FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
+WHERE p_size <= 25 AND s_suppkey % {fx.BROKEN_EVERY} <> 0
+UNION
+SELECT 's' || CAST(s_suppkey AS VARCHAR), 's' || CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % {fx.BROKEN_EVERY} <> 0
+UNION
+SELECT 'p' || CAST(a.p_partkey AS VARCHAR), 'p' || CAST(b.p_partkey AS VARCHAR)
+FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size = 1 AND b.p_size <= 25""",
+    })
     return out
