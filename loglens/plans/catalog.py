@@ -392,3 +392,27 @@ def module_nodes(spark, sf_dir):
 @query
 def import_edges(spark, sf_dir):
     return imports.import_edges(fx.source_files(spark, sf_dir))
+
+
+# -------------------------------------------------------------- replay eval
+from loglens.operators import replay  # noqa: E402
+
+
+@query
+def replay_map(spark, sf_dir):
+    log = fx.replay_log(spark, sf_dir)
+    return replay.replay_frame(log, replay.detect_columns(log.columns), keep=["record_id"])
+
+
+@query
+def metric_applicability(spark, sf_dir):
+    log = fx.replay_log(spark, sf_dir)
+    return replay.record_metrics(log, replay.detect_columns(log.columns), keep=["record_id"])
+
+
+@query
+def eval_scores(spark, sf_dir):
+    log = fx.replay_log(spark, sf_dir)
+    mapping = replay.detect_columns(log.columns)
+    scored = replay.overlap_scores(replay.replay_frame(log, mapping, keep=["record_id"]), replay.pick_metrics(mapping))
+    return scored.select("record_id", *[m for m, _ in replay.defaults.METRIC_ROLES])

@@ -369,3 +369,24 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("old/p"), pk, F.lit(".py")).alias("path"),
         F.concat(F.lit("import p"), (F.col("p_partkey") + 1).cast("string"), F.lit("\n")).alias("content"))
     return src.unionByName(notes).unionByName(lib).unionByName(legacy)
+
+
+# ------------------------------------------------------------- replay (F8)
+def replay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: one record per user turn: the user text (``Prompt``), the next
+    assistant text (``response``, NULL when there is none), the previous turn
+    (``contexts``) and a benchmark passage as ``expected``."""
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = c.withColumn("next_role", F.lead("role").over(w)).withColumn("next_text", F.lead("text").over(w)) \
+         .withColumn("prev_text", F.lag("text").over(w))
+    bench = table(spark, sf_dir, "benchmark", "item_id", "text").withColumnRenamed("text", "expected")
+    u = c.where(F.col("role") == "user")
+    u = u.join(bench, (u["conv_id"] % 40) == bench["item_id"], "left")
+    return u.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("record_id"),
+        F.col("text").alias("Prompt"),
+        F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("response"),
+        "expected",
+        F.col("prev_text").alias("contexts"),
+    )

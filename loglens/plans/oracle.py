@@ -696,5 +696,36 @@ SELECT 's' || CAST(s_suppkey AS VARCHAR), 's' || CAST(s_suppkey AS VARCHAR) FROM
 UNION
 SELECT 'p' || CAST(a.p_partkey AS VARCHAR), 'p' || CAST(b.p_partkey AS VARCHAR)
 FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size = 1 AND b.p_size <= 25""",
+    })
+    replay_cte = """
+rc AS (
+  SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text, lag(text) OVER w AS prev_text
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+),
+rlog AS (
+  SELECT conv_id * 100 + turn AS record_id, rc.text AS input,
+         CASE WHEN next_role = 'assistant' THEN next_text END AS response,
+         b.text AS expected, prev_text AS contexts
+  FROM rc LEFT JOIN benchmark b ON b.item_id = rc.conv_id % 40 WHERE role = 'user'
+)"""
+    tok = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'))"
+    def ratio(a, b):
+        return f"CASE WHEN len({b}) > 0 THEN {R4(f'CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len({b})')} END"
+    o, i, g, c = (tok.format(x) for x in ("coalesce(response, '')", "input", "expected", "contexts"))
+    all_o = "len(regexp_extract_all(lower(coalesce(response, '')), '[\\p{L}\\p{N}]+'))"
+    out.update({
+        "replay_map": _with(replay_cte) + """
+SELECT record_id, input, coalesce(response, '') AS output, input AS query_text, expected AS ground_truth, contexts FROM rlog""",
+        "metric_applicability": _with(replay_cte) + """
+SELECT record_id, 'correctness' AS metric FROM rlog WHERE input IS NOT NULL AND response IS NOT NULL AND expected IS NOT NULL
+UNION ALL SELECT record_id, 'answer_relevance' FROM rlog WHERE input IS NOT NULL AND response IS NOT NULL
+UNION ALL SELECT record_id, 'context_relevance' FROM rlog WHERE input IS NOT NULL AND contexts IS NOT NULL
+UNION ALL SELECT record_id, 'groundedness' FROM rlog WHERE contexts IS NOT NULL AND response IS NOT NULL
+UNION ALL SELECT record_id, 'coherence' FROM rlog WHERE response IS NOT NULL""",
+        "eval_scores": _with(replay_cte) + f"""
+SELECT record_id, {ratio(o, g)} AS correctness, {ratio(o, i)} AS answer_relevance, {ratio(c, i)} AS context_relevance,
+       {ratio(c, o)} AS groundedness,
+       CASE WHEN {all_o} > 0 THEN {R4(f'CAST(len({o}) AS DOUBLE) / {all_o}')} END AS coherence
+FROM rlog""",
     })
     return out
