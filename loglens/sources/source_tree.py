@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 def read_source_tree(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
     """(path, content): one row per file under ``root`` matching ``glob``
     (recursive; each file is read whole by one task)."""
-    df = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-        .text(root)
-    )
+    # keyword form: ``text()`` would reset a ``wholetext`` set through ``option``
+    df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
