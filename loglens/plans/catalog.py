@@ -59,6 +59,15 @@ def session_rollup(spark, sf_dir):
     )
 
 
+@query
+def session_split(spark, sf_dir):
+    """All session columns through the skew-aware builder; with a 3-turn
+    threshold nearly every session takes the split (hot) path."""
+    from loglens.operators.hot_sessions import build_sessions_skew_aware
+
+    return build_sessions_skew_aware(_normalised(spark, sf_dir), hot_session_rows=3)
+
+
 @query
 def domain_prior(spark, sf_dir):
     return _sessions(spark, sf_dir).select("session_id", "division", "domain_prior")

@@ -488,6 +488,10 @@ SELECT session_id, rn, merged_prompt FROM walk""",
 SELECT session_id, combined_prompt FROM prompts""",
         "session_rollup": _with(*LOGS_CHAIN, SESSIONS) + """
 SELECT session_id, username, co, user_type, division, turn_count, first_timestamp, last_timestamp FROM sessions""",
+        "session_split": _with(*LOGS_CHAIN, SESSIONS) + f"""
+SELECT s.session_id, s.username, s.co, s.user_type, s.division, p.combined_prompt, s.turn_count,
+       {first_match_case('s.division', defaults.DEPARTMENT_DOMAIN_MAP)} AS domain_prior, s.first_timestamp, s.last_timestamp
+FROM sessions s JOIN prompts p USING (session_id)""",
         "domain_prior": _with(*LOGS_CHAIN, SESSIONS) + f"""
 SELECT session_id, division, {first_match_case('division', defaults.DEPARTMENT_DOMAIN_MAP)} AS domain_prior FROM sessions""",
         "watchlist_hit": _with(*LOGS_CHAIN, SESSIONS) + f"""

@@ -116,3 +116,25 @@ def test_single_exchange_plan(spark):
     out = sessions.build_sessions(sessions.normalise_logs(_logs(spark, rows)))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("threshold,parts", [(40, 7), (1, 3), (10_000, 4)])
+def test_skew_aware_equals_plain(spark, threshold, parts):
+    from loglens.operators.hot_sessions import build_sessions_skew_aware
+
+    rnd = random.Random(threshold)
+    rows = []
+    for sid in range(30):
+        n = rnd.choice([1, 3, 20, 150, 400])
+        pat = "".join(rnd.choice("SSLE") for _ in range(n))
+        rs = _seq_rows(sid, pat)
+        for j, r in enumerate(rs):
+            if rnd.random() < 0.2:
+                rs[j] = r[:2] + ("2024-01-01 00:00:00",) + r[3:]
+            if rnd.random() < 0.05:
+                rs[j] = rs[j][:2] + (None,) + rs[j][3:]
+        rows.extend(rs)
+    turns = sessions.normalise_logs(_logs(spark, rows))
+    plain = {r.session_id: r.asDict() for r in sessions.build_sessions(turns).collect()}
+    skew = {r.session_id: r.asDict() for r in build_sessions_skew_aware(turns, hot_session_rows=threshold, partitions=parts).collect()}
+    assert skew == plain
