@@ -43,9 +43,11 @@ def top_level_imports(source: str) -> tuple[list[str], str | None]:
     return names, None
 
 
-def extract_imports(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+def extract_imports(files: DataFrame, path_col: str = "path", content_col: str = "content",
+                    keep_empty: bool = False) -> DataFrame:
     """(path, import, parse_error): one row per import statement name; a file
-    that fails to parse gives one row with ``import`` NULL and the error."""
+    that fails to parse gives one row with ``import`` NULL and the error;
+    with ``keep_empty`` a file without imports gives one row with NULLs."""
     schema = T.StructType([
         T.StructField(path_col, T.StringType()), T.StructField("import", T.StringType()),
         T.StructField("parse_error", T.StringType()),
@@ -56,7 +58,7 @@ def extract_imports(files: DataFrame, path_col: str = "path", content_col: str =
             out = {path_col: [], "import": [], "parse_error": []}
             for path, src in zip(pdf[path_col], pdf[content_col]):
                 names, err = top_level_imports(src or "")
-                if err is not None:
+                if err is not None or (keep_empty and not names):
                     out[path_col].append(path)
                     out["import"].append(None)
                     out["parse_error"].append(err)
@@ -83,9 +85,18 @@ def module_collisions(files: DataFrame, path_col: str = "path") -> DataFrame:
 
 
 def import_edges(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """Distinct (src, dst) module pairs; dst must be a module of the tree."""
-    nodes = module_nodes(files, path_col)
-    winners = python_files(files, path_col).join(nodes.select(path_col), path_col, "left_semi")
-    imps = extract_imports(winners, path_col, content_col).where(F.col("import").isNotNull())
-    named = imps.join(nodes, path_col).select(F.col("module").alias("src"), F.col("import").alias("dst")).distinct()
+    """Distinct (src, dst) module pairs; dst must be a module of the tree.
+
+    The files are read and parsed once into small (path, module, import)
+    rows, which are kept (they are read three times: nodes, winning files,
+    targets) instead of re-reading the sources.
+    """
+    from pyspark import StorageLevel
+
+    py = python_files(files, path_col)
+    rows = extract_imports(py, path_col, content_col, keep_empty=True).withColumn(
+        "module", F.regexp_extract(F.col(path_col), MODULE_PATTERN, 1)).persist(StorageLevel.MEMORY_AND_DISK)
+    nodes = rows.groupBy("module").agg(F.max(path_col).alias(path_col))
+    imps = rows.where(F.col("import").isNotNull()).join(nodes.select(path_col), path_col, "left_semi")
+    named = imps.select(F.col("module").alias("src"), F.col("import").alias("dst")).distinct()
     return named.join(nodes.select(F.col("module").alias("dst")), "dst", "left_semi").select("src", "dst")

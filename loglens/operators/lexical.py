@@ -44,24 +44,26 @@ def lexical_cosine(
 ) -> DataFrame:
     """(left_id, right_id, cos) for every pair sharing at least one token.
 
-    Pairs without a shared token have cosine 0 and are not emitted.
+    Pairs without a shared token have cosine 0 and are not emitted.  The
+    left texts are hash-partitioned by id once (the text is the most compact
+    form to move); ``explode`` keeps that partitioning, so term counts, norms,
+    pair sums and the norm join all run without another exchange, and the
+    result stays partitioned by ``left_id``.
     """
-    ltf = term_frequencies(left, left_id, left_text)
+    from pyspark.sql import Window
+
+    ltf = term_frequencies(left.select(left_id, left_text).repartition(left_id), left_id, left_text)
+    # norm per text as a window on the id-partitioned counts: no second pass
+    ltf = ltf.withColumn("lnn", F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(left_id)))
     rtf = term_frequencies(right, right_id, right_text).withColumnRenamed("tf", "rtf")
-    rn = norms(rtf.withColumnRenamed("rtf", "tf"), right_id).withColumnRenamed("nn", "rnn")
-    n_right = rtf.count()
-    small = n_right <= max_broadcast_rows
+    rtf = rtf.withColumn("rnn", F.sum(F.col("rtf") * F.col("rtf")).over(Window.partitionBy(right_id)))
+    small = rtf.count() <= max_broadcast_rows
     rside = F.broadcast(rtf) if small else rtf
-    rnorm = F.broadcast(rn) if small else rn
-    dots = ltf.join(rside, "token").groupBy(left_id, right_id).agg(F.sum(F.col("tf") * F.col("rtf")).alias("dot"))
-    ln = norms(ltf, left_id).withColumnRenamed("nn", "lnn")
-    return (
-        dots.join(ln, left_id)
-        .join(rnorm, right_id)
-        .select(
-            left_id, right_id,
-            (F.col("dot") / (F.sqrt(F.col("lnn").cast("double")) * F.sqrt(F.col("rnn").cast("double")))).alias("cos"),
-        )
+    dots = ltf.join(rside, "token").groupBy(left_id, right_id).agg(
+        F.sum(F.col("tf") * F.col("rtf")).alias("dot"), F.max("lnn").alias("lnn"), F.max("rnn").alias("rnn"))
+    return dots.select(
+        left_id, right_id,
+        (F.col("dot") / (F.sqrt(F.col("lnn").cast("double")) * F.sqrt(F.col("rnn").cast("double")))).alias("cos"),
     )
 
 
