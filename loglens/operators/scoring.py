@@ -168,6 +168,9 @@ def dense_similarities(
     rows, cats = _collect_prototypes(protos, proto_vec_col, max_protos)
     if len(rows) <= max_broadcast_protos:
         return _kernel_pass(df, rows, cats, vec_col, proto_vec_col, merge=False), cats
+    from loglens.config import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     out = None
     for lo in range(0, len(rows), max_broadcast_protos):
         block = rows[lo: lo + max_broadcast_protos]

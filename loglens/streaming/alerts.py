@@ -45,6 +45,7 @@ def start_alert_stream(
 ) -> StreamingQuery:
     """Parquet turn files -> alert rows appended to ``out_dir`` (parquet)."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
+    # stable per stream name, so a restarted stream resumes where it stopped
     ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     w = turn_alerts(src, words).writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

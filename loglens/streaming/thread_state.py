@@ -96,6 +96,7 @@ def start_thread_stream(spark: SparkSession, source_dir: str, out_dir: str, ttl_
                         max_files_per_trigger: int = 50, name: str = "thread_findings") -> StreamingQuery:
     schema = "thread_id long, email_no int, out string"
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
+    # stable per stream name, so a restarted stream resumes where it stopped
     ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     return (thread_findings_stream(src, ttl_ms).writeStream.format("parquet").option("path", out_dir)
             .option("checkpointLocation", ckpt).trigger(availableNow=True).queryName(name).start())

@@ -1,4 +1,5 @@
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ def test_alert_stream_equals_batch(spark, tmp_path):
     # several files so the stream runs several micro-batches
     logs.repartition(4, "session_id").write.parquet(src)
     q = alerts.start_alert_stream(spark, src, str(tmp_path / "out"), words=fx.FIXTURE_WATCHLIST,
-                                  max_files_per_trigger=1, name="t_alerts")
+                                  max_files_per_trigger=1, name=f"t_alerts_{uuid.uuid4().hex}")
     q.awaitTermination(120)
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*alerts.ALERT_COLUMNS).collect())
     want = sorted(tuple(r) for r in alerts.turn_alerts(logs, fx.FIXTURE_WATCHLIST).collect())
@@ -32,7 +33,7 @@ def test_thread_stream_equals_batch(spark, tmp_path):
     for lo in range(1, 40, 4):
         part = outs.where((F.col("email_no") >= lo) & (F.col("email_no") < lo + 4))
         part.coalesce(1).write.mode("append").parquet(f"{src}/band={lo:03d}")
-    q = thread_state.start_thread_stream(spark, src, str(tmp_path / "out"), max_files_per_trigger=1, name="t_threads")
+    q = thread_state.start_thread_stream(spark, src, str(tmp_path / "out"), max_files_per_trigger=1, name=f"t_threads_{uuid.uuid4().hex}")
     q.awaitTermination(300)
     res = spark.read.parquet(str(tmp_path / "out"))
     last = res.where("kind = 'state'").groupBy("thread_id").agg(F.max_by(F.struct(*thread_state.OUTPUT_COLUMNS), "email_no").alias("s"))
