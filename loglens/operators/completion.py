@@ -160,3 +160,15 @@ def render_chat(messages: Column) -> Column:
     frame used by the thread prompts)."""
     body = F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>"), m["content"], F.lit("<|end|>"))), "")
     return F.concat(body, F.lit("<|assistant|>"))
+
+
+def chat_complete(transcripts: DataFrame, fn=None, completion_factory=None, messages_col: str = "messages") -> DataFrame:
+    """Rendered chat prompt and one completion per transcript."""
+    p = transcripts.withColumn("prompt", render_chat(F.col(messages_col)))
+    return complete(p, "prompt", "completion", fn, completion_factory, catch_errors=False)
+
+
+def write_summaries(summaries: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One JSON object per document (doc_id, metadata, chunk_count,
+    section_summaries, final_summary) per line."""
+    summaries.write.mode(mode).json(path)

@@ -25,3 +25,20 @@ def encode_column(df: DataFrame, text_col: str, out_col: str, encoder_factory: C
             yield pd.Series(list(v))
 
     return df.withColumn(out_col, enc(F.col(text_col)))
+
+
+def hashing_encoder(dim: int = 256):
+    """Factory of a deterministic dense stand-in encoder: lower-cased word
+    counts hashed (crc32) into ``dim`` buckets.  For wiring and tests; a real
+    model is passed the same way."""
+    import re
+    import zlib
+
+    def enc(texts):
+        out = np.zeros((len(texts), dim), dtype=np.float32)
+        for i, t in enumerate(texts):
+            for w in re.findall(r"\w+", (t or "").lower()):
+                out[i, zlib.crc32(w.encode("utf-8")) % dim] += 1.0
+        return out
+
+    return lambda: enc

@@ -100,3 +100,9 @@ def import_edges(files: DataFrame, path_col: str = "path", content_col: str = "c
     imps = rows.where(F.col("import").isNotNull()).join(nodes.select(path_col), path_col, "left_semi")
     named = imps.select(F.col("module").alias("src"), F.col("import").alias("dst")).distinct()
     return named.join(nodes.select(F.col("module").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+def write_graph(files: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
+    """Nodes and edges as Parquet tables under ``out_dir``."""
+    module_nodes(files).write.mode(mode).parquet(f"{out_dir.rstrip('/')}/nodes")
+    import_edges(files).write.mode(mode).parquet(f"{out_dir.rstrip('/')}/edges")

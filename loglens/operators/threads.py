@@ -84,6 +84,13 @@ def report_prompt(findings: DataFrame) -> DataFrame:
     return findings.withColumn("report_prompt", frame(defaults.FINDINGS_SYSTEM_MESSAGE, user))
 
 
+def thread_reports(findings: DataFrame, fn=None, completion_factory=None) -> DataFrame:
+    """Final conclusion per thread: the report prompt and its completion."""
+    from loglens.operators.completion import complete
+
+    return complete(report_prompt(findings), "report_prompt", "conclusion", fn, completion_factory, catch_errors=False)
+
+
 # ----------------------------------------------------------------- live fold
 def _frame_py(system: str, user: str) -> str:
     return defaults.CHAT_FRAME.format(system=system, user=user)
