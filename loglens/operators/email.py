@@ -12,7 +12,6 @@ meaning they have in Python.
 from __future__ import annotations
 
 import html
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame

@@ -16,7 +16,6 @@ broadcast never exceeds the bound.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np

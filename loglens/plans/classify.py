@@ -12,7 +12,6 @@ from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from loglens import defaults
 from loglens.operators import lexical, routing, scoring, sessions
