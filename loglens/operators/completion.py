@@ -131,13 +131,24 @@ def reduce_summaries(mapped: DataFrame, is_financial: bool = True) -> DataFrame:
     )
 
 
-def summarise(chunks: DataFrame, fn=None, completion_factory=None, is_financial: bool = True) -> DataFrame:
+def summarise(chunks: DataFrame, fn=None, completion_factory=None, is_financial: bool = True,
+              checkpoint_map: bool = True) -> DataFrame:
     """(doc_id, metadata struct, chunk_count, section_summaries, final_summary).
 
     Errors of the final (reduce) call are not caught, as in a single
-    document run: they fail the job.
+    document run: they fail the job.  With a user completion function the
+    chunk summaries are checkpointed to the shared checkpoint folder before
+    the reduce (``checkpoint_map``): model calls are expensive and need not
+    be repeatable, so a lost executor must not make the reduce see
+    re-generated summaries.
     """
-    red = reduce_summaries(map_chunks(chunks, fn, completion_factory, is_financial), is_financial)
+    mapped = map_chunks(chunks, fn, completion_factory, is_financial)
+    if checkpoint_map and (fn is not None or completion_factory is not None):
+        from loglens.config import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(mapped.sparkSession)
+        mapped = mapped.checkpoint(eager=True)
+    red = reduce_summaries(mapped, is_financial)
     done = complete(red, "final_prompt", "final_summary", fn, completion_factory, catch_errors=False)
     return done.select(
         "doc_id", F.struct(*META).alias("metadata"), "chunk_count", "section_summaries", "final_summary"

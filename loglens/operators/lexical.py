@@ -67,39 +67,14 @@ def lexical_cosine(
     )
 
 
-def lexical_similarities(
-    df: DataFrame,
-    prototypes: DataFrame,
-    id_col: str = "session_id",
-    text_col: str = "combined_prompt",
-    max_protos: int = 200_000,
-):
-    """Append ``{axis}_{kind}_sim`` arrays of lexical cosines (see ``scoring``).
-
-    Same cosine as :func:`lexical_cosine`, computed as a narrow kernel so the
-    session rows are read once and keep their partitioning: tokens are
-    extracted in the JVM; per Arrow batch, the batch's (row, token) counts are
-    merged with the broadcast prototype postings and summed per (row,
-    prototype), giving exact integer dot products; norms come from the same
-    counts.  ``prototypes``: (category_type, ord, code, kind, text), bounded
-    by the taxonomy and checked before it is collected.
-    """
+def _postings(ordered_rows):
+    """Vocabulary, (vid, col, tf) postings and prototype norms of a block."""
     import numpy as np
     import pandas as pd
-    from pyspark.sql import types as T
-
-    from loglens.operators import scoring
 
-    n = prototypes.count()
-    if n > max_protos:
-        raise ValueError(f"{n} prototypes exceed the supported {max_protos}")
-    toks = F.regexp_extract_all(F.lower(F.col("text")), F.lit(TOKEN_PATTERN), 0)
-    rows = prototypes.select("category_type", "ord", "code", "kind", toks.alias("toks")).collect()
-    _, cats = scoring.categories_of(rows)
-    ordered, plan = scoring.kernel_layout(rows, cats)
     vocab: dict[str, int] = {}
     p_vid, p_col, p_tf, p_nn = [], [], [], []
-    for col, r in enumerate(ordered):
+    for col, r in enumerate(ordered_rows):
         counts = pd.Series(r["toks"], dtype=object).value_counts()
         p_nn.append(float((counts.to_numpy() ** 2).sum()))
         for tok, c in counts.items():
@@ -108,23 +83,32 @@ def lexical_similarities(
             p_tf.append(float(c))
     postings = pd.DataFrame({"vid": np.asarray(p_vid, dtype=np.int64), "col": np.asarray(p_col, dtype=np.int64),
                              "ptf": np.asarray(p_tf, dtype=np.float64)})
-    bc = df.sparkSession.sparkContext.broadcast((vocab, postings, np.sqrt(np.asarray(p_nn)), plan, len(ordered)))
+    return vocab, postings, np.sqrt(np.asarray(p_nn, dtype=np.float64))
+
+
+def _lexical_pass(df: DataFrame, block_rows, cats, merge: bool) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from loglens.operators import scoring
+
+    ordered, plan = scoring.kernel_layout(block_rows, cats)
+    vocab, postings, pnorm = _postings(ordered)
+    bc = df.sparkSession.sparkContext.broadcast((vocab, postings, pnorm, plan, len(ordered)))
     names = [scoring.sims_field(a, k) for a, k, _ in plan]
-    schema = T.StructType(df.schema.fields + [T.StructField(nm, T.ArrayType(T.DoubleType())) for nm in names])
-    cols = df.columns
+    out_cols = [c for c in df.columns if c != "_toks"]
+    base = T.StructType([f for f in df.schema.fields if f.name != "_toks"])
+    schema = base if merge else T.StructType(base.fields + [T.StructField(nm, T.ArrayType(T.DoubleType())) for nm in names])
 
     def score(batches):
-        voc, post, pnorm, pl, width = bc.value
+        voc, post, pn, pl, width = bc.value
         for pdf in batches:
             nrows = len(pdf)
-            out = pdf[cols]
             if nrows == 0:
                 continue
             lens = pdf["_toks"].map(len).to_numpy()
-            flat = pd.DataFrame({
-                "r": np.repeat(np.arange(nrows), lens),
-                "t": [t for ts in pdf["_toks"] for t in ts],
-            })
+            flat = pd.DataFrame({"r": np.repeat(np.arange(nrows), lens), "t": [t for ts in pdf["_toks"] for t in ts]})
             cnt = flat.groupby(["r", "t"], sort=False).size()
             r_idx = cnt.index.get_level_values(0).to_numpy()
             c = cnt.to_numpy().astype(np.float64)
@@ -135,12 +119,57 @@ def lexical_similarities(
             m = trip.merge(post, on="vid")
             dots = np.zeros((nrows, width))
             np.add.at(dots, (m["r"].to_numpy(), m["col"].to_numpy()), m["c"].to_numpy() * m["ptf"].to_numpy())
-            den = np.sqrt(nn)[:, None] * pnorm[None, :]
+            den = np.sqrt(nn)[:, None] * pn[None, :]
             cos = np.divide(dots, den, out=np.zeros_like(dots), where=den > 0)
             res = {}
             for (axis, kind, spans) in pl:
-                res[scoring.sims_field(axis, kind)] = list(scoring.segment_max(cos, spans))
-            yield out.assign(**res)
+                name = scoring.sims_field(axis, kind)
+                red = scoring.segment_max(cos, spans)
+                if merge:
+                    red = np.maximum(red, np.vstack([np.asarray(x, dtype=np.float64) for x in pdf[name]]))
+                res[name] = list(red)
+            yield pdf[out_cols].assign(**res)
+
+    return df.mapInPandas(score, schema)
+
+
+def lexical_similarities(
+    df: DataFrame,
+    prototypes: DataFrame,
+    id_col: str = "session_id",
+    text_col: str = "combined_prompt",
+    max_broadcast_protos: int = 200_000,
+    max_protos: int = 10_000_000,
+):
+    """Append ``{axis}_{kind}_sim`` arrays of lexical cosines (see ``scoring``).
+
+    Same cosine as :func:`lexical_cosine`, computed as a narrow kernel so the
+    session rows are read once and keep their partitioning: tokens are
+    extracted in the JVM; per Arrow batch, the batch's (row, token) counts are
+    merged with the broadcast prototype postings and summed per (row,
+    prototype), giving exact integer dot products; norms come from the same
+    counts.  ``prototypes``: (category_type, ord, code, kind, text), bounded
+    by the taxonomy and checked before it is collected.  Above
+    ``max_broadcast_protos`` prototypes, one pass per block broadcasts only
+    that block's postings and folds its maxima into the arrays; passes are
+    checkpointed to the shared checkpoint folder.
+    """
+    from loglens.config import ensure_checkpoint_dir
+    from loglens.operators import scoring
 
+    n = prototypes.count()
+    if n > max_protos:
+        raise ValueError(f"{n} prototypes exceed the supported {max_protos}")
+    toks = F.regexp_extract_all(F.lower(F.col("text")), F.lit(TOKEN_PATTERN), 0)
+    rows = prototypes.select("category_type", "ord", "code", "kind", toks.alias("toks")).collect()
+    _, cats = scoring.categories_of(rows)
     tokenised = df.withColumn("_toks", F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0))
-    return tokenised.mapInPandas(score, schema), cats
+    if len(rows) <= max_broadcast_protos:
+        return _lexical_pass(tokenised, rows, cats, merge=False), cats
+    ensure_checkpoint_dir(df.sparkSession)
+    out = None
+    for lo in range(0, len(rows), max_broadcast_protos):
+        block = rows[lo: lo + max_broadcast_protos]
+        src = tokenised if out is None else out.withColumn("_toks", F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0))
+        out = _lexical_pass(src, block, cats, merge=out is not None).checkpoint(eager=True)
+    return out, cats

@@ -67,3 +67,24 @@ def test_argmax_tie_takes_first(spark):
 def test_round4_half_up(spark):
     df = spark.createDataFrame([(0.12345,), (0.74995,), (-0.00005,)], "x double")
     assert [r[0] for r in df.select(scoring.round4(F.col("x"))).collect()] == [0.1235, 0.75, 0.0]
+
+
+def test_lexical_blocks_equal_single_pass(spark):
+    from loglens.operators import lexical
+
+    protos = []
+    words = ["alpha beta", "beta gamma", "gamma delta", "delta alpha", "epsilon", "beta beta alpha"]
+    for axis in scoring.AXES:
+        for ord_ in range(3):
+            code = ("D" if axis == "domain" else "I") + f"{ord_ + 1:02d}"
+            for j, kind in enumerate(("definition", "keyword", "keyword", "phrase")):
+                protos.append((axis, ord_, code, kind, words[(ord_ + j) % len(words)]))
+    p = spark.createDataFrame(protos, "category_type string, ord int, code string, kind string, text string")
+    s = spark.createDataFrame([(i, t) for i, t in enumerate(["alpha beta gamma", "delta", "", "zeta Beta"])],
+                              "session_id long, combined_prompt string")
+    one, _ = lexical.lexical_similarities(s, p)
+    blk, _ = lexical.lexical_similarities(s, p, max_broadcast_protos=5)
+    cols = [scoring.sims_field(a, k) for a in scoring.AXES for k in scoring.KINDS]
+    a = {r.session_id: [list(r[c]) for c in cols] for r in one.collect()}
+    b = {r.session_id: [list(r[c]) for c in cols] for r in blk.collect()}
+    assert a == b and a[2][0] == [0.0, 0.0, 0.0]
