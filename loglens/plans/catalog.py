@@ -425,3 +425,57 @@ def eval_scores(spark, sf_dir):
     mapping = replay.detect_columns(log.columns)
     scored = replay.overlap_scores(replay.replay_frame(log, mapping, keep=["record_id"]), replay.pick_metrics(mapping))
     return scored.select("record_id", *[m for m, _ in replay.defaults.METRIC_ROLES])
+
+
+# ----------------------------------------------------------------- streaming
+from loglens.streaming import alerts as stream_alerts  # noqa: E402
+from loglens.streaming import thread_state  # noqa: E402
+
+
+def _stream_dirs(spark, name):
+    import uuid
+
+    from loglens.config import ensure_checkpoint_dir
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/queries/{name}/{uuid.uuid4().hex}"
+    return f"{base}/in", f"{base}/out", f"{name}_{uuid.uuid4().hex[:12]}"
+
+
+@query
+def stream_turn_alerts(spark, sf_dir):
+    """The alert stream over the F1 turns, arriving as several files (one
+    micro-batch each); the result read back from the parquet sink."""
+    src, out, name = _stream_dirs(spark, "stream_turn_alerts")
+    fx.logs(spark, sf_dir).repartition(4, "session_id").write.parquet(src)
+    q = stream_alerts.start_alert_stream(spark, src, out, words=fx.FIXTURE_WATCHLIST, max_files_per_trigger=1, name=name)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return spark.read.parquet(out).select(*stream_alerts.ALERT_COLUMNS)
+
+
+@query
+def stream_thread_findings(spark, sf_dir):
+    """Thread findings kept as streaming state, fed in e-mail-number bands;
+    the last state row per thread, flattened like ``thread_findings``."""
+    src, out, name = _stream_dirs(spark, "stream_thread_findings")
+    outs = fx.thread_outputs(spark, sf_dir)
+    # Arrival in e-mail order: at most 8 bands of e-mail numbers, each band
+    # appended by its own job (the file source takes files by modification
+    # time); inside a band one thread's mails are in one file.
+    top = outs.agg(F.max("email_no")).first()[0] or 1
+    width = -(-top // 8)
+    files_per_band = 4
+    for b in range(0, top, width):
+        band = outs.where((F.col("email_no") > b) & (F.col("email_no") <= b + width))
+        band.repartition(files_per_band, "thread_id").write.mode("append").parquet(src)
+    q = thread_state.start_thread_stream(spark, src, out, max_files_per_trigger=files_per_band, name=name)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    res = spark.read.parquet(out).where(F.col("kind") == "state")
+    last = res.groupBy("thread_id").agg(F.max_by(F.struct(*thread_state.OUTPUT_COLUMNS), "email_no").alias("s")).select("s.*")
+    cols = []
+    for n in threads.LIST_NAMES:
+        cols += [F.array_join(n, "|").alias(n), F.size(n).cast("bigint").alias(f"n_{n}")]
+    return last.select("thread_id", *cols, "summary")

@@ -732,4 +732,9 @@ SELECT record_id, {ratio(o, g)} AS correctness, {ratio(o, i)} AS answer_relevanc
        CASE WHEN {all_o} > 0 THEN {R4(f'CAST(len({o}) AS DOUBLE) / {all_o}')} END AS coherence
 FROM rlog""",
     })
+    al_hit, al_reason = watchlist_case("prompt", fx.FIXTURE_WATCHLIST)
+    out["stream_turn_alerts"] = _with(F1_LOGS, NORM) + f"""
+SELECT session_id, seq, username, query_timestamp, prompt, {al_reason} AS watchlist_reason
+FROM norm2 WHERE {al_hit}"""
+    out["stream_thread_findings"] = out["thread_findings"]
     return out

@@ -43,3 +43,18 @@ def test_thread_stream_equals_batch(spark, tmp_path):
     assert got == want
     rejected = {(r.thread_id, r.email_no) for r in res.where("kind = 'rejected'").collect()}
     assert rejected == {(r.thread_id, r.email_no) for r in threads.finding_rejects(outs).collect()}
+
+
+def test_thread_stream_reports_late_mail(spark, tmp_path):
+    src = str(tmp_path / "src")
+    first = [(1, 1, '{"deadlines": ["a"]}'), (1, 3, '{"deadlines": ["c"]}')]
+    later = [(1, 2, '{"deadlines": ["b"]}'), (1, 4, '{"deadlines": ["d"]}')]
+    schema = "thread_id long, email_no int, out string"
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(src)
+    q = thread_state.start_thread_stream(spark, src, str(tmp_path / "out"), max_files_per_trigger=1, name=f"t_late_{uuid.uuid4().hex}")
+    q.awaitTermination(120)
+    res = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r.kind, r.email_no) for r in res.where("kind = 'late'").collect()} == {("late", 2)}
+    final = res.where("kind = 'state'").orderBy(F.desc("email_no")).first()
+    assert list(final.deadlines) == ["a", "c", "d"]
