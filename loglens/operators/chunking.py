@@ -70,25 +70,35 @@ def pack(text: Column, chunk_size: int = defaults.CHUNK_SIZE, keep_empty: bool =
          sep: str = defaults.PARAGRAPH_SEP) -> Column:
     """Greedy paragraph packing -> array of chunks.
 
+    A paragraph joins the current chunk while ``len(chunk) + len(paragraph) <
+    chunk_size``; every paragraph is followed by ``sep`` in its chunk.
     ``keep_empty=True`` reproduces the size-based path exactly, including the
     empty first chunk emitted when the first paragraph alone reaches
     ``chunk_size``; ``False`` never emits an empty chunk (the re-split path).
+
+    The fold carries integers only (start index of each chunk, current chunk
+    length); chunk strings are built once from paragraph slices afterwards,
+    so no text is copied per paragraph.
     """
-    init = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    paras = F.split(text, sep, -1)
+    seplen = len(sep)
+    init = F.struct(F.array(F.lit(1)).alias("starts"), F.lit(0).alias("cur"), F.lit(0).alias("i"))
 
     def step(acc, par):
-        fits = F.length(acc["cur"]) + F.length(par) < F.lit(chunk_size)
-        close = F.concat(acc["done"], F.array(acc["cur"]))
-        if not keep_empty:
-            close = F.when(acc["cur"] != "", close).otherwise(acc["done"])
-        return F.when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["cur"], par, F.lit(sep)).alias("cur"))).otherwise(
-            F.struct(close.alias("done"), F.concat(par, F.lit(sep)).alias("cur"))
-        )
-
-    def finish(acc):
-        return F.when(acc["cur"] != "", F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
-
-    return F.aggregate(F.split(text, sep, -1), init, step, finish)
+        i = acc["i"] + 1
+        fits = acc["cur"] + F.length(par) < F.lit(chunk_size)
+        opened = F.concat(acc["starts"], F.array(i))
+        if not keep_empty:  # an empty current chunk is replaced, not closed
+            opened = F.when(acc["cur"] > 0, opened).otherwise(F.array(i))  # cur == 0 only before the first paragraph
+        return F.when(fits, F.struct(acc["starts"].alias("starts"), (acc["cur"] + F.length(par) + seplen).alias("cur"), i.alias("i"))) \
+            .otherwise(F.struct(opened.alias("starts"), (F.length(par) + seplen).alias("cur"), i.alias("i")))
+
+    starts = F.aggregate(paras, init, step, lambda acc: acc["starts"])
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(paras) + 1))
+    return F.zip_with(
+        starts, ends,
+        lambda a, b: F.when(b > a, F.concat(F.array_join(F.slice(paras, a, b - a), sep), F.lit(sep))).otherwise(F.lit("")),
+    )
 
 
 def semantic_chunks(

@@ -44,7 +44,10 @@ def hot_session_ids(turns: DataFrame, hot_session_rows: int, max_keys: int = MAX
     return (F.broadcast(hot) if n <= max_keys else hot), n
 
 
-def _segment_rollup(hot_turns: DataFrame, partitions: int | None) -> DataFrame:
+MAX_BROADCAST_SEGMENTS = 5_000_000
+
+
+def _segment_rollup(hot_turns: DataFrame, partitions: int | None, n_hot: int = 1) -> DataFrame:
     """Marked turns (kept / merged_prompt / global rn) of hot sessions."""
     t = hot_turns.withColumn("_ts_null", F.col("query_timestamp").isNull())
     n = partitions or int(hot_turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -71,7 +74,8 @@ def _segment_rollup(hot_turns: DataFrame, partitions: int | None) -> DataFrame:
         .withColumn("_next_first", F.lead("_first_prompt").over(ws))
         .select("session_id", "_seg", "_cnt", "_off", "_carry_long", "_next_first")
     )
-    t = t.join(F.broadcast(seg), ["session_id", "_seg"])
+    # at most (#hot sessions x #partitions) rows: broadcast when that bound is small
+    t = t.join(F.broadcast(seg) if n_hot * n <= MAX_BROADCAST_SEGMENTS else seg, ["session_id", "_seg"])
     rn = F.col("_off") + F.col("_lrn")
     last_long = F.coalesce(F.col("_llong") + F.col("_off"), F.col("_carry_long"), F.lit(0))
     nxt = F.when(F.col("_lrn") == F.col("_cnt"), F.col("_next_first")).otherwise(F.col("_lnext"))
@@ -102,7 +106,7 @@ def build_sessions_skew_aware(
     normal_sessions = marked.groupBy("session_id").agg(*S.session_aggregates(department_map))
 
     hot_turns = flagged.where(F.col("_hot")).drop("_hot")
-    m = _segment_rollup(hot_turns, partitions)
+    m = _segment_rollup(hot_turns, partitions, n_hot)
     # prompt list: per segment (rows of a segment are co-located), then per session
     seg_text = m.groupBy("session_id", "_seg").agg(
         S.ordered_join(F.col("rn"), F.when(F.col("kept"), F.col("merged_prompt")), " | ").alias("_t"),

@@ -299,7 +299,7 @@ def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with tables: suppliers by (nation, suppkey div 50) under a <th>
     header row; customers by (nation, custkey div 50) with the header in the
     first row's <td> and a one-cell closing row."""
-    nation = F.broadcast(table(spark, sf_dir, "nation", "n_nationkey", "n_name"))  # 25 rows
+    nation = F.broadcast(table(spark, sf_dir, "nation", "n_nationkey", "n_name"))  # fixed 25-row dimension
     s = table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey", "s_acctbal").join(
         nation, F.col("s_nationkey") == F.col("n_nationkey"))
     s_rows = s.withColumn("b", F.floor(F.col("s_suppkey") / TABLE_BUCKET)).groupBy("s_nationkey", "b", "n_name").agg(
