@@ -117,14 +117,21 @@ def _lexical_pass(df: DataFrame, block_rows, cats, merge: bool) -> DataFrame:
             keep = ~np.isnan(vid)
             trip = pd.DataFrame({"r": r_idx[keep], "vid": vid[keep].astype(np.int64), "c": c[keep]})
             m = trip.merge(post, on="vid")
-            dots = np.zeros((nrows, width))
-            np.add.at(dots, (m["r"].to_numpy(), m["col"].to_numpy()), m["c"].to_numpy() * m["ptf"].to_numpy())
-            den = np.sqrt(nn)[:, None] * pn[None, :]
-            cos = np.divide(dots, den, out=np.zeros_like(dots), where=den > 0)
+            mr, mc, mv = m["r"].to_numpy(), m["col"].to_numpy(), m["c"].to_numpy() * m["ptf"].to_numpy()
+            step = max(1, scoring.MAX_BLOCK_CELLS // max(1, width))
+            parts = {scoring.sims_field(a, k): [] for a, k, _ in pl}
+            for lo in range(0, nrows, step):  # bounded (rows x prototypes) block
+                hi = min(nrows, lo + step)
+                sel = (mr >= lo) & (mr < hi)
+                dots = np.zeros((hi - lo, width))
+                np.add.at(dots, (mr[sel] - lo, mc[sel]), mv[sel])
+                den = np.sqrt(nn[lo:hi])[:, None] * pn[None, :]
+                cos = np.divide(dots, den, out=np.zeros_like(dots), where=den > 0)
+                for (axis, kind, spans) in pl:
+                    parts[scoring.sims_field(axis, kind)].append(scoring.segment_max(cos, spans))
             res = {}
-            for (axis, kind, spans) in pl:
-                name = scoring.sims_field(axis, kind)
-                red = scoring.segment_max(cos, spans)
+            for name, blocks in parts.items():
+                red = np.vstack(blocks)
                 if merge:
                     red = np.maximum(red, np.vstack([np.asarray(x, dtype=np.float64) for x in pdf[name]]))
                 res[name] = list(red)

@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from loglens import defaults
 
 KINDS = ("phrase", "keyword", "definition")
+# Cells of one (rows x prototypes) similarity block held in a Python worker.
+MAX_BLOCK_CELLS = 16_000_000
 AXES = ("domain", "intent")
 MAX_BROADCAST_PROTOS = 200_000
 
@@ -135,11 +137,15 @@ def _kernel_pass(df: DataFrame, rows, cats, vec_col: str, proto_vec_col: str, me
             if len(pdf) == 0:
                 continue
             v = _unit_rows(np.vstack([np.asarray(x, dtype=np.float64) for x in pdf[vec_col]]))
-            sims = v @ m.T
+            step = max(1, MAX_BLOCK_CELLS // max(1, m.shape[0]))
+            parts = {sims_field(a, k): [] for a, k, _ in pl}
+            for lo in range(0, len(v), step):  # bounded (rows x prototypes) block
+                sims = v[lo: lo + step] @ m.T
+                for (axis, kind, spans) in pl:
+                    parts[sims_field(axis, kind)].append(segment_max(sims, spans))
             cols = {}
-            for (axis, kind, spans) in pl:
-                name = sims_field(axis, kind)
-                red = segment_max(sims, spans)
+            for name, blocks in parts.items():
+                red = np.vstack(blocks)
                 if merge:
                     red = np.maximum(red, np.vstack([np.asarray(x, dtype=np.float64) for x in pdf[name]]))
                 cols[name] = list(red)
@@ -281,15 +287,18 @@ def cosine_topk(
             if len(pdf) == 0:
                 continue
             v = _unit_rows(np.vstack([np.asarray(x, dtype=np.float64) for x in pdf[vec_col]]))
-            sims = v @ m.T
-            # lexsort: primary -cos, secondary proto id (ids are sorted ascending already)
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :kk]
-            rows_n = len(pdf)
-            yield pd.DataFrame({
-                id_col: np.repeat(pdf[id_col].to_numpy(), kk),
-                "rank": np.tile(np.arange(1, kk + 1, dtype=np.int64), rows_n),
-                proto_id_col: pid[order].reshape(-1),
-                "cos": np.take_along_axis(sims, order, axis=1).reshape(-1),
-            })
+            ids = pdf[id_col].to_numpy()
+            step = max(1, MAX_BLOCK_CELLS // max(1, m.shape[0]))
+            for lo in range(0, len(v), step):  # bounded (rows x prototypes) block
+                sims = v[lo: lo + step] @ m.T
+                # stable sort on -cos: equal cosines keep ascending prototype id
+                order = np.argsort(-sims, axis=1, kind="stable")[:, :kk]
+                rows_n = sims.shape[0]
+                yield pd.DataFrame({
+                    id_col: np.repeat(ids[lo: lo + step], kk),
+                    "rank": np.tile(np.arange(1, kk + 1, dtype=np.int64), rows_n),
+                    proto_id_col: pid[order].reshape(-1),
+                    "cos": np.take_along_axis(sims, order, axis=1).reshape(-1),
+                })
 
     return df.select(id_col, vec_col).mapInPandas(top, schema)

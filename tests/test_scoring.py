@@ -88,3 +88,18 @@ def test_lexical_blocks_equal_single_pass(spark):
     a = {r.session_id: [list(r[c]) for c in cols] for r in one.collect()}
     b = {r.session_id: [list(r[c]) for c in cols] for r in blk.collect()}
     assert a == b and a[2][0] == [0.0, 0.0, 0.0]
+
+
+def test_row_blocks_do_not_change_results(spark, monkeypatch):
+    rnd = np.random.default_rng(9)
+    protos, sess, p, s = _data(spark, rnd, n_sessions=40)
+    full, cats = scoring.dense_similarities(s, p)
+    want = {r.session_id: list(r.domain_phrase_sim) for r in full.collect()}
+    monkeypatch.setattr(scoring, "MAX_BLOCK_CELLS", 30)  # 1 row per block
+    small, _ = scoring.dense_similarities(s, p)
+    got = {r.session_id: list(r.domain_phrase_sim) for r in small.collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in got)  # BLAS blocking: last-bit differences
+    top_small = sorted((r.session_id, r.rank, r.proto_id) for r in scoring.cosine_topk(s, p, k=3).collect())
+    monkeypatch.setattr(scoring, "MAX_BLOCK_CELLS", 16_000_000)
+    assert top_small == sorted((r.session_id, r.rank, r.proto_id) for r in scoring.cosine_topk(s, p, k=3).collect())
