@@ -12,9 +12,6 @@ RocksDB state store; ``ttl_ms`` expires threads that stop receiving mail.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -38,44 +35,55 @@ OUTPUT_SCHEMA = T.StructType(
 OUTPUT_COLUMNS = [f.name for f in OUTPUT_SCHEMA.fields]
 
 
-class ThreadFindingsProcessor(StatefulProcessor):
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("findings", STATE_SCHEMA, self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        (thread_id,) = key
-        if self.state.exists():
-            st = self.state.get()
-            last, summary = int(st[0]), st[1]
-            lists = {n: list(st[2 + i]) for i, n in enumerate(LISTS)}
-        else:
-            last, summary, lists = 0, "", {n: [] for n in LISTS}
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("email_no", kind="stable")
-        out = []
-        for r in batch.itertuples(index=False):
-            no = int(r.email_no)
-            if no <= last:
-                out.append((thread_id, "late", no, None) + (None,) * len(LISTS))
-                continue
-            last = no
-            if not r.parsed_ok:
-                out.append((thread_id, "rejected", no, None) + (None,) * len(LISTS))
-                continue
-            for key_, name in defaults.FINDING_LIST_KEYS:
-                v = getattr(r, key_)
-                if v is not None:
-                    lists[name].extend(str(x) for x in v)
-            upd = getattr(r, defaults.FINDING_SUMMARY_KEY)
-            summary += "\n" + (upd if isinstance(upd, str) else "")
-        self.state.update((last, summary, *[lists[n] for n in LISTS]))
-        out.append((thread_id, "state", last, summary, *[list(lists[n]) for n in LISTS]))
-        yield pd.DataFrame(out, columns=OUTPUT_COLUMNS)
-
-    def close(self) -> None:
-        pass
+def make_processor(ttl_ms: int | None = None) -> StatefulProcessor:
+    """The stateful step.  The class is built here, from plain values only, so
+    that it is shipped by value: the streaming runner that starts it does not
+    import this package."""
+    list_keys = list(defaults.FINDING_LIST_KEYS)
+    list_names = list(LISTS)
+    summary_key = defaults.FINDING_SUMMARY_KEY
+    out_cols = list(OUTPUT_COLUMNS)
+    state_schema = STATE_SCHEMA
+
+    class ThreadFindingsProcessor(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("findings", state_schema, ttl_ms)
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            (thread_id,) = key
+            if self.state.exists():
+                st = self.state.get()
+                last, summary = int(st[0]), st[1]
+                lists = {n: list(st[2 + i]) for i, n in enumerate(list_names)}
+            else:
+                last, summary, lists = 0, "", {n: [] for n in list_names}
+            batch = pd.concat(list(rows), ignore_index=True).sort_values("email_no", kind="stable")
+            out = []
+            for r in batch.itertuples(index=False):
+                no = int(r.email_no)
+                if no <= last:
+                    out.append((thread_id, "late", no, None) + (None,) * len(list_names))
+                    continue
+                last = no
+                if not r.parsed_ok:
+                    out.append((thread_id, "rejected", no, None) + (None,) * len(list_names))
+                    continue
+                for key_, name in list_keys:
+                    v = getattr(r, key_)
+                    if v is not None:
+                        lists[name].extend(str(x) for x in v)
+                upd = getattr(r, summary_key)
+                summary += "\n" + (upd if isinstance(upd, str) else "")
+            self.state.update((last, summary, *[lists[n] for n in list_names]))
+            out.append((thread_id, "state", last, summary, *[list(lists[n]) for n in list_names]))
+            yield pd.DataFrame(out, columns=out_cols)
+
+        def close(self) -> None:
+            pass
+
+    return ThreadFindingsProcessor()
 
 
 def thread_findings_stream(outputs: DataFrame, ttl_ms: int | None = None, id_col: str = "thread_id") -> DataFrame:
@@ -88,7 +96,7 @@ def thread_findings_stream(outputs: DataFrame, ttl_ms: int | None = None, id_col
     cols += [p["finding"][k].alias(k) for k in threads.LIST_KEYS]
     cols += [p["finding"][defaults.FINDING_SUMMARY_KEY].alias(defaults.FINDING_SUMMARY_KEY)]
     return p.select(*cols).groupBy("thread_id").transformWithStateInPandas(
-        ThreadFindingsProcessor(ttl_ms), OUTPUT_SCHEMA, "Append", "None"
+        make_processor(ttl_ms), OUTPUT_SCHEMA, "Append", "None"
     )
 
 
