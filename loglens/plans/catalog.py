@@ -458,8 +458,10 @@ def stream_turn_alerts(spark, sf_dir):
 def stream_thread_findings(spark, sf_dir):
     """Thread findings kept as streaming state, fed in e-mail-number bands;
     the last state row per thread, flattened like ``thread_findings``."""
+    from pyspark import StorageLevel
+
     src, out, name = _stream_dirs(spark, "stream_thread_findings")
-    outs = fx.thread_outputs(spark, sf_dir)
+    outs = fx.thread_outputs(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)  # read by every band write
     # Arrival in e-mail order: at most 8 bands of e-mail numbers, each band
     # appended by its own job (the file source takes files by modification
     # time); inside a band one thread's mails are in one file.
@@ -469,6 +471,7 @@ def stream_thread_findings(spark, sf_dir):
     for b in range(0, top, width):
         band = outs.where((F.col("email_no") > b) & (F.col("email_no") <= b + width))
         band.repartition(files_per_band, "thread_id").write.mode("append").parquet(src)
+    outs.unpersist()
     q = thread_state.start_thread_stream(spark, src, out, max_files_per_trigger=files_per_band, name=name)
     q.awaitTermination()
     if q.exception() is not None:

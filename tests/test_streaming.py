@@ -24,7 +24,8 @@ def test_alert_stream_equals_batch(spark, tmp_path):
     assert got == want and len(want) > 0
 
 
-def test_thread_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("api", ["applyInPandasWithState", "transformWithStateInPandas"])
+def test_thread_stream_equals_batch(spark, tmp_path, api):
     from loglens.operators import threads
 
     outs = fx.thread_outputs(spark, SF)
@@ -33,7 +34,8 @@ def test_thread_stream_equals_batch(spark, tmp_path):
     for lo in range(1, 40, 4):
         part = outs.where((F.col("email_no") >= lo) & (F.col("email_no") < lo + 4))
         part.coalesce(1).write.mode("append").parquet(f"{src}/band={lo:03d}")
-    q = thread_state.start_thread_stream(spark, src, str(tmp_path / "out"), max_files_per_trigger=1, name=f"t_threads_{uuid.uuid4().hex}")
+    q = thread_state.start_thread_stream(spark, src, str(tmp_path / "out"), max_files_per_trigger=1,
+                                         name=f"t_threads_{uuid.uuid4().hex}", api=api)
     q.awaitTermination(300)
     res = spark.read.parquet(str(tmp_path / "out"))
     last = res.where("kind = 'state'").groupBy("thread_id").agg(F.max_by(F.struct(*thread_state.OUTPUT_COLUMNS), "email_no").alias("s"))
