@@ -12,8 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.operators import routing, sessions
+from loglens import defaults
+from loglens.operators import chunking, completion, email, html_text, imports, lexical, replay, routing, scoring, sessions, threads
+from loglens.plans import classify
 from loglens.plans import fixtures as fx
+from loglens.sources import documents, taxonomy
+from loglens.sources.tables import table
+from loglens.streaming import thread_state
+from loglens.streaming import alerts as stream_alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,7 +86,6 @@ def watchlist_hit(spark, sf_dir):
 
 
 # ------------------------------------------------------------ scoring (F2)
-from loglens.operators import scoring  # noqa: E402
 
 
 def _scored(spark, sf_dir):
@@ -133,10 +138,6 @@ def label_distribution(spark, sf_dir):
 
 
 # ---------------------------------------------- taxonomy, governance, flagship
-from loglens import defaults  # noqa: E402
-from loglens.operators import lexical  # noqa: E402
-from loglens.plans import classify  # noqa: E402
-from loglens.sources import taxonomy  # noqa: E402
 
 
 def _prototypes(spark, sf_dir):
@@ -214,8 +215,6 @@ def run_summary(spark, sf_dir):
 
 
 # ------------------------------------------------------- documents (F5)
-from loglens.operators import chunking  # noqa: E402
-from loglens.sources import documents  # noqa: E402
 
 
 def _doc_texts(spark, sf_dir):
@@ -260,8 +259,6 @@ def chunk_documents(spark, sf_dir):
 
 
 # ------------------------------------------------------- summariser, chat
-from loglens.operators import completion  # noqa: E402
-from loglens.sources.tables import table  # noqa: E402
 
 
 def _doc_chunks(spark, sf_dir):
@@ -301,7 +298,6 @@ def chat_assemble(spark, sf_dir):
 
 
 # ------------------------------------------------------------ e-mail threads
-from loglens.operators import email, threads  # noqa: E402
 
 
 @query
@@ -345,7 +341,6 @@ def thread_fold(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ HTML
-from loglens.operators import html_text  # noqa: E402
 
 
 @query
@@ -390,7 +385,6 @@ def page_body_json(spark, sf_dir):
 
 
 # ------------------------------------------------------------ import graph
-from loglens.operators import imports  # noqa: E402
 
 
 @query
@@ -404,7 +398,6 @@ def import_edges(spark, sf_dir):
 
 
 # -------------------------------------------------------------- replay eval
-from loglens.operators import replay  # noqa: E402
 
 
 @query
@@ -428,8 +421,6 @@ def eval_scores(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- streaming
-from loglens.streaming import alerts as stream_alerts  # noqa: E402
-from loglens.streaming import thread_state  # noqa: E402
 
 
 def _stream_dirs(spark, name):
