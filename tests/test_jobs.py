@@ -76,3 +76,21 @@ def test_chat_and_report_completion(spark):
     f = threads.thread_findings(spark.createDataFrame([(1, 1, '{"deadlines": ["d"]}')], "thread_id long, email_no int, out string"))
     r = threads.thread_reports(f).first()
     assert r.conclusion.startswith("This is where the LLM response would be for: <|system|>")
+
+
+def test_workload_jobs(spark, tmp_path):
+    from loglens.plans import jobs
+
+    pages = fx.doc_pages(spark, SF)
+    jobs.summarise_documents(pages, str(tmp_path / "sum"), info=fx.doc_info(spark, SF))
+    assert spark.read.json(str(tmp_path / "sum")).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    jobs.pages_to_text(fx.html_pages(spark, SF), str(tmp_path / "html"))
+    assert spark.read.parquet(str(tmp_path / "html" / "tables")).where("row_text <> ''").count() > 0
+    jobs.email_headers(fx.emails(spark, SF), str(tmp_path / "hdr"))
+    assert spark.read.parquet(str(tmp_path / "hdr")).count() > 0
+    jobs.report_threads(fx.thread_outputs(spark, SF), str(tmp_path / "thr"))
+    assert spark.read.parquet(str(tmp_path / "thr" / "reports")).count() > 0
+    csv = tmp_path / "runs.csv"
+    csv.write_text("Question,Answer,kb\nwhat is spark,spark is an engine,an engine for data\n")
+    assert jobs.replay_eval(spark, str(csv), str(tmp_path / "ev")) == ["answer_relevance", "context_relevance", "groundedness", "coherence"]
+    assert spark.read.parquet(str(tmp_path / "ev")).first().answer_relevance == 0.6667  # {is, spark} of {what, is, spark}
