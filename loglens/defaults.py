@@ -92,6 +92,13 @@ SECTION_PATTERNS = [
     r"\n\s*(?:ARTICLE|Article)\s+[IVXLCDM]+[.:]\s+\w+",
 ]
 
+# E-mail header blocks (Python ``re`` syntax; the block pattern is applied
+# with DOTALL) and the per-field pattern.
+EMAIL_BLOCK_PATTERN = r"From:.*?Subject:.*?(?=\r?\n\r?\n|From:|$)"
+EMAIL_FIELD_PATTERN = r"{name}:\s*(.*)"
+EMAIL_FIELDS = ["From", "Sent", "To", "Cc", "Subject"]
+EMAIL_LIST_SEPARATOR = ";"
+
 # Summariser prompts.  {title}, {chunk}, {author}, {keywords}, {page_count},
 # {all_summaries} are filled per document / chunk.
 CHUNK_PROMPT_FINANCIAL = """Summarize the following section of a financial document. 

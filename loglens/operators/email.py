@@ -18,13 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loglens import defaults
 from loglens.functions.text import py_strip
 
-BLOCK_PATTERN = r"(?s)(?d)From:.*?Subject:.*?(?=\r?\n\r?\n|From:|$)"
+# Java flags: (?s) DOTALL for the block, (?d) so that ``.`` and ``$`` treat
+# only ``\n`` as a line end, (?U) for Python's Unicode ``\s``.
+BLOCK_PATTERN = "(?s)(?d)" + defaults.EMAIL_BLOCK_PATTERN
 # ``\s*`` after the field name crosses line ends (an empty ``Cc:`` line takes
 # the next line as its value); ``single_line=True`` stops at the line end.
-FIELD_PATTERN = r"(?U)(?d){name}:\s*(.*)"
-FIELD_PATTERN_SINGLE_LINE = r"(?U)(?d){name}:[^\S\n]*(.*)"
+FIELD_PATTERN = "(?U)(?d)" + defaults.EMAIL_FIELD_PATTERN
+FIELD_PATTERN_SINGLE_LINE = "(?U)(?d)" + defaults.EMAIL_FIELD_PATTERN.replace(r":\s*", r":[^\S\n]*")
 
 
 @F.pandas_udf(T.StringType())
@@ -55,7 +58,7 @@ def extract_headers(df: DataFrame, text_col: str = "body", single_line: bool = F
         return F.when(F.contains(blk, F.lit(name + ":")), _field(blk, name, single_line))
 
     def items(name):
-        parts = F.split(_field(blk, name, single_line), ";", -1)
+        parts = F.split(_field(blk, name, single_line), defaults.EMAIL_LIST_SEPARATOR, -1)
         if trim_items:
             parts = F.transform(parts, py_strip)
         return F.when(F.contains(blk, F.lit(name + ":")), parts).otherwise(F.array().cast("array<string>"))
