@@ -61,6 +61,13 @@ WATCHLIST = [
 WATCHLIST_REASON_PREFIX = "suspicious keyword detected: '"
 WATCHLIST_REASON_SUFFIX = "'"
 
+# Label sources, flag levels and output names of the classification job.
+LABEL_SEMANTIC, LABEL_LLM, LABEL_UNCLASSIFIED = "semantic", "llm_classify", "unclassified"
+FLAG_HIGH, FLAG_MEDIUM, FLAG_NONE = "HIGH", "MEDIUM", "NONE"
+SINK_ALL, SINK_HIGH, SINK_MEDIUM, SINK_LLM, SINK_UNCLASSIFIED = (
+    "classification_logs", "governance_alerts", "governance_monitoring", "llm_classify_queue", "unclassified")
+GOVERNANCE_REASON_SEPARATOR = " | "
+
 # Columns of the classification log, in output order.
 OUTPUT_COLUMNS = [
     "session_id", "username", "co", "user_type", "division",
@@ -250,8 +257,13 @@ SUMMARY_INITIAL_STATE = "No prior summary."
 # Chat-prompt framing used by the thread jobs.
 CHAT_FRAME = "<|system|>{system}<|end|><|user|>{user}<|end|><|assistant|>"
 
-# Replay evaluation: column-name candidates per role (priority order) and the
-# roles each metric needs.
+# Replay evaluation: roles, column-name candidates per role (priority order)
+# and the roles each metric needs.
+ROLE_INPUT = "RECORD_ROOT.INPUT"
+ROLE_QUERY = "RETRIEVAL.QUERY_TEXT"
+ROLE_OUTPUT = "RECORD_ROOT.OUTPUT"
+ROLE_TRUTH = "RECORD_ROOT.GROUND_TRUTH_OUTPUT"
+ROLE_CONTEXTS = "RETRIEVAL.RETRIEVED_CONTEXTS"
 INPUT_NAMES = ["input", "prompt", "query", "user_query", "question", "prompt_text"]
 OUTPUT_NAMES = ["output", "response", "answer", "generated", "model_output"]
 GROUND_TRUTH_NAMES = ["ground_truth", "golden_answer", "golden", "expected", "target"]

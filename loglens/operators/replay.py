@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from loglens import defaults
 
 INPUT, QUERY, OUTPUT, TRUTH, CONTEXTS = (
-    "RECORD_ROOT.INPUT", "RETRIEVAL.QUERY_TEXT", "RECORD_ROOT.OUTPUT",
-    "RECORD_ROOT.GROUND_TRUTH_OUTPUT", "RETRIEVAL.RETRIEVED_CONTEXTS",
+    defaults.ROLE_INPUT, defaults.ROLE_QUERY, defaults.ROLE_OUTPUT, defaults.ROLE_TRUTH, defaults.ROLE_CONTEXTS,
 )
 ROLE_ALIASES = {INPUT: "input", QUERY: "query_text", OUTPUT: "output", TRUTH: "ground_truth", CONTEXTS: "contexts"}
 

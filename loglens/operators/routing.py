@@ -34,7 +34,8 @@ def route_confidence(
     c = F.col(conf_col)
     return df.withColumn(
         "label_source",
-        F.when(c >= F.lit(high), F.lit("semantic")).when(c >= F.lit(low), F.lit("llm_classify")).otherwise(F.lit("unclassified")),
+        F.when(c >= F.lit(high), F.lit(defaults.LABEL_SEMANTIC)).when(c >= F.lit(low), F.lit(defaults.LABEL_LLM))
+        .otherwise(F.lit(defaults.LABEL_UNCLASSIFIED)),
     )
 
 
@@ -50,7 +51,7 @@ def apply_governance(
     matrix: DataFrame,
     words: Sequence[str] = defaults.WATCHLIST,
     text_col: str = "combined_prompt",
-    flag_sources: Sequence[str] = ("semantic",),
+    flag_sources: Sequence[str] = (defaults.LABEL_SEMANTIC,),
 ) -> DataFrame:
     """governance_flag / governance_reason.
 
@@ -77,11 +78,12 @@ def apply_governance(
     return (
         joined.withColumn(
             "governance_flag",
-            F.when(hit, F.lit("HIGH")).when(F.col("_gl").isNotNull(), F.col("_gl")).otherwise(F.lit("NONE")),
+            F.when(hit, F.lit(defaults.FLAG_HIGH)).when(F.col("_gl").isNotNull(), F.col("_gl")).otherwise(F.lit(defaults.FLAG_NONE)),
         )
         .withColumn(
             "governance_reason",
-            F.when(hit, strip_chars(F.concat(base_reason, F.lit(" | "), F.col("watchlist_reason")), " |")).otherwise(base_reason),
+            F.when(hit, strip_chars(F.concat(base_reason, F.lit(defaults.GOVERNANCE_REASON_SEPARATOR), F.col("watchlist_reason")),
+                                    defaults.GOVERNANCE_REASON_SEPARATOR)).otherwise(base_reason),
         )
         .drop("_gd", "_gi", "_gl", "_gr")
     )
@@ -90,7 +92,7 @@ def apply_governance(
 def fallback_queue(df: DataFrame, truncate: int = defaults.FALLBACK_PROMPT_TRUNCATE) -> DataFrame:
     """Sessions waiting for the fallback classifier, with the prompt excerpt
     that classifier would receive (first ``truncate`` characters)."""
-    return df.where(F.col("label_source") == "llm_classify").withColumn(
+    return df.where(F.col("label_source") == defaults.LABEL_LLM).withColumn(
         "prompt_excerpt", F.substring(F.col("combined_prompt"), 1, truncate)
     )
 
@@ -103,11 +105,11 @@ def llm_fallback(df: DataFrame, classify=None) -> DataFrame:
 def sinks() -> list[tuple[str, Column | None]]:
     """(sink name, condition); ``None`` = every row."""
     return [
-        ("classification_logs", None),
-        ("governance_alerts", F.col("governance_flag") == "HIGH"),
-        ("governance_monitoring", F.col("governance_flag") == "MEDIUM"),
-        ("llm_classify_queue", F.col("label_source") == "llm_classify"),
-        ("unclassified", F.col("label_source") == "unclassified"),
+        (defaults.SINK_ALL, None),
+        (defaults.SINK_HIGH, F.col("governance_flag") == defaults.FLAG_HIGH),
+        (defaults.SINK_MEDIUM, F.col("governance_flag") == defaults.FLAG_MEDIUM),
+        (defaults.SINK_LLM, F.col("label_source") == defaults.LABEL_LLM),
+        (defaults.SINK_UNCLASSIFIED, F.col("label_source") == defaults.LABEL_UNCLASSIFIED),
     ]
 
 
@@ -132,11 +134,11 @@ def run_summary(sessions: DataFrame, turns: DataFrame | None = None) -> DataFram
     c = F.col
     agg = sessions.agg(
         F.count(F.lit(1)).alias("total_sessions"),
-        F.count_if(c("label_source") == "semantic").alias("labelled_semantic"),
-        F.count_if(c("label_source") == "llm_classify").alias("llm_queue"),
-        F.count_if(c("label_source") == "unclassified").alias("unclassified"),
-        F.count_if(c("governance_flag") == "HIGH").alias("high_governance"),
-        F.count_if(c("governance_flag") == "MEDIUM").alias("medium_governance"),
+        F.count_if(c("label_source") == defaults.LABEL_SEMANTIC).alias("labelled_semantic"),
+        F.count_if(c("label_source") == defaults.LABEL_LLM).alias("llm_queue"),
+        F.count_if(c("label_source") == defaults.LABEL_UNCLASSIFIED).alias("unclassified"),
+        F.count_if(c("governance_flag") == defaults.FLAG_HIGH).alias("high_governance"),
+        F.count_if(c("governance_flag") == defaults.FLAG_MEDIUM).alias("medium_governance"),
     )
     names = ["total_sessions", "labelled_semantic", "llm_queue", "unclassified", "high_governance", "medium_governance"]
     out = agg.select(F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*names))).alias("metric", "n"))

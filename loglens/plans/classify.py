@@ -26,7 +26,7 @@ def classify_sessions(
     watchlist: Sequence[str] = defaults.WATCHLIST,
     high: float = defaults.HIGH_CONF_THRESHOLD,
     low: float = defaults.LOW_CONF_THRESHOLD,
-    flag_sources: Sequence[str] = ("semantic",),
+    flag_sources: Sequence[str] = (defaults.LABEL_SEMANTIC,),
     fallback: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Session rows -> scored, routed and flagged rows (score maps included)."""

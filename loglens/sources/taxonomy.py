@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loglens import defaults
+
 CATEGORY = T.StructType([
     T.StructField("code", T.StringType()),
     T.StructField("name", T.StringType()),
@@ -79,9 +81,9 @@ def governance_matrix(tax: DataFrame) -> DataFrame:
     ones; on a repeated (domain, intent) pair the later entry wins."""
     m = tax.select("governance_flag_matrix.*")
     high = m.select(F.posexplode("high_risk").alias("i", "e")).select(
-        F.lit(0).alias("list_no"), "i", F.lit("HIGH").alias("level"), "e.*")
+        F.lit(0).alias("list_no"), "i", F.lit(defaults.FLAG_HIGH).alias("level"), "e.*")
     med = m.select(F.posexplode("medium_risk").alias("i", "e")).select(
-        F.lit(1).alias("list_no"), "i", F.lit("MEDIUM").alias("level"), "e.*")
+        F.lit(1).alias("list_no"), "i", F.lit(defaults.FLAG_MEDIUM).alias("level"), "e.*")
     return latest_per_pair(high.unionByName(med), F.struct("list_no", "i"))
 
 
