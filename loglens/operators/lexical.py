@@ -164,11 +164,9 @@ def lexical_similarities(
     from loglens.config import ensure_checkpoint_dir
     from loglens.operators import scoring
 
-    n = prototypes.count()
-    if n > max_protos:
-        raise ValueError(f"{n} prototypes exceed the supported {max_protos}")
     toks = F.regexp_extract_all(F.lower(F.col("text")), F.lit(TOKEN_PATTERN), 0)
-    rows = prototypes.select("category_type", "ord", "code", "kind", toks.alias("toks")).collect()
+    rows = scoring.bounded_collect(prototypes.select("category_type", "ord", "code", "kind", toks.alias("toks")),
+                                   max_protos, "prototype table")
     _, cats = scoring.categories_of(rows)
     tokenised = df.withColumn("_toks", F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0))
     if len(rows) <= max_broadcast_protos:

@@ -53,13 +53,19 @@ def _collect_prototypes(protos: DataFrame, vec_col: str, max_rows: int):
     ``max_rows`` bounds what reaches the driver; the per-broadcast bound is
     applied by the caller (blocks).
     """
-    n = protos.count()
-    if n > max_rows:
-        raise ValueError(f"prototype table has {n} rows; at most {max_rows} are supported")
-    rows = protos.select("category_type", "ord", "code", "kind", vec_col).collect()
+    rows = bounded_collect(protos.select("category_type", "ord", "code", "kind", vec_col), max_rows, "prototype table")
     return categories_of(rows)
 
 
+def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
+    """Collect a table that must stay small, in one job: at most ``max_rows``
+    rows reach the driver, otherwise an error names the bound."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"{what} has more than {max_rows} rows, the supported bound")
+    return rows
+
+
 def categories_of(rows):
     """Category lists per axis from collected prototype rows (validated)."""
     by_axis: dict[str, dict[str, tuple[int, set]]] = {a: {} for a in AXES}
@@ -267,10 +273,8 @@ def cosine_topk(
     is bounded and broadcast; each Arrow batch is one matrix product plus an
     arg-sort, so no pair rows are materialised.
     """
-    n = protos.count()
-    if n > max_broadcast_protos:
-        raise ValueError(f"{n} prototypes exceed the broadcast bound {max_broadcast_protos}")
-    rows = protos.select(proto_id_col, vec_col).orderBy(proto_id_col).collect()
+    rows = bounded_collect(protos.select(proto_id_col, vec_col), max_broadcast_protos, "prototype table")
+    rows.sort(key=lambda r: r[0])
     ids = np.asarray([r[0] for r in rows], dtype=np.int64)
     mat = _unit_rows(np.vstack([np.asarray(r[1], dtype=np.float64) for r in rows]))
     bc = df.sparkSession.sparkContext.broadcast((ids, mat))
