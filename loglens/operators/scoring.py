@@ -249,17 +249,18 @@ def with_best_category(df: DataFrame, cats: dict[str, Categories]) -> DataFrame:
 
 
 def score_long(df: DataFrame, cats: dict[str, Categories], id_col: str = "session_id") -> DataFrame:
-    """(id, category_type, code, score) rows from the score arrays (rounded)."""
-    parts = []
-    for axis in AXES:
+    """(id, category_type, code, score) rows from the score arrays (rounded),
+    both axes in one ``explode`` (the row is read once)."""
+    def tagged(axis):
         codes = F.array(*[F.lit(c) for c in cats[axis].codes])
-        z = F.explode(F.arrays_zip(codes.alias("code"), F.col(f"{axis}_scores").alias("score")))
-        parts.append(
-            df.select(id_col, z.alias("z")).select(
-                id_col, F.lit(axis).alias("category_type"), F.col("z.code").alias("code"), round4(F.col("z.score")).alias("score")
-            )
+        return F.transform(
+            F.arrays_zip(codes.alias("code"), F.col(f"{axis}_scores").alias("score")),
+            lambda z: F.struct(F.lit(axis).alias("category_type"), z["code"].alias("code"), z["score"].alias("score")),
         )
-    return parts[0].unionByName(parts[1])
+
+    parts = [tagged(axis) for axis in AXES]
+    z = F.explode(F.concat(*parts)).alias("z")
+    return df.select(id_col, z).select(id_col, "z.category_type", "z.code", round4(F.col("z.score")).alias("score"))
 
 
 # ------------------------------------------------------------------ top-k

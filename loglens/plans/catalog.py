@@ -117,9 +117,8 @@ def best_category(spark, sf_dir):
 @query
 def score_map(spark, sf_dir):
     best, _ = _scored(spark, sf_dir)
-    d = best.select("session_id", F.explode("all_domain_scores").alias("code", "score"))
-    i = best.select("session_id", F.explode("all_intent_scores").alias("code", "score"))
-    return d.unionByName(i)
+    both = F.map_concat("all_domain_scores", "all_intent_scores")  # codes are distinct across axes
+    return best.select("session_id", F.explode(both).alias("code", "score"))
 
 
 def _routed(spark, sf_dir):
@@ -262,8 +261,7 @@ def chunk_documents(spark, sf_dir):
 
 
 def _doc_chunks(spark, sf_dir):
-    pages = fx.doc_pages(spark, sf_dir)
-    docs = documents.assemble_pages(pages).join(documents.document_metadata(pages, fx.doc_info(spark, sf_dir)), "doc_id")
+    docs = documents.assemble_documents(fx.doc_pages(spark, sf_dir), fx.doc_info(spark, sf_dir))
     b = chunking.with_boundaries(docs)
     return b.select("doc_id", *completion.META,
                     F.posexplode(chunking.semantic_chunks(F.col("text"), F.col("boundaries"))).alias("chunk_idx", "chunk"))

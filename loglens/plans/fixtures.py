@@ -202,15 +202,20 @@ def order_text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = li.withColumn("li", F.row_number().over(
         Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
     ln = F.col("li")
-    header = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("part_seq"),
-                      F.concat(F.lit("Order "), s("o_orderkey"), F.lit(" for customer "), s("o_custkey"), F.lit(".")).alias("text"),
-                      F.lit(False).alias("is_boundary"))
-    article = o.where(F.col("o_orderpriority") == "1-URGENT").select(
-        F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("part_seq"), F.lit("\nArticle IV: Urgent handling").alias("text"),
-        F.lit(True).alias("is_boundary"))
-    final = o.where(F.col("o_orderstatus") == "F").select(
-        F.col("o_orderkey").alias("doc_id"), F.lit(1000).alias("part_seq"), F.lit("\nFINAL NOTICE").alias("text"),
-        F.lit(True).alias("is_boundary"))
+    order_level = o.select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.array(
+            F.struct(F.lit(0).alias("part_seq"),
+                     F.concat(F.lit("Order "), s("o_orderkey"), F.lit(" for customer "), s("o_custkey"), F.lit(".")).alias("text"),
+                     F.lit(False).alias("is_boundary")),
+            F.struct(F.lit(1).alias("part_seq"),
+                     F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("\nArticle IV: Urgent handling")).alias("text"),
+                     F.lit(True).alias("is_boundary")),
+            F.struct(F.lit(1000).alias("part_seq"),
+                     F.when(F.col("o_orderstatus") == "F", F.lit("\nFINAL NOTICE")).alias("text"),
+                     F.lit(True).alias("is_boundary")),
+        ).alias("parts"),
+    ).select("doc_id", F.explode("parts").alias("p")).select("doc_id", "p.*").where(F.col("text").isNotNull())
     lines = li.select(
         F.col("l_orderkey").alias("doc_id"),
         F.array(
@@ -223,7 +228,7 @@ def order_text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit(False).alias("is_boundary")),
         ).alias("parts"),
     ).select("doc_id", F.explode("parts").alias("p")).select("doc_id", "p.*").where(F.col("text").isNotNull())
-    return header.unionByName(article).unionByName(lines).unionByName(final)
+    return order_level.unionByName(lines)
 
 
 def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

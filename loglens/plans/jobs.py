@@ -28,7 +28,7 @@ def summarise_documents(
     chunk_size: int = 2000,
 ) -> None:
     """pages (doc_id, page_no, text) [+ metadata] -> one JSON summary per document."""
-    docs = documents.assemble_pages(pages).join(documents.document_metadata(pages, info), "doc_id")
+    docs = documents.assemble_documents(pages, info)
     b = chunking.with_boundaries(docs)
     chunks = b.select("doc_id", *completion.META, F.posexplode(
         chunking.semantic_chunks(F.col("text"), F.col("boundaries"), chunk_size=chunk_size)).alias("chunk_idx", "chunk"))

@@ -43,3 +43,21 @@ def document_metadata(pages: DataFrame, info: DataFrame | None = None) -> DataFr
         default = defaults.UNKNOWN if f in ("title", "author") else ""
         out = out.withColumn(f, F.coalesce(F.col(f), F.lit(default)))
     return out.select("doc_id", *METADATA_FIELDS, F.col("page_count").cast("int").alias("page_count"))
+
+
+def assemble_documents(pages: DataFrame, info: DataFrame | None = None, sep: str = defaults.PARAGRAPH_SEP) -> DataFrame:
+    """Text and metadata per document from one aggregation over the pages:
+    (doc_id, text, title, author, subject, keywords, creation_date,
+    modification_date, page_count)."""
+    keep = F.when(py_strip(F.col("text")) != "", F.struct(F.col("page_no").alias("k"),
+                                                         F.concat(F.lit("[Page "), F.col("page_no").cast("string"), F.lit("] "), F.col("text")).alias("v")))
+    g = pages.groupBy("doc_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(keep)), lambda x: x["v"]), sep).alias("text"),
+        F.count(F.lit(1)).cast("int").alias("page_count"),
+    )
+    out = g if info is None else g.join(info.select("doc_id", *METADATA_FIELDS), "doc_id", "left")
+    for f in METADATA_FIELDS:
+        default = defaults.UNKNOWN if f in ("title", "author") else ""
+        col = F.col(f) if info is not None else F.lit(None).cast("string")
+        out = out.withColumn(f, F.coalesce(col, F.lit(default)))
+    return out.select("doc_id", "text", *METADATA_FIELDS, "page_count")

@@ -68,12 +68,18 @@ def flatten_taxonomy(tax: DataFrame) -> DataFrame:
 
 
 def flatten_categories(cats: DataFrame) -> DataFrame:
-    """Category rows -> one prototype row per definition, keyword and phrase."""
-    base = ["category_type", "ord", "code", "name"]
-    definition = cats.select(*base, F.lit("definition").alias("kind"), F.col("definition").alias("text"))
-    keywords = cats.select(*base, F.lit("keyword").alias("kind"), F.explode("keywords").alias("text"))
-    phrases = cats.select(*base, F.lit("phrase").alias("kind"), F.explode("phrases").alias("text"))
-    return definition.unionByName(keywords).unionByName(phrases).select(*PROTOTYPE_COLUMNS)
+    """Category rows -> one prototype row per definition, keyword and phrase
+    (one ``explode`` per category row)."""
+    def tagged(kind, texts):
+        return F.transform(texts, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
+
+    items = F.concat(
+        F.array(F.struct(F.lit("definition").alias("kind"), F.col("definition").alias("text"))),
+        tagged("keyword", F.coalesce(F.col("keywords"), F.array().cast("array<string>"))),
+        tagged("phrase", F.coalesce(F.col("phrases"), F.array().cast("array<string>"))),
+    )
+    return cats.select("category_type", "ord", "code", "name", F.explode(items).alias("p")).select(
+        "category_type", "ord", "code", "name", "p.kind", "p.text")
 
 
 def governance_matrix(tax: DataFrame) -> DataFrame:
