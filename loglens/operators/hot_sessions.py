@@ -39,7 +39,9 @@ def hot_session_ids(turns: DataFrame, hot_session_rows: int, max_keys: int = MAX
     pruning) and combines map-side; the ids are broadcast when the checked
     count allows it."""
     counts = turns.where(F.col("session_id").isNotNull()).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.where(F.col("n") > hot_session_rows).select("session_id")
+    # small by construction (at most total rows / hot_session_rows ids); kept
+    # so the join below does not count the sessions again
+    hot = counts.where(F.col("n") > hot_session_rows).select("session_id").persist()
     n = hot.count()
     return (F.broadcast(hot) if n <= max_keys else hot), n
 

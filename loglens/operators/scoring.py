@@ -31,6 +31,7 @@ KINDS = ("phrase", "keyword", "definition")
 MAX_BLOCK_CELLS = 16_000_000
 AXES = ("domain", "intent")
 MAX_BROADCAST_PROTOS = 200_000
+MAX_BROADCAST_BYTES = 256 * 1024 * 1024  # one prototype block as float64
 
 
 def round4(c: Column) -> Column:
@@ -166,26 +167,29 @@ def dense_similarities(
     vec_col: str = "vec",
     proto_vec_col: str = "vec",
     max_broadcast_protos: int = MAX_BROADCAST_PROTOS,
-    max_protos: int = 50 * MAX_BROADCAST_PROTOS,
+    max_protos: int = 1_000_000,
 ) -> tuple[DataFrame, dict[str, Categories]]:
     """Append ``{axis}_{kind}_sim`` arrays (max cosine per category) to ``df``.
 
     ``protos``: (category_type 'domain'|'intent', ord, code, kind, vec).
-    Up to ``max_broadcast_protos`` prototypes are broadcast in one piece;
-    larger sets are scored block by block: each pass broadcasts one block,
+    Up to ``max_broadcast_protos`` prototypes, and at most
+    ``MAX_BROADCAST_BYTES`` of vectors, are broadcast in one piece; larger
+    sets are scored block by block: each pass broadcasts one block,
     folds its maxima into the arrays, and is checkpointed to the shared
     checkpoint folder so that a task only ever holds one block.
     """
     rows, cats = _collect_prototypes(protos, proto_vec_col, max_protos)
-    if len(rows) <= max_broadcast_protos:
+    dim = max((len(r[proto_vec_col]) for r in rows), default=1)
+    block = max(1, min(max_broadcast_protos, MAX_BROADCAST_BYTES // (8 * max(1, dim))))
+    if len(rows) <= block:
         return _kernel_pass(df, rows, cats, vec_col, proto_vec_col, merge=False), cats
     from loglens.config import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
     out = None
-    for lo in range(0, len(rows), max_broadcast_protos):
-        block = rows[lo: lo + max_broadcast_protos]
-        out = _kernel_pass(df if out is None else out, block, cats, vec_col, proto_vec_col, merge=out is not None)
+    for lo in range(0, len(rows), block):
+        part = rows[lo: lo + block]
+        out = _kernel_pass(df if out is None else out, part, cats, vec_col, proto_vec_col, merge=out is not None)
         out = out.checkpoint(eager=True)
     return out, cats
 
