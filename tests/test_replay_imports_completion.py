@@ -53,3 +53,13 @@ def test_summarise_with_function(spark):
                                      "keywords string, creation_date string, modification_date string, page_count int")
     out = completion.summarise(df, fn=lambda p: f"len{len(p)}").first()
     assert out.chunk_count == 3 and len(out.section_summaries) == 3 and out.final_summary.startswith("len")
+
+
+def test_module_collisions_and_relative_imports(spark):
+    files = spark.createDataFrame(
+        [("a/x.py", "from . import y\nfrom .z import w\n"), ("b/x.py", "import z\n"), ("c/z.py", "")],
+        "path string, content string")
+    col = imports.module_collisions(files).collect()
+    assert [(r.module, list(r.paths)) for r in col] == [("x", ["a/x.py", "b/x.py"])]
+    assert {(r.module, r.path) for r in imports.module_nodes(files).collect()} == {("x", "b/x.py"), ("z", "c/z.py")}
+    assert sorted((r.src, r.dst) for r in imports.import_edges(files).collect()) == [("x", "z")]

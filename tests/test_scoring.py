@@ -103,3 +103,18 @@ def test_row_blocks_do_not_change_results(spark, monkeypatch):
     top_small = sorted((r.session_id, r.rank, r.proto_id) for r in scoring.cosine_topk(s, p, k=3).collect())
     monkeypatch.setattr(scoring, "MAX_BLOCK_CELLS", 16_000_000)
     assert top_small == sorted((r.session_id, r.rank, r.proto_id) for r in scoring.cosine_topk(s, p, k=3).collect())
+
+
+def test_boost_pushes_negative_down_and_caps(spark):
+    from loglens.operators.scoring import Categories
+
+    cats = {"domain": Categories("domain", ("D01", "D02"), (0, 1)), "intent": Categories("intent", ("I01",), (0,))}
+    df = spark.createDataFrame(
+        [("D01", [-0.5, 1.0], [0.0, 1.0], [0.0, 1.0], [0.1], [0.1], [0.1]),
+         ("D02", [-0.5, 1.0], [0.0, 1.0], [0.0, 1.0], [0.1], [0.1], [0.1])],
+        "domain_prior string, domain_phrase_sim array<double>, domain_keyword_sim array<double>, "
+        "domain_definition_sim array<double>, intent_phrase_sim array<double>, intent_keyword_sim array<double>, "
+        "intent_definition_sim array<double>")
+    got = [r.domain_scores for r in scoring.with_hybrid_scores(df, cats).collect()]
+    assert abs(got[0][0] - (-0.25 * 1.2)) < 1e-12 and got[0][1] == 1.0   # boosted negative gets lower
+    assert got[1][1] == 1.0                                              # min(1.0 * 1.2, 1.0)

@@ -138,3 +138,10 @@ def test_skew_aware_equals_plain(spark, threshold, parts):
     plain = {r.session_id: r.asDict() for r in sessions.build_sessions(turns).collect()}
     skew = {r.session_id: r.asDict() for r in build_sessions_skew_aware(turns, hot_session_rows=threshold, partitions=parts).collect()}
     assert skew == plain
+
+
+def test_blank_value_can_be_the_mode(spark):
+    rows = [(1, 0, None, "u", "p q", None, "x", None), (1, 1, None, "u", "r s", " ", "x", "HR"),
+            (1, 2, None, "u", "t u", "a", "x", "hr")]
+    r = sessions.build_sessions(sessions.normalise_logs(_logs(spark, rows))).first()
+    assert r.co == "" and r.division == "hr" and r.first_timestamp is None
