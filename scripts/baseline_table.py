@@ -20,12 +20,12 @@ INPUTS = {
     "conversations": ["log_normalise", "merge_short_turns", "session_prompt", "session_rollup", "session_split",
                       "domain_prior", "watchlist_hit", "classify_logs", "governance_flags", "llm_queue",
                       "route_outputs", "run_summary", "chat_assemble", "replay_map", "metric_applicability",
-                      "eval_scores"],
+                      "eval_scores", "stream_turn_alerts"],
     "embeddings": ["cosine_topk", "hybrid_scores", "best_category", "score_map", "confidence_route", "label_distribution"],
     "benchmark": ["taxonomy_flatten", "lexical_scores", "classify_logs", "governance_flags", "llm_queue",
                   "route_outputs", "run_summary"],
     "orders": ["governance_matrix", "section_boundaries", "chunk_sections", "section_chunks", "email_headers",
-               "thread_findings", "finding_rejects", "thread_report_prompt", "thread_fold"],
+               "thread_findings", "finding_rejects", "thread_report_prompt", "thread_fold", "stream_thread_findings"],
     "lineitem": ["section_boundaries", "chunk_sections", "section_chunks", "module_nodes", "import_edges"],
     "documents": ["lexical_scores", "pages_assemble", "doc_metadata", "chunk_documents", "chunk_prompts",
                   "summary_reduce", "summarise_documents"],
