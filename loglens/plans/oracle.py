@@ -625,6 +625,9 @@ FROM conversations GROUP BY conv_id""",
         outer_cols.append(f"coalesce(f.n_{name}, 0) AS n_{name}")
     json_parts = f" || ',' || {NL} || ".join(_list_json_sql(v, c, n) for n, (v, c) in findings_cols.items())
     summary_sql = f"coalesce(string_agg({NL} || 'order ' || CAST(o_orderkey AS VARCHAR) || ' ' || o_orderstatus, '' ORDER BY email_no), '')"
+    import json as _json
+
+    empty_js = q(_json.dumps({n: [] for n in findings_cols}, indent=2))
     fold_const = len(_th._frame_py(defaults.SUMMARY_SYSTEM_MESSAGE, defaults.SUMMARY_USER_MESSAGE.format(summary="", email="")))
     body_sql = "len(body)"
     init = q(defaults.SUMMARY_INITIAL_STATE)
@@ -656,7 +659,7 @@ SELECT o_custkey AS thread_id, CAST(email_no AS INTEGER) AS email_no,
 FROM mails WHERE o_orderkey % 17 = 0 OR o_orderkey % 19 = 0""",
         "thread_report_prompt": _with(MAILS) + f"""
 SELECT t.thread_id, {fill_sql(defaults.CHAT_FRAME, system=q(defaults.FINDINGS_SYSTEM_MESSAGE),
-                               user=fill_sql(defaults.FINDINGS_REPORT_MESSAGE, summary='coalesce(f.summary, chr(0))', findings='coalesce(f.js, chr(0))'))} AS report_prompt
+                               user=fill_sql(defaults.FINDINGS_REPORT_MESSAGE, summary="coalesce(f.summary, '')", findings=f"coalesce(f.js, {empty_js})"))} AS report_prompt
 FROM (SELECT DISTINCT o_custkey AS thread_id FROM orders) t
 LEFT JOIN (SELECT o_custkey AS thread_id, {summary_sql} AS summary,
                   '{{' || {NL} || {json_parts} || {NL} || '}}' AS js FROM ok_out GROUP BY o_custkey) f
