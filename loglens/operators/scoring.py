@@ -86,7 +86,7 @@ def categories_of(rows):
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(m, axis=1, keepdims=True)
-    norms[norms == 0] = 1.0  # zero vectors stay zero: cosine 0, like sklearn
+    norms[norms == 0] = 1.0  # a zero vector stays zero, so its cosine with anything is 0
     return m / norms
 
 
