@@ -47,3 +47,16 @@ def first_match(text: Column, entries: Sequence[tuple[str, str]], case_insensiti
 def strip_chars(c: Column, chars: str) -> Column:
     """``str.strip(chars)``: drop any of ``chars`` from both ends."""
     return F.btrim(c, F.lit(chars))
+
+
+def explode_positions(df, keep, array: Column, pos_name: str, value_name: str):
+    """``df.select(*keep, posexplode(array))`` without re-computing ``array``.
+
+    For ``explode``/``posexplode`` Catalyst infers a ``size(array) > 0``
+    filter and pushes it below the projections, where an expensive array
+    expression (regexes, folds) is inlined and evaluated a second time.  The
+    ``_outer`` generator has no inferred filter; its placeholder rows for
+    empty arrays (position NULL) are dropped above the generator.
+    """
+    out = df.select(*keep, F.posexplode_outer(array).alias(pos_name, value_name))
+    return out.where(F.col(pos_name).isNotNull())

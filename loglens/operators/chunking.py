@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens import defaults
+from loglens.functions.text import explode_positions
 
 # Marker inserted before each match; a Unicode noncharacter, absent from text.
 _MARK = "﷐"
@@ -30,57 +31,62 @@ def java_pattern(py_pattern: str) -> str:
     return "(?U)(?d)" + py_pattern
 
 
-def _starts_from_lengths(lens: Column) -> Column:
-    """[l1, l1+l2, ..., l1+...+l(n-1)]: running sums without the total, one fold."""
-    init = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("s"))
-    return F.aggregate(
-        lens, init,
-        lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["s"] + x)).alias("out"), (acc["s"] + x).alias("s")),
-        lambda acc: F.slice(acc["out"], 1, F.size(acc["out"]) - 1),
-    )
+def _starts_from_lengths(pieces: Column) -> Column:
+    """Start offsets of pieces 2..n as structs (c: characters, b: UTF-8 bytes):
+    running sums of piece lengths without the total, one fold."""
+    init = F.struct(F.array().cast("array<struct<c:int,b:int>>").alias("out"), F.lit(0).alias("c"), F.lit(0).alias("b"))
+
+    def step(acc, p):
+        c = acc["c"] + F.length(p)
+        b = acc["b"] + F.octet_length(p)
+        return F.struct(F.concat(acc["out"], F.array(F.struct(c.alias("c"), b.alias("b")))).alias("out"), c.alias("c"), b.alias("b"))
+
+    return F.aggregate(pieces, init, step, lambda acc: F.slice(acc["out"], 1, F.size(acc["out"]) - 1))
 
 
 def match_starts(text: Column, py_pattern: str) -> Column:
-    """Start offsets (code points) of successive non-overlapping matches:
-    mark each match, split on the mark, and sum the piece lengths."""
+    """(character, byte) offsets of successive non-overlapping matches: mark
+    each match, split on the mark, and sum the piece lengths."""
     marked = F.regexp_replace(text, java_pattern(py_pattern), _MARK + "$0")
-    return _starts_from_lengths(F.transform(F.split(marked, _MARK, -1), lambda p: F.length(p)))
+    return _starts_from_lengths(F.split(marked, _MARK, -1))
 
 
-def section_boundaries(text: Column, patterns: Sequence[str] = defaults.SECTION_PATTERNS) -> Column:
-    """Sorted distinct boundary offsets, always including 0."""
-    acc = F.array(F.lit(0))
+def boundary_pairs(text: Column, patterns: Sequence[str] = defaults.SECTION_PATTERNS) -> Column:
+    """Sorted distinct boundaries as (c, b) structs, always including 0."""
+    acc = F.array(F.struct(F.lit(0).alias("c"), F.lit(0).alias("b")))
     for p in patterns:
         acc = F.array_union(acc, match_starts(text, p))
     return F.array_sort(acc)
 
 
-def cut(text: Column, bounds: Column) -> Column:
-    """``[text[b0:b1], ..., text[b_last:]]`` for sorted ``bounds``.
+def section_boundaries(text: Column, patterns: Sequence[str] = defaults.SECTION_PATTERNS) -> Column:
+    """Sorted distinct boundary offsets (characters), always including 0."""
+    return F.transform(boundary_pairs(text, patterns), lambda x: x["c"])
+
 
-    ``bounds`` should be a column reference (not an expression): it is read
-    twice here, and an expression inside a lambda would be re-evaluated per
-    element.
+def cut_bytes(utf8: Column, pairs: Column) -> Column:
+    """Sections of a text given its UTF-8 bytes and sorted boundary pairs.
+
+    Both arguments must be column references: binary ``substring`` at byte
+    offsets costs the length of the piece only, so cutting is linear in the
+    text length however many sections there are.
     """
-    ends = F.concat(F.slice(bounds, 2, F.greatest(F.size(bounds) - 1, F.lit(0))), F.array(F.length(text)))
-    return F.zip_with(bounds, ends, lambda s, e: text.substr(s + 1, e - s))
+    ends = F.concat(F.slice(F.transform(pairs, lambda x: x["b"]), 2, F.greatest(F.size(pairs) - 1, F.lit(0))),
+                    F.array(F.octet_length(utf8)))
+    return F.zip_with(pairs, ends, lambda st, e: F.decode(F.substring(utf8, st["b"] + 1, e - st["b"]), "UTF-8"))
 
 
-def pack(text: Column, chunk_size: int = defaults.CHUNK_SIZE, keep_empty: bool = True,
-         sep: str = defaults.PARAGRAPH_SEP) -> Column:
-    """Greedy paragraph packing -> array of chunks.
+def pack_starts(paras: Column, chunk_size: int = defaults.CHUNK_SIZE, keep_empty: bool = True,
+                sep: str = defaults.PARAGRAPH_SEP) -> Column:
+    """1-based index of the first paragraph of every chunk (greedy packing).
 
     A paragraph joins the current chunk while ``len(chunk) + len(paragraph) <
     chunk_size``; every paragraph is followed by ``sep`` in its chunk.
     ``keep_empty=True`` reproduces the size-based path exactly, including the
     empty first chunk emitted when the first paragraph alone reaches
-    ``chunk_size``; ``False`` never emits an empty chunk (the re-split path).
-
-    The fold carries integers only (start index of each chunk, current chunk
-    length); chunk strings are built once from paragraph slices afterwards,
-    so no text is copied per paragraph.
+    ``chunk_size`` (two equal starts); ``False`` never emits an empty chunk.
+    The fold carries integers only.
     """
-    paras = F.split(text, sep, -1)
     seplen = len(sep)
     init = F.struct(F.array(F.lit(1)).alias("starts"), F.lit(0).alias("cur"), F.lit(0).alias("i"))
 
@@ -88,12 +94,16 @@ def pack(text: Column, chunk_size: int = defaults.CHUNK_SIZE, keep_empty: bool =
         i = acc["i"] + 1
         fits = acc["cur"] + F.length(par) < F.lit(chunk_size)
         opened = F.concat(acc["starts"], F.array(i))
-        if not keep_empty:  # an empty current chunk is replaced, not closed
-            opened = F.when(acc["cur"] > 0, opened).otherwise(F.array(i))  # cur == 0 only before the first paragraph
+        if not keep_empty:  # an empty current chunk is replaced, not closed (cur == 0 only before the first paragraph)
+            opened = F.when(acc["cur"] > 0, opened).otherwise(F.array(i))
         return F.when(fits, F.struct(acc["starts"].alias("starts"), (acc["cur"] + F.length(par) + seplen).alias("cur"), i.alias("i"))) \
             .otherwise(F.struct(opened.alias("starts"), (F.length(par) + seplen).alias("cur"), i.alias("i")))
 
-    starts = F.aggregate(paras, init, step, lambda acc: acc["starts"])
+    return F.aggregate(paras, init, step, lambda acc: acc["starts"])
+
+
+def chunks_from_starts(paras: Column, starts: Column, sep: str = defaults.PARAGRAPH_SEP) -> Column:
+    """Chunk strings: the paragraphs of each chunk joined, each followed by ``sep``."""
     ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(paras) + 1))
     return F.zip_with(
         starts, ends,
@@ -101,32 +111,70 @@ def pack(text: Column, chunk_size: int = defaults.CHUNK_SIZE, keep_empty: bool =
     )
 
 
-def semantic_chunks(
-    text: Column,
-    bounds: Column,
+def pack_paragraphs(paras: Column, chunk_size: int = defaults.CHUNK_SIZE, keep_empty: bool = True,
+                    sep: str = defaults.PARAGRAPH_SEP) -> Column:
+    """Greedy paragraph packing of an array of paragraphs -> array of chunks.
+
+    ``paras`` is read inside lambdas, so it must be cheap to evaluate (a column
+    reference or an element of one), never a ``split`` expression.
+    """
+    return chunks_from_starts(paras, pack_starts(paras, chunk_size, keep_empty, sep), sep)
+
+
+def with_chunks(
+    docs: DataFrame,
+    text_col: str = "text",
+    out_col: str = "chunks",
     chunk_size: int = defaults.CHUNK_SIZE,
+    patterns: Sequence[str] = defaults.SECTION_PATTERNS,
     max_boundaries: int = defaults.MAX_SECTION_BOUNDARIES,
     resplit_factor: float = defaults.RESPLIT_FACTOR,
     keep_empty: bool = True,
-) -> Column:
-    """Chunks of one text given its boundary column: sections when
-    1 < #boundaries < ``max_boundaries`` (each re-packed by paragraphs when
-    longer than ``resplit_factor`` x ``chunk_size``), otherwise paragraph
-    packing of the whole text."""
+    sep: str = defaults.PARAGRAPH_SEP,
+) -> DataFrame:
+    """Adds ``boundaries`` (character offsets) and ``out_col`` (the chunks).
+
+    Sections when 1 < #boundaries < ``max_boundaries`` (each re-packed by
+    paragraphs when longer than ``resplit_factor`` x ``chunk_size``),
+    otherwise paragraph packing of the whole text.  Intermediate arrays
+    (boundary pairs, UTF-8 bytes, sections, paragraphs) are columns, so every
+    lambda reads them by reference and the whole step stays linear in the
+    text length.
+    """
+    lim = chunk_size * resplit_factor
+    t = F.col(text_col)
+    d = docs.withColumn("_bp", boundary_pairs(t, patterns))
+    use_sections = (F.size("_bp") > 1) & (F.size("_bp") < max_boundaries)
+    d = d.withColumn("_utf8", F.when(use_sections, F.encode(t, "UTF-8")))
+    d = d.withColumn("_secs", F.when(use_sections, cut_bytes(F.col("_utf8"), F.col("_bp"))))
+    d = d.withColumn("_spars", F.transform("_secs", lambda x: F.when(F.length(x) > F.lit(lim), F.split(x, sep, -1))))
+    d = d.withColumn("_paras", F.when(~use_sections, F.split(t, sep, -1)))
+    n_sec = F.size("_secs")
     resplit = F.flatten(F.transform(
-        cut(text, bounds),
-        lambda s: F.when(F.length(s) > F.lit(chunk_size * resplit_factor), pack(s, chunk_size, keep_empty=False)).otherwise(F.array(s)),
+        F.sequence(F.lit(1), F.greatest(n_sec, F.lit(1))),
+        lambda i: F.when(F.element_at("_spars", i).isNotNull(),
+                         pack_paragraphs(F.element_at("_spars", i), chunk_size, keep_empty=False, sep=sep))
+        .otherwise(F.array(F.element_at("_secs", i))),
     ))
-    use_sections = (F.size(bounds) > 1) & (F.size(bounds) < max_boundaries)
-    return F.when(use_sections, resplit).otherwise(pack(text, chunk_size, keep_empty=keep_empty))
+    d = d.withColumn("_starts", pack_starts(F.col("_paras"), chunk_size, keep_empty, sep))
+    whole = chunks_from_starts(F.col("_paras"), F.col("_starts"), sep)
+    return (
+        d.withColumn(out_col, F.when(use_sections, resplit).otherwise(whole))
+        .withColumn("boundaries", F.transform("_bp", lambda x: x["c"]))
+        .drop("_bp", "_utf8", "_secs", "_spars", "_paras", "_starts")
+    )
 
 
-def with_boundaries(docs: DataFrame, text_col: str = "text", patterns: Sequence[str] = defaults.SECTION_PATTERNS) -> DataFrame:
-    return docs.withColumn("boundaries", section_boundaries(F.col(text_col), patterns))
+def with_sections(docs: DataFrame, text_col: str = "text", out_col: str = "sections",
+                  patterns: Sequence[str] = defaults.SECTION_PATTERNS) -> DataFrame:
+    """Adds ``boundaries`` and ``out_col``: the text cut at every boundary
+    (any number of them; linear in the text length)."""
+    d = docs.withColumn("_bp", boundary_pairs(F.col(text_col), patterns)).withColumn("_utf8", F.encode(F.col(text_col), "UTF-8"))
+    return (d.withColumn(out_col, cut_bytes(F.col("_utf8"), F.col("_bp")))
+            .withColumn("boundaries", F.transform("_bp", lambda x: x["c"])).drop("_bp", "_utf8"))
 
 
-def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    patterns: Sequence[str] = defaults.SECTION_PATTERNS, **kw) -> DataFrame:
+def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """(id, chunk_idx 0-based, chunk) rows, one per chunk."""
-    b = with_boundaries(docs.select(id_col, text_col), text_col, patterns)
-    return b.select(id_col, F.posexplode(semantic_chunks(F.col(text_col), F.col("boundaries"), **kw)).alias("chunk_idx", "chunk"))
+    c = with_chunks(docs.select(id_col, text_col), text_col, "chunks", **kw)
+    return explode_positions(c, [id_col], F.col("chunks"), "chunk_idx", "chunk")

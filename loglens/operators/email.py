@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loglens import defaults
-from loglens.functions.text import py_strip
+from loglens.functions.text import explode_positions, py_strip
 
 # Java flags: (?s) DOTALL for the block, (?d) so that ``.`` and ``$`` treat
 # only ``\n`` as a line end, (?U) for Python's Unicode ``\s``.
@@ -45,7 +45,7 @@ def header_blocks(df: DataFrame, text_col: str = "body", unescape: bool = True)
     """Adds ``block_no`` (0-based) and ``block`` rows, one per header block."""
     text = html_unescape(F.col(text_col)) if unescape else F.col(text_col)
     blocks = F.regexp_extract_all(text, F.lit(BLOCK_PATTERN), 0)
-    return df.select("*", F.posexplode(blocks).alias("block_no", "block"))
+    return explode_positions(df, ["*"], blocks, "block_no", "block")
 
 
 def extract_headers(df: DataFrame, text_col: str = "body", single_line: bool = False,

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglens.functions.text import explode_positions
+
 # Tokens: maximal runs of Unicode letters/digits, after lower-casing.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 MAX_BROADCAST_ROWS = 2_000_000
@@ -25,7 +27,7 @@ MAX_BROADCAST_ROWS = 2_000_000
 def tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, token) rows, one per occurrence."""
     toks = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0)
-    return df.select(F.col(id_col), F.explode(toks).alias("token"))
+    return explode_positions(df, [F.col(id_col)], toks, "_pos", "token").drop("_pos")
 
 
 def term_frequencies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

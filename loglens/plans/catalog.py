@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglens import defaults
+from loglens.functions.text import explode_positions
 from loglens.operators import chunking, completion, email, html_text, imports, lexical, replay, routing, scoring, sessions, threads
 from loglens.plans import classify
 from loglens.plans import fixtures as fx
@@ -233,15 +234,14 @@ def doc_metadata(spark, sf_dir):
 @query
 def section_boundaries(spark, sf_dir):
     t = fx.order_texts(spark, sf_dir)
-    b = t.select("doc_id", F.explode(chunking.section_boundaries(F.col("text"))).alias("boundary"))
+    b = explode_positions(t, ["doc_id"], chunking.section_boundaries(F.col("text")), "_i", "boundary")
     return b.select("doc_id", F.col("boundary").cast("bigint").alias("boundary"))
 
 
 @query
 def chunk_sections(spark, sf_dir):
-    t = chunking.with_boundaries(fx.order_texts(spark, sf_dir))
-    cuts = chunking.cut(F.col("text"), F.col("boundaries"))
-    return t.select("doc_id", F.posexplode(cuts).alias("section_idx", "section")).select(
+    t = chunking.with_sections(fx.order_texts(spark, sf_dir))
+    return explode_positions(t, ["doc_id"], F.col("sections"), "section_idx", "section").select(
         "doc_id", F.col("section_idx").cast("bigint").alias("section_idx"), "section")
 
 
@@ -262,9 +262,8 @@ def chunk_documents(spark, sf_dir):
 
 def _doc_chunks(spark, sf_dir):
     docs = documents.assemble_documents(fx.doc_pages(spark, sf_dir), fx.doc_info(spark, sf_dir))
-    b = chunking.with_boundaries(docs)
-    return b.select("doc_id", *completion.META,
-                    F.posexplode(chunking.semantic_chunks(F.col("text"), F.col("boundaries"))).alias("chunk_idx", "chunk"))
+    b = chunking.with_chunks(docs)
+    return explode_positions(b, ["doc_id", *completion.META], F.col("chunks"), "chunk_idx", "chunk")
 
 
 @query
@@ -344,7 +343,7 @@ def thread_fold(spark, sf_dir):
 @query
 def html_lists(spark, sf_dir):
     p = table(spark, sf_dir, "pages", "page_id", "html")
-    items = p.select("page_id", F.posexplode(html_text.list_items(F.col("html"))).alias("item_no", "item"))
+    items = explode_positions(p, ["page_id"], html_text.list_items(F.col("html")), "item_no", "item")
     return items.select("page_id", F.col("item_no").cast("bigint").alias("item_no"), email.html_unescape(F.col("item")).alias("item"))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loglens.functions.text import explode_positions
+
 from loglens.sources.tables import table
 
 # Values the F1 derivation cycles through (chosen to hit mode ties, a blank
@@ -159,7 +161,7 @@ def order_flag_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F5 pages: each line of a document is a page (1-based page_no)."""
     d = table(spark, sf_dir, "documents", "doc_id", "text")
-    return d.select("doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "line")).select(
+    return explode_positions(d, ["doc_id"], F.split(F.col("text"), "\n", -1), "pos", "line").select(
         "doc_id", (F.col("pos") + 1).cast("int").alias("page_no"), F.col("line").alias("text")
     )
 

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglens.functions.text import explode_positions
+
 from loglens.operators import chunking, completion, email, html_text, imports, replay, threads
 from loglens.sources import documents
 from loglens.sources.logs import read_eval_log
@@ -29,9 +31,8 @@ def summarise_documents(
 ) -> None:
     """pages (doc_id, page_no, text) [+ metadata] -> one JSON summary per document."""
     docs = documents.assemble_documents(pages, info)
-    b = chunking.with_boundaries(docs)
-    chunks = b.select("doc_id", *completion.META, F.posexplode(
-        chunking.semantic_chunks(F.col("text"), F.col("boundaries"), chunk_size=chunk_size)).alias("chunk_idx", "chunk"))
+    b = chunking.with_chunks(docs, chunk_size=chunk_size)
+    chunks = explode_positions(b, ["doc_id", *completion.META], F.col("chunks"), "chunk_idx", "chunk")
     completion.write_summaries(completion.summarise(chunks, fn, completion_factory, is_financial), out_path)
 
 

@@ -37,7 +37,7 @@ def expected_chunks(text, size=2000):
     return out
 
 
-ATOMS = ["\nSection 3: Intro", "\n1.2 Terms and More", "\nIV. Risk Factors", "\nRISK FACTORS", "\nArticle IV: Terms",
+ATOMS = ["\nSection 3: Intro", "é\n\nü", "日本語 ", "\n1.2 Terms and More", "\nIV. Risk Factors", "\nRISK FACTORS", "\nArticle IV: Terms",
          "\n\n", "abc def ", "x" * 700, " é ", "\n  2 Big Title", "\nII.  Next", "\nSECTION 12. word",
          "\nALL CAPS (note)", "\n", "123 ", "Ünïcode ", "\r\n", " "]
 
@@ -47,19 +47,21 @@ def test_chunker_random_equivalence(spark):
     texts = ["", "\n\nEND", "plain", "x" * 2500 + "\n\nshort", "x" * 1999, "x" * 1998 + "\n\n"]
     texts += ["".join(rnd.choice(ATOMS) for _ in range(rnd.randint(0, 45))) for _ in range(800)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    df = df.withColumn("b", chunking.section_boundaries(F.col("t")))
-    res = df.select("id", "b", chunking.semantic_chunks(F.col("t"), F.col("b")).alias("c")).collect()
+    res = chunking.with_sections(chunking.with_chunks(df, "t", "c"), "t", "s").collect()
     for r in res:
         t = texts[r.id]
-        assert list(r.b) == boundaries(t), repr(t)
+        b = boundaries(t)
+        assert list(r.boundaries) == b, repr(t)
         assert list(r.c) == expected_chunks(t), repr(t)
+        assert list(r.s) == [t[lo:hi] for lo, hi in zip(b, b[1:] + [len(t)])], repr(t)
 
 
 def test_empty_first_chunk_parity_and_option(spark):
     t = "y" * 2100 + "\n\nz"
     df = spark.createDataFrame([(t,)], "t string")
-    keep = df.select(chunking.pack(F.col("t"), 2000, keep_empty=True)).first()[0]
-    drop = df.select(chunking.pack(F.col("t"), 2000, keep_empty=False)).first()[0]
+    df = df.withColumn("p", F.split("t", "\n\n", -1))
+    keep = df.select(chunking.pack_paragraphs(F.col("p"), 2000, keep_empty=True)).first()[0]
+    drop = df.select(chunking.pack_paragraphs(F.col("p"), 2000, keep_empty=False)).first()[0]
     assert keep[0] == "" and keep[1:] == drop
 
 
@@ -67,3 +69,24 @@ def test_caps_header_only_at_end(spark):
     df = spark.createDataFrame([("intro\nRISK FACTORS\nmore",), ("intro\nRISK FACTORS",)], "t string")
     got = [list(r[0]) for r in df.select(chunking.section_boundaries(F.col("t"))).collect()]
     assert got == [[0], [0, 5]]
+
+
+def test_large_document_is_linear(spark):
+    """A 4 MB single document: no per-chunk re-evaluation of the text (this
+    took about a minute before chunking was made linear)."""
+    import time
+
+    para = "word " * 60
+    text = "\n\n".join([para] * 13_000)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    chunking.chunk_documents(df).count()  # warm-up
+    t0 = time.time()
+    n = chunking.chunk_documents(df).count()
+    assert n == len(packed(text, 2000, keep_empty=True))
+    assert time.time() - t0 < 20
+
+
+def test_no_expression_duplication_in_plan(spark):
+    df = spark.createDataFrame([(1, "a\n\nb")], "doc_id long, text string")
+    plan = chunking.chunk_documents(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == len(chunking.defaults.SECTION_PATTERNS)
