@@ -3,7 +3,8 @@
 * boundaries: start offset of every match of each section pattern, matched
   independently on the whole text (successive non-overlapping matches, as
   ``re.finditer``), plus 0, de-duplicated and sorted.  Offsets are obtained by
-  marking matches with ``regexp_replace`` and summing piece lengths.
+  marking matches with ``regexp_replace`` and summing piece lengths in
+  blocks (linear in the number of matches).
 * strategy: sections when 1 < #boundaries < 30, else paragraph packing.
 * a section longer than 1.5 x chunk_size is re-packed by paragraphs.
 * packing: greedy over ``split(text, '\\n\\n')``; a paragraph is added while
@@ -31,37 +32,89 @@ def java_pattern(py_pattern: str) -> str:
     return "(?U)(?d)" + py_pattern
 
 
-def _starts_from_lengths(pieces: Column) -> Column:
-    """Start offsets of pieces 2..n as structs (c: characters, b: UTF-8 bytes):
-    running sums of piece lengths without the total, one fold."""
-    init = F.struct(F.array().cast("array<struct<c:int,b:int>>").alias("out"), F.lit(0).alias("c"), F.lit(0).alias("b"))
+_BLOCK = 128
+# (characters, bytes) packed as characters * 2^32 + (bytes - characters): the
+# low word must vary, since a long hashes as (l ^ l >>> 32) and ASCII text has
+# bytes == characters.
+_SHIFT = 1 << 32
 
-    def step(acc, p):
-        c = acc["c"] + F.length(p)
-        b = acc["b"] + F.octet_length(p)
+
+def _fold_sums(pairs: Column, start: Column) -> Column:
+    """Inclusive running sums of (c, b) pairs from ``start``: one fold,
+    quadratic in the (short) array length."""
+    init = F.struct(F.array().cast("array<struct<c:int,b:int>>").alias("out"), start["c"].alias("c"), start["b"].alias("b"))
+
+    def step(acc, x):
+        c, b = acc["c"] + x["c"], acc["b"] + x["b"]
         return F.struct(F.concat(acc["out"], F.array(F.struct(c.alias("c"), b.alias("b")))).alias("out"), c.alias("c"), b.alias("b"))
 
-    return F.aggregate(pieces, init, step, lambda acc: F.slice(acc["out"], 1, F.size(acc["out"]) - 1))
+    return F.aggregate(pairs, init, step, lambda acc: acc["out"])
+
+
+def _zero() -> Column:
+    return F.struct(F.lit(0).alias("c"), F.lit(0).alias("b"))
 
 
-def match_starts(text: Column, py_pattern: str) -> Column:
-    """(character, byte) offsets of successive non-overlapping matches: mark
-    each match, split on the mark, and sum the piece lengths."""
+def _with_piece_starts(df: DataFrame, text: Column, py_pattern: str, name: str) -> DataFrame:
+    """Adds ``name``: (character, byte) offsets of successive non-overlapping
+    matches.  Matches are marked, the marked text is split, and the piece
+    lengths are summed in blocks of 128 (block totals, running offsets of the
+    blocks, running sums inside each block): linear in the number of matches
+    for a fixed block size, where a single fold would be quadratic.  The
+    piece lengths are a column, so lambdas read them by reference."""
     marked = F.regexp_replace(text, java_pattern(py_pattern), _MARK + "$0")
-    return _starts_from_lengths(F.split(marked, _MARK, -1))
+    lens = f"{name}_len"
+    df = df.withColumn(lens, F.transform(F.split(marked, _MARK, -1),
+                                         lambda p: F.struct(F.length(p).alias("c"), F.octet_length(p).alias("b"))))
+    n = F.size(lens)
+    nb = F.greatest(F.ceil(n / F.lit(_BLOCK)).cast("int"), F.lit(1))
+    blocks = F.transform(F.sequence(F.lit(0), nb - 1), lambda j: F.slice(lens, j * _BLOCK + 1, F.lit(_BLOCK)))
+    tots = f"{name}_tot"
+    df = df.withColumn(f"{name}_blk", blocks)
+    df = df.withColumn(tots, F.transform(f"{name}_blk", lambda blk: F.aggregate(
+        blk, _zero(), lambda a, x: F.struct((a["c"] + x["c"]).alias("c"), (a["b"] + x["b"]).alias("b")))))
+    # exclusive running offsets of the blocks (quadratic in #blocks only)
+    offs = F.concat(F.array(_zero()), F.slice(_fold_sums(F.col(tots), _zero()), 1, F.greatest(F.size(tots) - 1, F.lit(0))))
+    df = df.withColumn(f"{name}_off", offs)
+    # ``_off`` is also read outside the lambda (the sequence bound): a column
+    # read only inside a lambda would be inlined there by the optimizer and
+    # recomputed for every block.
+    inner = F.flatten(F.transform(
+        F.sequence(F.lit(1), F.least(F.size(f"{name}_blk"), F.size(f"{name}_off"))),
+        lambda j: _fold_sums(F.element_at(f"{name}_blk", j), F.element_at(f"{name}_off", j)),
+    ))
+    # the last running sum is the text length, not a match start; each (c, b)
+    # is packed into one bigint so the union below hashes (structs would be
+    # compared pairwise)
+    starts = F.slice(inner, 1, F.greatest(F.size(lens) - 1, F.lit(0)))
+    keys = F.transform(starts, lambda x: F.shiftleft(x["c"].cast("bigint"), 32) + (x["b"] - x["c"]).cast("bigint"))
+    return df.withColumn(name, keys).drop(lens, f"{name}_blk", tots, f"{name}_off")
+
 
+def with_boundary_pairs(df: DataFrame, text_col: str = "text", patterns: Sequence[str] = defaults.SECTION_PATTERNS,
+                        name: str = "_bp") -> DataFrame:
+    """Adds ``name``: sorted distinct boundaries as (c, b) structs, always including 0."""
+    t = F.col(text_col)
+    cols = []
+    for k, p in enumerate(patterns):
+        df = _with_piece_starts(df, t, p, f"{name}_p{k}")
+        cols.append(f"{name}_p{k}")
+    acc = F.array(F.lit(0).cast("bigint"))
+    for c in cols:
+        acc = F.array_union(acc, F.col(c))
+    def unpack(k):
+        c = F.shiftright(k, 32).cast("int")
+        return F.struct(c.alias("c"), (c + k.bitwiseAND(F.lit(_SHIFT - 1)).cast("int")).alias("b"))
 
-def boundary_pairs(text: Column, patterns: Sequence[str] = defaults.SECTION_PATTERNS) -> Column:
-    """Sorted distinct boundaries as (c, b) structs, always including 0."""
-    acc = F.array(F.struct(F.lit(0).alias("c"), F.lit(0).alias("b")))
-    for p in patterns:
-        acc = F.array_union(acc, match_starts(text, p))
-    return F.array_sort(acc)
+    pairs = F.transform(F.sort_array(acc), unpack)
+    return df.withColumn(name, pairs).drop(*cols)
 
 
-def section_boundaries(text: Column, patterns: Sequence[str] = defaults.SECTION_PATTERNS) -> Column:
-    """Sorted distinct boundary offsets (characters), always including 0."""
-    return F.transform(boundary_pairs(text, patterns), lambda x: x["c"])
+def with_boundaries(df: DataFrame, text_col: str = "text", patterns: Sequence[str] = defaults.SECTION_PATTERNS,
+                    out_col: str = "boundaries") -> DataFrame:
+    """Adds ``out_col``: sorted distinct boundary offsets (characters), including 0."""
+    d = with_boundary_pairs(df, text_col, patterns, "_bp")
+    return d.withColumn(out_col, F.transform("_bp", lambda x: x["c"])).drop("_bp")
 
 
 def cut_bytes(utf8: Column, pairs: Column) -> Column:
@@ -143,7 +196,7 @@ def with_chunks(
     """
     lim = chunk_size * resplit_factor
     t = F.col(text_col)
-    d = docs.withColumn("_bp", boundary_pairs(t, patterns))
+    d = with_boundary_pairs(docs, text_col, patterns, "_bp")
     use_sections = (F.size("_bp") > 1) & (F.size("_bp") < max_boundaries)
     d = d.withColumn("_utf8", F.when(use_sections, F.encode(t, "UTF-8")))
     d = d.withColumn("_secs", F.when(use_sections, cut_bytes(F.col("_utf8"), F.col("_bp"))))
@@ -169,7 +222,7 @@ def with_sections(docs: DataFrame, text_col: str = "text", out_col: str = "secti
                   patterns: Sequence[str] = defaults.SECTION_PATTERNS) -> DataFrame:
     """Adds ``boundaries`` and ``out_col``: the text cut at every boundary
     (any number of them; linear in the text length)."""
-    d = docs.withColumn("_bp", boundary_pairs(F.col(text_col), patterns)).withColumn("_utf8", F.encode(F.col(text_col), "UTF-8"))
+    d = with_boundary_pairs(docs, text_col, patterns, "_bp").withColumn("_utf8", F.encode(F.col(text_col), "UTF-8"))
     return (d.withColumn(out_col, cut_bytes(F.col("_utf8"), F.col("_bp")))
             .withColumn("boundaries", F.transform("_bp", lambda x: x["c"])).drop("_bp", "_utf8"))
 

@@ -234,7 +234,7 @@ def doc_metadata(spark, sf_dir):
 @query
 def section_boundaries(spark, sf_dir):
     t = fx.order_texts(spark, sf_dir)
-    b = explode_positions(t, ["doc_id"], chunking.section_boundaries(F.col("text")), "_i", "boundary")
+    b = explode_positions(chunking.with_boundaries(t), ["doc_id"], F.col("boundaries"), "_i", "boundary")
     return b.select("doc_id", F.col("boundary").cast("bigint").alias("boundary"))
 
 

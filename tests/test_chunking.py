@@ -67,7 +67,7 @@ def test_empty_first_chunk_parity_and_option(spark):
 
 def test_caps_header_only_at_end(spark):
     df = spark.createDataFrame([("intro\nRISK FACTORS\nmore",), ("intro\nRISK FACTORS",)], "t string")
-    got = [list(r[0]) for r in df.select(chunking.section_boundaries(F.col("t"))).collect()]
+    got = [list(r.boundaries) for r in chunking.with_boundaries(df, "t").collect()]
     assert got == [[0], [0, 5]]
 
 
@@ -90,3 +90,16 @@ def test_no_expression_duplication_in_plan(spark):
     df = spark.createDataFrame([(1, "a\n\nb")], "doc_id long, text string")
     plan = chunking.chunk_documents(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == len(chunking.defaults.SECTION_PATTERNS)
+
+
+def test_many_matches_are_linear(spark):
+    """80,000 numbered lines (each a boundary): blocked running sums, not a
+    quadratic fold (which took about six minutes)."""
+    import time
+
+    text = "intro" + "".join(f"\n1.{i % 9 + 1} Terms of item {i}" for i in range(80_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    t0 = time.time()
+    b = chunking.with_boundaries(df).first().boundaries
+    assert list(b) == boundaries(text)
+    assert time.time() - t0 < 60
