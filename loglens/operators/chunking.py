@@ -141,18 +141,27 @@ def pack_starts(paras: Column, chunk_size: int = defaults.CHUNK_SIZE, keep_empty
     The fold carries integers only.
     """
     seplen = len(sep)
-    init = F.struct(F.array(F.lit(1)).alias("starts"), F.lit(0).alias("cur"), F.lit(0).alias("i"))
+    # chunk starts are kept in blocks of at most 128 (the open block plus a
+    # list of closed ones), so appending stays cheap for documents with many
+    # chunks; the blocks are flattened at the end
+    init = F.struct(F.array().cast("array<array<int>>").alias("done"), F.array(F.lit(1)).alias("open"),
+                    F.lit(0).alias("cur"), F.lit(0).alias("i"))
 
     def step(acc, par):
         i = acc["i"] + 1
         fits = acc["cur"] + F.length(par) < F.lit(chunk_size)
-        opened = F.concat(acc["starts"], F.array(i))
+        grown = F.concat(acc["open"], F.array(i))
         if not keep_empty:  # an empty current chunk is replaced, not closed (cur == 0 only before the first paragraph)
-            opened = F.when(acc["cur"] > 0, opened).otherwise(F.array(i))
-        return F.when(fits, F.struct(acc["starts"].alias("starts"), (acc["cur"] + F.length(par) + seplen).alias("cur"), i.alias("i"))) \
-            .otherwise(F.struct(opened.alias("starts"), (F.length(par) + seplen).alias("cur"), i.alias("i")))
-
-    return F.aggregate(paras, init, step, lambda acc: acc["starts"])
+            grown = F.when(acc["cur"] > 0, grown).otherwise(F.array(i))
+        full = F.size(grown) >= F.lit(_BLOCK)
+        done = F.when(full, F.concat(acc["done"], F.array(grown))).otherwise(acc["done"])
+        opened = F.when(full, F.array().cast("array<int>")).otherwise(grown)
+        kept = F.struct(acc["done"].alias("done"), acc["open"].alias("open"),
+                        (acc["cur"] + F.length(par) + seplen).alias("cur"), i.alias("i"))
+        closed = F.struct(done.alias("done"), opened.alias("open"), (F.length(par) + seplen).alias("cur"), i.alias("i"))
+        return F.when(fits, kept).otherwise(closed)
+
+    return F.aggregate(paras, init, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["open"]))))
 
 
 def chunks_from_starts(paras: Column, starts: Column, sep: str = defaults.PARAGRAPH_SEP) -> Column:
