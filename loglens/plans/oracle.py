@@ -665,9 +665,7 @@ LEFT JOIN (SELECT o_custkey AS thread_id, {summary_sql} AS summary,
                   '{{' || {NL} || {json_parts} || {NL} || '}}' AS js FROM ok_out GROUP BY o_custkey) f
   ON f.thread_id = t.thread_id""",
     })
-    from loglens.operators.html_text import english_stop_words
-
-    stop_list = "[" + ", ".join(q(w) for w in english_stop_words()) + "]"
+    stop_list = "[" + ", ".join(q(w) for w in defaults.ENGLISH_STOP_WORDS) + "]"
     li = "regexp_extract_all(html, '(?is)<li(?:\\s[^>]*)?>(.*?)</li>', 1)"
     own = ("array_to_string(list_filter(list_transform(string_split_regex(x, '<[^>]*>'), "
            "lambda f: regexp_replace(f, '^\\s+|\\s+$', '', 'g')), lambda f: f <> ''), '')")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from loglens.plans import catalog, oracle
 from scripts.check_oracle import TABLES, rows_of
 
 SF = os.environ.get("LOGLENS_TEST_SF", "/root/testdata/sf0.001")
@@ -23,14 +24,27 @@ def con():
 def test_contract_keys():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"html_text_pages"}
+    assert set(catalog.QUERIES) <= set(q)
+    assert set(catalog.QUERIES) - set(o) == {"html_text_pages"}
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+def test_oracle_reads_no_file_of_the_install(monkeypatch):
+    import builtins
+    import zipfile
+
+    def refuse(*a, **k):
+        raise FileNotFoundError(a)
+
+    monkeypatch.setattr(zipfile, "ZipFile", refuse)
+    monkeypatch.setattr(builtins, "open", refuse)
+    assert set(oracle.oracle_sql()) == set(catalog.QUERIES) - {"html_text_pages"}
+
+
+@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     s_rows, s_cols = rows_of(df.columns, df.collect())
-    res = con.execute(E.oracle_sql()[name])
+    res = con.execute(oracle.oracle_sql()[name])
     o_rows, o_cols = rows_of([d[0] for d in res.description], res.fetchall())
     assert s_cols == o_cols
     assert len(s_rows) == len(o_rows)
