@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.llm.common import body, prepare
+from loglens.operators.sizes import broadcast_if_small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -87,8 +88,8 @@ def thresholds(keyed: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
     t = targets.select(F.col("source").alias("t_source"), "rest")
     ends = (sums.withColumn("end", F.sum("words").over(run)).join(t, F.col("source").eqNullSafe(F.col("t_source")))
             .filter("end > rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("end") - F.col("words")).alias("start"), "rest")).alias("b"))
-            .select(F.col("source").alias("b_source"), F.col("b.bucket").alias("b_bucket"), F.col("b.start").alias("start"), "b.rest"))
-    inside = keyed.join(ends, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
+            .select(F.col("source").alias("b_source"), F.col("b.bucket").alias("b_bucket"), F.col("b.start").alias("start"), "b.rest")).checkpoint()
+    inside = keyed.join(broadcast_if_small(ends), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
     within = Window.partitionBy("source").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)
     taken = (inside.withColumn("prefix", F.col("start") + F.sum("size").over(within))
              .filter(F.col("prefix") - F.col("size") / 2 <= F.col("rest")))
@@ -116,7 +117,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     weight = text_weight(text_col) if weight is None else weight
     keyed = _keyed(docs, id_col, source_col, text_col, weight, seed).checkpoint()  # narrow: texts are read once
     marks = thresholds(keyed, weights, share, cap)
-    out = keyed.join(marks, F.col("source").eqNullSafe(F.col("m_source"))).withColumn("times", _times(F.col("key"), F.col("id")))
+    out = keyed.join(broadcast_if_small(marks), F.col("source").eqNullSafe(F.col("m_source"))).withColumn("times", _times(F.col("key"), F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
                       F.col("times").cast("long").alias("times"), (F.col("times") * F.col("size")).cast("long").alias("taken"))
 
@@ -132,6 +133,6 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     at = {c: f"c{i}" for i, c in enumerate(names)}
     rows = docs.toDF(*at.values())
     key = exponential_key(at[id_col], text_weight(at[text_col]), seed)
-    rows = rows.withColumn("key", key).join(marks, F.col(at[source_col]).eqNullSafe(F.col("m_source")))
+    rows = rows.withColumn("key", key).join(broadcast_if_small(marks), F.col(at[source_col]).eqNullSafe(F.col("m_source")))
     rows = rows.withColumn("times", _times(F.col("key"), F.col(at[id_col])).cast("int")).filter("times > 0")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(a).alias(c) for c, a in at.items()])

@@ -6,14 +6,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import exact_dedup, mixing, packing, token_counts
-from loglens.llm.common import table
+from loglens.llm import chat_format, embedding_dedup, exact_dedup, labelled, mixing, packing, quality, shingle_join, token_counts, toxicity, warc
+from loglens.llm.common import shared_folder, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, back = table(spark, sf_dir, "documents"), labelled.held_out("doc_id", 3, 1)
+    scored = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels"), ~back))
+    return scored.select("doc_id", back.alias("held_out"), "score", "predicted")
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = chat_format.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda s: F.concat(s["start"], F.lit(":"), s["end"])), ",")
+    masked = F.aggregate("mask", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return views.select("conv_id", "part", "perspective", "n_turns", "rendered", F.length("rendered").cast("long").alias("n_chars"), spans.alias("mask"), masked.alias("masked_chars"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, folder = table(spark, sf_dir, "pages"), shared_folder(spark, "warc")
+    records = warc.read_archives(warc.write_archives(pages, folder), folder, payloads=False).filter("kind = 'record'")
+    kind = pages.schema["page_id"].dataType
+    return records.select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, back = table(spark, sf_dir, "documents"), labelled.held_out("doc_id", 4, 2)
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), ~back))
+    return scored.select("doc_id", back.alias("held_out"), "score", "predicted")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -22,13 +48,47 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.flag_copies(table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_packing, op7_mixing, op9_exact_dedup)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_chat_format, op4_warc, op5_toxicity, op6_packing, op7_mixing, op8_shingle_join,
+                                   op9_exact_dedup, op10_embedding_dedup)}
 
 ORACLE_SQL = {
+    "op3_chat_format": r"""
+WITH m AS (
+  SELECT DISTINCT conv_id, CAST(floor(turn / 128) AS BIGINT) AS part, turn, coalesce(role, '') AS who,
+         regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '< |\1| >', 'g') AS text
+  FROM conversations
+), v AS (
+  SELECT m.*, p.who AS perspective, '<|im_start|>' || CASE WHEN m.who = p.who THEN 'assistant' WHEN m.who = 'system' THEN 'system'
+           ELSE 'user name=' || regexp_replace(CASE WHEN m.who = '' THEN 'unknown' ELSE m.who END, '[^A-Za-z0-9_.-]', '_', 'g') END || chr(10) AS head
+  FROM m JOIN (SELECT DISTINCT conv_id, who FROM m WHERE who <> 'system') p ON m.conv_id IS NOT DISTINCT FROM p.conv_id
+), o AS (
+  SELECT *, head || text || '<|im_end|>' || chr(10) AS piece,
+         coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, part, perspective ORDER BY turn, who, text
+                                                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
+  FROM v
+)
+SELECT conv_id, part, perspective, count(*) AS n_turns, string_agg(piece, '' ORDER BY turn, who, text) AS rendered,
+       CAST(sum(length(piece)) AS BIGINT) AS n_chars,
+       coalesce(string_agg(CASE WHEN who = perspective THEN CAST(start AS VARCHAR) || ':' || CAST(start + length(text) + 10 AS VARCHAR) END, ',' ORDER BY turn, who, text), '') AS mask,
+       CAST(coalesce(sum(CASE WHEN who = perspective THEN length(text) + 10 END), 0) AS BIGINT) AS masked_chars
+FROM o GROUP BY conv_id, part, perspective""",
+    "op4_warc": """
+SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+       CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id > min(page_id) OVER w THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id > min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
+FROM pages WINDOW w AS (PARTITION BY coalesce(html, ''))""",
     "op7_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
