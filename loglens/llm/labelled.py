@@ -20,9 +20,9 @@ def held_out(id_col: str, n: int, kept_back: int) -> Column:
     return remainder(id_col, n) == kept_back
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, learnable: Column, per_class: int, most_chars: int,
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, learnable: Column, per_class: tuple[int, int], most_chars: int,
            id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """Up to ``per_class`` learnable rows of each class, in a fixed pseudo-random order of ids, with up to
+    """Up to ``per_class[y]`` learnable rows of each class y, in a fixed pseudo-random order of ids, with up to
     ``most_chars`` characters of each text (a stretch at a pseudo-random place), and the sizes of the classes.
 
     Only ids and labels take part in the choice; the chosen ids, a bounded number, are then joined with the texts.
@@ -33,12 +33,12 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, learnable: Column
     order = F.xxhash64("k", F.lit(31))
     chosen = None
     for y in (0, 1):
-        part = known.filter(F.col("y") == y).orderBy(order, "k").limit(per_class)
+        part = known.filter(F.col("y") == y).orderBy(order, "k").limit(per_class[y])
         chosen = part if chosen is None else chosen.unionByName(part)
     text = F.col("t")
     start = F.pmod(F.xxhash64("k", F.lit(32)), F.greatest(F.length(text) - most_chars, F.lit(0)) + 1).cast("int") + 1
-    rows = docs.select(F.col(id_col).alias("k"), body(text_col).alias("t")).join(F.broadcast(chosen), "k")  # at most 2 * per_class rows of two numbers
-    found = rows.select("k", text.substr(start, F.lit(most_chars)).alias("t"), "y").orderBy(order, "k", "t").limit(2 * per_class).collect()
+    rows = docs.select(F.col(id_col).alias("k"), body(text_col).alias("t")).join(F.broadcast(chosen), "k")  # at most sum(per_class) rows of two numbers
+    found = rows.select("k", text.substr(start, F.lit(most_chars)).alias("t"), "y").orderBy(order, "k", "t").limit(sum(per_class)).collect()
     return [(r["t"], r["y"]) for r in found], sizes
 
 

@@ -152,7 +152,7 @@ def _gradients(params: list[np.ndarray], x: np.ndarray, y: np.ndarray, weight: n
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           per_class: int = PER_CLASS) -> Model:
     prepare(docs)
-    return fit(*labelled.sample(docs, labels, label_col, learnable, per_class, MOST_CHARS, id_col, text_col))
+    return fit(*labelled.sample(docs, labels, label_col, learnable, (per_class, per_class), MOST_CHARS, id_col, text_col))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
