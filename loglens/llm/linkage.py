@@ -92,16 +92,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (a, b), root the smallest node of its component.
 
     Each round replaces every node's neighbours by links to the smallest of them (large star for the greater
-    ones, small star for the others) and is cut by a checkpoint; a fixed point is reached in a logarithmic
-    number of rounds.  Only aggregations and equi-joins, so a node with very many neighbours is split.
+    ones, small star for the others); a fixed point is reached in a logarithmic number of rounds.  The smallest
+    neighbours are written before they are joined, so both sides of a join are plain exchanges, and adaptive
+    execution can split the rows of a node with very many neighbours.
     """
     e = (edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()).checkpoint()
     state = _state(e)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        e = both.join(low, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")).checkpoint()
+        e = both.join(low, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        low = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m").checkpoint()
         own = low.select(F.col("k").alias("u"), F.col("m").alias("v"))
         moved = e.join(low, F.col("u") == F.col("k")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = own.unionByName(moved).distinct().checkpoint()

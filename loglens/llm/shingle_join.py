@@ -35,8 +35,8 @@ from loglens.llm.common import body, prepare
 from loglens.operators.sizes import broadcast_if_small
 
 GRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
-#: shingles that a set chooses on each level, on average; levels of splitting
-RATE, LEVELS = 2.0, 3
+#: shingles that a set chooses on each level, on average; levels of splitting; runs before the classes are merged
+RATE, LEVELS, FIRST_RUNS = 2.0, 3, 2
 #: members of a bucket that are compared outright, of a class block that are compared exactly; pivots of a bucket
 BUCKET, BLOCK, PIVOTS = 512, 100, 4
 #: hashes in a sketch, and how many standard deviations below the threshold its bound lies
@@ -145,30 +145,34 @@ def _describe(gram: int, runs: int, levels: int, rate: float, seed: int):
 
 # ------------------------------------------------------------ buckets (inside tasks)
 def _sketch_stars(bound: int):
-    """Stars of the members of each bucket whose sketches agree in ``bound`` places or more."""
+    """Stars between the parts of each bucket, by members whose sketches agree in ``bound`` places or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in linkage.grouped(batches, ["key", "bi", "bj"]):
-            node, own = t["node"].to_numpy(), t["own"].to_numpy()
+            part, own = t["part"].to_numpy(), t["own"].to_numpy()
             cross = t["bi"].to_numpy() != t["bj"].to_numpy()
             sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
             sizes = np.diff([*starts, t.num_rows])
             two = starts[sizes == 2]
+            two = two[part[two] != part[two + 1]]
             same = (sketch[two] == sketch[two + 1]).sum(axis=1) >= bound
             same &= ~cross[two] | (own[two] != own[two + 1])
-            out_a, out_b = [node[two[same]]], [node[two[same] + 1]]
+            out_a, out_b = [part[two[same]]], [part[two[same] + 1]]
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                names, mine = np.unique(part[s:s + n], return_inverse=True)
+                if len(names) == 1:
+                    continue
                 x, a, b = sketch[s:s + n], [], []
                 for i in range(n - 1):
                     j = np.flatnonzero((x[i + 1:] == x[i]).sum(axis=1) >= bound) + i + 1
                     if cross[s]:
                         j = j[own[s + j] != own[s + i]]
-                    a.append(np.full(len(j), i))
-                    b.append(j)
-                root = linkage.star_roots(n, np.concatenate(a), np.concatenate(b))
-                moved = np.flatnonzero(root != np.arange(n))
-                out_a.append(node[s + moved])
-                out_b.append(node[s + root[moved]])
+                    a.append(np.full(len(j), mine[i]))
+                    b.append(mine[j])
+                root = linkage.star_roots(len(names), np.concatenate(a), np.concatenate(b))
+                moved = np.flatnonzero(root != np.arange(len(names)))
+                out_a.append(names[moved])
+                out_b.append(names[root[moved]])
             a, b = np.concatenate(out_a), np.concatenate(out_b)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -177,7 +181,8 @@ def _sketch_stars(bound: int):
 
 
 def _to_pivots(bound: int):
-    """Members of large buckets -> (key, node, the first pivot that its sketch is near to, its number)."""
+    """Members of large buckets -> (key, node, part, the part of the first pivot that its sketch is near to, the
+    pivot's number or -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -187,7 +192,7 @@ def _to_pivots(bound: int):
                 theirs = np.frombuffer(b"".join(t[f"s{p}"].to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
                 near = (own == theirs).sum(axis=1) >= bound
                 number[near], pivot[near] = p, t[f"p{p}"].to_numpy()[near]
-            yield pa.RecordBatch.from_arrays([t["key"], t["run"], t["node"], pa.array(pivot), pa.array(number)], names=["key", "run", "node", "pivot", "number"])
+            yield pa.RecordBatch.from_arrays([t["key"], t["run"], t["node"], t["part"], pa.array(pivot), pa.array(number)], names=["key", "run", "node", "part", "pivot", "number"])
 
     return run
 
@@ -222,38 +227,41 @@ def _jaccard_links(gram: int, threshold: float):
 
 
 # ------------------------------------------------------------ the join
-def _candidates(nodes: DataFrame, levels: int, bound: int) -> DataFrame:
-    """Candidate edges (a, b): chosen paths over (node, sketch, l1, ...)."""
-    rows = (nodes.select("node", "sketch", F.posexplode("l1").alias("run", "tokens"))
-            .select("node", "sketch", "run", F.explode("tokens").alias("token"))
-            .select(F.xxhash64("run", "token").alias("key"), "run", "node", "sketch"))
+def _candidates(nodes: DataFrame, first: int, last: int, bound: int) -> DataFrame:
+    """Candidate edges (a, b) between parts, from runs ``first`` to ``last``: chosen paths over
+    (node, part, sketch, l1, ...).  Buckets that lie in one part have nothing to add and are passed over."""
+    chosen = F.posexplode(F.slice("l1", first + 1, last - first)).alias("pos", "tokens")
+    rows = (nodes.select("node", "part", "sketch", chosen)
+            .select("node", "part", "sketch", (F.col("pos") + first).alias("run"), F.explode("tokens").alias("token"))
+            .select(F.xxhash64("run", "token").alias("key"), "run", "node", "part", "sketch"))
     found = None
-    for level in range(1, levels + 1):
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        large = None
-        if level == levels:
+    for level in range(1, LEVELS + 1):
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("part") < F.max("part")).alias("mixed"))
+        mixed = None
+        if level == LEVELS:
             small = linkage.bucket_rows(rows, "key", "node", BUCKET, counts)
         else:
-            large = counts.filter(F.col("n") > BUCKET).select(F.col("key").alias("k")).checkpoint()
-            large = None if large.isEmpty() else broadcast_if_small(large)
-            small = linkage.whole_buckets(rows if large is None else rows.join(large, F.col("key") == F.col("k"), "left_anti"))
-        edges = linkage.by_group(small.drop("run"), ["key", "bi", "bj"]).mapInArrow(_sketch_stars(bound), "a long, b long")
+            large = counts.filter(F.col("n") > BUCKET).select(F.col("key").alias("k"), "mixed").checkpoint()
+            small = linkage.whole_buckets(rows.join(broadcast_if_small(large), F.col("key") == F.col("k"), "left_anti"))
+            mixed = large.filter("mixed").select("k")
+            mixed = None if mixed.isEmpty() else mixed
+        edges = linkage.by_group(small.drop("run", "node"), ["key", "bi", "bj"]).mapInArrow(_sketch_stars(bound), "a long, b long")
         found = edges if found is None else found.unionByName(edges)
-        if large is None:
+        if mixed is None:
             break
-        rows = rows.join(large, F.col("key") == F.col("k"), "left_semi")
-        picks = [F.min_by(F.struct("node", "sketch"), F.xxhash64("node", F.lit(p))).alias(f"q{p}") for p in range(PIVOTS)]
-        pivots = rows.groupBy("key").agg(*picks).select(F.col("key").alias("k"), *[F.col(f"q{p}.node").alias(f"p{p}") for p in range(PIVOTS)], *[F.col(f"q{p}.sketch").alias(f"s{p}") for p in range(PIVOTS)])
+        rows = rows.join(broadcast_if_small(mixed), F.col("key") == F.col("k"), "left_semi")
+        picks = [F.min_by(F.struct("part", "sketch"), F.xxhash64("node", F.lit(p))).alias(f"q{p}") for p in range(PIVOTS)]
+        pivots = rows.groupBy("key").agg(*picks).select(F.col("key").alias("k"), *[F.col(f"q{p}.part").alias(f"p{p}") for p in range(PIVOTS)], *[F.col(f"q{p}.sketch").alias(f"s{p}") for p in range(PIVOTS)])
         near = (rows.join(broadcast_if_small(pivots.checkpoint()), F.col("key") == F.col("k")).drop("k")
-                .mapInArrow(_to_pivots(bound), "key long, run int, node long, pivot long, number long").checkpoint())
-        found = found.unionByName(near.filter("number >= 0 AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+                .mapInArrow(_to_pivots(bound), "key long, run int, node long, part long, pivot long, number long").checkpoint())
+        found = found.unionByName(near.filter("number >= 0 AND part <> pivot").select(F.col("part").alias("a"), F.col("pivot").alias("b")))
         # a bucket whose members are all near its first pivot is one class already; the others are split
-        mixed = near.groupBy("key").agg(F.max(F.col("number") != 0).alias("mixed")).filter("mixed").select(F.col("key").alias("k")).checkpoint()
-        left = near.join(broadcast_if_small(mixed), F.col("key") == F.col("k"), "left_semi").select("key", "run", F.col("node").alias("at"))
-        chosen = nodes.select("node", "sketch", F.col(f"l{level + 1}").alias("tokens"))
-        rows = (left.join(chosen, F.col("at") == F.col("node"))
-                .select("key", "run", "node", "sketch", F.explode(F.col("tokens")[F.col("run")]).alias("token"))
-                .select(F.xxhash64("key", "token").alias("key"), "run", "node", "sketch").checkpoint())
+        left = near.groupBy("key").agg(F.max(F.col("number") != 0).alias("left")).filter("left").select(F.col("key").alias("k")).checkpoint()
+        left = near.join(broadcast_if_small(left), F.col("key") == F.col("k"), "left_semi").select("key", "run", F.col("node").alias("at"))
+        tokens = nodes.select("node", "part", "sketch", F.col(f"l{level + 1}").alias("tokens"))
+        rows = (left.join(tokens, F.col("at") == F.col("node"))
+                .select("key", "run", "node", "part", "sketch", F.explode(F.col("tokens")[F.col("run")]).alias("token"))
+                .select(F.xxhash64("key", "token").alias("key"), "run", "node", "part", "sketch").checkpoint())
     return found
 
 
@@ -268,9 +276,16 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, gram: int, threshold:
     nodes = (described.filter("sh IS NOT NULL").groupBy("sh")
              .agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("sketch").alias("sketch"), *[F.first(x).alias(x) for x in levels])
              .withColumn("node", F.monotonically_increasing_id()).checkpoint())  # the numbers hold from here on
-    edges = _candidates(nodes.select("node", "sketch", *levels), LEVELS, bound)
+    # the first runs find most classes; the others look only for links between what is still apart
+    parts, settled = nodes.select("node", "sketch", *levels, F.col("node").alias("part")), min(FIRST_RUNS, runs)
+    for first, last in ((0, settled), (settled, runs)):
+        if first == last:
+            continue
+        linked = linkage.components(_candidates(parts, first, last, bound)).select(F.col("node").alias("old"), "root")
+        parts = (parts.join(linked, F.col("part") == F.col("old"), "left").withColumn("part", F.coalesce("root", "part")).drop("old", "root")).checkpoint()
     slim = nodes.select("node", "sh", "least", "weight")
-    members = linkage.components(edges).join(slim, "node").checkpoint()
+    classes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("part").alias("root"))
+    members = parts.select("node", "part").join(classes, F.col("part") == F.col("root")).drop("part").join(slim, "node").checkpoint()
     texts = rows.withColumnRenamed("id", "text_id")
     members = texts.join(broadcast_if_small(members), F.col("least") == F.col("text_id")).drop("text_id")
     found = linkage.class_links(members, ["sh", "body"], _jaccard_links(gram, threshold), BLOCK)
