@@ -164,7 +164,10 @@ SECTION_SUMMARY_SEP = "\n\n"
 CHUNK_ERROR_TEXT = "[Error summarizing this section: {error}]"
 UNKNOWN = "Unknown"
 
-# Built-in stand-in completion: prefix + first 50 characters of the prompt + "...".
+# Default completion: prefix + length and digest of the whole prompt.
+DIGEST_COMPLETION_PREFIX = "completion of "
+
+# Optional stand-in completion: prefix + first 50 characters of the prompt + "...".
 STUB_COMPLETION_PREFIX = "This is where the LLM response would be for: "
 STUB_COMPLETION_CHARS = 50
 STUB_COMPLETION_SUFFIX = "..."
@@ -290,3 +293,10 @@ they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't w
 mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
 would
 """.split())
+
+# Layouts of log timestamps that are tried in this order where the ISO forms do not fit.
+TIMESTAMP_FORMATS: tuple[str, ...] = (
+    "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "M/d/yyyy",
+    "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d.M.yyyy H:mm:ss", "d.M.yyyy H:mm", "d.M.yyyy",
+    "d MMM yyyy H:mm:ss", "d MMM yyyy H:mm", "MMM d, yyyy H:mm",
+)

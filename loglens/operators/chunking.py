@@ -1,10 +1,10 @@
-"""Section-aware chunking, JVM-side (no Python worker).
+"""Section-aware chunking.
 
 * boundaries: start offset of every match of each section pattern, matched
   independently on the whole text (successive non-overlapping matches, as
-  ``re.finditer``), plus 0, de-duplicated and sorted.  Offsets are obtained by
-  marking matches with ``regexp_replace`` and summing piece lengths in
-  blocks (linear in the number of matches).
+  ``re.finditer``), plus 0, de-duplicated and sorted.  One Arrow UDF runs the
+  compiled patterns over each text and returns character and byte offsets;
+  cutting and packing stay JVM-side.
 * strategy: sections when 1 < #boundaries < 30, else paragraph packing.
 * a section longer than 1.5 x chunk_size is re-packed by paragraphs.
 * packing: greedy over ``split(text, '\\n\\n')``; a paragraph is added while
@@ -14,100 +14,56 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loglens import defaults
 from loglens.functions.text import explode_positions
 
-# Marker inserted before each match; a Unicode noncharacter, absent from text.
-_MARK = "﷐"
+# paragraphs in one block of the packing fold
+_BLOCK = 128
+# (characters, bytes) packed as characters * 2^32 + bytes: offsets leave Python as plain longs
+_LOW = (1 << 32) - 1
 
 
-def java_pattern(py_pattern: str) -> str:
-    """Python ``re`` pattern (str, no flags) -> Java: Unicode classes, and
-    ``$``/line ends on ``\\n`` only."""
-    return "(?U)(?d)" + py_pattern
+def boundary_offsets(text: str, patterns: Sequence[re.Pattern]) -> list[int]:
+    """0 and the starts of all matches of each pattern, in characters, sorted, once each."""
+    return sorted({0}.union(*({m.start() for m in p.finditer(text)} for p in patterns)))
 
 
-_BLOCK = 128
-# (characters, bytes) packed as characters * 2^32 + (bytes - characters): the
-# low word must vary, since a long hashes as (l ^ l >>> 32) and ASCII text has
-# bytes == characters.
-_SHIFT = 1 << 32
-
-
-def _fold_sums(pairs: Column, start: Column) -> Column:
-    """Inclusive running sums of (c, b) pairs from ``start``: one fold,
-    quadratic in the (short) array length."""
-    init = F.struct(F.array().cast("array<struct<c:int,b:int>>").alias("out"), start["c"].alias("c"), start["b"].alias("b"))
-
-    def step(acc, x):
-        c, b = acc["c"] + x["c"], acc["b"] + x["b"]
-        return F.struct(F.concat(acc["out"], F.array(F.struct(c.alias("c"), b.alias("b")))).alias("out"), c.alias("c"), b.alias("b"))
-
-    return F.aggregate(pairs, init, step, lambda acc: acc["out"])
-
-
-def _zero() -> Column:
-    return F.struct(F.lit(0).alias("c"), F.lit(0).alias("b"))
-
-
-def _with_piece_starts(df: DataFrame, text: Column, py_pattern: str, name: str) -> DataFrame:
-    """Adds ``name``: (character, byte) offsets of successive non-overlapping
-    matches.  Matches are marked, the marked text is split, and the piece
-    lengths are summed in blocks of 128 (block totals, running offsets of the
-    blocks, running sums inside each block): linear in the number of matches
-    for a fixed block size, where a single fold would be quadratic.  The
-    piece lengths are a column, so lambdas read them by reference."""
-    marked = F.regexp_replace(text, java_pattern(py_pattern), _MARK + "$0")
-    lens = f"{name}_len"
-    df = df.withColumn(lens, F.transform(F.split(marked, _MARK, -1),
-                                         lambda p: F.struct(F.length(p).alias("c"), F.octet_length(p).alias("b"))))
-    n = F.size(lens)
-    nb = F.greatest(F.ceil(n / F.lit(_BLOCK)).cast("int"), F.lit(1))
-    blocks = F.transform(F.sequence(F.lit(0), nb - 1), lambda j: F.slice(lens, j * _BLOCK + 1, F.lit(_BLOCK)))
-    tots = f"{name}_tot"
-    df = df.withColumn(f"{name}_blk", blocks)
-    df = df.withColumn(tots, F.transform(f"{name}_blk", lambda blk: F.aggregate(
-        blk, _zero(), lambda a, x: F.struct((a["c"] + x["c"]).alias("c"), (a["b"] + x["b"]).alias("b")))))
-    # exclusive running offsets of the blocks (quadratic in #blocks only)
-    offs = F.concat(F.array(_zero()), F.slice(_fold_sums(F.col(tots), _zero()), 1, F.greatest(F.size(tots) - 1, F.lit(0))))
-    df = df.withColumn(f"{name}_off", offs)
-    # ``_off`` is also read outside the lambda (the sequence bound): a column
-    # read only inside a lambda would be inlined there by the optimizer and
-    # recomputed for every block.
-    inner = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.least(F.size(f"{name}_blk"), F.size(f"{name}_off"))),
-        lambda j: _fold_sums(F.element_at(f"{name}_blk", j), F.element_at(f"{name}_off", j)),
-    ))
-    # the last running sum is the text length, not a match start; each (c, b)
-    # is packed into one bigint so the union below hashes (structs would be
-    # compared pairwise)
-    starts = F.slice(inner, 1, F.greatest(F.size(lens) - 1, F.lit(0)))
-    keys = F.transform(starts, lambda x: F.shiftleft(x["c"].cast("bigint"), 32) + (x["b"] - x["c"]).cast("bigint"))
-    return df.withColumn(name, keys).drop(lens, f"{name}_blk", tots, f"{name}_off")
+def _boundary_udf(patterns: Sequence[str]):
+    """Arrow UDF: texts -> packed (character, byte) offsets of their boundaries.  One
+    text is held at a time besides its batch; the work is linear in its length."""
+    compiled = [re.compile(p) for p in patterns]
+
+    def packed(text: str) -> list[int]:
+        at = boundary_offsets(text, compiled)
+        if text.isascii():
+            return [c << 32 | c for c in at]
+        out, size = [], 0
+        for before, c in zip([0, *at], at):
+            size += len(text[before:c].encode("utf-8"))
+            out.append(c << 32 | size)
+        return out
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def offsets(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else packed(t) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    return offsets
 
 
 def with_boundary_pairs(df: DataFrame, text_col: str = "text", patterns: Sequence[str] = defaults.SECTION_PATTERNS,
                         name: str = "_bp") -> DataFrame:
     """Adds ``name``: sorted distinct boundaries as (c, b) structs, always including 0."""
-    t = F.col(text_col)
-    cols = []
-    for k, p in enumerate(patterns):
-        df = _with_piece_starts(df, t, p, f"{name}_p{k}")
-        cols.append(f"{name}_p{k}")
-    acc = F.array(F.lit(0).cast("bigint"))
-    for c in cols:
-        acc = F.array_union(acc, F.col(c))
-    def unpack(k):
-        c = F.shiftright(k, 32).cast("int")
-        return F.struct(c.alias("c"), (c + k.bitwiseAND(F.lit(_SHIFT - 1)).cast("int")).alias("b"))
-
-    pairs = F.transform(F.sort_array(acc), unpack)
-    return df.withColumn(name, pairs).drop(*cols)
+    df = df.withColumn(f"{name}_packed", _boundary_udf(patterns)(F.col(text_col)))
+    pairs = F.transform(f"{name}_packed", lambda k: F.struct(F.shiftright(k, 32).cast("int").alias("c"), k.bitwiseAND(F.lit(_LOW)).cast("int").alias("b")))
+    return df.withColumn(name, pairs).drop(f"{name}_packed")
 
 
 def with_boundaries(df: DataFrame, text_col: str = "text", patterns: Sequence[str] = defaults.SECTION_PATTERNS,

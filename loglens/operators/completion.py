@@ -44,6 +44,12 @@ def stub_completion(prompt: Column) -> Column:
     )
 
 
+def digest_completion(prompt: Column) -> Column:
+    """The default stand-in completion: the length and the MD5 of the whole prompt,
+    so every character of it shows in the output."""
+    return F.concat(F.lit(defaults.DIGEST_COMPLETION_PREFIX), F.length(prompt).cast("string"), F.lit(" characters, "), F.md5(prompt))
+
+
 def complete(
     df: DataFrame,
     prompt_col: str,
@@ -52,12 +58,14 @@ def complete(
     completion_factory: Callable[[], Callable[[str], str]] | None = None,
     catch_errors: bool = True,
     error_template: str = defaults.CHUNK_ERROR_TEXT,
+    built_in: Callable[[Column], Column] = digest_completion,
 ) -> DataFrame:
-    """Add ``out_col`` = completion(prompt).  With ``catch_errors`` a failing
+    """Add ``out_col`` = completion(prompt), by ``built_in`` (a column expression)
+    when no function is given.  With ``catch_errors`` a failing
     call yields ``error_template`` with the exception text instead of failing
     the task."""
     if fn is None and completion_factory is None:
-        return df.withColumn(out_col, stub_completion(F.col(prompt_col)))
+        return df.withColumn(out_col, built_in(F.col(prompt_col)))
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
 
     def run(batches):

@@ -5,14 +5,14 @@ task.  Here:
 
 1. Sessions with more than ``hot_session_rows`` turns are found with a
    partial-aggregated count; their ids (at most total_rows /
-   hot_session_rows of them, checked) are broadcast.
+   hot_session_rows of them) are written once.
 2. Other sessions take the single-shuffle plan of :mod:`sessions`.
 3. Turns of hot sessions are range-partitioned on the full sort key
    (session, time, input order), so one session spreads over many
    partitions ("segments"), each holding a contiguous run of its turns.
 4. Windows run per (session, segment); a per-segment summary (row count,
    last long turn, first prompt), at most #hot sessions x #partitions rows
-   and broadcast, carries positions, the last long turn and the next
+   carries positions, the last long turn and the next
    segment's first prompt across segment boundaries, so the short-turn merge
    is exact.
 5. The prompt list is joined per segment first, then the segment strings are
@@ -24,32 +24,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens import defaults
+from loglens.config import ensure_checkpoint_dir
 from loglens.operators import sessions as S
 
-MAX_BROADCAST_KEYS = 1_000_000
-
-
-def hot_session_ids(turns: DataFrame, hot_session_rows: int, max_keys: int = MAX_BROADCAST_KEYS) -> tuple[DataFrame, int]:
-    """(hot ids, how many).  The count reads only ``session_id`` (column
-    pruning) and combines map-side; the ids are broadcast when the checked
-    count allows it."""
+def hot_session_ids(turns: DataFrame, hot_session_rows: int) -> DataFrame:
+    """Ids of the sessions with more turns.  The count reads only ``session_id``
+    (column pruning) and combines map-side; the few ids (at most total rows /
+    ``hot_session_rows``) are written once, and whether they are broadcast is left
+    to their size in bytes."""
+    ensure_checkpoint_dir(turns.sparkSession)
     counts = turns.where(F.col("session_id").isNotNull()).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    # small by construction (at most total rows / hot_session_rows ids); kept
-    # so the join below does not count the sessions again
-    hot = counts.where(F.col("n") > hot_session_rows).select("session_id").persist()
-    n = hot.count()
-    return (F.broadcast(hot) if n <= max_keys else hot), n
-
+    return counts.where(F.col("n") > hot_session_rows).select("session_id").checkpoint()
 
-MAX_BROADCAST_SEGMENTS = 5_000_000
 
-
-def _segment_rollup(hot_turns: DataFrame, partitions: int | None, n_hot: int = 1) -> DataFrame:
+def _segment_rollup(hot_turns: DataFrame, partitions: int | None) -> DataFrame:
     """Marked turns (kept / merged_prompt / global rn) of hot sessions."""
     t = hot_turns.withColumn("_ts_null", F.col("query_timestamp").isNull())
     n = partitions or int(hot_turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -61,8 +53,9 @@ def _segment_rollup(hot_turns: DataFrame, partitions: int | None, n_hot: int = 1
         .withColumn("_llong", F.max(F.when(~F.col("is_short_prompt"), F.col("_lrn"))).over(before))
         .withColumn("_lnext", F.lead("prompt").over(w))
     )
-    # read twice below (segment summary, join back): keep it, do not re-shuffle
-    t = t.persist(StorageLevel.MEMORY_AND_DISK)
+    # read twice below (segment summary, join back), with the same segments: written
+    # once, so a lost executor does not deal them anew
+    t = t.checkpoint()
     seg = t.groupBy("session_id", "_seg").agg(
         F.count(F.lit(1)).alias("_cnt"),
         F.max(F.when(~F.col("is_short_prompt"), F.col("_lrn"))).alias("_seg_long"),
@@ -76,8 +69,8 @@ def _segment_rollup(hot_turns: DataFrame, partitions: int | None, n_hot: int = 1
         .withColumn("_next_first", F.lead("_first_prompt").over(ws))
         .select("session_id", "_seg", "_cnt", "_off", "_carry_long", "_next_first")
     )
-    # at most (#hot sessions x #partitions) rows: broadcast when that bound is small
-    t = t.join(F.broadcast(seg) if n_hot * n <= MAX_BROADCAST_SEGMENTS else seg, ["session_id", "_seg"])
+    # at most (#hot sessions x #partitions) rows; broadcast if they turn out small
+    t = t.join(seg, ["session_id", "_seg"])
     rn = F.col("_off") + F.col("_lrn")
     last_long = F.coalesce(F.col("_llong") + F.col("_off"), F.col("_carry_long"), F.lit(0))
     nxt = F.when(F.col("_lrn") == F.col("_cnt"), F.col("_next_first")).otherwise(F.col("_lnext"))
@@ -91,6 +84,22 @@ def _segment_rollup(hot_turns: DataFrame, partitions: int | None, n_hot: int = 1
     )
 
 
+MARKED = ["rn", "kept", "merged_prompt"]
+
+
+def marked_turns(turns: DataFrame, hot_session_rows: int, partitions: int | None = None) -> DataFrame:
+    """All turns with their position and merge (``rn``, ``kept``, ``merged_prompt``),
+    the hot sessions' by segments."""
+    turns = turns.where(F.col("session_id").isNotNull())
+    hot = hot_session_ids(turns, hot_session_rows)
+    if hot.isEmpty():
+        return S.mark_merges(S.order_turns(turns))
+    keep = [*turns.columns, *MARKED]
+    normal = S.mark_merges(S.order_turns(turns.join(hot, "session_id", "left_anti")))
+    split = _segment_rollup(turns.join(hot, "session_id", "left_semi"), partitions)
+    return normal.select(*keep).unionByName(split.select(*keep))
+
+
 def build_sessions_skew_aware(
     turns: DataFrame,
     department_map: Sequence[tuple[str, str]] = defaults.DEPARTMENT_DOMAIN_MAP,
@@ -98,17 +107,16 @@ def build_sessions_skew_aware(
     partitions: int | None = None,
 ) -> DataFrame:
     turns = turns.where(F.col("session_id").isNotNull())
-    hot, n_hot = hot_session_ids(turns, hot_session_rows)
-    if n_hot == 0:
-        return S.build_sessions(turns, department_map)
-    # one pass over the input feeds both paths
-    flagged = turns.join(hot.withColumn("_hot", F.lit(True)), "session_id", "left").persist(StorageLevel.MEMORY_AND_DISK)
-    normal = flagged.where(F.col("_hot").isNull()).drop("_hot")
+    hot = hot_session_ids(turns, hot_session_rows)
+    if hot.isEmpty():
+        return S.build_sessions(turns, department_map, None)
+    # two scans of the input, each filtered by the few hot ids; nothing is kept
+    normal = turns.join(hot, "session_id", "left_anti")
     marked = S.mark_merges(S.order_turns(normal))
     normal_sessions = marked.groupBy("session_id").agg(*S.session_aggregates(department_map))
 
-    hot_turns = flagged.where(F.col("_hot")).drop("_hot")
-    m = _segment_rollup(hot_turns, partitions, n_hot)
+    hot_turns = turns.join(hot, "session_id", "left_semi")
+    m = _segment_rollup(hot_turns, partitions)
     # prompt list: per segment (rows of a segment are co-located), then per session
     seg_text = m.groupBy("session_id", "_seg").agg(
         S.ordered_join(F.col("rn"), F.when(F.col("kept"), F.col("merged_prompt")), " | ").alias("_t"),

@@ -27,20 +27,30 @@ def python_files(files: DataFrame, path_col: str = "path") -> DataFrame:
     )
 
 
+class _Imported(ast.NodeVisitor):
+    """Gathers the first name part of every import; relative imports without a module have none."""
+
+    def __init__(self):
+        self.names: list[str] = []
+
+    def visit_Import(self, node: ast.Import) -> None:
+        self.names += [alias.name.partition(".")[0] for alias in node.names]
+
+    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
+        if node.module:
+            self.names.append(node.module.partition(".")[0])
+
+
 def top_level_imports(source: str) -> tuple[list[str], str | None]:
-    """Top-level names imported anywhere in ``source``; relative imports
-    without a module are skipped.  Returns (names, error)."""
+    """Top-level names imported anywhere in ``source``, and the error of a file
+    that the parser gives up on for whatever reason (syntax, null bytes, nesting
+    too deep for it): such a file imports nothing."""
+    found = _Imported()
     try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError) as e:
+        found.visit(ast.parse(source))
+    except Exception as e:  # one file must not end the job (MemoryError and RecursionError included)
         return [], f"{type(e).__name__}: {e}"
-    names = []
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            names.extend(alias.name.split(".")[0] for alias in node.names)
-        elif isinstance(node, ast.ImportFrom) and node.module:
-            names.append(node.module.split(".")[0])
-    return names, None
+    return found.names, None
 
 
 def extract_imports(files: DataFrame, path_col: str = "path", content_col: str = "content",
@@ -87,19 +97,18 @@ def module_collisions(files: DataFrame, path_col: str = "path") -> DataFrame:
 def import_edges(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """Distinct (src, dst) module pairs; dst must be a module of the tree.
 
-    The files are read and parsed once into small (path, module, import)
-    rows, which are kept (they are read three times: nodes, winning files,
-    targets) instead of re-reading the sources.
+    The sources are read and parsed once for the imports; the list of modules
+    comes from the paths alone.  A module's file is the one with the greatest
+    path, so a path is kept when it equals the greatest of its module.
     """
-    from pyspark import StorageLevel
-
     py = python_files(files, path_col)
-    rows = extract_imports(py, path_col, content_col, keep_empty=True).withColumn(
-        "module", F.regexp_extract(F.col(path_col), MODULE_PATTERN, 1)).persist(StorageLevel.MEMORY_AND_DISK)
-    nodes = rows.groupBy("module").agg(F.max(path_col).alias(path_col))
-    imps = rows.where(F.col("import").isNotNull()).join(nodes.select(path_col), path_col, "left_semi")
-    named = imps.select(F.col("module").alias("src"), F.col("import").alias("dst")).distinct()
-    return named.join(nodes.select(F.col("module").alias("dst")), "dst", "left_semi").select("src", "dst")
+    nodes = py.groupBy("module").agg(F.max(path_col).alias("winner"))
+    named = F.regexp_extract(F.col(path_col), MODULE_PATTERN, 1)
+    imps = extract_imports(py, path_col, content_col).where(F.col("import").isNotNull()).withColumn("src", named)
+    pairs = imps.groupBy("src", path_col, "import").agg(F.lit(1).alias("one"))
+    known = nodes.select(F.col("module").alias("src"), F.col("winner").alias(path_col))
+    own = pairs.join(known, ["src", path_col], "left_semi").select("src", F.col("import").alias("dst"))
+    return own.join(nodes.select(F.col("module").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
 def write_graph(files: DataFrame, out_dir: str, mode: str = "overwrite") -> None:

@@ -1,15 +1,9 @@
 """Built-in lexical encoder: term-frequency vectors and their cosine.
 
-Vectors are never materialised densely: a text becomes (id, token, tf) rows
-and the cosine of two texts is the equi-join on ``token`` of their rows,
-summed per pair, over the product of the two norms.  The prototype side of
-the join is bounded (a taxonomy or a benchmark list); it is broadcast when
-its token rows fit ``max_broadcast_rows`` and otherwise joined by shuffle,
-where AQE's skew-join handling splits hot tokens.
-
-All aggregations are keyed by the document id first, so a table already
-hash-partitioned by that id (sessions after their roll-up) is scored
-without another shuffle.
+The cosine of two texts is the sum over shared tokens of the products of their
+counts, over the product of the two norms.  The prototype side (a taxonomy or a
+benchmark list) is broadcast in blocks of bounded size, and the texts are scored
+where they are, in narrow kernels: no shuffle, and no row for a pair of texts.
 """
 
 from __future__ import annotations
@@ -17,56 +11,119 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.functions.text import explode_positions
-
 # Tokens: maximal runs of Unicode letters/digits, after lower-casing.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, token) rows, one per occurrence."""
-    toks = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0)
-    return explode_positions(df, [F.col(id_col)], toks, "_pos", "token").drop("_pos")
+# right-hand texts in one broadcast block, by the bytes of their tokens
+BLOCK_BYTES = 64 << 20
+# cells of the dense matrices of one step
+STEP_CELLS = 4_000_000
+
+
+def _blocks(right: DataFrame, right_id: str, right_text: str, most_bytes: int):
+    """The right-hand texts as lists of (id, tokens) of bounded size, by ascending id.
+    Rows stream through the driver; one block is held at a time."""
+    toks = F.regexp_extract_all(F.lower(F.col(right_text)), F.lit(TOKEN_PATTERN), 0)
+    rows = right.where(F.col(right_id).isNotNull()).select(F.col(right_id).alias("id"), toks.alias("toks")).orderBy("id")
+    block, size = [], 0
+    for r in rows.toLocalIterator():
+        block.append((r["id"], r["toks"] or []))
+        size += 64 + sum(len(t) + 50 for t in block[-1][1])
+        if size >= most_bytes:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def _best_of_block(df: DataFrame, block: list, merge: bool, id_type) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
 
+    vocab: dict[str, int] = {}
+    counts: list[dict[int, int]] = []
+    for _, toks in block:
+        tf: dict[int, int] = {}
+        for t in toks:
+            k = vocab.setdefault(t, len(vocab))
+            tf[k] = tf.get(k, 0) + 1
+        counts.append(tf)
+    col = np.repeat(np.arange(len(block)), [len(c) for c in counts])
+    row = np.fromiter((k for c in counts for k in c), dtype=np.int64, count=len(col))
+    tfs = np.fromiter((v for c in counts for v in c.values()), dtype=np.float64, count=len(col))
+    norm = np.sqrt(np.bincount(col, weights=tfs * tfs, minlength=len(block)))
+    bc = df.sparkSession.sparkContext.broadcast((vocab, row, col, tfs, norm, [i for i, _ in block]))
+    base = [f for f in df.schema.fields if f.name not in ("_toks", "_best", "_cos")]
+    schema = T.StructType([*base, T.StructField("_best", id_type), T.StructField("_cos", T.DoubleType())])
 
-def term_frequencies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, token, tf)."""
-    return tokens(df, id_col, text_col).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
+    def score(batches):
+        voc, r, c, tf, pn, ids = bc.value
+        step = max(1, STEP_CELLS // max(1, len(voc), len(ids)))
+        ids = np.array(ids, dtype=object)
+        # columns of the right side in spans, so that no dense matrix grows with it
+        span = max(1, STEP_CELLS // max(1, len(voc)))
+        right = []
+        for lo in range(0, len(ids), span):
+            m = np.zeros((len(voc), min(span, len(ids) - lo)))
+            here = (c >= lo) & (c < lo + span)
+            m[r[here], c[here] - lo] = tf[here]
+            right.append((lo, m))
+        for pdf in batches:
+            best, cos = np.full(len(pdf), None, dtype=object), np.full(len(pdf), np.nan)
+            for lo in range(0, len(pdf), step):
+                toks = pdf["_toks"].iloc[lo:lo + step]
+                left, nn = np.zeros((len(toks), len(voc))), np.zeros(len(toks))
+                for i, ts in enumerate(toks):
+                    seen: dict[str, int] = {}
+                    for x in ts if ts is not None else ():
+                        seen[x] = seen.get(x, 0) + 1
+                    nn[i] = sum(v * v for v in seen.values())
+                    known = [(voc[x], v) for x, v in seen.items() if x in voc]
+                    if known:
+                        at, n = zip(*known)
+                        left[i, list(at)] = n
+                top, arg = np.zeros(len(toks)), np.full(len(toks), -1)
+                for first, m in right:  # integer counts: the dot products are exact
+                    den = np.sqrt(nn)[:, None] * pn[None, first:first + m.shape[1]]
+                    got = np.divide(left @ m, den, out=np.zeros_like(den), where=den > 0)
+                    k = got.argmax(axis=1)
+                    v = got[np.arange(len(k)), k]
+                    better = v > top
+                    top[better], arg[better] = v[better], k[better] + first
+                hit = arg >= 0
+                best[lo:lo + step][hit], cos[lo:lo + step][hit] = ids[arg[hit]], top[hit]
+            if merge:  # earlier blocks hold smaller ids, which win ties
+                old = pdf["_cos"].to_numpy(dtype=np.float64, na_value=np.nan)
+                keep = ~np.isnan(old) & ~(cos > old)
+                best[keep], cos[keep] = pdf["_best"].to_numpy(dtype=object)[keep], old[keep]
+            out = pdf[[f.name for f in base]].copy()
+            yield out.assign(_best=pd.Series(best, index=pdf.index, dtype=object), _cos=cos)
 
+    return df.mapInPandas(score, schema)
 
-def norms(tf: DataFrame, id_col: str) -> DataFrame:
-    return tf.groupBy(id_col).agg(F.sum(F.col("tf") * F.col("tf")).alias("nn"))
 
+def lexical_best(left: DataFrame, left_id: str, left_text: str, right: DataFrame, right_id: str, right_text: str,
+                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(left_id, right_id, cos): for every left text its best right text by cosine
+    (ties: the smaller right id); left texts that share no token with any are absent.
 
-def lexical_cosine(
-    left: DataFrame, left_id: str, left_text: str,
-    right: DataFrame, right_id: str, right_text: str,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """(left_id, right_id, cos) for every pair sharing at least one token.
+    A narrow kernel: left texts are tokenised where they are read, nothing is
+    shuffled and no pair leaves a task.  The right side is broadcast in blocks of
+    bounded bytes; beyond one block, passes follow each other, cut by checkpoints
+    of (id, tokens, best so far)."""
+    from loglens.config import ensure_checkpoint_dir
 
-    Pairs without a shared token have cosine 0 and are not emitted.  The
-    left texts are hash-partitioned by id once (the text is the most compact
-    form to move); ``explode`` keeps that partitioning, so term counts, norms,
-    pair sums and the norm join all run without another exchange, and the
-    result stays partitioned by ``left_id``.
-    """
-    from pyspark.sql import Window
-
-    ltf = term_frequencies(left.select(left_id, left_text).repartition(left_id), left_id, left_text)
-    # norm per text as a window on the id-partitioned counts: no second pass
-    ltf = ltf.withColumn("lnn", F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(left_id)))
-    rtf = term_frequencies(right, right_id, right_text).withColumnRenamed("tf", "rtf")
-    rtf = rtf.withColumn("rnn", F.sum(F.col("rtf") * F.col("rtf")).over(Window.partitionBy(right_id)))
-    small = rtf.count() <= max_broadcast_rows
-    rside = F.broadcast(rtf) if small else rtf
-    dots = ltf.join(rside, "token").groupBy(left_id, right_id).agg(
-        F.sum(F.col("tf") * F.col("rtf")).alias("dot"), F.max("lnn").alias("lnn"), F.max("rnn").alias("rnn"))
-    return dots.select(
-        left_id, right_id,
-        (F.col("dot") / (F.sqrt(F.col("lnn").cast("double")) * F.sqrt(F.col("rnn").cast("double")))).alias("cos"),
-    )
+    id_type = right.schema[right_id].dataType
+    toks = F.regexp_extract_all(F.lower(F.col(left_text)), F.lit(TOKEN_PATTERN), 0)
+    rows, out = left.select(F.col(left_id), F.col(left_text)), None
+    for block in _blocks(right, right_id, right_text, block_bytes):
+        if out is not None:
+            ensure_checkpoint_dir(left.sparkSession)
+            out = out.checkpoint()
+        out = _best_of_block((rows if out is None else out).withColumn("_toks", toks), block, out is not None, id_type)
+    if out is None:  # nothing on the right
+        return rows.limit(0).select(left_id, F.lit(None).cast(id_type).alias(right_id), F.lit(None).cast("double").alias("cos"))
+    return out.where("_cos > 0").select(left_id, F.col("_best").alias(right_id), F.col("_cos").alias("cos"))
 
 
 def _postings(ordered_rows):
@@ -152,7 +209,7 @@ def lexical_similarities(
 ):
     """Append ``{axis}_{kind}_sim`` arrays of lexical cosines (see ``scoring``).
 
-    Same cosine as :func:`lexical_cosine`, computed as a narrow kernel so the
+    A narrow kernel, so the
     session rows are read once and keep their partitioning: tokens are
     extracted in the JVM; per Arrow batch, the batch's (row, token) counts are
     merged with the broadcast prototype postings and summed per (row,

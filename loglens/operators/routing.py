@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loglens import defaults
 from loglens.functions.text import first_match, strip_chars
+from loglens.operators.sizes import broadcast_if_small
 
 
 def watchlist_reason(text: Column, words: Sequence[str] = defaults.WATCHLIST) -> Column:
@@ -43,9 +44,6 @@ def label_distribution(df: DataFrame, col: str = "label_source") -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
 
 
-MAX_BROADCAST_MATRIX = 1_000_000
-
-
 def apply_governance(
     df: DataFrame,
     matrix: DataFrame,
@@ -65,8 +63,7 @@ def apply_governance(
         F.col("domain").alias("_gd"), F.col("intent").alias("_gi"),
         F.col("level").alias("_gl"), F.col("reason").alias("_gr"),
     )
-    if matrix.count() <= MAX_BROADCAST_MATRIX:
-        m = F.broadcast(m)
+    m = broadcast_if_small(m)
     cond = (
         (F.col("predicted_domain") == F.col("_gd"))
         & (F.col("predicted_intent") == F.col("_gi"))
@@ -89,12 +86,12 @@ def apply_governance(
     )
 
 
-def fallback_queue(df: DataFrame, truncate: int = defaults.FALLBACK_PROMPT_TRUNCATE) -> DataFrame:
-    """Sessions waiting for the fallback classifier, with the prompt excerpt
-    that classifier would receive (first ``truncate`` characters)."""
-    return df.where(F.col("label_source") == defaults.LABEL_LLM).withColumn(
-        "prompt_excerpt", F.substring(F.col("combined_prompt"), 1, truncate)
-    )
+def fallback_queue(df: DataFrame, truncate: int | None = None) -> DataFrame:
+    """Sessions waiting for the fallback classifier, with the prompt that it would
+    receive: the whole one, or its first ``truncate`` characters where asked for."""
+    prompt = F.col("combined_prompt")
+    excerpt = prompt if truncate is None else F.substring(prompt, 1, truncate)
+    return df.where(F.col("label_source") == defaults.LABEL_LLM).withColumn("prompt_excerpt", excerpt)
 
 
 def llm_fallback(df: DataFrame, classify=None) -> DataFrame:

@@ -21,14 +21,25 @@ ORDER_COLS = ["_ts_null", "query_timestamp", "seq"]
 
 
 def require_columns(df: DataFrame, required: Sequence[str] = defaults.REQUIRED_LOG_COLUMNS) -> DataFrame:
-    """Raise ``ValueError`` naming the missing columns (driver-side, no job)."""
-    missing = [c for c in required if c not in df.columns]
-    if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+    """Raise ``ValueError`` naming the absent columns (driver-side, no job)."""
+    if absent := sorted(set(required) - set(df.columns)):
+        raise ValueError(f"the log table lacks {', '.join(absent)}")
     return df
 
 
-def normalise_logs(df: DataFrame, min_tokens: int = defaults.MIN_PROMPT_TOKENS) -> DataFrame:
+def parse_timestamp(df: DataFrame, column: str, formats: Sequence[str] = defaults.TIMESTAMP_FORMATS) -> Column:
+    """The column as a timestamp: ISO forms first, then each format in order;
+    NULL where none fits."""
+    if df.schema[column].dataType.simpleString().startswith("timestamp"):
+        return F.col(column).cast("timestamp_ntz")
+    text = F.trim(F.col(column).cast("string"))
+    tried = [F.expr(f"try_cast(trim(CAST(`{column}` AS STRING)) AS TIMESTAMP_NTZ)")]
+    tried += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    return F.coalesce(*tried)
+
+
+def normalise_logs(df: DataFrame, min_tokens: int = defaults.MIN_PROMPT_TOKENS,
+                   formats: Sequence[str] = defaults.TIMESTAMP_FORMATS) -> DataFrame:
     """Clean text fields, parse the timestamp, count tokens, flag short prompts.
 
     ``prompt`` keeps its case; ``division``, ``user_type`` and ``co`` are
@@ -39,18 +50,12 @@ def normalise_logs(df: DataFrame, min_tokens: int = defaults.MIN_PROMPT_TOKENS)
     require_columns(df)
     if "seq" not in df.columns:
         df = df.withColumn("seq", F.monotonically_increasing_id())
-    ts = df.schema["query_timestamp"].dataType.simpleString()
-    parsed = (
-        F.col("query_timestamp").cast("timestamp_ntz")
-        if ts.startswith("timestamp")
-        else F.expr("try_cast(CAST(query_timestamp AS STRING) AS TIMESTAMP_NTZ)")
-    )
     return (
         df.withColumn("prompt", to_clean_text(F.col("prompt")))
         .withColumn("division", to_clean_text(F.col("division"), lower=True))
         .withColumn("user_type", to_clean_text(F.col("user_type"), lower=True))
         .withColumn("co", to_clean_text(F.col("co"), lower=True))
-        .withColumn("query_timestamp", parsed)
+        .withColumn("query_timestamp", parse_timestamp(df, "query_timestamp", formats))
         .withColumn("prompt_token_count", py_token_count(F.col("prompt")).cast("bigint"))
         .withColumn("is_short_prompt", F.col("prompt_token_count") < F.lit(min_tokens))
     )
@@ -97,9 +102,18 @@ def mark_merges(ordered: DataFrame) -> DataFrame:
     )
 
 
-def merge_short_turns(turns: DataFrame) -> DataFrame:
-    """Kept (merged) turns: one row per element of the session's prompt list."""
-    return mark_merges(order_turns(turns)).where("kept")
+#: Turns from which a session is split over tasks.
+HOT_SESSION_ROWS = 1_000_000
+
+
+def merge_short_turns(turns: DataFrame, hot_session_rows: int | None = HOT_SESSION_ROWS) -> DataFrame:
+    """Kept (merged) turns: one row per element of the session's prompt list.
+    Sessions of any size: those above ``hot_session_rows`` are split over tasks."""
+    if hot_session_rows is None:
+        return mark_merges(order_turns(turns)).where("kept")
+    from loglens.operators.hot_sessions import marked_turns
+
+    return marked_turns(turns, hot_session_rows).where("kept")
 
 
 def ordered_join(key: Column, value: Column, sep: str) -> Column:
@@ -138,13 +152,14 @@ def add_domain_prior(sessions: DataFrame, department_map=defaults.DEPARTMENT_DOM
 def build_sessions(
     turns: DataFrame,
     department_map: Sequence[tuple[str, str]] = defaults.DEPARTMENT_DOMAIN_MAP,
-    hot_session_rows: int | None = None,
+    hot_session_rows: int | None = HOT_SESSION_ROWS,
 ) -> DataFrame:
     """Normalised turns -> one row per session (see ``SESSION_COLUMNS``).
 
     ``hot_session_rows``: sessions with more turns than this are split across
     tasks (see :mod:`loglens.operators.hot_sessions`); ``None`` keeps the
-    single-shuffle plan for all sessions.
+    single-shuffle plan for all sessions.  All session queries and jobs share
+    this plan and its default.
     """
     if hot_session_rows is not None:
         from loglens.operators.hot_sessions import build_sessions_skew_aware

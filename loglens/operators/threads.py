@@ -19,6 +19,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,17 +30,47 @@ from loglens.operators.completion import fill
 LIST_KEYS = [k for k, _ in defaults.FINDING_LIST_KEYS]
 LIST_NAMES = [n for _, n in defaults.FINDING_LIST_KEYS]
 FINDING_SCHEMA = T.StructType(
-    [T.StructField(k, T.ArrayType(T.StringType())) for k in LIST_KEYS]
-    + [T.StructField(defaults.FINDING_SUMMARY_KEY, T.StringType()), T.StructField("_corrupt_record", T.StringType())]
+    [T.StructField(k, T.ArrayType(T.StringType())) for k in LIST_KEYS] + [T.StructField(defaults.FINDING_SUMMARY_KEY, T.StringType())]
 )
 
 
+def read_finding(text: str | None) -> dict:
+    """A model output as a finding: the one meaning shared by the batch job, the
+    live fold and the stream.  It must be a JSON object and nothing else, its lists
+    lists (or null, or absent) and its summary text; else ``ValueError``.  Items
+    that are not text are kept as their JSON text."""
+    found = json.loads(text or "")
+    if not isinstance(found, dict):
+        raise ValueError("output is not a JSON object")
+    out = {}
+    for key in LIST_KEYS:
+        items = found.get(key)
+        if not isinstance(items, (list, type(None))):
+            raise ValueError(f"{key} is not a list")
+        out[key] = [x if x is None or isinstance(x, str) else json.dumps(x) for x in items or []]
+    update = found.get(defaults.FINDING_SUMMARY_KEY)
+    if not isinstance(update, (str, type(None))):
+        raise ValueError(f"{defaults.FINDING_SUMMARY_KEY} is not text")
+    out[defaults.FINDING_SUMMARY_KEY] = update or ""
+    return out
+
+
+def _finding_or_none(text: str | None) -> dict | None:
+    try:
+        return read_finding(text)
+    except (ValueError, RecursionError):  # no JSON, another shape, or nested too deep to be read
+        return None
+
+
 def parse_findings(df: DataFrame, out_col: str = "out") -> DataFrame:
-    """Adds ``finding`` (struct) and ``parsed_ok``."""
-    j = F.from_json(F.col(out_col), FINDING_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    return df.withColumn("finding", j).withColumn(
-        "parsed_ok", F.col("finding").isNotNull() & F.col("finding._corrupt_record").isNull()
-    )
+    """Adds ``finding`` (struct, NULL where the output is unusable) and ``parsed_ok``."""
+    kind = pa.struct([(k, pa.list_(pa.string())) for k in LIST_KEYS] + [(defaults.FINDING_SUMMARY_KEY, pa.string())])
+
+    @F.arrow_udf(FINDING_SCHEMA)
+    def parsed(texts: pa.Array) -> pa.Array:
+        return pa.array([_finding_or_none(x) for x in texts.to_pylist()], kind)
+
+    return df.withColumn("finding", parsed(F.col(out_col))).withColumn("parsed_ok", F.col("finding").isNotNull())
 
 
 def thread_findings(outputs: DataFrame, id_col: str = "thread_id", order_col: str = "email_no", out_col: str = "out") -> DataFrame:
@@ -112,7 +143,7 @@ def fold_threads(
     text.  ``flavour='findings'``: the completion must be a JSON object; its
     lists are appended to the thread's lists and its ``summary_update`` to the
     running summary; an unusable output leaves the state as it was and is
-    reported in ``error``.
+    reported in ``error``.  Without a function, ``default_step`` answers.
 
     Output per e-mail: (thread, email, prompt, output, ok, error, summary,
     findings_json) where summary/findings are the state after the e-mail.
@@ -130,7 +161,7 @@ def fold_threads(
     rows = emails.select(id_col, order_col, text_col).repartition(id_col).sortWithinPartitions(id_col, order_col)
 
     def run(batches):
-        call = completion_factory() if completion_factory is not None else fn
+        call = completion_factory() if completion_factory is not None else fn or default_step(flavour)
         current, summary, lists = object(), None, None
         for pdf in batches:
             out = {k: [] for k in schema.fieldNames()}
@@ -150,25 +181,13 @@ def fold_threads(
                     summary = text
                 else:
                     try:
-                        obj = json.loads(text)
-                        if not isinstance(obj, dict):
-                            raise ValueError("output is not a JSON object")
-                        add = {}
-                        for key, name in defaults.FINDING_LIST_KEYS:
-                            v = obj.get(key)
-                            v = [] if v is None else v
-                            if not isinstance(v, list):
-                                raise ValueError(f"{key} is not a list")
-                            add[name] = v
-                        upd = obj.get(defaults.FINDING_SUMMARY_KEY)
-                        upd = "" if upd is None else upd
-                        if not isinstance(upd, str):
-                            raise ValueError(f"{defaults.FINDING_SUMMARY_KEY} is not text")
-                        for name in LIST_NAMES:  # all or nothing per e-mail
-                            lists[name].extend(add[name])
-                        summary += "\n" + upd
-                    except Exception as e:  # noqa: BLE001 - reported per e-mail
+                        found = read_finding(text)
+                    except (ValueError, RecursionError) as e:  # reported per e-mail, the state stays
                         ok, err = False, f"{type(e).__name__}: {e}"
+                    else:
+                        for key, name in defaults.FINDING_LIST_KEYS:
+                            lists[name] += found[key]
+                        summary += "\n" + found[defaults.FINDING_SUMMARY_KEY]
                 out[id_col].append(tid)
                 out[order_col].append(no)
                 out["prompt"].append(prompt)
@@ -187,3 +206,27 @@ def prompt_length_completion(prompt: str) -> str:
     """Deterministic stand-in for a model in the fold: depends on the whole
     prompt, and hence on the previous state."""
     return f"summary of {len(prompt)} chars"
+
+
+def prompt_length_finding(prompt: str) -> str:
+    """The findings counterpart: a usable output that depends on the whole prompt,
+    and an unusable one for every prompt whose length is a multiple of seven."""
+    if len(prompt) % 7 == 0:
+        return f"nothing usable in {len(prompt)} chars"
+    return json.dumps({"deadlines": [f"d{len(prompt)}"], "new_commitments": [str(len(prompt) % 10)] if len(prompt) % 2 else None,
+                       defaults.FINDING_SUMMARY_KEY: f"read {len(prompt)} chars"})
+
+
+def default_step(flavour: str) -> Callable[[str], str]:
+    """What stands in for the model where the fold is given none."""
+    return {"summary": prompt_length_completion, "findings": prompt_length_finding}[flavour]
+
+
+def fold_reports(steps: DataFrame, fn=None, completion_factory=None, id_col: str = "thread_id", order_col: str = "email_no") -> DataFrame:
+    """(thread, summary, findings_json, report_prompt, conclusion): the closing report
+    of every thread from the state after its last e-mail (findings flavour)."""
+    from loglens.operators.completion import complete
+
+    last = steps.groupBy(id_col).agg(F.max_by(F.struct("summary", "findings_json"), order_col).alias("s")).select(id_col, "s.*")
+    user = fill(defaults.FINDINGS_REPORT_MESSAGE, summary=F.col("summary"), findings=F.col("findings_json"))
+    return complete(last.withColumn("report_prompt", frame(defaults.FINDINGS_SYSTEM_MESSAGE, user)), "report_prompt", "conclusion", fn, completion_factory, catch_errors=False)

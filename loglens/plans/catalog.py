@@ -163,15 +163,8 @@ def governance_matrix(spark, sf_dir):
 @query
 def lexical_scores(spark, sf_dir):
     """Best benchmark passage per document by lexical cosine (ties: smaller item_id)."""
-    from pyspark.sql import Window
-
-    from loglens.sources.tables import table
-
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    bench = table(spark, sf_dir, "benchmark", "item_id", "text")
-    cos = lexical.lexical_cosine(docs, "doc_id", "text", bench, "item_id", "text")
-    w = Window.partitionBy("doc_id").orderBy(F.desc("cos"), "item_id")
-    best = cos.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    best = lexical.lexical_best(docs, "doc_id", "text", table(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", "text")
     return best.select("doc_id", "item_id", scoring.round4(F.col("cos")).alias("cos"))
 
 
@@ -272,6 +265,20 @@ def chunk_prompts(spark, sf_dir):
     return p.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "prompt")
 
 
+def _picky(prompt: str) -> str:
+    """A user completion function that fails for some prompts."""
+    if len(prompt) % 5 == 0:
+        raise ValueError(f"cannot read {len(prompt)} characters")
+    return f"{len(prompt)} characters read"
+
+
+@query
+def chunk_completions(spark, sf_dir):
+    """A user function over every chunk prompt; failures become error texts."""
+    p = completion.map_chunks(_doc_chunks(spark, sf_dir), fn=_picky)
+    return p.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "summary")
+
+
 @query
 def summary_reduce(spark, sf_dir):
     r = completion.reduce_summaries(completion.map_chunks(_doc_chunks(spark, sf_dir)))
@@ -337,6 +344,15 @@ def thread_fold(spark, sf_dir):
     return f.select("thread_id", "email_no", "summary")
 
 
+@query
+def thread_fold_findings(spark, sf_dir):
+    """The findings flavour of the fold with its default step."""
+    f = threads.fold_threads(fx.emails(spark, sf_dir), flavour="findings")
+    lists = F.from_json("findings_json", "deadlines array<string>, commitments array<string>")
+    return f.select("thread_id", "email_no", "ok", "summary", F.array_join(lists["deadlines"], "|").alias("deadlines"),
+                    F.array_join(lists["commitments"], "|").alias("commitments"))
+
+
 # ------------------------------------------------------------------ HTML
 
 
@@ -434,8 +450,10 @@ def stream_turn_alerts(spark, sf_dir):
     """The alert stream over the F1 turns, arriving as several files (one
     micro-batch each); the result read back from the parquet sink."""
     src, out, name = _stream_dirs(spark, "stream_turn_alerts")
-    fx.logs(spark, sf_dir).repartition(4, "session_id").write.parquet(src)
-    q = stream_alerts.start_alert_stream(spark, src, out, words=fx.FIXTURE_WATCHLIST, max_files_per_trigger=1, name=name)
+    turns = fx.logs(spark, sf_dir)
+    files = spark.sparkContext.defaultParallelism
+    turns.repartition(files, "session_id").write.parquet(src)
+    q = stream_alerts.start_alert_stream(spark, src, out, words=fx.FIXTURE_WATCHLIST, schema=turns.schema, max_files_per_trigger=max(1, files // 2), name=name)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
@@ -444,29 +462,25 @@ def stream_turn_alerts(spark, sf_dir):
 
 @query
 def stream_thread_findings(spark, sf_dir):
-    """Thread findings kept as streaming state, fed in e-mail-number bands;
-    the last state row per thread, flattened like ``thread_findings``."""
-    from pyspark import StorageLevel
-
+    """Thread findings folded by the stream, fed in bands of e-mail numbers; the
+    deltas of each thread gathered like ``thread_findings``."""
     src, out, name = _stream_dirs(spark, "stream_thread_findings")
-    outs = fx.thread_outputs(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)  # read by every band write
-    # Arrival in e-mail order: at most 8 bands of e-mail numbers, each band
-    # appended by its own job (the file source takes files by modification
-    # time); inside a band one thread's mails are in one file.
-    top = outs.agg(F.max("email_no")).first()[0] or 1
-    width = -(-top // 8)
-    files_per_band = 4
-    for b in range(0, top, width):
-        band = outs.where((F.col("email_no") > b) & (F.col("email_no") <= b + width))
-        band.repartition(files_per_band, "thread_id").write.mode("append").parquet(src)
-    outs.unpersist()
-    q = thread_state.start_thread_stream(spark, src, out, max_files_per_trigger=files_per_band, name=name)
+    outs = fx.thread_outputs(spark, sf_dir)
+    # Arrival in e-mail order: each band is appended by its own job (the file
+    # source takes files by modification time) as as many files as tasks run at
+    # once; inside a band one thread's mails are in one file.
+    bands, files = 4, spark.sparkContext.defaultParallelism
+    low, high = outs.agg(F.min("email_no"), F.max("email_no")).first()
+    width = -(-((high or 0) - (low or 0) + 1) // bands)
+    for b in range(bands):
+        at = F.floor((F.col("email_no") - F.lit(low or 0)) / width)
+        outs.where(at == b).repartition(files, "thread_id").write.mode("append").parquet(src)
+    q = thread_state.start_thread_stream(spark, src, out, max_files_per_trigger=files, name=name)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    res = spark.read.parquet(out).where(F.col("kind") == "state")
-    last = res.groupBy("thread_id").agg(F.max_by(F.struct(*thread_state.OUTPUT_COLUMNS), "email_no").alias("s")).select("s.*")
+    found = thread_state.gathered(spark.read.parquet(out))
     cols = []
     for n in threads.LIST_NAMES:
         cols += [F.array_join(n, "|").alias(n), F.size(n).cast("bigint").alias(f"n_{n}")]
-    return last.select("thread_id", *cols, "summary")
+    return found.select("thread_id", *cols, "summary")

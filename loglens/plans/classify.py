@@ -48,7 +48,7 @@ def classify_logs(
     prototypes: DataFrame,
     matrix: DataFrame,
     department_map=defaults.DEPARTMENT_DOMAIN_MAP,
-    hot_session_rows: int | None = 1_000_000,
+    hot_session_rows: int | None = sessions.HOT_SESSION_ROWS,
     **kw,
 ) -> DataFrame:
     turns = sessions.normalise_logs(logs)

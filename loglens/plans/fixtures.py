@@ -40,23 +40,35 @@ def _pad2(c: Column) -> Column:
     return F.lpad(c.cast("string"), 2, "0")
 
 
+SHORT_TURNS = ["ok", "and then ?", "go on", "thanks a lot"]
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user turns of ``conversations`` as a chat-log table."""
+    """user turns of ``conversations`` as a chat-log table, whole texts, with
+    short turns added between them (``seq`` is ten times the turn, plus the
+    number of the added turn)."""
     conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").where(F.col("role") == "user")
     conv_id, turn = F.col("conv_id"), F.col("turn")
     minute = F.floor(turn / 4).cast("bigint")
     ts_text = F.concat(F.lit("2024-01-01 "), _pad2(F.floor(minute / 60).cast("bigint")), F.lit(":"), _pad2(minute % 60), F.lit(":00"))
-    first3 = F.array_join(F.slice(F.split(F.col("text"), " "), 1, 3), " ")
-    return conv.select(
+    base = conv.select(
         conv_id.alias("session_id"),
         turn.alias("seq"),
         F.when(turn == 5, F.lit("not a date")).otherwise(ts_text).alias("query_timestamp"),
         F.concat(F.lit("u"), ((conv_id * 3 + turn) % 50).cast("string")).alias("username"),
-        F.when((conv_id * 7 + turn) % 3 == 0, first3).otherwise(F.col("text")).alias("prompt"),
+        F.col("text").alias("prompt"),
         _pick(turn % 2, COS).alias("co"),
         _pick(conv_id % 3, USER_TYPES).alias("user_type"),
         _pick((conv_id + F.when(turn % 4 == 0, 1).otherwise(0)) % 8, DIVISIONS).alias("division"),
     )
+    # every third turn is followed by one or two short turns of the same minute
+    third = (F.col("session_id") * 7 + F.col("seq")) % 3 == 0
+    n_short = F.when(third, 1 + F.col("session_id") % 2).otherwise(0).cast("int")
+    extra = F.when(n_short > 0, F.sequence(F.lit(0), n_short)).otherwise(F.array(F.lit(0)))
+    rows = base.withColumn("k", F.explode(extra))
+    short = _pick((F.col("seq") + F.col("k")) % len(SHORT_TURNS), SHORT_TURNS)
+    return rows.withColumn("prompt", F.when(F.col("k") == 0, F.col("prompt")).otherwise(short)).withColumn(
+        "seq", F.col("seq") * 10 + F.col("k")).drop("k")
 
 
 def _embedding_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,11 +76,10 @@ def _embedding_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def proto_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F2 prototypes: vec_id < 100 domain, 100-199 intent; kind by rank in (axis, label)."""
-    e = _embedding_roles(spark, sf_dir).where(F.col("vec_id") < 200)
-    axis = F.when(F.col("vec_id") < 100, F.lit("domain")).otherwise(F.lit("intent"))
+    """F2 prototypes: every third vector, in turn domain and intent; kind by rank in (axis, label)."""
+    e = _embedding_roles(spark, sf_dir).where(F.col("vec_id") % 3 == 0)
+    axis = F.when(F.col("vec_id") % 6 == 0, F.lit("domain")).otherwise(F.lit("intent"))
     e = e.withColumn("category_type", axis)
-    # Bounded: 200 rows by construction (vec_id < 200).
     rnk = F.row_number().over(Window.partitionBy("category_type", "label").orderBy("vec_id"))
     code = F.concat(F.when(F.col("category_type") == "domain", F.lit("D")).otherwise(F.lit("I")), _pad2(F.col("label") + 1))
     return e.select(
@@ -82,9 +93,9 @@ def proto_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F2 sessions: vec_id >= 200; session 200 gets a zero vector; prior on even ids."""
-    e = _embedding_roles(spark, sf_dir).where(F.col("vec_id") >= 200)
-    vec = F.when(F.col("vec_id") == 200, F.transform("embedding", lambda x: x * F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))
+    """F2 sessions: the other vectors; session 1 gets a zero vector; prior on even ids."""
+    e = _embedding_roles(spark, sf_dir).where(F.col("vec_id") % 3 != 0)
+    vec = F.when(F.col("vec_id") == 1, F.transform("embedding", lambda x: x * F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))
     prior = F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("D"), _pad2(F.col("vec_id") % 10 + 1)))
     return e.select(F.col("vec_id").alias("session_id"), vec.alias("vec"), prior.alias("domain_prior"))
 
@@ -306,7 +317,7 @@ def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with tables: suppliers by (nation, suppkey div 50) under a <th>
     header row; customers by (nation, custkey div 50) with the header in the
     first row's <td> and a one-cell closing row."""
-    nation = F.broadcast(table(spark, sf_dir, "nation", "n_nationkey", "n_name"))  # fixed 25-row dimension
+    nation = table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     s = table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey", "s_acctbal").join(
         nation, F.col("s_nationkey") == F.col("n_nationkey"))
     s_rows = s.withColumn("b", F.floor(F.col("s_suppkey") / TABLE_BUCKET)).groupBy("s_nationkey", "b", "n_name").agg(
@@ -348,7 +359,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     it supplies (``from p.core import x`` for even keys, ``import p.core as c``
     for odd), plus relative imports (``from . import``, ``from .s<k>``,
     ``from .util``) and ``import sys`` inside a function; every 13th supplier's
-    file does not parse.  ``lib/p<k>.py`` for parts with p_size <= 25;
+    file does not parse.  ``lib/p<k>.py`` for every part;
     ``old/p<k>.py`` (importing p<k+1>) for p_size = 1, which wins the name
     clash; ``notes/s<k>.txt`` files that are not Python."""
     pairs = table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey").distinct()
@@ -370,7 +381,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = sup.select(F.concat(F.lit("notes/s"), k, F.lit(".txt")).alias("path"), F.lit("import p1\n").alias("content"))
     part = table(spark, sf_dir, "part", "p_partkey", "p_size")
     pk = F.col("p_partkey").cast("string")
-    lib = part.where(F.col("p_size") <= 25).select(
+    lib = part.select(
         F.concat(F.lit("lib/p"), pk, F.lit(".py")).alias("path"), F.concat(F.lit("VALUE = "), pk, F.lit("\n")).alias("content"))
     legacy = part.where(F.col("p_size") == 1).select(
         F.concat(F.lit("old/p"), pk, F.lit(".py")).alias("path"),
@@ -389,7 +400,7 @@ def replay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
          .withColumn("prev_text", F.lag("text").over(w))
     bench = table(spark, sf_dir, "benchmark", "item_id", "text").withColumnRenamed("text", "expected")
     u = c.where(F.col("role") == "user")
-    u = u.join(bench, (u["conv_id"] % 40) == bench["item_id"], "left")
+    u = u.join(bench, (u["conv_id"] % F.lit(max(bench.count(), 1))) == bench["item_id"], "left")
     return u.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("record_id"),
         F.col("text").alias("Prompt"),

@@ -43,10 +43,14 @@ def review_threads(
     completion_factory=None,
     flavour: str = "findings",
 ) -> None:
-    """emails (thread_id, email_no, body) -> per-e-mail fold rows (Parquet)
-    and, for the findings flavour, the final report per thread."""
-    folded = threads.fold_threads(emails, fn, completion_factory, flavour=flavour)
-    folded.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/steps")
+    """emails (thread_id, email_no, body) -> per-e-mail fold rows (``steps``) and,
+    for the findings flavour, the closing report of every thread (``reports``),
+    made from the written steps, so no model call runs twice."""
+    steps = f"{out_path.rstrip('/')}/steps"
+    threads.fold_threads(emails, fn, completion_factory, flavour=flavour).write.mode("overwrite").parquet(steps)
+    if flavour == "findings":
+        reports = threads.fold_reports(emails.sparkSession.read.parquet(steps), fn, completion_factory)
+        reports.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/reports")
 
 
 def report_threads(outputs: DataFrame, out_path: str, fn=None, completion_factory=None) -> None:

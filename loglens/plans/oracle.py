@@ -30,17 +30,23 @@ def _strip(x: str) -> str:
 
 # ------------------------------------------------------------------ F1 logs
 F1_LOGS = f"""
-logs AS (
-  SELECT conv_id AS session_id, turn AS seq,
+base_logs AS (
+  SELECT conv_id AS session_id, turn,
     CASE WHEN turn = 5 THEN 'not a date'
          ELSE '2024-01-01 ' || lpad(CAST(CAST(floor(floor(turn / 4) / 60) AS BIGINT) AS VARCHAR), 2, '0')
               || ':' || lpad(CAST(CAST(floor(turn / 4) AS BIGINT) % 60 AS VARCHAR), 2, '0') || ':00' END AS query_timestamp,
-    'u' || CAST((conv_id * 3 + turn) % 50 AS VARCHAR) AS username,
-    CASE WHEN (conv_id * 7 + turn) % 3 = 0 THEN array_to_string(string_split(text, ' ')[1:3], ' ') ELSE text END AS prompt,
+    'u' || CAST((conv_id * 3 + turn) % 50 AS VARCHAR) AS username, text,
     {_case('turn % 2', fx.COS)} AS co,
     {_case('conv_id % 3', fx.USER_TYPES)} AS user_type,
     {_case('(conv_id + CASE WHEN turn % 4 = 0 THEN 1 ELSE 0 END) % 8', fx.DIVISIONS)} AS division
   FROM conversations WHERE role = 'user'
+),
+logs AS (
+  SELECT session_id, turn * 10 AS seq, query_timestamp, username, text AS prompt, co, user_type, division FROM base_logs
+  UNION ALL
+  SELECT session_id, turn * 10 + k, query_timestamp, username, {_case(f'(turn + k) % {len(fx.SHORT_TURNS)}', fx.SHORT_TURNS)}, co, user_type, division
+  FROM base_logs JOIN (SELECT unnest([1, 2]) AS k) ON k <= 1 + session_id % 2
+  WHERE (session_id * 7 + turn) % 3 = 0
 )"""
 
 NORM = f"""
@@ -140,21 +146,21 @@ def R4(x: str) -> str:
 # ------------------------------------------------------------------ F2 vectors
 F2 = f"""
 protos0 AS (
-  SELECT CASE WHEN vec_id < 100 THEN 'domain' ELSE 'intent' END AS category_type, label AS ord,
-    (CASE WHEN vec_id < 100 THEN 'D' ELSE 'I' END) || lpad(CAST(label + 1 AS VARCHAR), 2, '0') AS code,
+  SELECT CASE WHEN vec_id % 6 = 0 THEN 'domain' ELSE 'intent' END AS category_type, label AS ord,
+    (CASE WHEN vec_id % 6 = 0 THEN 'D' ELSE 'I' END) || lpad(CAST(label + 1 AS VARCHAR), 2, '0') AS code,
     vec_id AS proto_id, CAST(embedding AS DOUBLE[]) AS vec,
-    row_number() OVER (PARTITION BY vec_id < 100, label ORDER BY vec_id) AS rnk
-  FROM embeddings WHERE vec_id < 200
+    row_number() OVER (PARTITION BY vec_id % 6 = 0, label ORDER BY vec_id) AS rnk
+  FROM embeddings WHERE vec_id % 3 = 0
 ),
 protos AS (
   SELECT *, CASE WHEN rnk = 1 THEN 'definition' WHEN rnk % 2 = 0 THEN 'keyword' ELSE 'phrase' END AS kind FROM protos0
 ),
 svecs AS (
   SELECT vec_id AS session_id,
-    CASE WHEN vec_id = 200 THEN list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * {D('0.0')})
+    CASE WHEN vec_id = 1 THEN list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * {D('0.0')})
          ELSE CAST(embedding AS DOUBLE[]) END AS vec,
     CASE WHEN vec_id % 2 = 0 THEN 'D' || lpad(CAST(vec_id % 10 + 1 AS VARCHAR), 2, '0') END AS domain_prior
-  FROM embeddings WHERE vec_id >= 200
+  FROM embeddings WHERE vec_id % 3 <> 0
 ),
 sims AS (
   SELECT s.session_id, s.domain_prior, p.category_type, p.code, p.ord, p.kind, p.proto_id,
@@ -374,8 +380,8 @@ def fill_sql(template: str, **exprs: str) -> str:
 
 
 def stub_sql(prompt: str) -> str:
-    return (f"({q(defaults.STUB_COMPLETION_PREFIX)} || substr({prompt}, 1, {defaults.STUB_COMPLETION_CHARS}) "
-            f"|| {q(defaults.STUB_COMPLETION_SUFFIX)})")
+    """The default completion: it depends on the whole prompt."""
+    return f"({q(defaults.DIGEST_COMPLETION_PREFIX)} || CAST(length({prompt}) AS VARCHAR) || ' characters, ' || md5({prompt}))"
 
 
 SUMMARY = f"""
@@ -547,7 +553,7 @@ SELECT session_id, username, co, user_type, division, combined_prompt, turn_coun
         "governance_flags": flag_chain + """
 SELECT session_id, predicted_domain, predicted_intent, label_source, governance_flag, governance_reason FROM gov""",
         "llm_queue": flag_chain + f"""
-SELECT session_id, combined_confidence, substr(combined_prompt, 1, {defaults.FALLBACK_PROMPT_TRUNCATE}) AS prompt_excerpt
+SELECT session_id, combined_confidence, combined_prompt AS prompt_excerpt
 FROM gov WHERE label_source = 'llm_classify'""",
         "route_outputs": flag_chain + "\n" + sinks,
         "run_summary": flag_chain + """,
@@ -598,6 +604,11 @@ SELECT pid AS doc_id, CAST(chunk_idx AS BIGINT) AS chunk_idx, chunk FROM dpk""",
     out.update({
         "chunk_prompts": doc_sum + """
 SELECT doc_id, CAST(chunk_idx AS BIGINT) AS chunk_idx, prompt FROM cprompts""",
+        "chunk_completions": doc_sum + """
+SELECT doc_id, CAST(chunk_idx AS BIGINT) AS chunk_idx,
+       CASE WHEN length(prompt) % 5 = 0 THEN '[Error summarizing this section: cannot read ' || CAST(length(prompt) AS VARCHAR) || ' characters]'
+            ELSE CAST(length(prompt) AS VARCHAR) || ' characters read' END AS summary
+FROM cprompts""",
         "summary_reduce": doc_sum + """
 SELECT doc_id, chunk_count, final_prompt FROM finals""",
         "summarise_documents": doc_sum + f"""
@@ -631,6 +642,22 @@ FROM conversations GROUP BY conv_id""",
     fold_const = len(_th._frame_py(defaults.SUMMARY_SYSTEM_MESSAGE, defaults.SUMMARY_USER_MESSAGE.format(summary="", email="")))
     body_sql = "len(body)"
     init = q(defaults.SUMMARY_INITIAL_STATE)
+    find_const = len(_th._frame_py(defaults.FINDINGS_SYSTEM_MESSAGE, defaults.FINDINGS_USER_MESSAGE.format(summary="", email="")))
+    state = """CASE WHEN n % 7 = 0 THEN summary ELSE summary || chr(10) || 'read ' || CAST(n AS VARCHAR) || ' chars' END AS summary,
+    CASE WHEN n % 7 = 0 THEN deadlines ELSE list_append(deadlines, 'd' || CAST(n AS VARCHAR)) END AS deadlines,
+    CASE WHEN n % 7 = 0 OR n % 2 = 0 THEN commitments ELSE list_append(commitments, CAST(n % 10 AS VARCHAR)) END AS commitments"""
+    out["thread_fold_findings"] = _with(MAILS, f"""
+fold AS (
+  SELECT thread_id, email_no, n % 7 <> 0 AS ok, {state}
+  FROM (SELECT thread_id, email_no, {find_const} + length(body) AS n, '' AS summary, CAST([] AS VARCHAR[]) AS deadlines, CAST([] AS VARCHAR[]) AS commitments
+        FROM mail_body WHERE email_no = 1)
+  UNION ALL
+  SELECT thread_id, email_no, n % 7 <> 0, {state}
+  FROM (SELECT b.thread_id, b.email_no, {find_const} + length(f.summary) + length(b.body) AS n, f.summary, f.deadlines, f.commitments
+        FROM fold f JOIN mail_body b ON b.thread_id = f.thread_id AND b.email_no = f.email_no + 1)
+)""") + """
+SELECT thread_id, CAST(email_no AS INTEGER) AS email_no, ok, summary, array_to_string(deadlines, '|') AS deadlines,
+       array_to_string(commitments, '|') AS commitments FROM fold"""
     out.update({
         "thread_fold": _with(MAILS, f"""
 fold AS (
@@ -688,19 +715,19 @@ nodes AS (
   UNION ALL
   SELECT 'p' || CAST(p_partkey AS VARCHAR),
          CASE WHEN p_size = 1 THEN 'old/p' ELSE 'lib/p' END || CAST(p_partkey AS VARCHAR) || '.py'
-  FROM part WHERE p_size <= 25
+  FROM part
 )"""
     out.update({
         "module_nodes": _with(nodes) + "\nSELECT module, path FROM nodes",
         "import_edges": _with(nodes) + f"""
 SELECT DISTINCT 's' || CAST(l_suppkey AS VARCHAR) AS src, 'p' || CAST(l_partkey AS VARCHAR) AS dst
 FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
-WHERE p_size <= 25 AND s_suppkey % {fx.BROKEN_EVERY} <> 0
+WHERE s_suppkey % {fx.BROKEN_EVERY} <> 0
 UNION
 SELECT 's' || CAST(s_suppkey AS VARCHAR), 's' || CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % {fx.BROKEN_EVERY} <> 0
 UNION
 SELECT 'p' || CAST(a.p_partkey AS VARCHAR), 'p' || CAST(b.p_partkey AS VARCHAR)
-FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size = 1 AND b.p_size <= 25""",
+FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size = 1""",
     })
     replay_cte = """
 rc AS (
@@ -711,7 +738,7 @@ rlog AS (
   SELECT conv_id * 100 + turn AS record_id, rc.text AS input,
          CASE WHEN next_role = 'assistant' THEN next_text END AS response,
          b.text AS expected, prev_text AS contexts
-  FROM rc LEFT JOIN benchmark b ON b.item_id = rc.conv_id % 40 WHERE role = 'user'
+  FROM rc LEFT JOIN benchmark b ON b.item_id = rc.conv_id % (SELECT count(*) FROM benchmark) WHERE role = 'user'
 )"""
     tok = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'))"
     def ratio(a, b):

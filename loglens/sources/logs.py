@@ -1,35 +1,52 @@
-"""Chat-log and evaluation-log readers (CSV, Parquet or JSON; explicit schema)."""
+"""Chat-log and evaluation-log readers (CSV, Parquet or JSON)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loglens import defaults
 from loglens.operators.sessions import require_columns
 
+#: Columns of a chat log with the types they are read as.  ``seq`` (input order) may be absent.
 LOG_SCHEMA = T.StructType([
-    T.StructField("session_id", T.LongType()), T.StructField("seq", T.LongType()),
+    T.StructField("session_id", T.StringType()), T.StructField("seq", T.LongType()),
     T.StructField("query_timestamp", T.StringType()), T.StructField("username", T.StringType()),
     T.StructField("prompt", T.StringType()), T.StructField("co", T.StringType()),
     T.StructField("user_type", T.StringType()), T.StructField("division", T.StringType()),
 ])
 
 
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with a header: columns by their names in the file, all of them text."""
+    return (spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
+            .option("multiLine", True).option("escape", '"').csv(path))
+
+
 def read_logs(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = LOG_SCHEMA,
               required=defaults.REQUIRED_LOG_COLUMNS) -> DataFrame:
-    """Read a chat-log table and check the required columns (driver-side,
-    from the schema; no job).  CSV is read with a header and no inference
-    pass; pass ``schema=None`` to take the file's own schema (parquet)."""
-    reader = spark.read
-    if schema is not None and fmt != "parquet":
-        reader = reader.schema(schema)
+    """Read a chat-log table by its own column names, in any order, and check the
+    required ones against the file.
+
+    CSV and JSON values are read as text; then the columns of ``schema`` that the
+    file has are cast to its types (Parquet columns too, where they differ).
+    Further columns stay as they are.  Text ids stay text."""
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
-    df = reader.format(fmt).load(path)
-    return require_columns(df, required)
+        df = _csv(spark, path)
+    elif fmt == "json":
+        df = spark.read.option("primitivesAsString", True).json(path)
+    else:
+        df = spark.read.format(fmt).load(path)
+    df = require_columns(df, required)
+    for f in schema.fields if schema is not None else []:
+        if f.name in df.columns and df.schema[f.name].dataType != f.dataType:
+            timestamp = f.name == "query_timestamp" and df.schema[f.name].dataType.simpleString().startswith("timestamp")
+            if not timestamp:  # a real timestamp needs no detour through text
+                df = df.withColumn(f.name, F.col(f"`{f.name}`").try_cast(f.dataType))
+    return df
 
 
 def read_eval_log(spark: SparkSession, path: str) -> DataFrame:
     """A recorded-runs CSV with a header; every column is read as text."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return _csv(spark, path)

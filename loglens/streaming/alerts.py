@@ -16,13 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from loglens import defaults
 from loglens.config import ensure_checkpoint_dir
 from loglens.operators import routing, sessions
+from loglens.sources.logs import LOG_SCHEMA
 
-LOG_SCHEMA = T.StructType([
-    T.StructField("session_id", T.LongType()), T.StructField("seq", T.LongType()),
-    T.StructField("query_timestamp", T.StringType()), T.StructField("username", T.StringType()),
-    T.StructField("prompt", T.StringType()), T.StructField("co", T.StringType()),
-    T.StructField("user_type", T.StringType()), T.StructField("division", T.StringType()),
-])
 ALERT_COLUMNS = ["session_id", "seq", "username", "query_timestamp", "prompt", "watchlist_reason"]
 
 

@@ -1,22 +1,23 @@
-"""Streaming thread findings: per-thread state updated as model outputs arrive.
-
-Outputs are parsed by the same JVM ``from_json`` as the batch job; the
-stateful step only folds: the five lists are appended to and the summary
-extended for each usable output, in e-mail order within a micro-batch.  A
-mail whose number is not after the last one folded for its thread arrives
-late and cannot be folded retroactively: it is reported with kind ``late``;
-unusable outputs are reported with kind ``rejected``.  One ``state`` row per
-thread and micro-batch carries the findings so far.  Default API:
-``applyInPandasWithState`` (state passed with each Arrow group; ``ttl_ms``
-is a processing-time timeout); ``transformWithStateInPandas`` with RocksDB
-value state (``ttl_ms`` as state TTL) gives the same rows.  Per-group cost is
-the framework's (about 0.7 ms per thread and micro-batch on one core,
+"""Streaming thread findings: model outputs folded per thread as they arrive.
+
+Outputs are read like in the batch job.  The state of a thread is the number of
+its last folded e-mail; what a micro-batch adds to a thread leaves as one
+``delta`` row (the items and summary text of its usable outputs, in e-mail
+order), so the output is linear in the input, and ``gathered`` puts the deltas of
+a thread together when they are read.  A mail whose number is not after the last
+one folded for its thread (numbers may be any integers) arrives late and cannot
+be folded retroactively: it is reported with kind ``late``; unusable outputs are
+reported with kind ``rejected``.  Default API: ``applyInPandasWithState``
+(``ttl_ms`` is a processing-time timeout); ``transformWithStateInPandas`` with
+RocksDB value state (``ttl_ms`` as state TTL) gives the same rows.  Per-group
+cost is the framework's (about 0.7 ms per thread and micro-batch on one core,
 measured with an empty step), spread over all executors.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -27,10 +28,7 @@ from loglens.operators import threads
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LISTS = threads.LIST_NAMES
-STATE_SCHEMA = T.StructType(
-    [T.StructField("last_email", T.LongType()), T.StructField("summary", T.StringType())]
-    + [T.StructField(n, T.ArrayType(T.StringType())) for n in LISTS]
-)
+STATE_SCHEMA = T.StructType([T.StructField("last_email", T.LongType())])
 OUTPUT_SCHEMA = T.StructType(
     [T.StructField("thread_id", T.LongType()), T.StructField("kind", T.StringType()),
      T.StructField("email_no", T.LongType()), T.StructField("summary", T.StringType())]
@@ -39,14 +37,42 @@ OUTPUT_SCHEMA = T.StructType(
 OUTPUT_COLUMNS = [f.name for f in OUTPUT_SCHEMA.fields]
 
 
+def _folder(list_keys, list_names, summary_key, out_cols):
+    """(thread, last number or None, rows) -> (last number, output frame).  Built from
+    plain values only, so that it is shipped by value: the streaming runner that
+    calls it does not import this package."""
+
+    def fold(thread_id, last, batch):
+        import pandas as pd
+
+        numbers, ok = batch["email_no"].to_numpy(), batch["parsed_ok"].to_numpy()
+        columns, updates = {k: batch[k].to_numpy() for k, _ in list_keys}, batch[summary_key].to_numpy()
+        blank = (None,) * len(list_names)
+        added, text, usable, out = {n: [] for n in list_names}, "", False, []
+        for j in numbers.argsort(kind="stable"):
+            number = int(numbers[j])
+            if last is not None and number <= last:
+                out.append((thread_id, "late", number, None, *blank))
+                continue
+            last = number
+            if not ok[j]:
+                out.append((thread_id, "rejected", number, None, *blank))
+                continue
+            usable = True
+            for key, name in list_keys:
+                added[name].extend(columns[key][j] if columns[key][j] is not None else ())
+            text += "\n" + (updates[j] if isinstance(updates[j], str) else "")
+        # a thread is known by its first row even if nothing in it was usable
+        if usable or out:
+            out.append((thread_id, "delta", last, text, *[added[n] for n in list_names]))
+        return last, pd.DataFrame(out, columns=out_cols)
+
+    return fold
+
+
 def make_processor(ttl_ms: int | None = None) -> StatefulProcessor:
-    """The stateful step.  The class is built here, from plain values only, so
-    that it is shipped by value: the streaming runner that starts it does not
-    import this package."""
-    list_keys = list(defaults.FINDING_LIST_KEYS)
-    list_names = list(LISTS)
-    summary_key = defaults.FINDING_SUMMARY_KEY
-    out_cols = list(OUTPUT_COLUMNS)
+    """The stateful step for ``transformWithStateInPandas``."""
+    fold = _folder(list(defaults.FINDING_LIST_KEYS), list(LISTS), defaults.FINDING_SUMMARY_KEY, list(OUTPUT_COLUMNS))
     state_schema = STATE_SCHEMA
 
     class ThreadFindingsProcessor(StatefulProcessor):
@@ -56,33 +82,10 @@ def make_processor(ttl_ms: int | None = None) -> StatefulProcessor:
         def handleInputRows(self, key, rows, timerValues):
             import pandas as pd
 
-            (thread_id,) = key
-            if self.state.exists():
-                st = self.state.get()
-                last, summary = int(st[0]), st[1]
-                lists = {n: list(st[2 + i]) for i, n in enumerate(list_names)}
-            else:
-                last, summary, lists = 0, "", {n: [] for n in list_names}
-            batch = pd.concat(list(rows), ignore_index=True).sort_values("email_no", kind="stable")
-            out = []
-            for r in batch.itertuples(index=False):
-                no = int(r.email_no)
-                if no <= last:
-                    out.append((thread_id, "late", no, None) + (None,) * len(list_names))
-                    continue
-                last = no
-                if not r.parsed_ok:
-                    out.append((thread_id, "rejected", no, None) + (None,) * len(list_names))
-                    continue
-                for key_, name in list_keys:
-                    v = getattr(r, key_)
-                    if v is not None:
-                        lists[name].extend(str(x) for x in v)
-                upd = getattr(r, summary_key)
-                summary += "\n" + (upd if isinstance(upd, str) else "")
-            self.state.update((last, summary, *[lists[n] for n in list_names]))
-            out.append((thread_id, "state", last, summary, *[list(lists[n]) for n in list_names]))
-            yield pd.DataFrame(out, columns=out_cols)
+            last = int(self.state.get()[0]) if self.state.exists() else None
+            last, out = fold(key[0], last, pd.concat(list(rows), ignore_index=True))
+            self.state.update((last,))
+            yield out
 
         def close(self) -> None:
             pass
@@ -90,55 +93,35 @@ def make_processor(ttl_ms: int | None = None) -> StatefulProcessor:
     return ThreadFindingsProcessor()
 
 
-def _fold_group(list_keys, list_names, summary_key, out_cols, ttl_ms):
+def _fold_group(fold, ttl_ms):
     """Per-thread step for ``applyInPandasWithState`` (state = one tuple)."""
 
     def step(key, pdfs, state):
         import pandas as pd
 
-        (thread_id,) = key
         if state.hasTimedOut:
             state.remove()
             return
-        if state.exists:
-            st = state.get
-            last, summary = int(st[0]), st[1]
-            lists = {n: list(st[2 + i]) for i, n in enumerate(list_names)}
-        else:
-            last, summary, lists = 0, "", {n: [] for n in list_names}
         frames = list(pdfs)
-        batch = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-        nos = batch["email_no"].to_numpy()
-        order = nos.argsort(kind="stable")
-        ok = batch["parsed_ok"].to_numpy()
-        cols = {k: batch[k].to_numpy() for k, _ in list_keys}
-        upds = batch[summary_key].to_numpy()
-        blank = (None,) * len(list_names)
-        out = []
-        for j in order:
-            no = int(nos[j])
-            if no <= last:
-                out.append((thread_id, "late", no, None) + blank)
-                continue
-            last = no
-            if not ok[j]:
-                out.append((thread_id, "rejected", no, None) + blank)
-                continue
-            for key_, name in list_keys:
-                v = cols[key_][j]
-                if v is not None:
-                    lists[name].extend(str(x) for x in v)
-            upd = upds[j]
-            summary += "\n" + (upd if isinstance(upd, str) else "")
-        state.update((last, summary, *[lists[n] for n in list_names]))
+        last = int(state.get[0]) if state.exists else None
+        last, out = fold(key[0], last, frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True))
+        state.update((last,))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
-        out.append((thread_id, "state", last, summary, *[list(lists[n]) for n in list_names]))
-        yield pd.DataFrame(out, columns=out_cols)
+        yield out
 
     return step
 
 
+def gathered(rows: DataFrame) -> DataFrame:
+    """(thread_id, the lists, summary) from the stream's output rows: the deltas of
+    each thread in e-mail order."""
+    delta = F.struct(F.col("email_no").alias("k"), *[F.col(n) for n in LISTS], "summary")
+    parts = rows.where("kind = 'delta'").groupBy("thread_id").agg(F.array_sort(F.collect_list(delta)).alias("d"))
+    lists = [F.flatten(F.col("d").getField(n)).alias(n) for n in LISTS]  # a field of an array of structs: its values
+    return parts.select("thread_id", *lists, F.array_join(F.col("d").getField("summary"), "").alias("summary"))
+
+
 def _parsed_rows(outputs: DataFrame, id_col: str) -> DataFrame:
     p = threads.parse_findings(outputs)
     cols = [p[id_col].cast("long").alias("thread_id"), p["email_no"].cast("long").alias("email_no"), "parsed_ok"]
@@ -151,8 +134,8 @@ def thread_findings_stream(outputs: DataFrame, ttl_ms: int | None = None, id_col
                            api: str = "applyInPandasWithState") -> DataFrame:
     """Streaming (thread_id, email_no, out) -> OUTPUT_SCHEMA rows (append).
 
-    ``api='applyInPandasWithState'`` (default) keeps each thread's state as one
-    row passed with its Arrow group; ``'transformWithStateInPandas'`` uses the
+    ``api='applyInPandasWithState'`` (default) passes each thread's state
+    with its Arrow group; ``'transformWithStateInPandas'`` uses the
     newer processor API with RocksDB value state.  Both give the same rows."""
     rows = _parsed_rows(outputs, id_col)
     if api == "transformWithStateInPandas":
@@ -160,7 +143,7 @@ def thread_findings_stream(outputs: DataFrame, ttl_ms: int | None = None, id_col
         if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         return rows.groupBy("thread_id").transformWithStateInPandas(make_processor(ttl_ms), OUTPUT_SCHEMA, "Append", "None")
-    step = _fold_group(list(defaults.FINDING_LIST_KEYS), list(LISTS), defaults.FINDING_SUMMARY_KEY, list(OUTPUT_COLUMNS), ttl_ms)
+    step = _fold_group(_folder(list(defaults.FINDING_LIST_KEYS), list(LISTS), defaults.FINDING_SUMMARY_KEY, list(OUTPUT_COLUMNS)), ttl_ms)
     timeout = "ProcessingTimeTimeout" if ttl_ms else "NoTimeout"
     return rows.groupBy("thread_id").applyInPandasWithState(step, OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
 

@@ -89,12 +89,11 @@ def test_large_document_is_linear(spark):
 def test_no_expression_duplication_in_plan(spark):
     df = spark.createDataFrame([(1, "a\n\nb")], "doc_id long, text string")
     plan = chunking.chunk_documents(df)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("regexp_replace(") == len(chunking.defaults.SECTION_PATTERNS)
+    assert plan.count("EvalPython") == 1  # the patterns run once per text
 
 
 def test_many_matches_are_linear(spark):
-    """80,000 numbered lines (each a boundary): blocked running sums, not a
-    quadratic fold (which took about six minutes)."""
+    """80,000 numbered lines, each a boundary."""
     import time
 
     text = "intro" + "".join(f"\n1.{i % 9 + 1} Terms of item {i}" for i in range(80_000))

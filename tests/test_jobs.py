@@ -1,5 +1,6 @@
 """End-to-end jobs: written outputs, the user-encoder path, readers and writers."""
 
+import hashlib
 import json
 import os
 
@@ -53,6 +54,30 @@ def test_log_reader_csv_and_missing(spark, tmp_path):
         read_logs(spark, str(p), fmt="csv", schema=None, required=["session_id", "missing_col"])
 
 
+ROWS = [("S-1", "2024-01-01 00:00:00", "bob", "hello, world", "c", "t", "Trading"), ("S-1", "02/01/2024 10:00", "bob", "again", "c", "t", "Trading"),
+        ("17", "13.5.2024 8:05", "eve", "the third one of them", "d", "u", "Risk")]
+NAMES = ["session_id", "query_timestamp", "username", "prompt", "co", "user_type", "division"]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json", "parquet"])
+@pytest.mark.parametrize("order", [NAMES, sorted(NAMES), [*NAMES[::-1], "extra"]])
+def test_log_reader_goes_by_name(spark, tmp_path, fmt, order):
+    from loglens.operators.sessions import build_sessions, normalise_logs
+    from loglens.sources.logs import read_logs
+
+    rows = spark.createDataFrame(ROWS, NAMES).withColumn("extra", F.lit("x")).coalesce(1).select(*order)
+    rows.write.format(fmt).option("header", True).save(str(tmp_path / "t"))
+    got = read_logs(spark, str(tmp_path / "t"), fmt=fmt)
+    assert sorted(map(tuple, got.select(*NAMES).collect())) == sorted(ROWS)
+    turns = normalise_logs(got)
+    assert sorted(str(r[0]) for r in turns.select("query_timestamp").collect()) == ["2024-01-01 00:00:00", "2024-02-01 10:00:00", "2024-05-13 08:05:00"]
+    assert {r.session_id: r.turn_count for r in build_sessions(turns).collect()} == {"S-1": 2, "17": 1}
+    for gone in ("prompt", "session_id"):
+        rows.drop(gone).write.format(fmt).option("header", True).save(str(tmp_path / gone))
+        with pytest.raises(ValueError, match=gone):
+            read_logs(spark, str(tmp_path / gone), fmt=fmt)
+
+
 def test_summary_and_graph_writers(spark, tmp_path):
     from loglens.operators import completion, imports
 
@@ -75,7 +100,7 @@ def test_chat_and_report_completion(spark):
     assert out.prompt == "<|system|>be brief<|end|><|user|>hi<|end|><|assistant|>" and out.completion == str(len(out.prompt))
     f = threads.thread_findings(spark.createDataFrame([(1, 1, '{"deadlines": ["d"]}')], "thread_id long, email_no int, out string"))
     r = threads.thread_reports(f).first()
-    assert r.conclusion.startswith("This is where the LLM response would be for: <|system|>")
+    assert r.conclusion == f"completion of {len(r.report_prompt)} characters, {hashlib.md5(r.report_prompt.encode()).hexdigest()}"
 
 
 def test_workload_jobs(spark, tmp_path):

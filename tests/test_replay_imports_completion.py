@@ -21,6 +21,15 @@ def test_imports_ast():
     assert names == [] and err.startswith("SyntaxError")
 
 
+def test_files_that_break_the_parser_become_error_rows(spark):
+    deep = "x = " + "(" * 5000 + ")" * 5000
+    chain = "x = " + "+".join(["1"] * 100_000)
+    files = spark.createDataFrame([("deep.py", deep), ("chain.py", chain), ("bin.py", "a\x00b"), ("ok.py", "import deep")], "path string, content string")
+    got = {r.path: (r["import"], bool(r.parse_error)) for r in imports.extract_imports(files).collect()}
+    assert got["deep.py"] == (None, True) and got["bin.py"] == (None, True) and got["ok.py"] == ("deep", False)
+    assert [(r.src, r.dst) for r in imports.import_edges(files).collect()] == [("ok", "deep")]
+
+
 def test_source_tree_reader_and_edges(spark, tmp_path):
     from loglens.sources.source_tree import read_source_tree
 
@@ -43,8 +52,9 @@ def test_completion_errors_and_order(spark):
     df = spark.createDataFrame([(1, i, f"c{i}" if i != 2 else "boom") for i in range(4)], "doc_id long, chunk_idx int, p string")
     out = completion.complete(df, "p", "s", fn=fn).orderBy("chunk_idx").collect()
     assert [r.s for r in out] == ["C0", "C1", "[Error summarizing this section: bad chunk]", "C3"]
-    stub = completion.complete(df, "p", "s").orderBy("chunk_idx").first().s
+    stub = completion.complete(df, "p", "s", built_in=completion.stub_completion).orderBy("chunk_idx").first().s
     assert stub == "This is where the LLM response would be for: c0..."
+    assert completion.complete(df, "p", "s").orderBy("chunk_idx").first().s.startswith("completion of 2 characters, ")
 
 
 def test_summarise_with_function(spark):

@@ -100,7 +100,7 @@ def test_domain_prior_substring_misfires(spark):
 
 def test_required_columns(spark):
     df = spark.createDataFrame([(1, "x")], "session_id long, prompt string")
-    with pytest.raises(ValueError, match="Missing required columns"):
+    with pytest.raises(ValueError, match="the log table lacks"):
         sessions.normalise_logs(df)
 
 

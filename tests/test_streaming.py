@@ -17,7 +17,7 @@ def test_alert_stream_equals_batch(spark, tmp_path):
     # several files so the stream runs several micro-batches
     logs.repartition(4, "session_id").write.parquet(src)
     q = alerts.start_alert_stream(spark, src, str(tmp_path / "out"), words=fx.FIXTURE_WATCHLIST,
-                                  max_files_per_trigger=1, name=f"t_alerts_{uuid.uuid4().hex}")
+                                  schema=logs.schema, max_files_per_trigger=1, name=f"t_alerts_{uuid.uuid4().hex}")
     q.awaitTermination(120)
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*alerts.ALERT_COLUMNS).collect())
     want = sorted(tuple(r) for r in alerts.turn_alerts(logs, fx.FIXTURE_WATCHLIST).collect())
@@ -38,8 +38,7 @@ def test_thread_stream_equals_batch(spark, tmp_path, api):
                                          name=f"t_threads_{uuid.uuid4().hex}", api=api)
     q.awaitTermination(300)
     res = spark.read.parquet(str(tmp_path / "out"))
-    last = res.where("kind = 'state'").groupBy("thread_id").agg(F.max_by(F.struct(*thread_state.OUTPUT_COLUMNS), "email_no").alias("s"))
-    got = {r.s.thread_id: (r.s.summary, *[list(r.s[n]) for n in threads.LIST_NAMES]) for r in last.collect()}
+    got = {r.thread_id: (r.summary, *[list(r[n]) for n in threads.LIST_NAMES]) for r in thread_state.gathered(res).collect()}
     batch = threads.thread_findings(outs).collect()
     want = {r.thread_id: (r.summary, *[list(r[n]) for n in threads.LIST_NAMES]) for r in batch}
     assert got == want
@@ -49,7 +48,7 @@ def test_thread_stream_equals_batch(spark, tmp_path, api):
 
 def test_thread_stream_reports_late_mail(spark, tmp_path):
     src = str(tmp_path / "src")
-    first = [(1, 1, '{"deadlines": ["a"]}'), (1, 3, '{"deadlines": ["c"]}')]
+    first = [(1, -1, '{"deadlines": ["a"]}'), (1, 3, '{"deadlines": ["c"]}')]
     later = [(1, 2, '{"deadlines": ["b"]}'), (1, 4, '{"deadlines": ["d"]}')]
     schema = "thread_id long, email_no int, out string"
     spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(src)
@@ -58,5 +57,5 @@ def test_thread_stream_reports_late_mail(spark, tmp_path):
     q.awaitTermination(120)
     res = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.kind, r.email_no) for r in res.where("kind = 'late'").collect()} == {("late", 2)}
-    final = res.where("kind = 'state'").orderBy(F.desc("email_no")).first()
-    assert list(final.deadlines) == ["a", "c", "d"]
+    assert res.where("kind = 'delta'").count() == 2
+    assert list(thread_state.gathered(res).first().deadlines) == ["a", "c", "d"]

@@ -15,6 +15,52 @@ OUTS = [
 ]
 
 
+# outputs and what they mean (None: unusable), for all three paths
+MEANINGS = [
+    ('{"deadlines": ["x"]}', ["x"]), (' {"deadlines": ["x"]}\n', ["x"]), ('{"deadlines": []}', []), ('{}', []), ('{"deadlines": null}', []),
+    ('{"deadlines": ["x", 1, 1.5, true, null, {"a": [1]}]}', ["x", "1", "1.5", "true", None, '{"a": [1]}']),
+    ('{"deadlines": ["x"]} trailing words', None), ("{'deadlines':['x']}", None), ('{"deadlines": "x"}', None), ('{"deadlines": {"a": 1}}', None),
+    ('{"deadlines": ["x"], "summary_update": 3}', None), ('[{"deadlines": ["x"]}]', None), ('"x"', None), ("", None), ("null", None), (None, None),
+    ('{"deadlines": ["x"}', None), ('{"deadlines": ["x"]}{"deadlines": ["y"]}', None), ("[" * 100_000, None),
+]
+
+
+def test_one_meaning_in_batch_fold_and_stream(spark, tmp_path):
+    import uuid
+
+    from loglens.streaming import thread_state
+
+    want = {k: v for k, (_, v) in enumerate(MEANINGS)}
+    outs = spark.createDataFrame([(k, 1, t) for k, (t, _) in enumerate(MEANINGS)], "thread_id long, email_no int, out string")
+    rejected = {r.thread_id for r in threads.finding_rejects(outs).collect()}
+    batch = {r.thread_id: None if r.thread_id in rejected else list(r.deadlines) for r in threads.thread_findings(outs).collect()}
+    assert batch == want
+    answers = [t for t, _ in MEANINGS]
+    mails = spark.createDataFrame([(k, 1, f"#{k}#") for k in range(len(MEANINGS))], "thread_id long, email_no int, body string")
+    fold = threads.fold_threads(mails, fn=lambda p: answers[int(p.split("#")[-2])], flavour="findings").collect()
+    assert {r.thread_id: json.loads(r.findings_json)["deadlines"] if r.ok else None for r in fold} == want
+    outs.write.parquet(str(tmp_path / "src"))
+    q = thread_state.start_thread_stream(spark, str(tmp_path / "src"), str(tmp_path / "out"), name=f"t_mean_{uuid.uuid4().hex}")
+    q.awaitTermination(120)
+    res = spark.read.parquet(str(tmp_path / "out"))
+    late = {r.thread_id for r in res.where("kind = 'rejected'").collect()}
+    assert {r.thread_id: None if r.thread_id in late else list(r.deadlines) for r in thread_state.gathered(res).collect()} == want
+
+
+def test_review_threads_writes_steps_and_reports(spark, tmp_path):
+    from loglens.plans import jobs
+
+    mails = spark.createDataFrame([(1, 1, "a"), (1, 2, "bb"), (2, 5, "c")], "thread_id long, email_no int, body string")
+    jobs.review_threads(mails, str(tmp_path))  # the default step
+    steps = spark.read.parquet(str(tmp_path / "steps")).collect()
+    reports = {r.thread_id: r for r in spark.read.parquet(str(tmp_path / "reports")).collect()}
+    assert len(steps) == 3 and set(reports) == {1, 2}
+    last = next(s for s in steps if (s.thread_id, s.email_no) == (1, 2))
+    assert last.findings_json in reports[1].report_prompt and reports[1].conclusion.startswith("completion of ")
+    jobs.review_threads(mails, str(tmp_path / "s"), flavour="summary")
+    assert not (tmp_path / "s" / "reports").exists()
+
+
 def test_findings_and_rejects(spark):
     df = spark.createDataFrame(OUTS, "thread_id long, email_no int, out string")
     f = {r.thread_id: r for r in threads.thread_findings(df).collect()}
