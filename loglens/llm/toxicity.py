@@ -33,7 +33,7 @@ from loglens.llm import labelled
 from loglens.llm.common import prepare
 
 #: documents with label 0 and 1 in the sample, characters of each, and documents of each class in the calibration
-PER_CLASS, MOST_CHARS, CHECKED = (8_000, 3_000), 20_000, 1_500
+PER_CLASS, MOST_CHARS, CHECKED = (5_000, 3_000), 20_000, 1_500
 FOLDS = 2
 CUTOFF = 0.3
 WINDOW, STEP, GAIN = 96, 72, 1
@@ -114,15 +114,20 @@ N_FEATURES = 6
 
 def _contexts(texts: list[str]) -> tuple[dict[bytes, int], int]:
     """For every word the number of different words before it or after it, whichever is less (so the copies of a
-    passage count once), and the number of words in all."""
-    before, after, total = defaultdict(set), defaultdict(set), 0
+    passage count once), and the number of words in all.  Words are numbered, and contexts are pairs of numbers."""
+    number: dict[bytes, int] = {b"": 0}
+    parts = [np.zeros(1, dtype=np.int64)]
     for t in texts:
-        words = [b"", *(BARE.findall(w)[0] if BARE.search(w) else w for w in WORD.findall(t.lower().encode())), b""]
-        total += len(words)
-        for x, w, z in zip(words, words[1:], words[2:]):
-            before[w].add(x)
-            after[w].add(z)
-    return {w: min(len(x), len(after[w])) for w, x in before.items()}, max(total, 1)
+        words = (BARE.search(w) or WORD.search(w) for w in WORD.findall(t.lower().encode()))
+        parts.append(np.array([*(number.setdefault(m[0], len(number)) for m in words), 0], dtype=np.int64))
+    row = np.concatenate(parts)
+    at = np.flatnonzero(row)
+    least = None
+    for side in (-1, 1):
+        pairs = np.unique(row[at] * len(number) + row[at + side])
+        seen = np.bincount(pairs // len(number), minlength=len(number))
+        least = seen if least is None else np.minimum(least, seen)
+    return {w: n for w, n in zip(number, least.tolist()) if w}, max(len(at), 1)
 
 
 def _grams(word: bytes) -> set[bytes]:
@@ -145,13 +150,14 @@ class Counts:
 def _counts(rows: list[tuple[str, int]]) -> Counts:
     toxic, plain = ([t for t, y in rows if y == k] for k in (1, 0))
     (bad, bad_total), (good, good_total) = _contexts(toxic), _contexts(plain)
-    grams = []
+    grams: list[dict[bytes, int]] = []
     for words in (bad, good):
         grams.append(found := defaultdict(int))
         for w, n in words.items():
             for g in _grams(w):
                 found[g] += n
     ordinary = b"\n".join(t.lower().encode()[:256] for t in plain[:ORDINARY_BYTES // 256])
+    good = {w: good[w] for w in bad if w in good}  # no other word is asked for
     return Counts(bad, good, *grams, bad_total / good_total, ordinary[:ORDINARY_BYTES])
 
 
@@ -178,6 +184,7 @@ def fit(rows: list[tuple[str, int]], sizes: dict[int, int]) -> Model:
         for times in TIMES:
             windows = Windows(*_dictionaries(counts, times))
             x[times] += [windows.features(t) for t, _ in checked]
+        del counts
     found = []
     for times in TIMES:
         w = labelled.fit_logistic(np.array(x[times]), np.array(y))
