@@ -172,7 +172,8 @@ def fit(rows: list[tuple[str, int]], sizes: dict[int, int]) -> Model:
     """``rows``: (text, label) in a random order.  Each fold is scored with the dictionaries of the others: that
     calibrates the model and chooses its ``TIMES``.  The model's dictionaries come from all rows."""
     known = sum(sizes.values())
-    folds = [rows[k::FOLDS] for k in range(FOLDS)]
+    classes = [[r for r in rows if r[1] == label] for label in (0, 1)]
+    folds = [[r for c in classes for r in c[k::FOLDS]] for k in range(FOLDS)]  # each with its share of both classes
     if any({y for _, y in f} != {0, 1} for f in folds):
         share = sizes.get(1, 0) / known if known else 0.0
         return Model(b"", b"", [0.0] * N_FEATURES + [float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))])
