@@ -31,7 +31,7 @@ LENGTH, END_ID = 2048, 1
 #: documents in one group on average
 GROUP_ROWS = 2048
 #: texts tokenised at a time, by bytes
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 
 
 class Tournament:
@@ -100,8 +100,8 @@ def _cut_documents(tokenizer, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(tokenizer.value)
         for b in batches:
-            text = b["body"].cast(pa.large_string())
-            ends = np.cumsum(np.asarray(pa.compute.binary_length(text)))
+            text = b["body"]
+            ends = np.cumsum(np.asarray(pa.compute.binary_length(text)), dtype=np.int64)
             at = 0
             while at < len(text):
                 upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, side="right")))
@@ -114,6 +114,8 @@ def _cut_documents(tokenizer, length: int, end_id: int):
                 yield pa.RecordBatch.from_arrays(
                     [b["id"][at:upto], b["grp"][at:upto], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())],
                     names=["id", "grp", "doc_tokens", "whole", "rest"])
+                del ids, rows
+                pa.default_memory_pool().release_unused()  # executors count what idle workers hold
                 at = upto
 
     return run

@@ -39,7 +39,7 @@ def _byte_chars() -> list[str]:
 class WordIds:
     """Ids (little-endian unsigned 32-bit, as bytes) of words and texts."""
 
-    def __init__(self, tokenizer_json: str, remembered: int = 600_000, widest: int = 24):
+    def __init__(self, tokenizer_json: str, remembered: int = 200_000, widest: int = 24):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
