@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens.llm import linkage
@@ -177,21 +177,36 @@ def _sketch_stars(bound: int):
 
 
 def _to_pivots(bound: int):
-    """Members of large buckets -> (key, node, the first pivot that its sketch is near to, its number)."""
+    """Members of large buckets -> (key, node, the first pivot that its sketch is near to, which pivots these are as
+    bits of a number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             own = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
-            number, pivot = np.full(len(own), -1, dtype=np.int64), np.zeros(len(own), dtype=np.int64)
+            bits, pivot = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=np.int64)
             for p in reversed(range(PIVOTS)):
                 theirs = np.frombuffer(b"".join(t[f"s{p}"].to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
                 near = (own == theirs).sum(axis=1) >= bound
-                number[near], pivot[near] = p, t[f"p{p}"].to_numpy()[near]
-            yield pa.RecordBatch.from_arrays([t["key"], t["run"], t["node"], pa.array(pivot), pa.array(number)], names=["key", "run", "node", "pivot", "number"])
+                bits[near] |= 1 << p
+                pivot[near] = t[f"p{p}"].to_numpy()[near]
+            yield pa.RecordBatch.from_arrays([t["key"], t["run"], t["node"], pa.array(pivot), pa.array(bits)], names=["key", "run", "node", "pivot", "bits"])
 
     return run
 
 
+def _some_near_both(p: int, q: int) -> Column:
+    two = (1 << p) | (1 << q)
+    return F.exists("seen", lambda x: x.bitwiseAND(F.lit(two)) == two)
+
+
+def _reached(seen: Column) -> Column:
+    """The pivots (as bits) that members connect to the first one, from the sets of pivots that members are near to."""
+    reached = F.lit(1).cast("long")
+    for _ in range(PIVOTS):
+        reached = F.aggregate(seen, reached, lambda a, x: F.when(a.bitwiseAND(x) != 0, a.bitwiseOR(x)).otherwise(a))
+    return reached
+
+
 def _jaccard_links(gram: int, threshold: float):
     def links(g: pa.Table) -> np.ndarray | None:
         want = g["sh"].to_pylist()
@@ -244,11 +259,18 @@ def _candidates(nodes: DataFrame, levels: int, bound: int) -> DataFrame:
         rows = rows.join(large, F.col("key") == F.col("k"), "left_semi")
         picks = [F.min_by(F.struct("node", "sketch"), F.xxhash64("node", F.lit(p))).alias(f"q{p}") for p in range(PIVOTS)]
         pivots = rows.groupBy("key").agg(*picks).select(F.col("key").alias("k"), *[F.col(f"q{p}.node").alias(f"p{p}") for p in range(PIVOTS)], *[F.col(f"q{p}.sketch").alias(f"s{p}") for p in range(PIVOTS)])
-        near = (rows.join(broadcast_if_small(pivots.checkpoint()), F.col("key") == F.col("k")).drop("k")
-                .mapInArrow(_to_pivots(bound), "key long, run int, node long, pivot long, number long").checkpoint())
-        found = found.unionByName(near.filter("number >= 0 AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        # a bucket whose members are all near its first pivot is one class already; the others are split
-        mixed = near.groupBy("key").agg(F.max(F.col("number") != 0).alias("mixed")).filter("mixed").select(F.col("key").alias("k")).checkpoint()
+        pivots = pivots.checkpoint()
+        near = (rows.join(broadcast_if_small(pivots), F.col("key") == F.col("k")).drop("k")
+                .mapInArrow(_to_pivots(bound), "key long, run int, node long, pivot long, bits long").checkpoint())
+        found = found.unionByName(near.filter("bits <> 0 AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        # at most 2 ** PIVOTS sets of pivots in a bucket: members connect pivots, and a bucket whose members are all
+        # near to pivots that hang together is one class already; the others are split
+        sets = near.groupBy("key").agg(F.collect_set("bits").alias("seen")).withColumn("reached", _reached(F.col("seen"))).checkpoint()
+        both = [F.when(_some_near_both(p, q), F.struct(F.col(f"p{p}").alias("a"), F.col(f"p{q}").alias("b")))
+                for p in range(PIVOTS) for q in range(p)]
+        tied = sets.join(broadcast_if_small(pivots), F.col("key") == F.col("k")).select(F.explode(F.array(*both)).alias("e")).filter("e IS NOT NULL")
+        found = found.unionByName(tied.select("e.a", "e.b"))
+        mixed = sets.filter(F.exists("seen", lambda x: x.bitwiseAND(F.col("reached")) == 0)).select(F.col("key").alias("k")).checkpoint()
         left = near.join(broadcast_if_small(mixed), F.col("key") == F.col("k"), "left_semi").select("key", "run", F.col("node").alias("at"))
         chosen = nodes.select("node", "sketch", F.col(f"l{level + 1}").alias("tokens"))
         rows = (left.join(chosen, F.col("at") == F.col("node"))
