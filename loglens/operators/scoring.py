@@ -1,17 +1,18 @@
 """Hybrid category scoring: similarity kernels, weighted scores, arg-max, score maps.
 
-Plan shape.  The prototype set (taxonomy definitions, keywords and phrases)
-is bounded by the taxonomy, so it is collected once after a size check and
-broadcast.  Sessions are never joined with it row by row: per Arrow batch one
-matrix product gives every cosine, and a segmented max per (category, kind)
-reduces them to three arrays per session (``phrase``, ``keyword``,
+Plan shape.  The prototypes (taxonomy definitions, keywords and phrases, or a
+table of any size) are written by tasks as blocks of bounded rows and bytes in
+the shared folder (``operators/blocks.py``); only their categories and the list
+of files reach the driver.  Sessions are never joined with them row by row:
+per Arrow batch, a task goes through the blocks one after the other; one matrix
+product per block gives every cosine, and a maximum per (category, kind) is
+folded into three arrays per session (``phrase``, ``keyword``,
 ``definition``).  The weighting, prior boost, arg-max and score maps are then
 JVM higher-order functions on those arrays, so scoring adds no shuffle and
 keeps the session's other columns on the same row.
 
-Prototype sets larger than ``max_broadcast_protos`` are scored in blocks of
-that size (one pass per block, results merged by an element-wise max), so the
-broadcast never exceeds the bound.
+The work is sessions x prototypes, as the scores ask for; a task holds one
+block and one Arrow batch, whatever the sizes of both sides.
 """
 
 from __future__ import annotations
@@ -20,18 +21,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loglens import defaults
+from loglens.operators.blocks import write_blocks
 
 KINDS = ("phrase", "keyword", "definition")
 # Cells of one (rows x prototypes) similarity block held in a Python worker.
 MAX_BLOCK_CELLS = 16_000_000
 AXES = ("domain", "intent")
-MAX_BROADCAST_PROTOS = 200_000
-MAX_BROADCAST_BYTES = 256 * 1024 * 1024  # one prototype block as float64
+# Prototypes of one block, by rows and by the bytes of the stored vectors.
+BLOCK_PROTOS = 200_000
+BLOCK_BYTES = 64 * 1024 * 1024
 
 
 def round4(c: Column) -> Column:
@@ -48,16 +52,6 @@ class Categories:
     ords: tuple[int, ...]
 
 
-def _collect_prototypes(protos: DataFrame, vec_col: str, max_rows: int):
-    """Collect a bounded prototype table; raises if a category lacks a kind.
-
-    ``max_rows`` bounds what reaches the driver; the per-broadcast bound is
-    applied by the caller (blocks).
-    """
-    rows = bounded_collect(protos.select("category_type", "ord", "code", "kind", vec_col), max_rows, "prototype table")
-    return categories_of(rows)
-
-
 def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
     """Collect a table that must stay small, in one job: at most ``max_rows``
     rows reach the driver, otherwise an error names the bound."""
@@ -107,9 +101,14 @@ def kernel_layout(rows, cats: dict[str, Categories]):
     return ordered, plan
 
 
-def _kernel_plan(rows, cats: dict[str, Categories], vec_col: str):
-    ordered, plan = kernel_layout(rows, cats)
-    return _unit_rows(np.vstack([np.asarray(r[vec_col], dtype=np.float64) for r in ordered])), plan
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """The unit rows of a list column of equal lengths."""
+    lists = vectors.combine_chunks()
+    sizes = pa.compute.unique(pa.compute.list_value_length(lists)).to_pylist()
+    if len(sizes) != 1 or sizes[0] is None:
+        raise ValueError(f"prototype vectors of different lengths: {sizes}")
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit_rows(flat.reshape(len(lists), sizes[0]))
 
 
 def segment_max(sims: np.ndarray, spans) -> np.ndarray:
@@ -129,69 +128,56 @@ def sims_field(axis: str, kind: str) -> str:
     return f"{axis}_{kind}_sim"
 
 
-def _kernel_pass(df: DataFrame, rows, cats, vec_col: str, proto_vec_col: str, merge: bool) -> DataFrame:
-    matrix, plan = _kernel_plan(rows, cats, proto_vec_col)
-    bc = df.sparkSession.sparkContext.broadcast((matrix, plan))
-    names = [sims_field(a, k) for a, k, _ in plan]
-    if merge:
-        schema = df.schema
-    else:
-        schema = T.StructType(df.schema.fields + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in names])
-
-    def score(batches):
-        m, pl = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            v = _unit_rows(np.vstack([np.asarray(x, dtype=np.float64) for x in pdf[vec_col]]))
-            step = max(1, MAX_BLOCK_CELLS // max(1, m.shape[0]))
-            parts = {sims_field(a, k): [] for a, k, _ in pl}
-            for lo in range(0, len(v), step):  # bounded (rows x prototypes) block
-                sims = v[lo: lo + step] @ m.T
-                for (axis, kind, spans) in pl:
-                    parts[sims_field(axis, kind)].append(segment_max(sims, spans))
-            cols = {}
-            for name, blocks in parts.items():
-                red = np.vstack(blocks)
-                if merge:
-                    red = np.maximum(red, np.vstack([np.asarray(x, dtype=np.float64) for x in pdf[name]]))
-                cols[name] = list(red)
-            yield pdf.assign(**cols)
-
-    return df.mapInPandas(score, schema)
-
-
 def dense_similarities(
     df: DataFrame,
     protos: DataFrame,
     vec_col: str = "vec",
     proto_vec_col: str = "vec",
-    max_broadcast_protos: int = MAX_BROADCAST_PROTOS,
-    max_protos: int = 1_000_000,
+    max_broadcast_protos: int = BLOCK_PROTOS,
 ) -> tuple[DataFrame, dict[str, Categories]]:
     """Append ``{axis}_{kind}_sim`` arrays (max cosine per category) to ``df``.
 
-    ``protos``: (category_type 'domain'|'intent', ord, code, kind, vec).
-    Up to ``max_broadcast_protos`` prototypes, and at most
-    ``MAX_BROADCAST_BYTES`` of vectors, are broadcast in one piece; larger
-    sets are scored block by block: each pass broadcasts one block,
-    folds its maxima into the arrays, and is checkpointed to the shared
-    checkpoint folder so that a task only ever holds one block.
+    ``protos``: (category_type 'domain'|'intent', ord, code, kind, vec), of any
+    number.  They are written in blocks of at most ``max_broadcast_protos``
+    rows and ``BLOCK_BYTES``; each task folds the maxima of one block after the
+    other into the arrays of its sessions.  The categories, one array element
+    each, are known to the driver.
     """
-    rows, cats = _collect_prototypes(protos, proto_vec_col, max_protos)
-    dim = max((len(r[proto_vec_col]) for r in rows), default=1)
-    block = max(1, min(max_broadcast_protos, MAX_BROADCAST_BYTES // (8 * max(1, dim))))
-    if len(rows) <= block:
-        return _kernel_pass(df, rows, cats, vec_col, proto_vec_col, merge=False), cats
-    from loglens.config import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    out = None
-    for lo in range(0, len(rows), block):
-        part = rows[lo: lo + block]
-        out = _kernel_pass(df if out is None else out, part, cats, vec_col, proto_vec_col, merge=out is not None)
-        out = out.checkpoint(eager=True)
-    return out, cats
+    keys = ("category_type", "ord", "code", "kind")
+    stored, found = write_blocks(protos.select(*keys, F.col(proto_vec_col).alias("vec")), max_broadcast_protos, BLOCK_BYTES, keys)
+    _, cats = categories_of(sorted(found.collect(), key=lambda r: (r["ord"], r["code"])))
+    groups = [(axis, kind, code) for axis in AXES for kind in KINDS for code in cats[axis].codes]
+    group_no = {g: i for i, g in enumerate(groups)}
+    spans, at = [], 0
+    for axis in AXES:
+        for kind in KINDS:
+            spans.append((sims_field(axis, kind), at, at + len(cats[axis].codes)))
+            at = spans[-1][2]
+    schema = T.StructType(df.schema.fields + [T.StructField(n, T.ArrayType(T.DoubleType())) for n, _, _ in spans])
+
+    def by_group(t: pa.Table):
+        names = zip(*(t[c].to_pylist() for c in ("category_type", "kind", "code")))
+        number = np.array([group_no.get(g, -1) for g in names], dtype=np.int64)
+        order = np.argsort(number, kind="stable")
+        order = order[number[order] >= 0]
+        present, first = np.unique(number[order], return_index=True)
+        return _matrix(t["vec"])[order], present, first
+
+    def score(batches):
+        blocks = stored.reader(by_group)
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            v = _unit_rows(np.vstack([np.asarray(x, dtype=np.float64) for x in pdf[vec_col]]))
+            best = np.full((len(v), len(groups)), -np.inf)
+            for m, present, first in blocks():
+                step = max(1, MAX_BLOCK_CELLS // max(1, m.shape[0]))
+                for lo in range(0, len(v) if len(m) else 0, step):  # bounded (rows x prototypes) block
+                    top = np.maximum.reduceat(v[lo: lo + step] @ m.T, first, axis=1)
+                    best[lo: lo + step, present] = np.maximum(best[lo: lo + step, present], top)
+            yield pdf.assign(**{name: list(best[:, lo:hi]) for name, lo, hi in spans})
+
+    return df.mapInPandas(score, schema), cats
 
 
 def hybrid_columns(
@@ -268,46 +254,68 @@ def score_long(df: DataFrame, cats: dict[str, Categories], id_col: str = "sessio
 
 
 # ------------------------------------------------------------------ top-k
+def _first_of_block(sims: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` largest values per row, the smaller column first where they are equal."""
+    if k > 16:
+        return np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    out, rows, left = np.empty((len(sims), k), dtype=np.int64), np.arange(len(sims)), sims.copy()
+    for i in range(k):
+        out[:, i] = left.argmax(axis=1)
+        left[rows, out[:, i]] = -np.inf
+    return out
+
+
 def cosine_topk(
     df: DataFrame, protos: DataFrame, k: int, id_col: str = "session_id", vec_col: str = "vec",
-    proto_id_col: str = "proto_id", max_broadcast_protos: int = MAX_BROADCAST_PROTOS,
+    proto_id_col: str = "proto_id", max_broadcast_protos: int = BLOCK_PROTOS,
 ) -> DataFrame:
     """The ``k`` most similar prototypes per row: (id, rank, proto_id, cos).
 
-    Ties on the cosine go to the smaller prototype id.  The prototype matrix
-    is bounded and broadcast; each Arrow batch is one matrix product plus an
-    arg-sort, so no pair rows are materialised.
+    Ties on the cosine go to the smaller prototype id; a cosine that is no
+    number comes last.  Prototypes of any number are written in blocks; each
+    Arrow batch meets one block after the other and keeps its best ``k`` so
+    far, so no pair rows are materialised.
     """
-    rows = bounded_collect(protos.select(proto_id_col, vec_col), max_broadcast_protos, "prototype table")
-    rows.sort(key=lambda r: r[0])
-    ids = np.asarray([r[0] for r in rows], dtype=np.int64)
-    mat = _unit_rows(np.vstack([np.asarray(r[1], dtype=np.float64) for r in rows]))
-    bc = df.sparkSession.sparkContext.broadcast((ids, mat))
+    stored, _ = write_blocks(protos.select(F.col(proto_id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), max_broadcast_protos, BLOCK_BYTES)
     id_type = df.schema[id_col].dataType
     schema = T.StructType([
         T.StructField(id_col, id_type), T.StructField("rank", T.LongType()),
         T.StructField(proto_id_col, T.LongType()), T.StructField("cos", T.DoubleType()),
     ])
 
+    def by_id(t: pa.Table):
+        if t["id"].null_count:
+            raise ValueError("a prototype has no id")
+        ids = t["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        return ids[order], _matrix(t["vec"])[order]
+
     def top(batches):
-        pid, m = bc.value
-        kk = min(k, len(pid))
+        blocks = stored.reader(by_id)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             v = _unit_rows(np.vstack([np.asarray(x, dtype=np.float64) for x in pdf[vec_col]]))
-            ids = pdf[id_col].to_numpy()
-            step = max(1, MAX_BLOCK_CELLS // max(1, m.shape[0]))
-            for lo in range(0, len(v), step):  # bounded (rows x prototypes) block
-                sims = v[lo: lo + step] @ m.T
-                # stable sort on -cos: equal cosines keep ascending prototype id
-                order = np.argsort(-sims, axis=1, kind="stable")[:, :kk]
-                rows_n = sims.shape[0]
-                yield pd.DataFrame({
-                    id_col: np.repeat(ids[lo: lo + step], kk),
-                    "rank": np.tile(np.arange(1, kk + 1, dtype=np.int64), rows_n),
-                    proto_id_col: pid[order].reshape(-1),
-                    "cos": np.take_along_axis(sims, order, axis=1).reshape(-1),
-                })
+            cos, pid = np.empty((len(v), 0)), np.empty((len(v), 0), dtype=np.int64)
+            for ids, m in blocks():
+                kk = min(k, len(ids))
+                some_cos, some_pid = np.empty((len(v), kk)), np.empty((len(v), kk), dtype=np.int64)
+                step = max(1, MAX_BLOCK_CELLS // max(1, m.shape[0]))
+                for lo in range(0, len(v), step):  # bounded (rows x prototypes) block
+                    sims = v[lo: lo + step] @ m.T
+                    sims[np.isnan(sims)] = -2.0  # below every cosine
+                    at = _first_of_block(sims, kk)
+                    some_cos[lo: lo + step] = np.take_along_axis(sims, at, axis=1)
+                    some_pid[lo: lo + step] = ids[at]
+                cos, pid = np.hstack([cos, some_cos]), np.hstack([pid, some_pid])
+                order = np.lexsort((pid, -cos), axis=-1)[:, :k]
+                cos, pid = np.take_along_axis(cos, order, axis=1), np.take_along_axis(pid, order, axis=1)
+            kk = cos.shape[1]
+            yield pd.DataFrame({
+                id_col: np.repeat(pdf[id_col].to_numpy(), kk),
+                "rank": np.tile(np.arange(1, kk + 1, dtype=np.int64), len(v)),
+                proto_id_col: pid.reshape(-1),
+                "cos": np.where(cos == -2.0, np.nan, cos).reshape(-1),
+            })
 
     return df.select(id_col, vec_col).mapInPandas(top, schema)

@@ -118,3 +118,58 @@ def test_boost_pushes_negative_down_and_caps(spark):
     got = [r.domain_scores for r in scoring.with_hybrid_scores(df, cats).collect()]
     assert abs(got[0][0] - (-0.25 * 1.2)) < 1e-12 and got[0][1] == 1.0   # boosted negative gets lower
     assert got[1][1] == 1.0                                              # min(1.0 * 1.2, 1.0)
+
+
+def _collected_columns(monkeypatch, df):
+    """Records the columns of every frame whose rows come to the driver."""
+    seen = []
+    for name in ("collect", "toLocalIterator", "toPandas"):
+        def spy(self, *args, _of=getattr(type(df), name), **kw):
+            seen.append(self.columns)
+            return _of(self, *args, **kw)
+        monkeypatch.setattr(type(df), name, spy)
+    return seen
+
+
+def test_topk_over_blocks_of_any_number(spark):
+    rnd = np.random.default_rng(3)
+    protos, sess, p, s = _data(spark, rnd)
+    # every vector twice, far apart: ties go to the smaller id, across blocks
+    twice = p.unionByName(p.withColumn("proto_id", F.col("proto_id") + 1000)).repartition(3)
+    vecs = np.array([q[5] for q in protos])
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    for block in (10_000, 7):  # one block, and more prototypes than one block holds
+        got = {}
+        for r in scoring.cosine_topk(s, twice, k=4, max_broadcast_protos=block).collect():
+            got.setdefault(r.session_id, {})[r.rank] = (r.proto_id, r.cos)
+        assert len(got) == len(sess)
+        for sid, v, _ in sess:
+            n = np.linalg.norm(v)
+            cos = vecs @ np.asarray(v) / (n if n else 1.0)
+            want = sorted(((-c, i + d) for i, c in enumerate(cos) for d in (0, 1000)))[:4]
+            assert [got[sid][k][0] % 1000 for k in (1, 2, 3, 4)] == [i % 1000 for _, i in want] or n == 0
+            assert np.allclose([got[sid][k][1] for k in (1, 2, 3, 4)], [-c for c, _ in want], atol=1e-9)
+        assert [got[0][k][0] for k in (1, 2, 3, 4)] == [0, 1, 2, 3]  # the zero vector ties with all
+
+
+def test_prototype_vectors_stay_off_the_driver(spark, monkeypatch):
+    _, _, p, s = _data(spark, np.random.default_rng(4))
+    seen = _collected_columns(monkeypatch, p)
+    for block in (10_000, 7):
+        scoring.dense_similarities(s, p, max_broadcast_protos=block)
+        scoring.cosine_topk(s, p, k=3, max_broadcast_protos=block)
+    assert seen and not [c for c in seen if "vec" in c]
+
+
+def test_blocks_hold_every_row_within_bounds(spark):
+    from loglens.operators import blocks
+
+    df = spark.range(0, 5000, numPartitions=3).select("id", (F.col("id") % 5).alias("k"), F.lpad(F.lit("x"), 100, "y").alias("t"))
+    stored, keys = blocks.write_blocks(df, 10_000, 50_000, ("k",))
+    sizes, ids = [], []
+    for t in stored.reader(lambda t: t)():
+        sizes.append(t.nbytes)
+        ids += t["id"].to_pylist()
+    assert sorted(ids) == list(range(5000)) and len(sizes) > 5000 * 100 // 50_000
+    assert max(sizes) <= 55_000 and sorted(r["k"] for r in keys.collect()) == [0, 1, 2, 3, 4]
+    assert blocks.write_blocks(df.limit(0), 10, 10)[0].names == ()
