@@ -16,7 +16,7 @@ Words are runs of other characters than ASCII white space.  A text of one to fou
 whole text.  Defined results: null text counts as empty; texts without words link with nothing, and each is its
 own class; rows with a null id link with nothing (class null, kept); rows with the same id and text count as
 copies, rows with the same id and other texts are distinct documents that share the id; an empty table gives an
-empty result; further columns are ignored (and returned by ``one_of_each``).
+empty result; further columns are ignored (and returned by ``kept_rows`` and ``one_of_each``).
 """
 
 from __future__ import annotations
@@ -106,8 +106,13 @@ def set_hash(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def text_hash(text_col: str) -> Column:
+    """Tells texts apart that share an id."""
+    return F.xxhash64(body(text_col))
+
+
 def _describe(gram: int, runs: int, levels: int, rate: float, seed: int):
-    """Documents -> (id, set hash, sketch, chosen shingles of every run by level)."""
+    """Documents -> (id, text hash, set hash, sketch, chosen shingles of every run by level)."""
     rng = np.random.default_rng(seed)
     odd = rng.integers(0, 2**63, SKETCH + runs * levels, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -136,9 +141,9 @@ def _describe(gram: int, runs: int, levels: int, rate: float, seed: int):
                 said = [one(s) if s is not None else (None, [None] * levels) for s in filled]
                 kind = pa.list_(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [b["id"][i:i + 500], pa.array([None if s is None else set_hash(s) for s in filled], pa.binary()), pa.array([x[0] for x in said], pa.binary()),
+                    [b["id"][i:i + 500], b["th"][i:i + 500], pa.array([None if s is None else set_hash(s) for s in filled], pa.binary()), pa.array([x[0] for x in said], pa.binary()),
                      *[pa.array([x[1][k] for x in said], kind) for k in range(levels)]],
-                    names=["id", "sh", "sketch", *[f"l{k + 1}" for k in range(levels)]])
+                    names=["id", "th", "sh", "sketch", *[f"l{k + 1}" for k in range(levels)]])
 
     return run
 
@@ -280,27 +285,38 @@ def _candidates(nodes: DataFrame, levels: int, bound: int) -> DataFrame:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, gram: int, threshold: float, recall: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, sh), and (sh, class_id, links, class_size) of the sets that are linked or copied."""
+    """Rows (id, th, sh), and (sh, class_id, links, class_size) of the sets that are linked or copied.
+
+    Ids may be shared by different texts, so a text is fetched by its id and its hash ``th``."""
     runs, bound = runs_for(recall, LEVELS, RATE, threshold), sketch_bound(threshold)
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), body(text_col).alias("body"))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_hash(text_col).alias("th"), body(text_col).alias("body"))
     kind = docs.schema[id_col].dataType.simpleString()
     levels = [f"l{k}" for k in range(1, LEVELS + 1)]
     described = rows.mapInArrow(_describe(gram, runs, LEVELS, RATE, seed),
-                                f"id {kind}, sh binary, sketch binary, " + ", ".join(f"{x} array<array<long>>" for x in levels)).checkpoint()
+                                f"id {kind}, th long, sh binary, sketch binary, " + ", ".join(f"{x} array<array<long>>" for x in levels)).checkpoint()
     nodes = (described.filter("sh IS NOT NULL").groupBy("sh")
-             .agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("sketch").alias("sketch"), *[F.first(x).alias(x) for x in levels])
+             .agg(F.min(F.struct("id", "th")).alias("one"), F.count(F.lit(1)).alias("weight"), F.first("sketch").alias("sketch"), *[F.first(x).alias(x) for x in levels])
+             .withColumns({"least": F.col("one.id"), "least_th": F.col("one.th")}).drop("one")
              .withColumn("node", F.monotonically_increasing_id()).checkpoint())  # the numbers hold from here on
     edges = _candidates(nodes.select("node", "sketch", *levels), LEVELS, bound)
     slim = nodes.select("node", "sh", "least", "weight")
-    members = linkage.components(edges).join(slim, "node").checkpoint()
+    members = linkage.components(edges).join(nodes.select("node", "sh", "least", "least_th", "weight"), "node").checkpoint()
     texts = rows.withColumnRenamed("id", "text_id")
-    members = texts.join(broadcast_if_small(members), F.col("least") == F.col("text_id")).drop("text_id")
+    members = texts.join(broadcast_if_small(members), (F.col("least") == F.col("text_id")) & (F.col("least_th") == F.col("th"))).drop("text_id", "th")
     found = linkage.class_links(members, ["sh", "body"], _jaccard_links(gram, threshold), BLOCK)
     found = found.select("node", "links", F.col("root").alias("part"))
     slim = slim.join(found, "node", "left").withColumn("part", F.coalesce("part", "node"))
     whole = slim.groupBy("part").agg(F.min("least").alias("class_id"), F.sum("weight").alias("class_size"))
     sets = slim.join(whole, "part").select(F.col("sh").alias("set_sh"), "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "least")
-    return described.select("id", "sh"), sets
+    return described.select("id", "th", "sh"), sets
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, gram: int, threshold: float, recall: float, seed: int) -> DataFrame:
+    """(id, th, class_id, class_size, n_links, kept), one row per row that has an id."""
+    rows, sets = _classes(docs, id_col, text_col, gram, threshold, recall, seed)
+    out = rows.join(sets, F.col("sh") == F.col("set_sh"), "left")
+    return out.select("id", "th", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+                      F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), (F.coalesce("class_id", "id") == F.col("id")).alias("kept"))
 
 
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD,
@@ -310,17 +326,28 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Links are pairs with Jaccard >= threshold, copies included in the count; classes are the connected
     components, named by their smallest id, whose document is the kept one."""
     prepare(docs)
-    rows, sets = _classes(docs, id_col, text_col, gram, threshold, recall, seed)
-    out = rows.join(sets, F.col("sh") == F.col("set_sh"), "left")
-    done = out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-                      F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), (F.coalesce("class_id", "id") == F.col("id")).alias("kept"))
+    done = _decided(docs, id_col, text_col, gram, threshold, recall, seed).drop("th").withColumnRenamed("id", id_col)
     nameless = docs.filter(F.col(id_col).isNull()).select(F.col(id_col), F.col(id_col).alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
     return done.unionByName(nameless)
 
 
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD,
+              recall: float = RECALL, seed: int = 8) -> DataFrame:
+    """The kept document of every class, all columns as they were.  Each row is judged by its own text: a document
+    stays if another one that shares its id goes."""
+    prepare(docs)
+    dropped = _decided(docs, id_col, text_col, gram, threshold, recall, seed).filter("NOT kept")
+    dropped = dropped.select(F.col("id").alias("dropped_id"), F.col("th").alias("dropped_th")).distinct().checkpoint()
+    names = docs.columns
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    gone = (F.col(at[id_col]) == F.col("dropped_id")) & (text_hash(at[text_col]) == F.col("dropped_th"))
+    return docs.toDF(*at.values()).join(broadcast_if_small(dropped), gone, "left_anti").toDF(*names)
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD,
                 recall: float = RECALL, seed: int = 8) -> DataFrame:
-    """The kept document of every class, all columns as they were.  Rows that share their id are kept together."""
+    """The kept document of every class, all columns as they were.  Rows that share their id are kept or dropped together:
+    all go if one of them does (``kept_rows`` judges each row)."""
     prepare(docs)
     dropped = near_documents(docs, id_col, text_col, gram, threshold, recall, seed).filter("NOT kept").select(F.col(id_col).alias("dropped_id")).distinct().checkpoint()
     names = docs.columns

@@ -100,6 +100,34 @@ def test_near_documents_odd_rows(spark):
     assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 1, 3, 4, 5]
 
 
+def shared_id_rows():
+    """Pairs of near documents, and 20 other texts under the smaller id of each pair."""
+    rng, rows = random.Random(9), []
+    for i in range(0, 20, 2):
+        a, b = near_group(rng, 2, 120, 1)
+        rows += [(i, a, "first"), (i + 1, b, "second")]
+        rows += [(i, " ".join(f"z{rng.randint(0, 99999)}" for _ in range(60)), "other") for _ in range(20)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_near_documents_that_share_an_id(spark):
+    got = shingle_join.near_documents(spark.createDataFrame(shared_id_rows(), DOCS)).collect()
+    linked = sorted((r["doc_id"], r["class_id"], r["class_size"], r["n_links"], r["kept"]) for r in got if r["n_links"])
+    assert linked == [(i, i - i % 2, 2, 1, i % 2 == 0) for i in range(20)]
+    assert len(got) == 220
+
+
+def test_stage_drops_the_linked_row_alone(spark):
+    import corpus_pipeline
+
+    rows = [(19 - i, t, s) for i, t, s in shared_id_rows()]  # the other texts now share the id of the dropped document
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([*rows, (None, rows[0][1], "first")], DOCS), SF)
+    assert got.columns == ["doc_id", "text", "source"]
+    want = [r for r in rows if r[2] != "first"] + [(None, rows[0][1], "first")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_runs_reach_the_recall():
     for levels in (1, 2, 3):
         assert (1 - shingle_join.survival(levels)) ** shingle_join.runs_for(0.9999, levels) <= 1e-4
