@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loglens import defaults
+from loglens.operators.gather import PIECE_ROWS, gathered, ordered_pieces
 
 _FIELD = re.compile(r"\{(\w+)\}")
 
@@ -174,11 +175,32 @@ def chat_transcript(turns: DataFrame, id_col: str = "conv_id", order_col: str =
     )
 
 
+def chat_pieces(turns: DataFrame, id_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text",
+                piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """(id, piece, of, messages, body): the transcript in numbered pieces; a conversation of any length is put in order
+    by several tasks.  ``body`` is the rendered part without the closing assistant mark."""
+    item = F.struct(F.col(role_col).alias("role"), F.col(text_col).alias("content"))
+    pieces = ordered_pieces(turns, id_col, [order_col], item, piece_rows).withColumnRenamed("items", "messages")
+    return pieces.withColumn("body", render_messages(F.col("messages")))
+
+
+def joined_chat(pieces: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """(id, messages, prompt): the pieces of every conversation as one row."""
+    whole = gathered(pieces, id_col, {"messages": "list", "body": "text"})
+    return whole.select(id_col, "messages", F.concat("body", F.lit(CHAT_END)).alias("prompt"))
+
+
+CHAT_END = "<|assistant|>"
+
+
+def render_messages(messages: Column) -> Column:
+    return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>"), m["content"], F.lit("<|end|>"))), "")
+
+
 def render_chat(messages: Column) -> Column:
     """``<|role|>content<|end|>`` per message, then ``<|assistant|>`` (the
     frame used by the thread prompts)."""
-    body = F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>"), m["content"], F.lit("<|end|>"))), "")
-    return F.concat(body, F.lit("<|assistant|>"))
+    return F.concat(render_messages(messages), F.lit(CHAT_END))
 
 
 def chat_complete(transcripts: DataFrame, fn=None, completion_factory=None, messages_col: str = "messages") -> DataFrame:

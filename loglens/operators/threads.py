@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from loglens import defaults
 from loglens.operators.completion import fill
+from loglens.operators.gather import PIECE_ROWS, gathered, ordered_pieces
 
 LIST_KEYS = [k for k, _ in defaults.FINDING_LIST_KEYS]
 LIST_NAMES = [n for _, n in defaults.FINDING_LIST_KEYS]
@@ -87,6 +88,34 @@ def thread_findings(outputs: DataFrame, id_col: str = "thread_id", order_col: st
     return g.select(id_col, *cols, summary.alias("summary"))
 
 
+def finding_pieces(found: DataFrame, id_col: str = "thread_id", order_col: str = "email_no", piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """(thread, piece, of, <the five lists>, summary) from per-e-mail findings (the five lists, and the summary update,
+    null where the output was rejected): a long thread's findings are gathered by several tasks, in numbered pieces."""
+    update = defaults.FINDING_SUMMARY_KEY
+    pieces = ordered_pieces(found, id_col, [order_col], F.struct(*LIST_NAMES, update), piece_rows)
+
+    def flat(name):
+        return F.flatten(F.transform("items", lambda x: F.coalesce(x[name], F.array().cast("array<string>")))).alias(name)
+
+    lists = [flat(n) for n in LIST_NAMES]
+    known = F.filter(F.transform("items", lambda x: x[update]), lambda u: u.isNotNull())
+    return pieces.select(id_col, "piece", "of", *lists, F.array_join(F.transform(known, lambda u: F.concat(F.lit("\n"), u)), "").alias("summary"))
+
+
+def joined_findings(pieces: DataFrame, id_col: str = "thread_id") -> DataFrame:
+    """The pieces of every thread as one row, as ``thread_findings`` returns it."""
+    return gathered(pieces, id_col, {**dict.fromkeys(LIST_NAMES, "list"), "summary": "text"})
+
+
+def thread_finding_pieces(outputs: DataFrame, id_col: str = "thread_id", order_col: str = "email_no", out_col: str = "out",
+                          piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``finding_pieces`` of per-e-mail model outputs."""
+    f = F.col("finding")
+    update = F.when(F.col("parsed_ok"), F.coalesce(f[defaults.FINDING_SUMMARY_KEY], F.lit("")))
+    found = parse_findings(outputs, out_col).select(id_col, order_col, *[f[k].alias(n) for k, n in defaults.FINDING_LIST_KEYS], update.alias(defaults.FINDING_SUMMARY_KEY))
+    return finding_pieces(found, id_col, order_col, piece_rows)
+
+
 def finding_rejects(outputs: DataFrame, out_col: str = "out") -> DataFrame:
     """E-mails whose output could not be used (reported, never dropped silently)."""
     return parse_findings(outputs, out_col).where(~F.col("parsed_ok")).drop("finding", "parsed_ok")

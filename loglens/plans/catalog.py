@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loglens import defaults
 from loglens.functions.text import explode_positions
-from loglens.operators import chunking, completion, email, html_text, imports, lexical, replay, routing, scoring, sessions, threads
+from loglens.operators import chunking, completion, email, html_text, imports, lexical, replay, rounds, routing, scoring, sessions, threads
 from loglens.plans import classify
 from loglens.plans import fixtures as fx
 from loglens.sources import documents, taxonomy
@@ -301,6 +301,14 @@ def chat_assemble(spark, sf_dir):
                     completion.render_chat(F.col("messages")).alias("prompt"))
 
 
+@query
+def chat_assemble_split(spark, sf_dir):
+    """The transcripts through the ordered gathering in pieces; with a threshold of three turns nearly every
+    conversation is split over tasks."""
+    t = completion.joined_chat(completion.chat_pieces(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), piece_rows=3))
+    return t.select("conv_id", F.size("messages").cast("bigint").alias("n_messages"), "prompt")
+
+
 # ------------------------------------------------------------ e-mail threads
 
 
@@ -328,6 +336,16 @@ def thread_findings(spark, sf_dir):
     return f.select("thread_id", *cols, "summary")
 
 
+@query
+def thread_findings_split(spark, sf_dir):
+    """Thread findings through the ordered gathering in pieces, with a threshold of four e-mails."""
+    f = threads.joined_findings(threads.thread_finding_pieces(fx.thread_outputs(spark, sf_dir), piece_rows=4))
+    cols = []
+    for name in threads.LIST_NAMES:
+        cols += [F.array_join(name, "|").alias(name), F.size(name).cast("bigint").alias(f"n_{name}")]
+    return f.select("thread_id", *cols, "summary")
+
+
 @query
 def finding_rejects(spark, sf_dir):
     return threads.finding_rejects(fx.thread_outputs(spark, sf_dir)).select("thread_id", "email_no", "out")
@@ -353,6 +371,23 @@ def thread_fold_findings(spark, sf_dir):
                     F.array_join(lists["commitments"], "|").alias("commitments"))
 
 
+@query
+def thread_fold_rounds(spark, sf_dir):
+    """The summary flavour folded in rounds over all threads."""
+    folder = _run_folder(spark, "thread_fold_rounds")
+    f = rounds.fold_in_rounds(fx.emails(spark, sf_dir), folder, fn=threads.prompt_length_completion, flavour="summary", per_round=8)
+    return f.select("thread_id", "email_no", F.col("update").alias("summary"))
+
+
+@query
+def thread_fold_rounds_findings(spark, sf_dir):
+    """The findings flavour in rounds, with answers that depend on every character of the prompt; long threads are
+    put in order by several tasks."""
+    folder = _run_folder(spark, "thread_fold_rounds_findings")
+    f = rounds.fold_in_rounds(fx.emails(spark, sf_dir), folder, fn=rounds.digest_finding, flavour="findings", per_round=8, piece_rows=12)
+    return f.select("thread_id", "email_no", "ok", "update", F.array_join("deadlines", "|").alias("deadlines"), F.array_join("commitments", "|").alias("commitments"))
+
+
 # ------------------------------------------------------------------ HTML
 
 
@@ -436,12 +471,18 @@ def eval_scores(spark, sf_dir):
 # ----------------------------------------------------------------- streaming
 
 
-def _stream_dirs(spark, name):
+def _run_folder(spark, name):
     import uuid
 
     from loglens.config import ensure_checkpoint_dir
 
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/queries/{name}/{uuid.uuid4().hex}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/queries/{name}/{uuid.uuid4().hex}"
+
+
+def _stream_dirs(spark, name):
+    import uuid
+
+    base = _run_folder(spark, name)
     return f"{base}/in", f"{base}/out", f"{name}_{uuid.uuid4().hex[:12]}"
 
 

@@ -658,6 +658,20 @@ fold AS (
 )""") + """
 SELECT thread_id, CAST(email_no AS INTEGER) AS email_no, ok, summary, array_to_string(deadlines, '|') AS deadlines,
        array_to_string(commitments, '|') AS commitments FROM fold"""
+    find_frame = fill_sql(defaults.CHAT_FRAME, system=q(defaults.FINDINGS_SYSTEM_MESSAGE), user=fill_sql(defaults.FINDINGS_USER_MESSAGE, summary="state", email="body"))
+    out["thread_fold_rounds_findings"] = _with(MAILS, f"""
+fold AS (
+  SELECT thread_id, email_no, h, CASE WHEN h < '2' THEN state ELSE state || chr(10) || 'read ' || substr(h, 1, 8) END AS state
+  FROM (SELECT thread_id, email_no, state, md5({find_frame}) AS h FROM (SELECT thread_id, email_no, '' AS state, body FROM mail_body WHERE email_no = 1))
+  UNION ALL
+  SELECT thread_id, email_no, h, CASE WHEN h < '2' THEN state ELSE state || chr(10) || 'read ' || substr(h, 1, 8) END AS state
+  FROM (SELECT thread_id, email_no, state, md5({find_frame}) AS h
+        FROM (SELECT b.thread_id, b.email_no, f.state, b.body FROM fold f JOIN mail_body b ON b.thread_id = f.thread_id AND b.email_no = f.email_no + 1))
+)""") + """
+SELECT thread_id, CAST(email_no AS INTEGER) AS email_no, h >= '2' AS ok, CASE WHEN h >= '2' THEN 'read ' || substr(h, 1, 8) END AS update,
+       CASE WHEN h >= '2' THEN 'd' || substr(h, 2, 4) ELSE '' END AS deadlines,
+       CASE WHEN h >= '2' AND substr(h, 11, 1) < '8' THEN substr(h, 6, 3) || '|' || substr(h, 9, 2) ELSE '' END AS commitments
+FROM fold"""
     out.update({
         "thread_fold": _with(MAILS, f"""
 fold AS (
@@ -765,4 +779,7 @@ FROM rlog""",
 SELECT session_id, seq, username, query_timestamp, prompt, {al_reason} AS watchlist_reason
 FROM norm2 WHERE {al_hit}"""
     out["stream_thread_findings"] = out["thread_findings"]
+    out["thread_findings_split"] = out["thread_findings"]
+    out["thread_fold_rounds"] = out["thread_fold"]
+    out["chat_assemble_split"] = out["chat_assemble"]
     return out
