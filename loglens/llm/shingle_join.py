@@ -5,7 +5,8 @@ below ``RATE / n``, the same hash for all sets, so similar sets choose shared sh
 the same shingle form a bucket.  Small buckets are compared outright; larger ones are first compared with a few
 pivots (which settles buckets of one dense group) and else split again on the shingles that their members choose
 on the next level.  Buckets that are still large on the last level are compared in blocks of bounded size.
-``RATE`` is about where the rows of all runs together are fewest for that recall.  ``runs_for`` gives the number of runs: a pair at the threshold shares no bucket after all levels with at most
+A low ``RATE`` costs more rows on the first level (``runs * RATE`` for each set) and spares rows where groups of similar
+sets are split again: there every level multiplies them by ``RATE``.  ``runs_for`` gives the number of runs: a pair at the threshold shares no bucket after all levels with at most
 ``1 - RECALL`` probability (more similar pairs, and pairs in small buckets, are missed far less often).
 
 In buckets a 64-byte minwise sketch filters pairs, with a bound five standard deviations below the threshold;
@@ -15,8 +16,9 @@ the class is decided exactly on its shingles.  Equal sets are one node with a co
 Words are runs of other characters than ASCII white space.  A text of one to four words has one shingle, the
 whole text.  Defined results: null text counts as empty; texts without words link with nothing, and each is its
 own class; rows with a null id link with nothing (class null, kept); rows with the same id and text count as
-copies, rows with the same id and other texts are distinct documents that share the id; an empty table gives an
-empty result; further columns are ignored (and returned by ``kept_rows`` and ``one_of_each``).
+copies and are flagged alike (``kept_rows`` returns any one of them), rows with the same id and other texts are
+distinct documents that share the id: the kept one of a class is the least by id, then by a hash of the text; an empty
+table gives an empty result; further columns are ignored (and returned by ``kept_rows`` and ``one_of_each``).
 """
 
 from __future__ import annotations
@@ -36,9 +38,9 @@ from loglens.operators.sizes import broadcast_if_small
 
 GRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: shingles that a set chooses on each level, on average; levels of splitting
-RATE, LEVELS = 3.2, 3
+RATE, LEVELS = 2.0, 3
 #: members of a bucket that are compared outright, of a class block that are compared exactly; pivots of a bucket
-BUCKET, BLOCK, PIVOTS = 512, 100, 4
+BUCKET, BLOCK, PIVOTS = 2048, 100, 4
 #: hashes in a sketch, and how many standard deviations below the threshold its bound lies
 SKETCH, DEVIATIONS = 64, 5.0
 #: shingles handled at a time when sketching
@@ -299,15 +301,16 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, gram: int, threshold:
              .withColumns({"least": F.col("one.id"), "least_th": F.col("one.th")}).drop("one")
              .withColumn("node", F.monotonically_increasing_id()).checkpoint())  # the numbers hold from here on
     edges = _candidates(nodes.select("node", "sketch", *levels), LEVELS, bound)
-    slim = nodes.select("node", "sh", "least", "weight")
+    slim = nodes.select("node", "sh", "least", "least_th", "weight")
     members = linkage.components(edges).join(nodes.select("node", "sh", "least", "least_th", "weight"), "node").checkpoint()
     texts = rows.withColumnRenamed("id", "text_id")
     members = texts.join(broadcast_if_small(members), (F.col("least") == F.col("text_id")) & (F.col("least_th") == F.col("th"))).drop("text_id", "th")
     found = linkage.class_links(members, ["sh", "body"], _jaccard_links(gram, threshold), BLOCK)
     found = found.select("node", "links", F.col("root").alias("part"))
     slim = slim.join(found, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    whole = slim.groupBy("part").agg(F.min("least").alias("class_id"), F.sum("weight").alias("class_size"))
-    sets = slim.join(whole, "part").select(F.col("sh").alias("set_sh"), "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "least")
+    whole = slim.groupBy("part").agg(F.min(F.struct("least", "least_th")).alias("one"), F.sum("weight").alias("class_size"))
+    sets = slim.join(whole, "part").select(F.col("sh").alias("set_sh"), F.col("one.least").alias("class_id"), F.col("one.least_th").alias("class_th"), "class_size",
+                                           (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
     return described.select("id", "th", "sh"), sets
 
 
@@ -316,7 +319,8 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, gram: int, threshold:
     rows, sets = _classes(docs, id_col, text_col, gram, threshold, recall, seed)
     out = rows.join(sets, F.col("sh") == F.col("set_sh"), "left")
     return out.select("id", "th", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-                      F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), (F.coalesce("class_id", "id") == F.col("id")).alias("kept"))
+                      F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+                      F.coalesce((F.col("class_id") == F.col("id")) & (F.col("class_th") == F.col("th")), F.lit(True)).alias("kept"))
 
 
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD,
@@ -333,15 +337,22 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD,
               recall: float = RECALL, seed: int = 8) -> DataFrame:
-    """The kept document of every class, all columns as they were.  Each row is judged by its own text: a document
+    """The kept document of every class, all columns as they were, once.  Each row is judged by its own text: a document
     stays if another one that shares its id goes."""
     prepare(docs)
-    dropped = _decided(docs, id_col, text_col, gram, threshold, recall, seed).filter("NOT kept")
-    dropped = dropped.select(F.col("id").alias("dropped_id"), F.col("th").alias("dropped_th")).distinct().checkpoint()
+    decided = _decided(docs, id_col, text_col, gram, threshold, recall, seed)
+    told = decided.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept")).filter("n > 1 OR NOT kept")
+    told = told.select(F.col("id").alias("told_id"), F.col("th").alias("told_th"), "kept").checkpoint()
     names = docs.columns
     at = {c: f"c{i}" for i, c in enumerate(names)}
-    gone = (F.col(at[id_col]) == F.col("dropped_id")) & (text_hash(at[text_col]) == F.col("dropped_th"))
-    return docs.toDF(*at.values()).join(broadcast_if_small(dropped), gone, "left_anti").toDF(*names)
+    same = (F.col(at[id_col]) == F.col("told_id")) & (text_hash(at[text_col]) == F.col("told_th"))
+    rows = docs.toDF(*at.values())
+    once = rows.join(broadcast_if_small(told), same, "left_anti")
+    repeated = told.filter("kept")  # rows repeated in full
+    if not repeated.isEmpty():
+        several = rows.join(broadcast_if_small(repeated), same).dropDuplicates(["told_id", "told_th"])
+        once = once.unionByName(several.select(*at.values()))
+    return once.toDF(*names)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD,
