@@ -1,202 +1,240 @@
 """Built-in lexical encoder: term-frequency vectors and their cosine.
 
-The cosine of two texts is the sum over shared tokens of the products of their
-counts, over the product of the two norms.  The prototype side (a taxonomy or a
-benchmark list) is broadcast in blocks of bounded size, and the texts are scored
-where they are, in narrow kernels: no shuffle, and no row for a pair of texts.
+The cosine of two texts is the sum over shared tokens of the products of their counts, over the product of the two
+norms.  The right side (a taxonomy or a table of passages, of any size) is counted by tasks and written as numbered
+blocks of bounded rows and bytes in the shared folder; nothing of it reaches the driver.  The left texts are scored
+where they are, in narrow kernels that go through the blocks one after the other: no shuffle, no row for a pair of
+texts, and a worker holds one block.
+
+A block is held as sparse postings (token -> texts and counts).  Its ``FREQUENT`` most frequent tokens are also kept as
+a dense matrix of that many rows, whose product with a batch gives part of every score at once; what the other, short
+posting lists can add is bounded by the norms of the rest (Cauchy-Schwarz).  The best match is therefore exact
+although only texts whose bound reaches the best partial score are finished, and a block whose vocabulary holds too
+little of a text to beat its best so far is skipped for that text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from loglens.operators.blocks import write_blocks
 
 # Tokens: maximal runs of Unicode letters/digits, after lower-casing.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
-# right-hand texts in one broadcast block, by the bytes of their tokens
-BLOCK_BYTES = 64 << 20
-# cells of the dense matrices of one step
-STEP_CELLS = 4_000_000
-
-
-def _blocks(right: DataFrame, right_id: str, right_text: str, most_bytes: int):
-    """The right-hand texts as lists of (id, tokens) of bounded size, by ascending id.
-    Rows stream through the driver; one block is held at a time."""
-    toks = F.regexp_extract_all(F.lower(F.col(right_text)), F.lit(TOKEN_PATTERN), 0)
-    rows = right.where(F.col(right_id).isNotNull()).select(F.col(right_id).alias("id"), toks.alias("toks")).orderBy("id")
-    block, size = [], 0
-    for r in rows.toLocalIterator():
-        block.append((r["id"], r["toks"] or []))
-        size += 64 + sum(len(t) + 50 for t in block[-1][1])
-        if size >= most_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def _best_of_block(df: DataFrame, block: list, merge: bool, id_type) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    vocab: dict[str, int] = {}
-    counts: list[dict[int, int]] = []
-    for _, toks in block:
-        tf: dict[int, int] = {}
-        for t in toks:
-            k = vocab.setdefault(t, len(vocab))
-            tf[k] = tf.get(k, 0) + 1
-        counts.append(tf)
-    col = np.repeat(np.arange(len(block)), [len(c) for c in counts])
-    row = np.fromiter((k for c in counts for k in c), dtype=np.int64, count=len(col))
-    tfs = np.fromiter((v for c in counts for v in c.values()), dtype=np.float64, count=len(col))
-    norm = np.sqrt(np.bincount(col, weights=tfs * tfs, minlength=len(block)))
-    bc = df.sparkSession.sparkContext.broadcast((vocab, row, col, tfs, norm, [i for i, _ in block]))
-    base = [f for f in df.schema.fields if f.name not in ("_toks", "_best", "_cos")]
-    schema = T.StructType([*base, T.StructField("_best", id_type), T.StructField("_cos", T.DoubleType())])
-
-    def score(batches):
-        voc, r, c, tf, pn, ids = bc.value
-        step = max(1, STEP_CELLS // max(1, len(voc), len(ids)))
-        ids = np.array(ids, dtype=object)
-        # columns of the right side in spans, so that no dense matrix grows with it
-        span = max(1, STEP_CELLS // max(1, len(voc)))
-        right = []
-        for lo in range(0, len(ids), span):
-            m = np.zeros((len(voc), min(span, len(ids) - lo)))
-            here = (c >= lo) & (c < lo + span)
-            m[r[here], c[here] - lo] = tf[here]
-            right.append((lo, m))
-        for pdf in batches:
-            best, cos = np.full(len(pdf), None, dtype=object), np.full(len(pdf), np.nan)
-            for lo in range(0, len(pdf), step):
-                toks = pdf["_toks"].iloc[lo:lo + step]
-                left, nn = np.zeros((len(toks), len(voc))), np.zeros(len(toks))
-                for i, ts in enumerate(toks):
-                    seen: dict[str, int] = {}
-                    for x in ts if ts is not None else ():
-                        seen[x] = seen.get(x, 0) + 1
-                    nn[i] = sum(v * v for v in seen.values())
-                    known = [(voc[x], v) for x, v in seen.items() if x in voc]
-                    if known:
-                        at, n = zip(*known)
-                        left[i, list(at)] = n
-                top, arg = np.zeros(len(toks)), np.full(len(toks), -1)
-                for first, m in right:  # integer counts: the dot products are exact
-                    den = np.sqrt(nn)[:, None] * pn[None, first:first + m.shape[1]]
-                    got = np.divide(left @ m, den, out=np.zeros_like(den), where=den > 0)
-                    k = got.argmax(axis=1)
-                    v = got[np.arange(len(k)), k]
-                    better = v > top
-                    top[better], arg[better] = v[better], k[better] + first
-                hit = arg >= 0
-                best[lo:lo + step][hit], cos[lo:lo + step][hit] = ids[arg[hit]], top[hit]
-            if merge:  # earlier blocks hold smaller ids, which win ties
-                old = pdf["_cos"].to_numpy(dtype=np.float64, na_value=np.nan)
-                keep = ~np.isnan(old) & ~(cos > old)
-                best[keep], cos[keep] = pdf["_best"].to_numpy(dtype=object)[keep], old[keep]
-            out = pdf[[f.name for f in base]].copy()
-            yield out.assign(_best=pd.Series(best, index=pdf.index, dtype=object), _cos=cos)
-
-    return df.mapInPandas(score, schema)
+# right-hand texts in one block, by number and by the bytes of their tokens and counts
+BLOCK_ROWS, BLOCK_BYTES = 16_384, 64 << 20
+# tokens of a block that are kept densely
+FREQUENT = 64
+# cells of one (left texts x right texts) score matrix, left texts counted together
+STEP_CELLS, STEP_ROWS = 2_000_000, 1024
+# left tokens that meet the blocks together where there are several blocks
+HELD_TOKENS = 4_000_000
 
 
-def lexical_best(left: DataFrame, left_id: str, left_text: str, right: DataFrame, right_id: str, right_text: str,
-                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(left_id, right_id, cos): for every left text its best right text by cosine
-    (ties: the smaller right id); left texts that share no token with any are absent.
+def tokens(text_col: str):
+    return F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0)
+
+
+# ------------------------------------------------------------ inside tasks
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(row, code) of every token, and the distinct tokens; null lists are empty."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    words = lists.flatten().dictionary_encode()
+    return np.repeat(np.arange(len(lists)), size), words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary.to_pylist()
+
+
+class Counts:
+    """Token counts of a batch of texts: sorted (row, code, count), the distinct tokens, squared norms."""
+
+    def __init__(self, lists: pa.Array):
+        row, code, self.words = _flat(lists)
+        n = max(1, len(self.words))
+        key, times = np.unique(row * n + code, return_counts=True)
+        self.rows, self.row, self.code, self.times = len(lists), key // n, key % n, times.astype(np.float64)
+        self.square = np.bincount(self.row, self.times**2, minlength=self.rows)
+
+
+class Postings:
+    """A block of right-hand texts (columns) by token."""
+
+    def __init__(self, terms: pa.Array, times: pa.Array, frequent: int = FREQUENT):
+        col, code, words = _flat(terms)
+        tf = np.asarray(times.flatten(), dtype=np.float64)
+        self.columns, self.number = len(terms), {w: i for i, w in enumerate(words)}
+        self.norm = np.sqrt(np.bincount(col, tf**2, minlength=self.columns))
+        size = np.bincount(code, minlength=len(words))
+        self.place = np.full(len(words), -1)  # row of the dense part
+        dense = np.argsort(-size, kind="stable")[:frequent]
+        self.place[dense] = np.arange(len(dense))
+        self.dense = np.zeros((len(dense), self.columns))
+        often = self.place[code] >= 0
+        self.dense[self.place[code[often]], col[often]] = tf[often]
+        rare = ~often
+        order = np.argsort(code[rare], kind="stable")
+        self.col, self.tf = col[rare][order], tf[rare][order]
+        self.size = np.where(self.place >= 0, 0, size)
+        self.start = np.cumsum(self.size) - self.size
+        self.rest = np.sqrt(np.bincount(self.col, self.tf**2, minlength=self.columns))
+
+    def known(self, counts: Counts) -> np.ndarray:
+        """Number here (or -1) of every distinct token of a batch."""
+        return np.fromiter((self.number.get(w, -1) for w in counts.words), dtype=np.int64, count=len(counts.words))
+
+    def partial(self, row: np.ndarray, token: np.ndarray, times: np.ndarray, rows: int) -> np.ndarray:
+        """The frequent tokens' part of all products."""
+        often = self.place[token] >= 0
+        left = np.zeros((rows, len(self.dense)))
+        left[row[often], self.place[token[often]]] = times[often]
+        return left @ self.dense  # integer counts: exact
+
+    def add_rest(self, dots: np.ndarray, row: np.ndarray, token: np.ndarray, times: np.ndarray, wanted: np.ndarray | None) -> None:
+        """Adds the other tokens' part, where ``wanted``."""
+        n = self.size[token]
+        cuts = np.searchsorted(np.cumsum(n), np.arange(STEP_CELLS, int(n.sum()) + STEP_CELLS, STEP_CELLS))
+        for a, z in zip([0, *cuts[:-1]], [*cuts[:-1], len(n)]):  # a bounded number of postings at a time
+            size = n[a:z]
+            if not size.sum():
+                continue
+            at = np.repeat(self.start[token[a:z]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            r, c, v = np.repeat(row[a:z], size), self.col[at], np.repeat(times[a:z], size) * self.tf[at]
+            if wanted is not None:
+                keep = wanted[r, c]
+                r, c, v = r[keep], c[keep], v[keep]
+            dots += np.bincount(r * self.columns + c, v, minlength=dots.size).reshape(dots.shape)
+
+    def _steps(self, counts: Counts, rows: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(texts, row in the step, token here, count) of some texts at a time, with the tokens that this block has."""
+        token = self.known(counts)[counts.code] if len(counts.code) else counts.code
+        have = token >= 0
+        row, token, times = counts.row[have], token[have], counts.times[have]
+        rows = np.arange(counts.rows) if rows is None else rows
+        step = max(1, STEP_CELLS // max(1, self.columns))
+        starts, ends = np.searchsorted(row, np.arange(counts.rows)), np.searchsorted(row, np.arange(counts.rows), side="right")
+        for lo in range(0, len(rows), step):
+            some = rows[lo:lo + step]
+            n = ends[some] - starts[some]
+            at = np.repeat(starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield some, np.repeat(np.arange(len(some)), n), token[at], times[at]
 
-    A narrow kernel: left texts are tokenised where they are read, nothing is
-    shuffled and no pair leaves a task.  The right side is broadcast in blocks of
-    bounded bytes; beyond one block, passes follow each other, cut by checkpoints
-    of (id, tokens, best so far)."""
-    from loglens.config import ensure_checkpoint_dir
+    def cosines(self, counts: Counts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(texts, cosines with all columns), some texts at a time."""
+        for some, row, token, times in self._steps(counts):
+            dots = self.partial(row, token, times, len(some))
+            self.add_rest(dots, row, token, times, None)
+            den = np.sqrt(counts.square[some])[:, None] * self.norm[None, :]
+            yield some, np.divide(dots, den, out=np.zeros_like(dots), where=den > 0)
 
+    def best(self, counts: Counts, ids: np.ndarray, best: np.ndarray, cos: np.ndarray) -> dict[str, int]:
+        """Raises ``cos`` to the best cosine of every text with this block and sets ``best`` to its id (equal cosines:
+        the smaller id; columns are in the order of ids).  Returns how much was skipped."""
+        told = {"texts": counts.rows, "skipped_texts": 0, "pairs": 0, "finished_pairs": 0}
+        token = self.known(counts)[counts.code] if len(counts.code) else counts.code
+        here = np.sqrt(np.bincount(counts.row[token >= 0], counts.times[token >= 0] ** 2, minlength=counts.rows))
+        norm = np.sqrt(counts.square)
+        # a cosine here is at most the share of the text's norm that this vocabulary holds
+        live = np.flatnonzero((here > 0) & (here * (1 + 1e-9) >= cos * norm))
+        told["skipped_texts"] = counts.rows - len(live)
+        for some, row, token, times in self._steps(counts, live):
+            dots = self.partial(row, token, times, len(some))
+            den = norm[some][:, None] * self.norm[None, :]
+            rare = np.sqrt(np.bincount(row[self.place[token] < 0], times[self.place[token] < 0] ** 2, minlength=len(some)))
+            reach = np.maximum((dots / np.where(den > 0, den, np.inf)).max(axis=1), cos[some])
+            wanted = (dots + rare[:, None] * self.rest[None, :]) * (1 + 1e-9) >= reach[:, None] * den
+            told["pairs"] += wanted.size
+            told["finished_pairs"] += int(wanted.sum())
+            self.add_rest(dots, row, token, times, wanted)
+            got = np.divide(dots, den, out=np.zeros_like(dots), where=(den > 0) & wanted)
+            k = got.argmax(axis=1)
+            top = got[np.arange(len(some)), k]
+            better = top > cos[some]
+            tie = np.flatnonzero((top == cos[some]) & (top > 0))
+            better[tie] = ids[k[tie]] < best[some[tie]]
+            best[some[better]], cos[some[better]] = ids[k[better]], top[better]
+        return told
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the tokens of every text by its distinct tokens (``terms``) and their counts (``times``)."""
+    for b in batches:
+        for i in range(0, b.num_rows, STEP_ROWS):
+            part = b.slice(i, STEP_ROWS)
+            counts = Counts(part["toks"])
+            ends = pa.array(np.searchsorted(counts.row, np.arange(counts.rows + 1)), pa.int32())
+            words = pa.array(counts.words, pa.string()).take(pa.array(counts.code))
+            keys = [n for n in part.schema.names if n != "toks"]
+            yield pa.RecordBatch.from_arrays([*(part[k] for k in keys), pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, pa.array(counts.times.astype(np.int32)))],
+                                             names=[*keys, "terms", "times"])
+
+
+def _stored(right: DataFrame, keys: list[str], text_col: str, most_rows: int, most_bytes: int, distinct: tuple[str, ...] = ()):
+    """The right-hand texts as blocks of (keys, terms, times)."""
+    from loglens.config import ship_package
+
+    ship_package(right.sparkSession)
+    rows = right.select(*keys, tokens(text_col).alias("toks"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return write_blocks(rows.mapInArrow(_counted, f"{kept}, terms array<string>, times array<int>"), most_rows, most_bytes, distinct)
+
+
+def _spans(batches: Iterator[pa.RecordBatch], several: bool) -> Iterator[pa.Table]:
+    """Batches as they come; where each meets several blocks, some of them together."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if not several or sum(len(x["_toks"].flatten()) for x in held) >= HELD_TOKENS:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _parts(t: pa.Table) -> list[tuple[int, Counts]]:
+    lists = t["_toks"].combine_chunks()
+    return [(i, Counts(lists.slice(i, STEP_ROWS))) for i in range(0, len(lists), STEP_ROWS)]
+
+
+# ------------------------------------------------------------ frames
+def lexical_best(left: DataFrame, left_id: str, left_text: str, right: DataFrame, right_id: str, right_text: str,
+                 block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(left_id, right_id, cos): for every left text its best right text by cosine (ties: the smaller right id); left
+    texts that share no token with any are absent.  Rows on the right without an id take no part; their ids are
+    whole numbers or texts."""
+    rows = right.where(F.col(right_id).isNotNull()).select(F.col(right_id).alias("id"), F.col(right_text).alias("text"))
+    stored, _ = _stored(rows, ["id"], "text", block_rows, block_bytes)
     id_type = right.schema[right_id].dataType
-    toks = F.regexp_extract_all(F.lower(F.col(left_text)), F.lit(TOKEN_PATTERN), 0)
-    rows, out = left.select(F.col(left_id), F.col(left_text)), None
-    for block in _blocks(right, right_id, right_text, block_bytes):
-        if out is not None:
-            ensure_checkpoint_dir(left.sparkSession)
-            out = out.checkpoint()
-        out = _best_of_block((rows if out is None else out).withColumn("_toks", toks), block, out is not None, id_type)
-    if out is None:  # nothing on the right
-        return rows.limit(0).select(left_id, F.lit(None).cast(id_type).alias(right_id), F.lit(None).cast("double").alias("cos"))
-    return out.where("_cos > 0").select(left_id, F.col("_best").alias(right_id), F.col("_cos").alias("cos"))
-
-
-def _postings(ordered_rows):
-    """Vocabulary, (vid, col, tf) postings and prototype norms of a block."""
-    import numpy as np
-    import pandas as pd
-
-    vocab: dict[str, int] = {}
-    p_vid, p_col, p_tf, p_nn = [], [], [], []
-    for col, r in enumerate(ordered_rows):
-        counts = pd.Series(r["toks"], dtype=object).value_counts()
-        p_nn.append(float((counts.to_numpy() ** 2).sum()))
-        for tok, c in counts.items():
-            p_vid.append(vocab.setdefault(tok, len(vocab)))
-            p_col.append(col)
-            p_tf.append(float(c))
-    postings = pd.DataFrame({"vid": np.asarray(p_vid, dtype=np.int64), "col": np.asarray(p_col, dtype=np.int64),
-                             "ptf": np.asarray(p_tf, dtype=np.float64)})
-    return vocab, postings, np.sqrt(np.asarray(p_nn, dtype=np.float64))
-
-
-def _lexical_pass(df: DataFrame, block_rows, cats, merge: bool) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
+    pa_type = to_arrow_type(id_type)
+    schema = T.StructType([left.schema[left_id], T.StructField(right_id, id_type), T.StructField("cos", T.DoubleType())])
 
-    from loglens.operators import scoring
+    def by_id(t: pa.Table) -> tuple[np.ndarray, Postings]:
+        t = t.sort_by("id")
+        return t["id"].to_numpy(), Postings(t["terms"].combine_chunks(), t["times"].combine_chunks())
 
-    ordered, plan = scoring.kernel_layout(block_rows, cats)
-    vocab, postings, pnorm = _postings(ordered)
-    bc = df.sparkSession.sparkContext.broadcast((vocab, postings, pnorm, plan, len(ordered)))
-    names = [scoring.sims_field(a, k) for a, k, _ in plan]
-    out_cols = [c for c in df.columns if c != "_toks"]
-    base = T.StructType([f for f in df.schema.fields if f.name != "_toks"])
-    schema = base if merge else T.StructType(base.fields + [T.StructField(nm, T.ArrayType(T.DoubleType())) for nm in names])
-
-    def score(batches):
-        voc, post, pn, pl, width = bc.value
-        for pdf in batches:
-            nrows = len(pdf)
-            if nrows == 0:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = stored.reader(by_id)
+        for t in _spans(batches, len(stored.names) > 1):
+            parts = _parts(t)
+            found = [(np.zeros(c.rows, dtype=object), np.zeros(c.rows)) for _, c in parts]
+            for ids, postings in blocks():
+                for (_, counts), (best, cos) in zip(parts, found):
+                    postings.best(counts, ids, best, cos)
+            if not parts:
                 continue
-            lens = pdf["_toks"].map(len).to_numpy()
-            flat = pd.DataFrame({"r": np.repeat(np.arange(nrows), lens), "t": [t for ts in pdf["_toks"] for t in ts]})
-            cnt = flat.groupby(["r", "t"], sort=False).size()
-            r_idx = cnt.index.get_level_values(0).to_numpy()
-            c = cnt.to_numpy().astype(np.float64)
-            nn = np.bincount(r_idx, weights=c * c, minlength=nrows)
-            vid = cnt.index.get_level_values(1).map(voc).to_numpy(dtype=np.float64, na_value=np.nan)
-            keep = ~np.isnan(vid)
-            trip = pd.DataFrame({"r": r_idx[keep], "vid": vid[keep].astype(np.int64), "c": c[keep]})
-            m = trip.merge(post, on="vid")
-            mr, mc, mv = m["r"].to_numpy(), m["col"].to_numpy(), m["c"].to_numpy() * m["ptf"].to_numpy()
-            step = max(1, scoring.MAX_BLOCK_CELLS // max(1, width))
-            parts = {scoring.sims_field(a, k): [] for a, k, _ in pl}
-            for lo in range(0, nrows, step):  # bounded (rows x prototypes) block
-                hi = min(nrows, lo + step)
-                sel = (mr >= lo) & (mr < hi)
-                dots = np.zeros((hi - lo, width))
-                np.add.at(dots, (mr[sel] - lo, mc[sel]), mv[sel])
-                den = np.sqrt(nn[lo:hi])[:, None] * pn[None, :]
-                cos = np.divide(dots, den, out=np.zeros_like(dots), where=den > 0)
-                for (axis, kind, spans) in pl:
-                    parts[scoring.sims_field(axis, kind)].append(scoring.segment_max(cos, spans))
-            res = {}
-            for name, blocks in parts.items():
-                red = np.vstack(blocks)
-                if merge:
-                    red = np.maximum(red, np.vstack([np.asarray(x, dtype=np.float64) for x in pdf[name]]))
-                res[name] = list(red)
-            yield pdf[out_cols].assign(**res)
-
-    return df.mapInPandas(score, schema)
+            best, cos = (np.concatenate(x) for x in zip(*found))
+            hit = pa.array(np.flatnonzero(cos > 0))
+            kept = t[left_id].combine_chunks().take(hit)
+            yield pa.RecordBatch.from_arrays([kept, pa.array(best[cos > 0].tolist(), pa_type), pa.array(cos[cos > 0])], names=[left_id, right_id, "cos"])
+
+    if not stored.names:  # nothing on the right
+        return left.sparkSession.createDataFrame([], schema)
+    return left.select(F.col(left_id), tokens(left_text).alias("_toks")).mapInArrow(score, schema)
 
 
 def lexical_similarities(
@@ -204,36 +242,51 @@ def lexical_similarities(
     prototypes: DataFrame,
     id_col: str = "session_id",
     text_col: str = "combined_prompt",
-    max_broadcast_protos: int = 200_000,
-    max_protos: int = 10_000_000,
+    max_broadcast_protos: int = BLOCK_ROWS,
 ):
     """Append ``{axis}_{kind}_sim`` arrays of lexical cosines (see ``scoring``).
 
-    A narrow kernel, so the
-    session rows are read once and keep their partitioning: tokens are
-    extracted in the JVM; per Arrow batch, the batch's (row, token) counts are
-    merged with the broadcast prototype postings and summed per (row,
-    prototype), giving exact integer dot products; norms come from the same
-    counts.  ``prototypes``: (category_type, ord, code, kind, text), bounded
-    by the taxonomy and checked before it is collected.  Above
-    ``max_broadcast_protos`` prototypes, one pass per block broadcasts only
-    that block's postings and folds its maxima into the arrays; passes are
-    checkpointed to the shared checkpoint folder.
+    A narrow kernel, so the session rows are read once and keep their partitioning.  ``prototypes``: (category_type,
+    ord, code, kind, text), of any number, in blocks of at most ``max_broadcast_protos``; only their categories, one
+    array element each, reach the driver.
     """
-    from loglens.config import ensure_checkpoint_dir
     from loglens.operators import scoring
 
-    toks = F.regexp_extract_all(F.lower(F.col("text")), F.lit(TOKEN_PATTERN), 0)
-    rows = scoring.bounded_collect(prototypes.select("category_type", "ord", "code", "kind", toks.alias("toks")),
-                                   max_protos, "prototype table")
-    _, cats = scoring.categories_of(rows)
-    tokenised = df.withColumn("_toks", F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0))
-    if len(rows) <= max_broadcast_protos:
-        return _lexical_pass(tokenised, rows, cats, merge=False), cats
-    ensure_checkpoint_dir(df.sparkSession)
-    out = None
-    for lo in range(0, len(rows), max_broadcast_protos):
-        block = rows[lo: lo + max_broadcast_protos]
-        src = tokenised if out is None else out.withColumn("_toks", F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0))
-        out = _lexical_pass(src, block, cats, merge=out is not None).checkpoint(eager=True)
-    return out, cats
+    keys = ["category_type", "ord", "code", "kind"]
+    stored, found = _stored(prototypes, keys, "text", max_broadcast_protos, BLOCK_BYTES, tuple(keys))
+    _, cats = scoring.categories_of(sorted(found.collect(), key=lambda r: (r["ord"], r["code"])))
+    groups = [(axis, kind, code) for axis in scoring.AXES for kind in scoring.KINDS for code in cats[axis].codes]
+    number = {g: i for i, g in enumerate(groups)}
+    fields, at = [], 0
+    for axis in scoring.AXES:
+        for kind in scoring.KINDS:
+            fields.append((scoring.sims_field(axis, kind), at, at + len(cats[axis].codes)))
+            at = fields[-1][2]
+    schema = T.StructType(df.schema.fields + [T.StructField(n, T.ArrayType(T.DoubleType())) for n, _, _ in fields])
+    names = df.columns
+
+    def by_group(t: pa.Table) -> tuple[np.ndarray, np.ndarray, Postings]:
+        of = np.array([number.get(g, -1) for g in zip(*(t[c].to_pylist() for c in ("category_type", "kind", "code")))], dtype=np.int64)
+        order = np.argsort(of, kind="stable")
+        order = order[of[order] >= 0]
+        present, first = np.unique(of[order], return_index=True)
+        t = t.take(pa.array(order))
+        return present, first, Postings(t["terms"].combine_chunks(), t["times"].combine_chunks())
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = stored.reader(by_group)
+        for t in _spans(batches, len(stored.names) > 1):
+            parts, best = _parts(t), np.full((t.num_rows, len(groups)), -np.inf)
+            for present, first, postings in blocks():
+                for lo, counts in parts:
+                    for some, cos in postings.cosines(counts) if len(present) else ():
+                        at = np.ix_(lo + some, present)
+                        best[at] = np.maximum(best[at], np.maximum.reduceat(cos, first, axis=1))
+            arrays = []
+            for _, a, z in fields:
+                ends = pa.array(np.arange(t.num_rows + 1) * (z - a), pa.int32())
+                arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(best[:, a:z]).reshape(-1))))
+            for b in pa.Table.from_arrays([*(t[n] for n in names), *arrays], names=[*names, *(n for n, _, _ in fields)]).to_batches():
+                yield b
+
+    return df.withColumn("_toks", tokens(text_col)).mapInArrow(score, schema), cats

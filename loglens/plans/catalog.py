@@ -170,7 +170,7 @@ def lexical_scores(spark, sf_dir):
 
 def _classified(spark, sf_dir):
     return classify.classify_logs(
-        fx.logs(spark, sf_dir), _prototypes(spark, sf_dir), _matrix(spark),
+        fx.logs(spark, sf_dir), fx.benchmark_prototypes(spark, sf_dir), _matrix(spark),
         watchlist=fx.FIXTURE_WATCHLIST, high=fx.FLAGSHIP_HIGH, low=fx.FLAGSHIP_LOW,
     )
 

@@ -130,6 +130,20 @@ def benchmark_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
              "definition", "keywords", "phrases")
 
 
+def benchmark_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prototypes of ``benchmark_categories`` as rows, straight from the passages: (category_type, ord, code,
+    name, kind, text)."""
+    b = table(spark, sf_dir, "benchmark", "item_id", "text")
+    cat, half = F.col("item_id") % N_BENCH_CATEGORIES, N_BENCH_CATEGORIES // 2
+    k = F.floor(F.col("item_id") / N_BENCH_CATEGORIES)
+    code = F.concat(F.when(cat < half, F.lit("D")).otherwise(F.lit("I")), _pad2(cat % half + 1))
+    return b.where(F.col("text").isNotNull()).select(
+        F.when(cat < half, F.lit("domain")).otherwise(F.lit("intent")).alias("category_type"),
+        (cat % half).cast("int").alias("ord"), code.alias("code"), F.concat(F.lit("Category "), code).alias("name"),
+        F.when(k == 0, F.lit("definition")).when(k % 2 == 1, F.lit("keyword")).otherwise(F.lit("phrase")).alias("kind"), "text",
+    )
+
+
 # The governance pairs (domain, intent, level) of the shipped
 # risk matrix, high-risk list first, then medium-risk; reasons here are
 # neutral texts.  The last entry is a made-up repeat of an earlier pair with a
