@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loglens import defaults
 from loglens.functions.text import first_match, strip_chars
 from loglens.operators.sizes import broadcast_if_small
+from loglens.sources.logs import CSV_READ, CSV_TEXT, FILE_RECORDS
 
 
 def watchlist_reason(text: Column, words: Sequence[str] = defaults.WATCHLIST) -> Column:
@@ -119,15 +121,29 @@ def route_outputs(df: DataFrame) -> DataFrame:
 
 
 def write_outputs(df: DataFrame, out_dir: str, run_ts: str, columns: Sequence[str] = defaults.OUTPUT_COLUMNS) -> str:
-    """One job, one partitioned CSV write: ``out_dir/run_ts=<ts>/sink=<name>/``."""
+    """One job, one partitioned CSV write: ``out_dir/run_ts=<ts>/sink=<name>/``.  Writing a run again replaces it as a
+    whole, a sink that is now empty included; other runs stay."""
     target = f"{out_dir.rstrip('/')}/run_ts={run_ts}"
-    route_outputs(df.select(*columns)).write.mode("overwrite").partitionBy("sink").option("header", True).csv(target)
+    out = route_outputs(df.select(*columns)).write.mode("overwrite").partitionBy("sink").option("maxRecordsPerFile", FILE_RECORDS)
+    out.options(**CSV_TEXT).csv(target)
     return target
 
 
+def read_outputs(spark: SparkSession, out_dir: str, schema: T.StructType, run_ts: str | None = None, sink: str | None = None) -> DataFrame:
+    """(run_ts, sink, <columns>) of written outputs: all of them, or one run's or one sink's, of which only the folders
+    are read.  ``schema`` has the types of the written columns."""
+    fields = [*schema.fields, T.StructField("run_ts", T.StringType()), T.StructField("sink", T.StringType())]
+    df = spark.read.schema(T.StructType(fields)).options(**CSV_READ).option("multiLine", True).csv(out_dir)
+    for name, value in (("run_ts", run_ts), ("sink", sink)):
+        if value is not None:
+            df = df.where(F.col(name) == value)
+    return df.select("run_ts", "sink", *schema.names)
+
+
 def run_summary(sessions: DataFrame, turns: DataFrame | None = None) -> DataFrame:
     """(metric, n) rows: totals per label source and flag level, plus the
-    short-prompt turn count and rows dropped for a missing session id."""
+    short-prompt turn count, rows dropped for a missing session id, and turns
+    whose timestamp text fits no known layout."""
     c = F.col
     agg = sessions.agg(
         F.count(F.lit(1)).alias("total_sessions"),
@@ -143,8 +159,9 @@ def run_summary(sessions: DataFrame, turns: DataFrame | None = None) -> DataFram
         t = turns.agg(
             F.count_if(c("is_short_prompt")).alias("short_prompts"),
             F.count_if(c("session_id").isNull()).alias("dropped_null_session"),
+            F.count_if(c("timestamp_unparsed")).alias("unparsed_timestamps"),
         )
-        tn = ["short_prompts", "dropped_null_session"]
+        tn = ["short_prompts", "dropped_null_session", "unparsed_timestamps"]
         out = out.unionByName(
             t.select(F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in tn]), F.array(*tn))).alias("metric", "n"))
         )

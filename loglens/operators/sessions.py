@@ -43,7 +43,8 @@ def normalise_logs(df: DataFrame, min_tokens: int = defaults.MIN_PROMPT_TOKENS,
     """Clean text fields, parse the timestamp, count tokens, flag short prompts.
 
     ``prompt`` keeps its case; ``division``, ``user_type`` and ``co`` are
-    lower-cased.  A ``seq`` column (input order) is required for stable
+    lower-cased; ``timestamp_unparsed`` tells where a timestamp text fits no
+    layout.  A ``seq`` column (input order) is required for stable
     ordering of equal timestamps; it is added from the file position when
     missing.
     """
@@ -55,6 +56,7 @@ def normalise_logs(df: DataFrame, min_tokens: int = defaults.MIN_PROMPT_TOKENS,
         .withColumn("division", to_clean_text(F.col("division"), lower=True))
         .withColumn("user_type", to_clean_text(F.col("user_type"), lower=True))
         .withColumn("co", to_clean_text(F.col("co"), lower=True))
+        .withColumn("timestamp_unparsed", F.col("query_timestamp").isNotNull() & parse_timestamp(df, "query_timestamp", formats).isNull())
         .withColumn("query_timestamp", parse_timestamp(df, "query_timestamp", formats))
         .withColumn("prompt_token_count", py_token_count(F.col("prompt")).cast("bigint"))
         .withColumn("is_short_prompt", F.col("prompt_token_count") < F.lit(min_tokens))

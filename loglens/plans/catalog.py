@@ -18,6 +18,7 @@ from loglens.operators import chunking, completion, email, html_text, imports, l
 from loglens.plans import classify
 from loglens.plans import fixtures as fx
 from loglens.sources import documents, taxonomy
+from loglens.sources import logs as log_source
 from loglens.sources.tables import table
 from loglens.streaming import thread_state
 from loglens.streaming import alerts as stream_alerts
@@ -48,6 +49,21 @@ def log_normalise(spark, sf_dir):
     )
 
 
+@query
+def log_files(spark, sf_dir):
+    """F1 written as CSV and as JSON lines and read back by the checked reader, with what it rejected (nothing)."""
+    folder, out = _run_folder(spark, "log_files"), None
+    src = fx.logs(spark, sf_dir).withColumn("session_id", F.col("session_id").cast("string")).withColumn("seq", F.col("seq").cast("long"))
+    for fmt in ("csv", "json"):
+        log_source.write_logs(src, f"{folder}/{fmt}", fmt)
+        got = log_source.read_logs_checked(spark, f"{folder}/{fmt}", fmt)
+        rows = got.rows.select(F.lit(fmt).alias("fmt"), *log_source.LOG_SCHEMA.names)
+        bad = got.rejects.select(F.lit(f"{fmt} rejected").alias("fmt"), *[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "prompt" else F.col("raw").alias("prompt") for f in log_source.LOG_SCHEMA.fields])
+        rows = rows.unionByName(bad)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query
 def merge_short_turns(spark, sf_dir):
     kept = sessions.merge_short_turns(_normalised(spark, sf_dir))
@@ -201,6 +217,17 @@ def route_outputs(spark, sf_dir):
     return routing.route_outputs(_classified(spark, sf_dir)).select("sink", "session_id")
 
 
+@query
+def sink_files(spark, sf_dir):
+    """The five outputs as they stand in the written files, all 18 columns; the run is written twice and read by its
+    partition, another run beside it."""
+    folder, done = _run_folder(spark, "sink_files"), flagship(spark, sf_dir).checkpoint()
+    routing.write_outputs(done.limit(0), folder, "20240101_000000")
+    for _ in range(2):
+        routing.write_outputs(done, folder, "20240102_000000")
+    return routing.read_outputs(spark, folder, done.schema, run_ts="20240102_000000").drop("run_ts")
+
+
 @query
 def run_summary(spark, sf_dir):
     turns = sessions.normalise_logs(fx.logs(spark, sf_dir))

@@ -530,6 +530,7 @@ SELECT label_source, count(*) AS n FROM routed GROUP BY label_source""",
         "SELECT 'llm_classify_queue', session_id FROM gov WHERE label_source = 'llm_classify'",
         "SELECT 'unclassified', session_id FROM gov WHERE label_source = 'unclassified'",
     ])
+    gov_cols = ", ".join(defaults.OUTPUT_COLUMNS)
     out.update({
         "taxonomy_flatten": _with(BENCH) + """
 SELECT category_type, ord, code, 'Category ' || code AS name, kind, text FROM bprotos""",
@@ -556,6 +557,13 @@ SELECT session_id, predicted_domain, predicted_intent, label_source, governance_
 SELECT session_id, combined_confidence, combined_prompt AS prompt_excerpt
 FROM gov WHERE label_source = 'llm_classify'""",
         "route_outputs": flag_chain + "\n" + sinks,
+        "sink_files": flag_chain + " SELECT * FROM (" + " UNION ALL ".join(
+            f"SELECT '{name}' AS sink, {gov_cols} FROM gov{cond}" for name, cond in (
+                ("classification_logs", ""), ("governance_alerts", " WHERE governance_flag = 'HIGH'"), ("governance_monitoring", " WHERE governance_flag = 'MEDIUM'"),
+                ("llm_classify_queue", " WHERE label_source = 'llm_classify'"), ("unclassified", " WHERE label_source = 'unclassified'"))) + ")",
+        "log_files": _with(*LOGS_CHAIN[:1]) + """
+SELECT fmt, CAST(session_id AS VARCHAR) AS session_id, CAST(seq AS BIGINT) AS seq, query_timestamp, username, prompt, co, user_type, division
+FROM logs, (SELECT unnest(['csv', 'json']) AS fmt)""",
         "run_summary": flag_chain + """,
 turns AS (SELECT * FROM norm2)
 SELECT 'total_sessions' AS metric, count(*) AS n FROM gov
@@ -565,7 +573,8 @@ UNION ALL SELECT 'unclassified', count(*) FILTER (WHERE label_source = 'unclassi
 UNION ALL SELECT 'high_governance', count(*) FILTER (WHERE governance_flag = 'HIGH') FROM gov
 UNION ALL SELECT 'medium_governance', count(*) FILTER (WHERE governance_flag = 'MEDIUM') FROM gov
 UNION ALL SELECT 'short_prompts', count(*) FILTER (WHERE is_short_prompt) FROM turns
-UNION ALL SELECT 'dropped_null_session', count(*) FILTER (WHERE session_id IS NULL) FROM turns""",
+UNION ALL SELECT 'dropped_null_session', count(*) FILTER (WHERE session_id IS NULL) FROM turns
+UNION ALL SELECT 'unparsed_timestamps', count(*) FILTER (WHERE query_timestamp IS NOT NULL AND try_cast(query_timestamp AS TIMESTAMP) IS NULL) FROM logs""",
     })
     lim = f"{defaults.CHUNK_SIZE} * {defaults.RESPLIT_FACTOR}"
     out.update({
