@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _filesystem(folder: str):
+def filesystem(folder: str):
     from pyarrow import fs
 
     folder = re.sub(r"^s3[an]://", "s3://", folder)  # Hadoop's names for the store
@@ -29,7 +29,7 @@ def _write(folder: str, keys: list[str], most_rows: int, most_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        where, root = _filesystem(folder)
+        where, root = filesystem(folder)
         where.create_dir(root, recursive=True)
         task = TaskContext.get()
         parts: list[pa.RecordBatch] = []
@@ -79,7 +79,7 @@ class Blocks:
         held: dict[tuple[str, ...], Any] = {}
 
         def each() -> Iterator[Any]:
-            where, root = _filesystem(self.folder)
+            where, root = filesystem(self.folder)
             for names in self.names:
                 if names not in held:
                     held.clear()
