@@ -263,7 +263,7 @@ def _candidates(nodes: DataFrame, levels: int, bound: int) -> DataFrame:
         found = edges if found is None else found.unionByName(edges)
         if large is None:
             break
-        rows = rows.join(large, F.col("key") == F.col("k"), "left_semi")
+        rows = rows.join(large, F.col("key") == F.col("k"), "left_semi").checkpoint()  # read for the pivots and against them
         picks = [F.min_by(F.struct("node", "sketch"), F.xxhash64("node", F.lit(p))).alias(f"q{p}") for p in range(PIVOTS)]
         pivots = rows.groupBy("key").agg(*picks).select(F.col("key").alias("k"), *[F.col(f"q{p}.node").alias(f"p{p}") for p in range(PIVOTS)], *[F.col(f"q{p}.sketch").alias(f"s{p}") for p in range(PIVOTS)])
         pivots = pivots.checkpoint()

@@ -226,3 +226,16 @@ def test_star_roots():
         for x, y in zip(a, b):
             parent[max(find(x), find(y))] = min(find(x), find(y))
         assert linkage.star_roots(n, a, b).tolist() == [find(i) for i in range(n)]
+
+
+def test_kept_rows_with_shared_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [*base[:-1], "other"]
+    rows = [(5, " ".join(base), "a"), (5, " ".join(near), "b"), (7, "quite " + " ".join(base), "c"), (9, "one two three four five six", "d"), (9, "one two three four five six", "d"),
+            (9, "seven eight nine ten eleven twelve", "e"), (3, "", "f"), (3, None, "g"), (None, " ".join(base), "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted((r["doc_id"] or 0, r["source"]) for r in shingle_join.kept_rows(df).collect())
+    # of the class of 5, 5 and 7 one text stays, of the rows repeated under 9 and 3 one each, and the row without an id
+    assert len(kept) == 5 and [x for x in kept if x[0] == 9] == [(9, "d"), (9, "e")] and (0, "h") in kept
+    assert len([x for x in kept if x[0] == 5]) == 1 and not [x for x in kept if x[0] == 7]
+    assert [x[0] for x in kept].count(3) == 1
