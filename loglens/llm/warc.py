@@ -5,9 +5,12 @@ records into files of bounded size under a shared folder, each written under a n
 moved to its final one, so a task that runs again leaves the same files.
 
 ``read_archives`` checks every member (gzip checksum) and record (version line, length, block and payload
-digest).  After a failed check it searches for the next place where a gzip member or a version line starts a
-valid record, goes on from there, and reports the bytes between as a quarantined gap with the first reason.
-Plain (uncompressed) archives and mixed ones are read alike.  Files are read in pieces; a record is held whole.
+digest; SHA-1, SHA-256, SHA-512 and MD5 in hex or base32, others are noted in ``reason`` and not checked).  After a failed check it
+searches for the next place where a gzip member or a version line starts a valid record, goes on from there, and
+reports the bytes between as a quarantined gap with the first reason.  A member may hold any number of records: each
+is returned when the next one has begun or the member's checksum is right; if a member breaks off, the gap starts at
+the member and ``reason`` tells how many of its records were read.  Plain (uncompressed) archives and mixed ones are
+read alike.  Files are read and inflated in pieces; a record is held whole.
 
 Defined results: null html is an empty payload; a null URL becomes a URN of the record; null page ids are
 written without one and read back as null, and never are the original of a revisit unless all equal payloads
@@ -17,6 +20,8 @@ nothing; further columns are ignored.
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import zlib
@@ -29,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglens.llm.common import prepare
+from loglens.operators.blocks import filesystem
 from loglens.operators.sizes import broadcast_if_small
 
 VERSION = b"WARC/1.1\r\n"
@@ -66,15 +72,9 @@ def member(record: bytes, level: int = LEVEL) -> bytes:
     return z.compress(record) + z.flush()
 
 
-def _filesystem(folder: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder) if re.match(r"[a-z][a-z0-9+.-]*://|file:", folder) else (fs.LocalFileSystem(), folder)
-
-
 def _write(folder: str, archive_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, root = _filesystem(folder)
+        where, root = filesystem(folder)
         where.create_dir(root, recursive=True)
         task = TaskContext.get()
         part, attempt, number = task.partitionId(), task.taskAttemptId(), 0
@@ -143,22 +143,6 @@ class Window:
         return self.data[start - self.at:stop - self.at]
 
 
-def _inflate(w: Window, start: int) -> tuple[bytes, int]:
-    z, out, at = zlib.decompressobj(31), [], start
-    try:
-        while not z.eof:
-            piece = w.read(at, PIECE >> 4)
-            if not piece:
-                raise Bad("truncated member")
-            out.append(z.decompress(piece))
-            at += len(piece)
-            if len(out) == 1 and out[0][:len(VERSION) - 3] != VERSION[:-3] and len(out[0]) >= len(VERSION):
-                raise Bad("member without version line")
-    except zlib.error as e:
-        raise Bad(f"gzip: {str(e).split(':')[0]}") from None
-    return b"".join(out), at - len(z.unused_data)
-
-
 def _fields(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}
@@ -174,40 +158,125 @@ def _plain_head(w: Window, start: int) -> bytes:
     return data[:end]
 
 
-def parse(w: Window, start: int) -> tuple[int, dict]:
-    """(end, record) of the valid record at ``start``, or Bad."""
+#: digest algorithms that are checked, with their lengths in bytes
+DIGESTS = {"md5": 16, "sha1": 20, "sha-1": 20, "sha256": 32, "sha-256": 32, "sha512": 64, "sha-512": 64}
+
+
+def check_digest(what: str, stated: str, *data: bytes) -> str | None:
+    """None where the stated digest is that of one of ``data``, a note where it cannot be checked, else Bad."""
+    algorithm, _, value = stated.partition(":")
+    algorithm, value = algorithm.strip().lower(), value.strip()
+    size = DIGESTS.get(algorithm)
+    if size is None:
+        return f"{what} digest not checked: {algorithm or 'none'}"
+    try:
+        raw = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.rstrip("=").upper() + "=" * (-len(value.rstrip("=")) % 8))
+    except (ValueError, binascii.Error):
+        raise Bad(f"{what} digest") from None
+    if not any(hashlib.new(algorithm.replace("-", ""), d).digest() == raw for d in data):
+        raise Bad(f"{what} digest")
+    return None
+
+
+def _dechunked(body: bytes) -> bytes | None:
+    """The body without its chunked transfer coding, if it has one."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            return None
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 2:end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def _length(fields: dict[str, str]) -> int:
+    if not (fields.get("content-length") or "").isdigit():
+        raise Bad("no content length")
+    return int(fields["content-length"])
+
+
+def _record(head: bytes, block: bytes) -> dict:
+    fields, note = _fields(head), None
+    if "warc-block-digest" in fields:
+        note = check_digest("block", fields["warc-block-digest"], block)
+    return {"fields": fields, "block": block, "note": note}
+
+
+def _plain(w: Window, start: int) -> Iterator[tuple[dict, int, int | None]]:
+    """The uncompressed record at ``start``, as from ``_member``."""
+    head = _plain_head(w, start)
+    n, at = _length(_fields(head)), start + len(head) + 4
+    if at + n + 4 > w.size:
+        raise Bad("truncated record")
+    rest = w.read(at, n + 4)
+    if rest[n:] != b"\r\n\r\n":
+        raise Bad("length")
+    yield _record(head, rest[:n]), at + n + 4, at + n + 4
+
+
+def _member(w: Window, start: int) -> Iterator[tuple[dict, int, int | None]]:
+    """The records of the gzip member at ``start``, inflated in pieces: each with the place from which on nothing of it
+    is read, and the last one with the member's end."""
+    z, data, at = zlib.decompressobj(31), bytearray(), start
+
+    def fill(enough) -> bool:
+        """Inflates until ``enough()`` or the end of the member."""
+        nonlocal at
+        while not enough():
+            if z.eof:
+                return False
+            piece = w.read(at, PIECE >> 4)
+            if not piece:
+                raise Bad("truncated member")
+            try:
+                data.extend(z.decompress(piece))
+            except zlib.error as e:
+                raise Bad(f"gzip: {str(e).split(':')[0]}") from None
+            at += len(piece)
+        return True
+
+    held = None
+    while True:
+        fill(lambda: len(data) >= len(VERSION))
+        if held is not None and not data:
+            break
+        if not START.match(data) or data[:1] == b"\x1f":
+            raise Bad("member without version line" if held is None else "no version line")
+        if held is not None:
+            yield held, max(start, at - len(data)), None
+        if not fill(lambda: b"\r\n\r\n" in data or len(data) > 1 << 20) or b"\r\n\r\n" not in data:
+            raise Bad("header without end")
+        end = data.index(b"\r\n\r\n")
+        head = bytes(data[:end])
+        n = _length(_fields(head))
+        if not fill(lambda: len(data) >= end + n + 8) or data[end + 4 + n:end + 8 + n] != b"\r\n\r\n":
+            raise Bad("length")
+        held = _record(head, bytes(data[end + 4:end + 4 + n]))
+        del data[:end + 8 + n]
+    stop = at - len(z.unused_data)
+    yield held, stop, stop  # the member is whole and its checksum right
+
+
+def parse(w: Window, start: int) -> Iterator[tuple[dict, int, int | None]]:
+    """The records of the member or plain record at ``start``; Bad where a check fails."""
     first = w.read(start, 12)
     if first[:3] == b"\x1f\x8b\x08":
-        data, stop = _inflate(w, start)
-        head, sep, rest = data.partition(b"\r\n\r\n")
-        if not START.match(head + b"\r\n") or not sep:
-            raise Bad("member without version line")
+        yield from _member(w, start)
     elif START.match(first):
-        head = _plain_head(w, start)
-        rest, stop = None, -1
+        yield from _plain(w, start)
     else:
         raise Bad("no member or version line")
-    fields = _fields(head)
-    if not (fields.get("content-length") or "").isdigit():
-        raise Bad("no content length")
-    n = int(fields["content-length"])
-    if rest is None:
-        at = start + len(head) + 4
-        if at + n + 4 > w.size:
-            raise Bad("truncated record")
-        rest, stop = w.read(at, n + 4), at + n + 4
-    if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
-        raise Bad("length")
-    block = rest[:n]
-    if "warc-block-digest" in fields and fields["warc-block-digest"] != "sha256:" + _hex(block):
-        raise Bad("block digest")
-    return stop, {"fields": fields, "block": block}
 
 
-def _row(path: str, start: int, stop: int, record: dict) -> tuple:
-    fields, block = record["fields"], record["block"]
+def _row(path: str, start: int, stop: int | None, record: dict) -> tuple:
+    fields, block, note = record["fields"], record["block"], record["note"]
     kind = fields.get("warc-type", "")
     payload, size = None, None
+    stated = fields.get("warc-payload-digest", "")
     if fields.get("content-type", "").startswith("application/http"):
         head, _, rest = block.partition(b"\r\n\r\n")
         size = len(rest)
@@ -216,45 +285,54 @@ def _row(path: str, start: int, stop: int, record: dict) -> tuple:
             size = int(told) if told.isdigit() else None
         else:
             payload = rest
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha256:") or None
-    if payload is not None and digest is not None and digest != _hex(payload):
-        raise Bad("payload digest")
+            if stated:
+                # some writers take the digest before, others after the transfer coding is undone
+                plain = _dechunked(rest) if "chunked" in _fields(head).get("transfer-encoding", "").lower() else None
+                note = check_digest("payload", stated, *([rest] if plain is None else [rest, plain])) or note
     name = lambda v: unquote(v.strip("<>").removeprefix(URN)) or None
-    return (path, start, stop, "record", None, kind, name(fields.get("warc-record-id", "")), fields.get("warc-target-uri"),
-            name(fields["warc-refers-to"]) if "warc-refers-to" in fields else None, digest, size, payload)
+    return (path, start, stop, "record", note, kind, name(fields.get("warc-record-id", "")), fields.get("warc-target-uri"),
+            name(fields["warc-refers-to"]) if "warc-refers-to" in fields else None, stated.removeprefix("sha256:") or None, size, payload)
 
 
 def salvage(source, path: str) -> Iterator[tuple]:
-    """Rows of ``FIELDS`` for a file: valid records, and a gap for every stretch between them."""
-    w, at = Window(source), 0
+    """Rows of ``FIELDS`` for a file: valid records, and a gap for every stretch between them.  ``stop`` of a record is
+    where its member ends, null for the earlier ones of a member."""
+    w = Window(source)
 
-    def valid(start: int) -> tuple[int, tuple]:
-        stop, record = parse(w, start)
-        return stop, _row(path, start, stop, record)
+    def rows(start: int) -> Iterator[tuple[tuple, int, int | None]]:
+        return ((_row(path, start, stop, record), resume, stop) for record, resume, stop in parse(w, start))
 
-    while at < w.size:
+    begin, read, found = 0, 0, rows(0)
+    while begin < w.size:
         try:
-            at, row = valid(at)
+            row, resume, stop = next(found)
             yield row
+            read += 1
+            if stop is not None:
+                begin, read, found = stop, 0, rows(stop)
             continue
         except Bad as e:
-            begin, reason = at, str(e)
-        look, found = begin + 1, None
-        while found is None and look < w.size:
+            reason = f"{e} after {read} records of the member" if read else str(e)
+        look, first = max(begin + 1, resume if read else 0), None
+        while first is None and look < w.size:
             piece = w.read(look, PIECE)
             for m in START.finditer(piece):
+                at, found = look + m.start(), rows(look + m.start())
                 try:
-                    found = (look + m.start(), *valid(look + m.start()))
+                    first = next(found)
                     break
                 except Bad:
                     continue
             # a mark may lie across the end of the piece
             look = w.size if look + len(piece) >= w.size else look + len(piece) - 9
-        end = found[0] if found else w.size
-        yield (path, begin, end, "gap", reason, None, None, None, None, None, None, None)
-        if found:
-            yield found[2]
-        at = found[1] if found else w.size
+        yield (path, begin, w.size if first is None else at, "gap", reason, None, None, None, None, None, None, None)
+        if first is None:
+            return
+        row, resume, stop = first
+        yield row
+        begin, read = at, 1
+        if stop is not None:
+            begin, read, found = stop, 0, rows(stop)
 
 
 def read_archives(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
@@ -267,7 +345,7 @@ def read_archives(files: DataFrame, folder: str, payloads: bool = True) -> DataF
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, root = _filesystem(folder)
+        where, root = filesystem(folder)
         for b in batches:
             for path in b["path"].to_pylist():
                 rows, held = [], 0

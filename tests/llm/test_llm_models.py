@@ -1,5 +1,6 @@
 """Quality, toxicity, chat formatting and archives."""
 
+import base64
 import gzip
 import hashlib
 import io
@@ -237,3 +238,63 @@ def test_scale_columns(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(f"SELECT count(*) FROM ({queries.ORACLE_SQL[name]})").fetchall()[0][0]
     assert queries.QUERIES[name](spark, SF).count() == want > 100
+
+
+# ---------------------------------------------------------------- archives by other writers
+def foreign(i, payload=None, block=None, payload_digest=None, kind="response", head=b"HTTP/1.1 200 OK\r\n\r\n", version=b"WARC/1.0"):
+    payload = f"<p>page {i}</p>".encode() * 5 if payload is None else payload
+    body = head + payload
+    sha1 = lambda d: "sha1:" + base64.b32encode(hashlib.sha1(d).digest()).decode()
+    fields = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{i}>", "WARC-Target-URI": f"http://x/{i}", "Content-Type": "application/http; msgtype=response",
+              "WARC-Block-Digest": sha1(body) if block is None else block, "WARC-Payload-Digest": sha1(payload) if payload_digest is None else payload_digest, "Content-Length": len(body)}
+    return version + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + body + b"\r\n\r\n"
+
+
+def read(data):
+    return [(r[3], r[6], r[4], r[11]) for r in warc.salvage(Source(data), "f")]
+
+
+def test_digests_of_other_writers():
+    data, p = b"", b"payload"
+    hexes = {a: f"{a}:{hashlib.new(a.replace('-', ''), p).hexdigest()}" for a in ("md5", "sha1", "sha-256", "sha512")}
+    for i, stated in enumerate([None, *hexes.values(), "SHA1:" + base64.b32encode(hashlib.sha1(p).digest()).decode().lower()]):
+        data += warc.member(foreign(i, p, payload_digest=stated))
+    assert [(k, n) for k, _, n, _ in read(data)] == [("record", None)] * 6
+    assert [(k, n) for k, _, n, _ in read(warc.member(foreign(1, p, payload_digest="crc32c:00"))) ] == [("record", "payload digest not checked: crc32c")]
+    for wrong in ("sha1:" + "A" * 32, "sha1:xyz", "md5:" + "0" * 32):
+        assert [(k, n) for k, _, n, _ in read(warc.member(foreign(1, p, payload_digest=wrong)))] == [("gap", "payload digest")]
+        assert [(k, n) for k, _, n, _ in read(warc.member(foreign(1, p, block=wrong)))] == [("gap", "block digest")]
+
+
+def test_chunked_bodies_with_either_digest():
+    plain, chunked = b"hello world", b"5\r\nhello\r\n6;x=1\r\n world\r\n0\r\n\r\n"
+    head = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    for d in (plain, chunked):
+        got = read(warc.member(foreign(1, chunked, head=head, payload_digest="sha1:" + hashlib.sha1(d).hexdigest())))
+        assert [k for k, *_ in got] == ["record"] and got[0][3] == chunked
+
+
+@pytest.mark.parametrize("piece", [64, 1 << 18])
+def test_members_with_several_records(monkeypatch, piece):
+    monkeypatch.setattr(warc, "PIECE", piece)
+    records = [foreign(i) for i in range(30)]
+    one = warc.member(b"".join(records[:20])) + warc.member(records[20]) + records[21] + warc.member(b"".join(records[22:]))
+    got = list(warc.salvage(Source(one), "f"))
+    assert [r[6] for r in got] == [f"urn:uuid:{i}" for i in range(30)] and {r[3] for r in got} == {"record"}
+    assert sum(r[2] is not None for r in got) == 4 and got[-1][2] == len(one)
+    # a member that breaks off: its proven records stay, the rest is a gap, the next member is found
+    packed = warc.member(b"".join(records[:20]), 0)  # stored, so that the cut lies behind some records
+    cut = packed[:len(packed) * 3 // 4]
+    got = list(warc.salvage(Source(cut + warc.member(records[25])), "f"))
+    kept = [r for r in got if r[3] == "record"]
+    gaps = [r for r in got if r[3] == "gap"]
+    assert [r[6] for r in kept[:-1]] == [f"urn:uuid:{i}" for i in range(len(kept) - 1)] and len(kept) > 10
+    assert kept[-1][6] == "urn:uuid:25" and len(gaps) == 1 and f"after {len(kept) - 1} records" in gaps[0][4]
+    assert (gaps[0][1], gaps[0][2]) == (0, len(cut))
+
+
+def test_a_wrong_checksum_spoils_only_what_it_covers():
+    records = [foreign(i) for i in range(3)]
+    single = bytearray(warc.member(records[0]))
+    single[-6] ^= 1
+    assert [r[3] for r in warc.salvage(Source(bytes(single) + warc.member(records[1])), "f")] == ["gap", "record"]
