@@ -1,7 +1,7 @@
 """Packing documents into fixed-length sequences: first-fit decreasing in randomised groups.
 
 A document's ids (with the end id) fill whole sequences of its own as far as they go; what is left over, less
-than one sequence, goes to a group chosen at random (by a hash of the id) of bounded expected size.  In a
+than one sequence, goes to a group chosen at random (by a hash of the id and the text) of bounded expected size.  In a
 group the left-overs are placed longest first into the first bin that has room, found by a tournament tree
 over the bins' free space.  Gaps that remain are then filled by cutting the pieces of the emptiest bins, so a
 group ends with at most one sequence that is not full.
@@ -9,9 +9,10 @@ group ends with at most one sequence that is not full.
 Only left-over ids and one checksum per whole sequence are shuffled, not texts or all ids.  Groups run
 independently; their number follows from the number of rows, so no task grows with the table.
 
-Defined results: null text counts as empty, and an empty document is its end id alone; null ids share a
-group by the hash of null; repeated rows are packed one by one; an empty table gives an empty result; further
-columns are ignored.
+Defined results: null text counts as empty, and an empty document is its end id alone; null or shared ids spread by
+their texts; repeated rows are packed one by one, and where one is repeated more often than a group has rows, its
+copies are numbered (the numbers written before they are used) and spread by number; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from loglens.llm.common import body, prepare, spread
 from loglens.llm.word_ids import WordIds
+from loglens.operators.sizes import broadcast_if_small
 
 LENGTH, END_ID = 2048, 1
 #: documents in one group on average
@@ -108,7 +110,7 @@ def _cut_documents(tokenizer, length: int, end_id: int):
                 ids, first = words.texts(text[at:upto])
                 rows = []
                 for a, z in zip(first[:-1], first[1:]):
-                    doc = np.concatenate([ids[a:z], end]).astype("<u4")
+                    doc = np.concatenate([ids[a:z], end])
                     whole = len(doc) // length
                     rows.append((len(doc), [zlib.crc32(doc[k * length:(k + 1) * length].tobytes()) for k in range(whole)], doc[whole * length:].tobytes()))
                 yield pa.RecordBatch.from_arrays(
@@ -156,8 +158,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         tokenizer = spark.sparkContext.broadcast(f.read())  # a file of a few MB
     groups = max(1, -(-docs.count() // group_rows))
     kind = docs.schema[id_col].dataType.simpleString()
-    named = F.xxhash64(F.col(id_col), F.lit(seed))
-    rows = docs.select(F.col(id_col).alias("id"), F.pmod(named, F.lit(groups)).alias("grp"), body(text_col).alias("body"))
+    rows = docs.select(F.col(id_col).alias("id"), body(text_col).alias("body")).withColumn("named", F.xxhash64("id", "body", F.lit(seed)))
+    often = rows.groupBy("named").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_rows).select(F.col("named").alias("o")).checkpoint()
+    if not often.isEmpty():
+        same = F.col("named") == F.col("o")
+        copies = rows.join(broadcast_if_small(often), same, "left_semi").withColumn("copy", F.monotonically_increasing_id()).checkpoint()
+        copies = copies.withColumn("named", F.xxhash64("named", "copy")).drop("copy")
+        rows = rows.join(broadcast_if_small(often), same, "left_anti").unionByName(copies)
+    rows = rows.select("id", F.pmod("named", F.lit(groups)).alias("grp"), "body")
     cut = rows.mapInArrow(_cut_documents(tokenizer, length, end_id), f"id {kind}, grp long, doc_tokens long, whole array<long>, rest binary")
     cut = cut.repartition(max(spread(spark), min(groups, 2 * spread(spark))), "grp")
     out = cut.groupBy("grp").applyInArrow(_pack_group(length), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -4,17 +4,15 @@ White space never lies inside a token of such a tokenizer (the normaliser folds
 it), so a text's ids are the ids of its words (cut at ASCII white space) in order.  Words repeat, so their ids are kept
 (a bounded number).  Plain words that are new in a batch are merged together, one merge of every word per
 numpy step; anything else (digits, marks, long or unusual words, special strings) goes to the library.
+
+Words and their ids are held in Arrow and numpy arrays throughout (ids of many words one after the other, with the
+number of ids of each), so no step touches one word at a time but the library's.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
-import string
-import unicodedata
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +21,9 @@ import pyarrow.compute as pc
 # The normaliser and split pattern for which the merging below is exact.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-#: letters whose lower case depends on their place or is longer
-ODD_LETTERS = re.compile("[Σİ]")
+#: words that are merged here: letters of Latin scripts, composed and each with a lower case of one letter (so not U+0130),
+#: and marks of ASCII behind them
+PLAIN = r"^(?P<core>[A-Za-z\x{0c0}-\x{0d6}\x{0d8}-\x{0f6}\x{0f8}-\x{12f}\x{131}-\x{24f}]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
 NONE = np.int64(2**40)
 
 
@@ -36,15 +35,35 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+class Ids:
+    """Ids of several words: ``flat`` one after the other, ``sizes`` of each."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes = flat.astype(np.uint32, copy=False), sizes.astype(np.int64, copy=False)
+
+    @classmethod
+    def of(cls, lists: list[list[int]]) -> Ids:
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        return cls(np.fromiter((i for x in lists for i in x), dtype=np.uint32, count=int(sizes.sum())), sizes)
+
+    def take(self, which: np.ndarray) -> Ids:
+        ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(self.flat)).take(pa.array(which))
+        return Ids(lists.flatten().to_numpy(), self.sizes[which])
+
+    def __add__(self, other: Ids) -> Ids:
+        return Ids(np.concatenate([self.flat, other.flat]), np.concatenate([self.sizes, other.sizes]))
+
+
 class WordIds:
-    """Ids (little-endian unsigned 32-bit, as bytes) of words and texts."""
+    """Ids of words and texts."""
 
-    def __init__(self, tokenizer_json: str, remembered: int = 200_000, widest: int = 24):
+    def __init__(self, tokenizer_json: str, remembered: int = 400_000, widest: int = 24):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer_json)
-        self.seen: dict[str, bytes] = {}
+        self.words, self.ids = pa.array([""], pa.string()), Ids.of([[]])
         self.remembered, self.widest = remembered, widest
         spec = json.loads(tokenizer_json)
         model, normal, pre = spec["model"], spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
@@ -55,7 +74,7 @@ class WordIds:
                       and steps[0].get("pattern", {}).get("Regex") == SPLIT and len(steps) == 2)
         if self.plain:
             self._prepare(model)
-            self.tails: dict[str, bytes] = {"": b""}  # a closing run of marks is a piece of its own
+            self.tails: dict[str, list[int]] = {"": []}  # a closing run of marks is a piece of its own
 
     def _prepare(self, model: dict) -> None:
         vocab, end, chars = model["vocab"], model["end_of_word_suffix"], _byte_chars()
@@ -72,16 +91,18 @@ class WordIds:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.rank[at], NONE)
 
-    def _merge(self, words: list[bytes]) -> list[bytes]:
-        """Ids of plain words (bytes after normalisation): in every step each word's first pair of least rank
-        becomes one symbol, until no word has a pair left."""
-        n, width = len(words), max(map(len, words))
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=n)
+    def _merge(self, words: pa.Array) -> Ids:
+        """Ids of plain words (after normalisation): in every step each word's first pair of least rank becomes one
+        symbol, until no word has a pair left."""
+        sizes = pc.binary_length(words).to_numpy().astype(np.int64)
+        n, width = len(words), int(sizes.max())
+        data = np.frombuffer(words.buffers()[2], dtype=np.uint8)
+        starts = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset:words.offset + n + 1]
+        text = data[starts[0]:starts[-1]]
         sym = np.full((n, width + 1), -1, dtype=np.int64)
         inside = np.arange(width + 1) < sizes[:, None]
-        sym[inside] = self.inner[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        final = np.fromiter((w[-1] for w in words), dtype=np.uint8, count=n)
-        sym[np.arange(n), sizes - 1] = self.last[final]
+        sym[inside] = self.inner[text]
+        sym[np.arange(n), sizes - 1] = self.last[text[starts[1:] - starts[0] - 1]]
         ranks = self._ranks(sym[:, :-1], sym[:, 1:])
         out, rows, cols = np.full_like(sym, -1), np.arange(n), np.arange(width + 1)
         while len(rows):
@@ -108,61 +129,76 @@ class WordIds:
             fresh = self._ranks(sym[here, before], sym[here, before + 1])
             ranks[here, before] = np.where(at > 0, fresh, ranks[here, before])
         kept = out >= 0
-        flat, ends = out[kept].astype("<u4").tobytes(), np.cumsum(kept.sum(axis=1)) * 4
-        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-
-    def _by_library(self, word: str) -> bytes:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _tail(self, marks: str) -> bytes:
-        ids = self.tails.get(marks)
-        if ids is None:
-            ids = self._by_library(marks)
-            if len(self.tails) < 10_000:
-                self.tails[marks] = ids
-        return ids
-
-    def _learn(self, words: set[str], found: dict[str, bytes]) -> None:
-        """Adds the ids of ``words`` to ``found``."""
-        todo: dict[str, list[tuple[str, str]]] = {}
-        for w in words:
-            core = w.rstrip(string.punctuation) if self.plain else ""
-            if core.isalpha() and (core.isascii() or not ODD_LETTERS.search(core) and unicodedata.is_normalized("NFC", core)):
-                todo.setdefault(core.lower(), []).append((w, w[len(core):]))
-            else:
-                found[w] = self._by_library(w)
-        coded = sorted(((low.encode(), asked) for low, asked in todo.items()), key=lambda x: len(x[0]))
-        for i in range(0, len(coded), 20_000):
-            part = coded[i:i + 20_000]
-            short = [b for b, _ in part if len(b) <= self.widest]
-            ids = self._merge(short) if short else []
-            ids += [self._by_library(b.decode()) for b, _ in part[len(short):]]
-            for (_, asked), x in zip(part, ids):
-                for w, marks in asked:
-                    found[w] = x + self._tail(marks) if marks else x
-
-    def _known(self, words: list[str]) -> list[bytes]:
-        ids = list(map(self.seen.get, words))
-        fresh: dict[str, bytes] = {"": b""}
-        self._learn(set(compress(words, map(not_, ids))) - {""}, fresh)
-        if len(self.seen) < self.remembered:
-            self.seen.update(fresh)
-        return list(map(fresh.get, words, ids))
+        return Ids(out[kept], kept.sum(axis=1))
+
+    def _by_library(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _merged(self, cores: pa.Array) -> Ids:
+        """Ids of distinct plain words."""
+        size = pc.binary_length(cores).to_numpy()
+        order = np.argsort(size, kind="stable")
+        few = int(np.searchsorted(size[order], self.widest, side="right"))
+        out = Ids.of(self._by_library(cores.take(pa.array(order[few:])).to_pylist()))
+        for i in range(few // 20_000 * 20_000, -1, -20_000):
+            if part := order[i:min(i + 20_000, few)].tolist():
+                out = self._merge(cores.take(pa.array(part))) + out
+        return out.take(np.argsort(order, kind="stable"))
+
+    def _learn(self, words: pa.Array) -> Ids:
+        """Ids of distinct words."""
+        if not len(words):
+            return Ids.of([])
+        parts = pc.extract_regex(words, pattern=PLAIN) if self.plain else None
+        plain = parts.is_valid().to_numpy(zero_copy_only=False) if self.plain else np.zeros(len(words), dtype=bool)
+        other = Ids.of(self._by_library(words.filter(pa.array(~plain)).to_pylist()))
+        place = np.empty(len(words), dtype=np.int64)
+        place[~plain] = np.arange(len(other.sizes))
+        if not plain.any():
+            return other
+        parts = parts.filter(pa.array(plain))
+        core = pc.utf8_lower(pc.struct_field(parts, "core")).dictionary_encode()
+        tail = pc.struct_field(parts, "tail").dictionary_encode()
+        marks = tail.dictionary.to_pylist()
+        fresh = [m for m in marks if m not in self.tails]
+        known = self.tails | dict(zip(fresh, self._by_library(fresh)))
+        if len(self.tails) < 10_000:
+            self.tails = known
+        cores, tails = self._merged(core.dictionary), Ids.of([known[m] for m in marks])
+        # the pieces of every word side by side: its letters, then its marks
+        n = len(core)
+        which = np.empty(2 * n, dtype=np.int64)
+        which[0::2] = core.indices.to_numpy()
+        which[1::2] = tail.indices.to_numpy().astype(np.int64) + len(cores.sizes)
+        pieces = (cores + tails).take(which)
+        place[plain] = np.arange(n) + len(other.sizes)
+        return (other + Ids(pieces.flat, pieces.sizes.reshape(n, 2).sum(axis=1))).take(place)
+
+    def _known(self, words: pa.Array) -> Ids:
+        """Ids of distinct words, remembered ones or new ones."""
+        at = pc.index_in(words, value_set=self.words)
+        fresh = words.filter(at.is_null())
+        learnt = self._learn(fresh)
+        place = at.to_numpy(zero_copy_only=False)
+        missing = at.is_null().to_numpy(zero_copy_only=False)
+        place = np.where(missing, 0, place).astype(np.int64)
+        place[missing] = np.arange(len(fresh)) + len(self.ids.sizes)
+        both = self.ids + learnt
+        room = self.remembered - len(self.words)
+        if room > 0 and len(fresh):
+            self.words = pa.concat_arrays([self.words, fresh.slice(0, room)])
+            kept = self.ids.sizes.size + min(room, len(fresh))
+            self.ids = Ids(both.flat[:int(both.sizes[:kept].sum())], both.sizes[:kept])
+        return both.take(place)
 
     def texts(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids start (with the end of the last).
 
-        Arrow splits the texts and numbers their distinct words; only those are looked up one by one."""
+        Arrow splits the texts and numbers their distinct words; only those are looked up."""
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
         codes = words.indices.to_numpy(zero_copy_only=False)
-        ids = self._known(words.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        flat, starts = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes
-        each = sizes[codes]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        out = flat[np.repeat(starts[codes] - (ends - each), each) + np.arange(total)]
-        first = np.concatenate([[0], ends])
+        out = self._known(words.dictionary.cast(pa.string())).take(codes)
+        first = np.concatenate([[0], np.cumsum(out.sizes)])
         words_before = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-        return out, first[words_before.astype(np.int64)]
+        return out.flat, first[words_before.astype(np.int64)]

@@ -154,6 +154,33 @@ def test_word_ids_equal_library():
             assert ids[a:z].tolist() == words.library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_word_ids_of_every_letter_range():
+    import pyarrow as pa
+
+    words = WordIds(open(TOKENIZER, encoding="utf-8").read(), remembered=300)
+    rng = random.Random(9)
+    letters = [chr(c) for c in [*range(33, 0x250), *range(0x250, 0x600, 7), 0x1E9E, 0x2126, 0x212A, 0x212B, 0xFB01, 0x301, 0x308]]
+    texts = letters + [f"a{c}b" for c in letters] + [f"{c}." for c in letters]
+    texts += ["".join(rng.choices(letters[:500], k=rng.randrange(1, 9))) + rng.choice(["", "!", " x", "'s", "..."]) for _ in range(20_000)]
+    texts += ["x" * n for n in (23, 24, 25, 300)] + ["é" * 13, ""]
+    for i in range(0, len(texts), 5000):
+        ids, first = words.texts(pa.array(texts[i:i + 5000], pa.string()))
+        for t, a, z in zip(texts[i:i + 5000], first[:-1], first[1:]):
+            assert ids[a:z].tolist() == words.library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_copies_of_one_row_spread_over_groups(spark):
+    rows = [(1, "same text")] * 300 + [(None, f"text {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"named": F.lit(1), "o": F.lit(2), "copy": F.lit(3)})
+    out = packing.pack_documents(df, TOKENIZER, group_rows=20, length=16).collect()
+    groups = {}
+    for r in out:
+        groups.setdefault(r["doc_id"], set()).add(r["sequence_id"] >> 31)
+    assert len(groups[1]) > 10 and len(groups[None]) > 10
+    words = WordIds(open(TOKENIZER, encoding="utf-8").read())
+    assert sum(r["length"] for r in out) == sum(len(words.library.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+
+
 def check_pieces(rows, docs, words):
     import numpy as np
 
