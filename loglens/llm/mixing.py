@@ -3,16 +3,20 @@
 Every source gets a target (a share of all words by weight, at most ``cap`` times its own words; what a capped
 source leaves is shared again by weight).  Complete epochs of a source come first; the remaining words are
 drawn without replacement: each document has the exponential key ``-ln(u) / w`` with ``w`` its quality weight
-and ``u`` fixed by its id, keys are sorted within the source and documents are taken while the prefix sum of
-their sizes stays nearest the budget.
-
-Nothing is sorted whole.  Keys fall into buckets that grow in number with the table; sums per (source, bucket)
-give the one bucket of each source in which the budget ends, and only that bucket is sorted.  The outcome is
-one threshold per source, so documents are marked by a join with a table of one row per source.
-
-Defined results: null text has size 0; null source is a source of its own, sorted last; a null id draws the
-same key as every other null id; repeated rows get equal keys and are taken alike; sources without words get
-target 0; empty tables give empty results; further columns are ignored by ``mix`` and kept by ``mixed_rows``.
+and ``u`` fixed by its id and text, keys are sorted within the source and documents are taken while the prefix sum of
+their sizes stays nearest the budget.  The weight is an expression of the caller's, a classifier's score for instance;
+by default a plain measure of the text.
+
+Nothing is sorted whole.  Keys fall into buckets; sums per (source, bucket) give the one bucket of each source in
+which the budget ends, which is split into finer buckets until it is small, whatever the weights are.  Only that last
+bucket is sorted, rows repeated in full counting as one.  The outcome is one threshold per source, and how many of the
+rows that lie on it are taken, so documents are marked by a join with a table of one row per source.
+
+Defined results: null text has size 0; null source is a source of its own, sorted last; rows with null or shared ids
+draw by their texts; rows repeated in full get equal keys, and where the budget ends among them as many are taken as
+it has room for (any of them: they are numbered in a written table); null weights count as the least weight; sources
+without words get target 0; empty tables give empty results; further columns are ignored by ``mix`` and kept by
+``mixed_rows``.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ from loglens.operators.sizes import broadcast_if_small
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
-#: documents in one key bucket on average, and the least number of buckets
-BUCKET_ROWS, LEAST_BUCKETS = 20_000, 256
+#: binary digits of a key's fraction by which buckets are split, and rows in a bucket that is sorted
+DIGITS, BUCKET_ROWS = (10, 20, 30, 40), 20_000
+LEAST_WEIGHT = 0.25
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -35,17 +40,22 @@ def word_count(text_col: str = "text") -> Column:
 
 
 def text_weight(text_col: str = "text") -> Column:
-    """Quality weight of a text: 0.25 to 1, by its share of lower-case ASCII letters."""
+    """Weight of a text without a classifier: 0.25 to 1, by its share of letters of any script."""
     text = body(text_col)
-    letters = F.length(F.regexp_replace(text, "[^a-z]", ""))
-    return F.lit(0.25) + F.lit(0.75) * (letters / F.greatest(F.length(text), F.lit(1)))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    return F.lit(LEAST_WEIGHT) + F.lit(1 - LEAST_WEIGHT) * (letters / F.greatest(F.length(text), F.lit(1)))
+
+
+def score_weight(score: Column) -> Column:
+    """Weight by a classifier's probability: 0.25 to 1."""
+    return F.lit(LEAST_WEIGHT) + F.lit(1 - LEAST_WEIGHT) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(score.cast("double"), F.lit(0.0))))
 
 
-def exponential_key(id_col: str, weight: Column, seed: str) -> Column:
-    """-ln(u) / weight, u in (0, 1) from 52 bits of md5(id : seed): the same in every run."""
-    named = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":" + seed))
+def exponential_key(id_col: str, text_col: str, weight: Column, seed: str) -> Column:
+    """-ln(u) / weight, u in (0, 1) from 52 bits of md5(id : md5(text) : seed): the same in every run."""
+    named = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(body(text_col)), F.lit(":" + seed))
     bits = F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double")
-    return -F.log((bits + F.lit(0.5)) / F.lit(float(2**52))) / weight
+    return -F.log((bits + F.lit(0.5)) / F.lit(float(2**52))) / F.coalesce(weight, F.lit(LEAST_WEIGHT))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -70,69 +80,94 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 
 def _keyed(docs: DataFrame, id_col, source_col, text_col, weight, seed) -> DataFrame:
-    named = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                        word_count(text_col).alias("size"), exponential_key(id_col, weight, seed).alias("key"))
-    return named
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"),
+                       exponential_key(id_col, text_col, weight, seed).alias("key"))
+
+
+def _same_source(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
 
 
 def thresholds(keyed: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(source, source_size, target, epochs, edge): rows with ``(key, id) <= edge`` are taken once more."""
-    n_buckets = max(LEAST_BUCKETS, -(-keyed.count() // BUCKET_ROWS))
-    bucket = F.least(F.lit(n_buckets - 1), F.floor(F.lit(n_buckets) * (1 - F.exp(-F.col("key"))))).cast("long")
-    keyed = keyed.withColumn("bucket", bucket)
-    sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
+    """(m_source, source_size, target, epochs, whole, edge, copies), one row per source: rows are taken once more where
+    ``whole``, or where (key, id) is less than ``edge``; of the rows that are equal to ``edge``, ``copies`` are."""
+    targets = source_targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     targets = (targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
                .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).checkpoint())
-    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    t = targets.select(F.col("source").alias("t_source"), "rest")
-    ends = (sums.withColumn("end", F.sum("words").over(run)).join(t, F.col("source").eqNullSafe(F.col("t_source")))
-            .filter("end > rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("end") - F.col("words")).alias("start"), "rest")).alias("b"))
-            .select(F.col("source").alias("b_source"), F.col("b.bucket").alias("b_bucket"), F.col("b.start").alias("start"), "b.rest")).checkpoint()
-    inside = keyed.join(broadcast_if_small(ends), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    within = Window.partitionBy("source").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)
-    taken = (inside.withColumn("prefix", F.col("start") + F.sum("size").over(within))
-             .filter(F.col("prefix") - F.col("size") / 2 <= F.col("rest")))
-    last = taken.groupBy("source").agg(F.max(F.struct("key", "id")).alias("inner_edge"))
-    out = targets.join(ends.select("b_source", "b_bucket"), F.col("source").eqNullSafe(F.col("b_source")), "left")
-    last = last.select(F.col("source").alias("l_source"), "inner_edge")
-    out = out.join(last, F.col("source").eqNullSafe(F.col("l_source")), "left")
-    return out.select(F.col("source").alias("m_source"), "source_size", "target", "epochs", F.col("b_bucket").alias("edge_bucket"),
-                      "inner_edge", F.lit(n_buckets).alias("n_buckets")).checkpoint()
-
-
-def _times(key: Column, ident: Column) -> Column:
-    """How often a row is taken: the source's epochs, and once more below its edge."""
-    bucket = F.least(F.col("n_buckets") - 1, F.floor(F.col("n_buckets") * (1 - F.exp(-key))))
-    here = F.struct(key.alias("key"), ident.alias("id"))
-    once_more = (F.when(F.col("edge_bucket").isNull() | (bucket < F.col("edge_bucket")), 1)
-                 .when((bucket == F.col("edge_bucket")) & (here <= F.col("inner_edge")), 1).otherwise(0))
-    return F.col("epochs") + once_more
+    rows, ends = keyed, targets.select(F.col("source").alias("e_source"), "rest", F.lit(0).cast("long").alias("start"))
+    for digits in DIGITS:
+        # (source, bucket) sums of the rows that are still in question; the bucket in which the budget ends
+        bucket = F.floor(F.col("key") * F.lit(float(1 << digits))).cast("long")
+        rows = rows.withColumn("bucket", bucket)
+        sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+        run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        sums = sums.join(broadcast_if_small(ends), _same_source("source", "e_source")).withColumn("end", F.col("start") + F.sum("words").over(run))
+        found = sums.filter("end > rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("end") - F.col("words")).alias("start"), "rest", "n")).alias("b"))
+        found = found.select(F.col("source").alias("e_source"), F.col("b.bucket").alias("e_bucket"), "b.start", "b.rest", "b.n").checkpoint()
+        ends = found.select("e_source", "rest", "start")
+        inside = found.select(F.col("e_source").alias("i_source"), "e_bucket")
+        rows = rows.join(broadcast_if_small(inside), _same_source("source", "i_source") & (F.col("bucket") == F.col("e_bucket"))).select("id", "source", "size", "key")
+        if (found.agg(F.max("n")).first()[0] or 0) <= BUCKET_ROWS:
+            break
+    # rows repeated in full are one group of copies; the groups of the last bucket are sorted
+    groups = rows.groupBy("source", "key", "id").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.max("size").alias("each"))
+    order = F.struct("key", "id")
+    before = Window.partitionBy("source").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.join(broadcast_if_small(ends), _same_source("source", "e_source")).withColumn("begin", F.col("start") + F.coalesce(F.sum("words").over(before), F.lit(0)))
+    # the j-th copy is taken if its middle does not lie beyond the budget
+    room = F.when(F.col("each") > 0, F.floor((F.col("rest") - F.col("begin")) / F.col("each") + F.lit(0.5))).otherwise(F.when(F.col("begin") <= F.col("rest"), F.col("n")).otherwise(0))
+    groups = groups.withColumn("copies", F.least(F.col("n"), F.greatest(F.lit(0), room)).cast("long"))
+    # the first group that is not taken whole; if all are, the last one
+    group = F.struct(order.alias("edge"), "copies")
+    edge = groups.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("copies") < F.col("n"), group)), F.max(group)).alias("e"))
+    edge = edge.select(F.col("source").alias("g_source"), "e.edge", "e.copies")
+    reached = ends.select(F.col("e_source").alias("r_source"), F.lit(True).alias("reached"))
+    out = targets.join(reached, _same_source("source", "r_source"), "left").join(edge, _same_source("source", "g_source"), "left")
+    return out.select(F.col("source").alias("m_source"), "source_size", "target", "epochs", F.col("reached").isNull().alias("whole"), "edge",
+                      F.coalesce("copies", F.lit(0)).alias("copies")).checkpoint()
+
+
+def _marked(rows: DataFrame, marks: DataFrame, key: str, ident: str, source: str) -> DataFrame:
+    """Adds ``times``: a source's epochs, and once more for the rows before its edge and some of those on it."""
+    rows = rows.join(broadcast_if_small(marks), _same_source(source, "m_source"))
+    here = F.struct(F.col(key).alias("key"), F.col(ident).alias("id"))
+    on_edge = F.coalesce(here == F.col("edge"), F.lit(False)) & (F.col("copies") > 0)
+    before = F.coalesce(here < F.col("edge"), F.lit(False))
+    plain = rows.filter(~on_edge).withColumn("times", F.col("epochs") + F.when(F.col("whole") | before, 1).otherwise(0))
+    # the rows on the edges, numbered in each partition of a written table: the first ones of each source
+    edge = rows.filter(on_edge).withColumn("no", F.monotonically_increasing_id()).checkpoint()
+    edge = edge.withColumn("part", F.shiftright("no", 33))
+    counts = edge.groupBy(F.col(source).alias("p_source"), F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("p_n"))
+    w = Window.partitionBy("p_source").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("p_before", F.coalesce(F.sum("p_n").over(w), F.lit(0)))
+    edge = edge.join(broadcast_if_small(counts), _same_source(source, "p_source") & (F.col("part") == F.col("p")))
+    rank = F.row_number().over(Window.partitionBy(source, "part").orderBy("no"))  # the rows of one partition at most
+    edge = edge.withColumn("rank", rank).withColumn("times", F.col("epochs") + F.when(F.col("p_before") + F.col("rank") <= F.col("copies"), 1).otherwise(0))
+    return plain.unionByName(edge.select(*plain.columns))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
         weight: Column | None = None, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "mix") -> DataFrame:
-    """(id_col, source_col, size, source_size, target, times, taken) for every row of ``docs``."""
+    """(id_col, source_col, size, source_size, target, times, taken) for every row of ``docs``.  ``weight`` is a positive
+    expression of its columns."""
     prepare(docs)
     weight = text_weight(text_col) if weight is None else weight
     keyed = _keyed(docs, id_col, source_col, text_col, weight, seed).checkpoint()  # narrow: texts are read once
-    marks = thresholds(keyed, weights, share, cap)
-    out = keyed.join(broadcast_if_small(marks), F.col("source").eqNullSafe(F.col("m_source"))).withColumn("times", _times(F.col("key"), F.col("id")))
+    out = _marked(keyed, thresholds(keyed, weights, share, cap), "key", "id", "source")
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
                       F.col("times").cast("long").alias("times"), (F.col("times") * F.col("size")).cast("long").alias("taken"))
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weight: Column | None = None,
                weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "mix") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, all columns unchanged.  The rows move
     nowhere: they meet a table of one row per source."""
     prepare(docs)
-    weight = text_weight(text_col)
+    weight = text_weight(text_col) if weight is None else weight
     marks = thresholds(_keyed(docs, id_col, source_col, text_col, weight, seed).checkpoint(), weights, share, cap)
     names = docs.columns
     at = {c: f"c{i}" for i, c in enumerate(names)}
-    rows = docs.toDF(*at.values())
-    key = exponential_key(at[id_col], text_weight(at[text_col]), seed)
-    rows = rows.withColumn("key", key).join(broadcast_if_small(marks), F.col(at[source_col]).eqNullSafe(F.col("m_source")))
-    rows = rows.withColumn("times", _times(F.col("key"), F.col(at[id_col])).cast("int")).filter("times > 0")
+    # the key is taken from the columns under their own names, then all get names that clash with nothing
+    rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in at.items()], exponential_key(id_col, text_col, weight, seed).alias("key"))
+    rows = _marked(rows, marks, "key", at[id_col], at[source_col]).withColumn("times", F.col("times").cast("int")).filter("times > 0")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(a).alias(c) for c, a in at.items()])

@@ -112,8 +112,8 @@ FROM pages WINDOW w AS (PARTITION BY coalesce(html, ''))""",
     "op7_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
-           / (0.25::DOUBLE + 0.75::DOUBLE * (length(regexp_replace(coalesce(text, ''), '[^a-z]', '', 'g'))::DOUBLE / greatest(length(coalesce(text, '')), 1))) AS key
+         -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':mix'), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+           / (0.25::DOUBLE + 0.75::DOUBLE * (length(regexp_replace(coalesce(text, ''), '[^\p{L}]', '', 'g'))::DOUBLE / greatest(length(coalesce(text, '')), 1))) AS key
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

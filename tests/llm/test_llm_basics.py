@@ -247,3 +247,39 @@ def test_first_fit_decreasing_by_tournament():
         assert b == next(i for i, f in enumerate(free) if f >= need)
         tree.take(b, need)
         free[b] -= need
+
+
+# ---------------------------------------------------------------- mixing: ids that are not unique
+@pytest.mark.parametrize("bucket_rows", [3, 20_000])
+def test_mix_with_null_shared_and_repeated_ids_is_near_its_targets(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+    rows = [(None if i % 2 else i % 40, f"text {i} " + "w " * (i % 17), "a") for i in range(2000)]  # null and shared ids
+    rows += [(7, "the very same row " * 3, "b")] * 1500 + [(i, "x y z", "b") for i in range(300)]  # one row repeated
+    rows += [(1, None, "c"), (None, "", "c"), (2, "one", None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("id", "key", "size", "edge", "copies", "no", "part", "times")})
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == len(rows)
+    for s in ("a", "b", "c", None):
+        mine = [r for r in mixed if r["source"] == s]
+        largest = max(r["size"] for r in mine)
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= largest / 2 + 1e-6, s
+        assert all(r["taken"] <= 2 * r["size"] for r in mine)
+    times = sorted((str(r["doc_id"]), r["size"], str(r["source"]), r["times"]) for r in mixed)
+    assert times == sorted((str(r["doc_id"]), r["size"], str(r["source"]), r["times"]) for r in mixing.mix(docs).collect())
+    out = mixing.mixed_rows(docs)
+    assert out.columns == docs.columns
+    taken = sum(mixing_words(r["text"]) for r in out.collect())
+    assert taken == sum(r["taken"] for r in mixed)
+
+
+def mixing_words(text):
+    import re
+
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def test_mix_takes_the_callers_weight(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"), (F.col("id") % 2).cast("double").alias("good"))
+    rows = mixing.mix(docs, weight=mixing.score_weight(F.col("good")), share=0.5).collect()
+    share = [sum(r["times"] for r in rows if r["doc_id"] % 2 == k) for k in (0, 1)]
+    assert share[1] > 1.5 * share[0]

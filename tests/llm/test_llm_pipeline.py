@@ -42,8 +42,8 @@ def mixed_by_hand(rows):
         mine = []
         for i, src, t in rows:
             if src == s:
-                u = (int(hashlib.md5(f"{i}:mix".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-                mine.append((-math.log(u) / (0.25 + 0.75 * (len(re.findall("[a-z]", t)) / max(len(t), 1))), i))
+                u = (int(hashlib.md5(f"{i}:{hashlib.md5(t.encode()).hexdigest()}:mix".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                mine.append((-math.log(u) / (0.25 + 0.75 * (sum(c.isalpha() for c in t) / max(len(t), 1))), i))
         epochs, prefix = math.floor(target[s] / per[s]) if per[s] else 0, 0
         for _, i in sorted(mine):
             prefix += size[i]
