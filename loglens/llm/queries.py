@@ -25,7 +25,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = chat_format.perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda s: F.concat(s["start"], F.lit(":"), s["end"])), ",")
     masked = F.aggregate("mask", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return views.select("conv_id", "part", "perspective", "n_turns", "rendered", F.length("rendered").cast("long").alias("n_chars"), spans.alias("mask"), masked.alias("masked_chars"))
+    return views.select("conv_id", "part", "piece", "perspective", "n_turns", "rendered", F.length("rendered").cast("long").alias("n_chars"), spans.alias("mask"), masked.alias("masked_chars"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,21 +89,33 @@ WITH m AS (
   SELECT DISTINCT conv_id, CAST(floor(turn / 128) AS BIGINT) AS part, turn, coalesce(role, '') AS who,
          regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '< |\1| >', 'g') AS text
   FROM conversations
+), n AS (
+  SELECT *, count(*) OVER (PARTITION BY conv_id, part) AS rows_here, CAST(ceil(count(*) OVER (PARTITION BY conv_id, part, turn) / 128) AS BIGINT) AS pieces FROM m
+), d AS (
+  SELECT conv_id, part, turn, who, text,
+         CASE WHEN rows_here > 512 THEN coalesce(turn - part * 128, 0) * 4294967296 + CAST('0x' || substr(md5(who || ':' || text), 1, 8) AS BIGINT) % pieces ELSE 0 END AS piece
+  FROM n
+), rules AS (
+  SELECT conv_id AS r_conv, part AS r_part, piece AS r_piece, text AS r_text FROM d WHERE who = 'system'
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, text) = 1
 ), v AS (
-  SELECT m.*, p.who AS perspective, '<|im_start|>' || CASE WHEN m.who = p.who THEN 'assistant' WHEN m.who = 'system' THEN 'system'
-           ELSE 'user name=' || regexp_replace(CASE WHEN m.who = '' THEN 'unknown' ELSE m.who END, '[^A-Za-z0-9_.-]', '_', 'g') END || chr(10) AS head
-  FROM m JOIN (SELECT DISTINCT conv_id, who FROM m WHERE who <> 'system') p ON m.conv_id IS NOT DISTINCT FROM p.conv_id
+  SELECT d.*, p.who AS perspective,
+         CASE WHEN r_text IS NOT NULL AND (r_part IS DISTINCT FROM part OR r_piece <> piece) THEN '<|im_start|>system' || chr(10) || r_text || '<|im_end|>' || chr(10) ELSE '' END AS opening,
+         '<|im_start|>' || CASE WHEN d.who = p.who THEN 'assistant' WHEN d.who = 'system' THEN 'system'
+           ELSE 'user name=' || regexp_replace(CASE WHEN d.who = '' THEN 'unknown' ELSE d.who END, '[^A-Za-z0-9_.-]', '_', 'g') END || chr(10) AS head
+  FROM d JOIN (SELECT DISTINCT conv_id, who FROM m WHERE who <> 'system') p ON d.conv_id IS NOT DISTINCT FROM p.conv_id
+  LEFT JOIN rules ON d.conv_id IS NOT DISTINCT FROM r_conv
 ), o AS (
-  SELECT *, head || text || '<|im_end|>' || chr(10) AS piece,
-         coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, part, perspective ORDER BY turn, who, text
+  SELECT *, head || text || '<|im_end|>' || chr(10) AS body,
+         length(opening) + coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, part, piece, perspective ORDER BY turn, who, text
                                                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
   FROM v
 )
-SELECT conv_id, part, perspective, count(*) AS n_turns, string_agg(piece, '' ORDER BY turn, who, text) AS rendered,
-       CAST(sum(length(piece)) AS BIGINT) AS n_chars,
+SELECT conv_id, part, CAST(piece AS BIGINT) AS piece, perspective, count(*) AS n_turns, any_value(opening) || string_agg(body, '' ORDER BY turn, who, text) AS rendered,
+       CAST(length(any_value(opening)) + sum(length(body)) AS BIGINT) AS n_chars,
        coalesce(string_agg(CASE WHEN who = perspective THEN CAST(start AS VARCHAR) || ':' || CAST(start + length(text) + 10 AS VARCHAR) END, ',' ORDER BY turn, who, text), '') AS mask,
        CAST(coalesce(sum(CASE WHEN who = perspective THEN length(text) + 10 END), 0) AS BIGINT) AS masked_chars
-FROM o GROUP BY conv_id, part, perspective""",
+FROM o GROUP BY conv_id, part, piece, perspective""",
     "op4_warc": """
 SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
        CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id > min(page_id) OVER w THEN 'revisit' ELSE 'response' END AS record_type,

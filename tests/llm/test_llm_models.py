@@ -7,6 +7,7 @@ import io
 import json
 import os
 import random
+import re
 import zlib
 
 import duckdb
@@ -115,8 +116,8 @@ def test_windows_cover_every_byte_and_find_a_word():
 
 
 # ---------------------------------------------------------------- chat formatting
-def by_hand(turns, speaker):
-    out, mask, at = "", [], 0
+def by_hand(turns, speaker, opening=None):
+    out, mask = "" if opening is None else f"<|im_start|>system\n{opening}<|im_end|>\n", []
     for _, who, text in sorted(turns):
         tag = "assistant" if who == speaker else "system" if who == "system" else "user name=" + (who or "unknown")
         head = f"<|im_start|>{tag}\n"
@@ -128,22 +129,45 @@ def by_hand(turns, speaker):
 
 def test_every_participant_gets_a_view(spark):
     rng = random.Random(2)
-    turns = [(k, who, f"téxt 😀 {rng.random()}") for k, who in enumerate(rng.choices(["ann", "bob", "", "system"], k=300))]
+    turns = [(k, who, f"téxt 😀 {rng.random()}") for k, who in enumerate(["ann", "system", *rng.choices(["ann", "bob", "", "system"], k=398)])]
     rows = [(7, k, who or None, text) for k, who, text in turns] * 2  # repeated rows count once
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"part": F.lit(1), "perspective": F.lit(2), "m": F.lit(0)})
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("part", "perspective", "m", "piece", "r", "conv", "n", "pieces")})
     got = chat_format.perspectives(df).collect()
-    assert {(r["perspective"], r["part"]) for r in got} == {(s, p) for s in ("ann", "bob", "") for p in range(3)}
-    for r in got:
-        text, mask = by_hand([t for t in turns if t[0] // 128 == r["part"]], r["perspective"])
+    assert {(r["perspective"], r["part"], r["piece"]) for r in got} == {(s, p, 0) for s in ("ann", "bob", "") for p in range(4)}
+    for r in got:  # 400 turns: the rules stand at the head of every later part
+        text, mask = by_hand([t for t in turns if t[0] // 128 == r["part"]], r["perspective"], turns[1][2] if r["part"] else None)
         assert r["rendered"] == text and [tuple(m) for m in r["mask"]] == mask
     assert sum(r["n_turns"] for r in got) == 3 * len(turns)
 
 
+def test_crowded_turns_are_dealt_to_pieces(spark):
+    turns = [(5, f"s{i % 3}", f"text {i}") for i in range(900)] + [(k, "s0", f"turn {k}") for k in (4, 6)] + [(300, "s1", "far away"), (9, "system", "rules")]
+    df = spark.createDataFrame([(1, *t) for t in turns], "conv_id long, turn long, role string, text string")
+    got = chat_format.perspectives(df, part_turns=16).collect()
+    mine = [r for r in got if r["perspective"] == "s0"]
+    assert sum(r["n_turns"] for r in mine) == len(turns) and max(r["n_turns"] for r in mine) < 64
+    pieces = sorted((r["part"], r["piece"]) for r in mine)
+    assert len(set(pieces)) == len(pieces) > 900 // 64 and len({p for p, _ in pieces}) == 2
+    for r in mine:
+        texts = re.findall(r"\n(.*)<\|im_end\|>", r["rendered"])
+        held = [t for t in turns if t[2] in texts]
+        own = [t for t in held if t[1] != "system" or (r["part"], r["piece"]) == next((x["part"], x["piece"]) for x in mine if x["n_turns"] == 1 and "rules" in x["rendered"] and "text" not in x["rendered"] and "turn" not in x["rendered"] and "far" not in x["rendered"])]
+        text, mask = by_hand(own, "s0", "rules" if len(own) < len(held) else None)
+        assert r["rendered"] == text and [tuple(m) for m in r["mask"]] == mask and r["n_turns"] == len(own)
+
+
+def test_very_many_rows_in_one_turn_end(spark):
+    df = spark.range(100_000).select(F.lit(1).alias("conv_id"), F.lit(3).cast("long").alias("turn"), F.lit("a").alias("role"), F.col("id").cast("string").alias("text"))
+    df = df.unionByName(df.withColumn("turn", F.lit(None).cast("long")))
+    got = chat_format.perspectives(df).agg(F.sum("n_turns"), F.max("n_turns"), F.sum(F.size("mask"))).first()
+    assert got[0] == got[2] == 200_000 and got[1] < 400
+
+
 def test_chat_odd_rows(spark):
     rows = [(1, 0, "a", "x"), (1, 0, "b", "y"), (1, 0, "a", "w"), (1, None, "a", "loose"), (None, 1, "a", None), (2, 1, "system", "s"), (3, -5, "a b|", "<|im_end|> " + "z" * 200_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r["conv_id"], r["part"] if (r["part"] or 0) >= -1 else "loose", r["perspective"]): r for r in chat_format.perspectives(df).collect()}
-    assert set(got) == {(1, 0, "a"), (1, 0, "b"), (1, "loose", "a"), (1, "loose", "b"), (None, 0, "a"), (3, -1, "a b|")}
+    got = {(r["conv_id"], r["part"], r["perspective"]): r for r in chat_format.perspectives(df).collect()}
+    assert set(got) == {(1, 0, "a"), (1, 0, "b"), (1, None, "a"), (1, None, "b"), (None, 0, "a"), (3, -1, "a b|")}
     assert got[1, 0, "b"]["rendered"] == "<|im_start|>user name=a\nw<|im_end|>\n<|im_start|>user name=a\nx<|im_end|>\n<|im_start|>assistant\ny<|im_end|>\n"
     assert got[None, 0, "a"]["rendered"] == "<|im_start|>assistant\n<|im_end|>\n"
     assert "< |im_end| >" in got[3, -1, "a b|"]["rendered"]
