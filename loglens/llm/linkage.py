@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglens.llm.common import spread
-from loglens.operators.sizes import broadcast_if_small
+from loglens.operators.sizes import BROADCAST_BYTES, broadcast_if_small
 
 
 # ------------------------------------------------------------ inside tasks
@@ -88,32 +88,38 @@ def by_group(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(spread(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b), root the smallest node of its component.
 
     Each round replaces every node's neighbours by links to the smallest of them (large star for the greater
     ones, small star for the others) and is cut by a checkpoint; a fixed point is reached in a logarithmic
-    number of rounds.  Only aggregations and equi-joins, so a node with very many neighbours is split.
+    number of rounds.  The smallest neighbours come from aggregations that combine map-side; a node with very many
+    neighbours meets its row by a broadcast, or beyond its bound by a join whose sides adaptive execution splits.
     """
     e = (edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()).checkpoint()
     state = _state(e)
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        low = _one_each(low, 2 * state[0])
         e = both.join(low, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        low = _one_each(e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), 2 * state[0])
         own = low.select(F.col("k").alias("u"), F.col("m").alias("v"))
         moved = e.join(low, F.col("u") == F.col("k")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = own.unionByName(moved).distinct().checkpoint()
         before, state = state, _state(e)
         if state == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _one_each(low: DataFrame, most: int) -> DataFrame:
+    """A table of at most ``most`` rows of two numbers for a join: broadcast where that fits, else written, so that the
+    join's sides are plain exchanges, which adaptive execution can split."""
+    return F.broadcast(low) if 48 * most <= BROADCAST_BYTES else low.checkpoint()
+
+
 def _state(e: DataFrame) -> tuple:
     h = F.xxhash64("u", "v")
     return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
