@@ -29,8 +29,10 @@ TASK_ROWS = 200_000
 
 
 def large_keys(df: DataFrame, key: str, most: int) -> DataFrame:
-    """(large_key, n) of the keys with more than ``most`` rows: at most rows / most of them, written once.  The count
-    reads the key alone and combines map-side."""
+    """(large_key, n) of the keys with more than ``most`` rows: at most rows / most of them, written once.  A table with
+    no more rows in all has none; else the count per key reads the key alone and combines map-side."""
+    if df.count() <= most:
+        return df.sparkSession.createDataFrame([], df.select(F.col(key).alias("large_key"), F.lit(0).cast("long").alias("n")).schema)
     ensure_checkpoint_dir(df.sparkSession)
     counts = df.groupBy(F.col(key).alias("large_key")).agg(F.count(F.lit(1)).alias("n"))
     return counts.where(F.col("n") > most).checkpoint()

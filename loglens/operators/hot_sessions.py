@@ -32,10 +32,13 @@ from loglens.config import ensure_checkpoint_dir
 from loglens.operators import sessions as S
 
 def hot_session_ids(turns: DataFrame, hot_session_rows: int) -> DataFrame:
-    """Ids of the sessions with more turns.  The count reads only ``session_id``
-    (column pruning) and combines map-side; the few ids (at most total rows /
-    ``hot_session_rows``) are written once, and whether they are broadcast is left
-    to their size in bytes."""
+    """Ids of the sessions with more turns.  A log with no more turns in all has none,
+    which one count without a shuffle tells.  Else the turns are counted per session:
+    that reads only ``session_id`` (column pruning) and combines map-side; the few ids
+    (at most total rows / ``hot_session_rows``) are written once, and whether they are
+    broadcast is left to their size in bytes."""
+    if turns.count() <= hot_session_rows:
+        return turns.sparkSession.createDataFrame([], turns.select("session_id").schema)
     ensure_checkpoint_dir(turns.sparkSession)
     counts = turns.where(F.col("session_id").isNotNull()).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
     return counts.where(F.col("n") > hot_session_rows).select("session_id").checkpoint()

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loglens.operators.sizes import BROADCAST_BYTES, broadcast_if_small, bytes_of
+
 MODULE_PATTERN = r"([^/]+)\.py$"
 
 
@@ -97,18 +99,23 @@ def module_collisions(files: DataFrame, path_col: str = "path") -> DataFrame:
 def import_edges(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """Distinct (src, dst) module pairs; dst must be a module of the tree.
 
-    The sources are read and parsed once for the imports; the list of modules
-    comes from the paths alone.  A module's file is the one with the greatest
-    path, so a path is kept when it equals the greatest of its module.
+    The list of modules comes from the paths alone.  A module's file is the one with the greatest path: the other
+    files of its name, few as clashes are, are left out before anything is parsed.  Imports meet the list of modules
+    by a broadcast after a check of its size (beyond that by a shuffle of distinct pairs), and only pairs that stay are
+    made distinct.
     """
     py = python_files(files, path_col)
-    nodes = py.groupBy("module").agg(F.max(path_col).alias("winner"))
-    named = F.regexp_extract(F.col(path_col), MODULE_PATTERN, 1)
-    imps = extract_imports(py, path_col, content_col).where(F.col("import").isNotNull()).withColumn("src", named)
-    pairs = imps.groupBy("src", path_col, "import").agg(F.lit(1).alias("one"))
-    known = nodes.select(F.col("module").alias("src"), F.col("winner").alias(path_col))
-    own = pairs.join(known, ["src", path_col], "left_semi").select("src", F.col("import").alias("dst"))
-    return own.join(nodes.select(F.col("module").alias("dst")), "dst", "left_semi").select("src", "dst")
+    nodes = py.groupBy("module").agg(F.max(path_col).alias("winner"), F.count(F.lit(1)).alias("n"))
+    clashes = nodes.where("n > 1").select(F.col("module").alias("clash"), "winner")
+    losers = py.select(path_col, "module").join(broadcast_if_small(clashes), F.col("module") == F.col("clash"))
+    losers = losers.where(F.col(path_col) != F.col("winner")).select(F.col(path_col).alias("loser"))
+    py = py.join(broadcast_if_small(losers), F.col(path_col) == F.col("loser"), "left_anti")
+    imports = extract_imports(py, path_col, content_col).where(F.col("import").isNotNull())
+    pairs = imports.select(F.regexp_extract(F.col(path_col), MODULE_PATTERN, 1).alias("src"), F.col("import").alias("dst"))
+    modules = nodes.select(F.col("module").alias("dst"))
+    if bytes_of(modules) <= BROADCAST_BYTES:
+        return pairs.join(F.broadcast(modules), "dst", "left_semi").select("src", "dst").distinct()
+    return pairs.distinct().join(modules, "dst", "left_semi").select("src", "dst")
 
 
 def write_graph(files: DataFrame, out_dir: str, mode: str = "overwrite") -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loglens import defaults
 from loglens.functions.text import explode_positions
-from loglens.operators import chunking, completion, email, html_text, imports, lexical, replay, rounds, routing, scoring, sessions, threads
+from loglens.operators import chunking, completion, email, encoders, html_text, imports, lexical, long_documents, pruned_topk, replay, rounds, routing, scoring, sessions, threads
 from loglens.plans import classify
 from loglens.plans import fixtures as fx
 from loglens.sources import documents, taxonomy
@@ -117,6 +117,24 @@ def cosine_topk(spark, sf_dir):
     return top.withColumn("cos", scoring.round4(F.col("cos")))
 
 
+@query
+def cosine_topk_pruned(spark, sf_dir):
+    """The same top 3 over ordered blocks of prototypes, most of which need not be read."""
+    top = pruned_topk.cosine_topk(fx.session_vecs(spark, sf_dir), fx.proto_vecs(spark, sf_dir), k=3, block_rows=64, pivots=16)
+    return top.withColumn("cos", scoring.round4(F.col("cos")))
+
+
+@query
+def encoded_scores(spark, sf_dir):
+    """Text to vector to score: user turns encoded by JVM feature hashing, passages by the same encoder as a Python
+    callable, and the best cosine of every turn."""
+    conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").where(F.col("role") == "user")
+    turns = conv.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("turn_id"), encoders.hashed_vector(F.col("text")).alias("vec"))
+    passages = encoders.encode_column(table(spark, sf_dir, "benchmark", "item_id", "text"), "text", "vec", encoders.signed_hashing_encoder())
+    best = scoring.cosine_topk(turns, passages, k=1, id_col="turn_id", proto_id_col="item_id")
+    return best.select("turn_id", scoring.round4(F.col("cos")).alias("cos"))
+
+
 @query
 def hybrid_scores(spark, sf_dir):
     best, cats = _scored(spark, sf_dir)
@@ -170,6 +188,19 @@ def taxonomy_flatten(spark, sf_dir):
     return _prototypes(spark, sf_dir)
 
 
+@query
+def taxonomy_json(spark, sf_dir):
+    """The taxonomy as one JSON document, read back through the JSON schema and flattened."""
+    cats = fx.benchmark_categories(spark, sf_dir)
+    item = F.struct("ord", F.struct("code", "name", "definition", "keywords", "phrases").alias("c"))
+    def listed(axis):  # one element per category
+        mine = F.array_sort(F.collect_list(F.when(F.col("category_type") == axis, item)))
+        return F.transform(mine, lambda x: x["c"])
+
+    doc = cats.agg(F.to_json(F.struct(listed("domain").alias("domains"), listed("intent").alias("intents"))).alias("json"))
+    return taxonomy.flatten_taxonomy(taxonomy.parse_taxonomy(doc))
+
+
 @query
 def governance_matrix(spark, sf_dir):
     e = fx.order_flag_entries(spark, sf_dir)
@@ -277,6 +308,12 @@ def chunk_documents(spark, sf_dir):
     return c.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk")
 
 
+@query
+def chunk_documents_split(spark, sf_dir):
+    """The same chunks without any document as one value: pieces of two pages are searched, cut and packed apart."""
+    return long_documents.chunk_pages(fx.doc_pages(spark, sf_dir), piece_pages=2)
+
+
 # ------------------------------------------------------- summariser, chat
 
 
@@ -552,3 +589,19 @@ def stream_thread_findings(spark, sf_dir):
     for n in threads.LIST_NAMES:
         cols += [F.array_join(n, "|").alias(n), F.size(n).cast("bigint").alias(f"n_{n}")]
     return found.select("thread_id", *cols, "summary")
+
+
+@query
+def stream_thread_late(spark, sf_dir):
+    """The late and the rejected mails of the stream: every fifth mail arrives after the others, in a second run of the
+    same stream, which goes on from its checkpoint."""
+    src, out, name = _stream_dirs(spark, "stream_thread_late")
+    outs, files = fx.thread_outputs(spark, sf_dir), spark.sparkContext.defaultParallelism
+    for after in (False, True):
+        part = outs.where(((F.col("thread_id") + F.col("email_no")) % 5 == 0) == F.lit(after))
+        part.repartition(files, "thread_id").write.mode("append").parquet(src)
+        q = thread_state.start_thread_stream(spark, src, out, max_files_per_trigger=10_000, name=name)
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise q.exception()
+    return spark.read.parquet(out).where("kind IN ('late', 'rejected')").select("thread_id", "email_no", "kind")

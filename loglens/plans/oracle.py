@@ -788,6 +788,29 @@ FROM rlog""",
 SELECT session_id, seq, username, query_timestamp, prompt, {al_reason} AS watchlist_reason
 FROM norm2 WHERE {al_hit}"""
     out["stream_thread_findings"] = out["thread_findings"]
+    out["chunk_documents_split"] = out["chunk_documents"]
+    out["cosine_topk_pruned"] = out["cosine_topk"]
+    out["taxonomy_json"] = out["taxonomy_flatten"]
+    out["encoded_scores"] = f"""
+WITH t AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS turn_id, text FROM conversations WHERE role = 'user'),
+tok AS (
+  SELECT 't' || turn_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), {TOKEN_RE})) AS w FROM t
+  UNION ALL SELECT 'b' || CAST(item_id AS VARCHAR), unnest(regexp_extract_all(lower(coalesce(text, '')), {TOKEN_RE})) FROM benchmark
+),
+num AS (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS n FROM tok),
+vec AS (SELECT id, n % 64 AS d, sum(CASE WHEN (n // 64) % 2 = 0 THEN 1 ELSE -1 END) AS x FROM num GROUP BY id, n % 64),
+norm AS (SELECT id, sqrt(CAST(sum(x * x) AS DOUBLE)) AS s FROM vec GROUP BY id),
+dots AS (SELECT a.id AS ta, b.id AS tb, CAST(sum(a.x * b.x) AS DOUBLE) AS dot FROM vec a JOIN vec b ON a.d = b.d WHERE a.id LIKE 't%' AND b.id LIKE 'b%' GROUP BY a.id, b.id),
+grid AS (
+  SELECT t.turn_id, CASE WHEN x.s > 0 AND y.s > 0 THEN coalesce(dot, 0) / (x.s * y.s) ELSE 0 END AS cos
+  FROM t CROSS JOIN benchmark k LEFT JOIN norm x ON x.id = 't' || t.turn_id LEFT JOIN norm y ON y.id = 'b' || CAST(k.item_id AS VARCHAR)
+  LEFT JOIN dots ON ta = 't' || t.turn_id AND tb = 'b' || CAST(k.item_id AS VARCHAR)
+)
+SELECT turn_id, {R4('max(cos)')} AS cos FROM grid GROUP BY turn_id"""
+    out["stream_thread_late"] = _with(MAILS, """
+fed AS (SELECT o_custkey AS thread_id, email_no, o_orderkey % 17 = 0 OR o_orderkey % 19 = 0 AS bad, (o_custkey + email_no) % 5 = 0 AS after FROM mails),
+told AS (SELECT *, after AND email_no < max(CASE WHEN NOT after THEN email_no END) OVER (PARTITION BY thread_id) AS late FROM fed)""") + """
+SELECT thread_id, email_no, CASE WHEN late THEN 'late' ELSE 'rejected' END AS kind FROM told WHERE coalesce(late, FALSE) OR bad"""
     out["thread_findings_split"] = out["thread_findings"]
     out["thread_fold_rounds"] = out["thread_fold"]
     out["chat_assemble_split"] = out["chat_assemble"]
