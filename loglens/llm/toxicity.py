@@ -1,6 +1,7 @@
 """Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text.
 
-The ordinary dictionary holds stretches of ordinary documents.  The toxic one holds the same and the words of toxic documents that hold telling grams: byte sequences used in many different contexts there
+The ordinary dictionary holds stretches of ordinary documents, each from a place fixed by a hash.  The toxic one holds
+the same and all words of toxic documents that hold telling grams: byte sequences used in many different contexts there
 and hardly ever in ordinary text (contexts, not documents, are counted, so copied passages carry no weight).  A window that the toxic dictionary compresses
 shorter than the ordinary one is evidence; since the dictionaries share their ordinary part, ordinary text comes
 out alike in both.
@@ -20,6 +21,7 @@ scored row by row; an empty table gives an empty result; further columns are ign
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +41,8 @@ CUTOFF = 0.3
 WINDOW, STEP, GAIN = 96, 72, 1
 #: share of the largest possible gain from which a word counts as found whole
 WHOLE = 0.75
-ORDINARY_BYTES, TOXIC_BYTES = 16_384, 16_384
+#: bytes of the ordinary dictionary, and of one document's stretch in it
+ORDINARY_BYTES, STRETCH = 16_384, 256
 #: telling grams (bytes of words with their bounds) have at least so many contexts in toxic text, and so many times
 #: the rate of ordinary text (the calibration chooses)
 GRAM, CONTEXTS, TIMES = 5, 8, (10.0, 30.0)
@@ -61,7 +64,7 @@ class Model:
 def compressor(content: bytes):
     import zstandard as zs
 
-    how = zs.ZstdCompressionParameters(window_log=17, chain_log=15, hash_log=15, search_log=4, min_match=4, target_length=32, strategy=zs.STRATEGY_GREEDY,
+    how = zs.ZstdCompressionParameters(window_log=max(17, (len(content) + WINDOW).bit_length() + 1), chain_log=15, hash_log=15, search_log=4, min_match=4, target_length=32, strategy=zs.STRATEGY_GREEDY,
                                        write_content_size=0, write_dict_id=0, write_checksum=0, format=zs.FORMAT_ZSTD1_MAGICLESS)
     words = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
     words.precompute_compress(compression_params=how)
@@ -130,6 +133,13 @@ def _contexts(texts: list[str]) -> tuple[dict[bytes, int], int]:
     return {w: n for w, n in zip(number, least.tolist()) if w}, max(len(at), 1)
 
 
+def _stretch(text: str) -> bytes:
+    """STRETCH bytes of a text from a place fixed by its content."""
+    data = text.lower().encode()
+    at = zlib.crc32(data) % max(1, len(data) - STRETCH + 1)
+    return data[at:at + STRETCH]
+
+
 def _grams(word: bytes) -> set[bytes]:
     bounded = b" " + word + b" "
     return {bounded[i:i + GRAM] for i in range(max(1, len(bounded) - GRAM + 1))}
@@ -156,7 +166,7 @@ def _counts(rows: list[tuple[str, int]]) -> Counts:
         for w, n in words.items():
             for g in _grams(w):
                 found[g] += n
-    ordinary = b"\n".join(t.lower().encode()[:256] for t in plain[:ORDINARY_BYTES // 256])
+    ordinary = b"\n".join(map(_stretch, plain[:ORDINARY_BYTES // STRETCH]))
     good = {w: good[w] for w in bad if w in good}  # no other word is asked for
     return Counts(bad, good, *grams, bad_total / good_total, ordinary[:ORDINARY_BYTES])
 
@@ -164,8 +174,8 @@ def _counts(rows: list[tuple[str, int]]) -> Counts:
 def _dictionaries(c: Counts, times: float) -> tuple[bytes, bytes]:
     telling = {g for g, n in c.bad_grams.items() if n >= CONTEXTS and n > times * c.rate * (c.good_grams.get(g, 0) + 0.5)}
     words = [w for w, n in c.bad.items() if len(w) < WINDOW and n > times * c.rate * c.good.get(w, 0) and not telling.isdisjoint(_grams(w))]
-    words.sort(key=lambda w: (c.bad[w], w))  # the most frequent ones last: they stay if there are too many
-    return c.ordinary, (b" " + b" ".join(words) + b" ")[-TOXIC_BYTES:] if words else b""
+    words.sort(key=lambda w: (c.bad[w], w))  # the most frequent ones last, nearest to what is compressed
+    return c.ordinary, b" " + b" ".join(words) + b" " if words else b""
 
 
 def fit(rows: list[tuple[str, int]], sizes: dict[int, int]) -> Model:

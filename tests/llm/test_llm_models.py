@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 import json
+import math
 import os
 import random
 import re
@@ -115,6 +116,89 @@ def test_windows_cover_every_byte_and_find_a_word():
         assert found[3] == 1 and found[4] > clean[4]
 
 
+# ---------------------------------------------------------------- scores by plain loops
+def plain_quality(model, data):
+    """The network read straight from its description: every byte, place, filter and chunk in loops."""
+    size, hop, width, stride = quality.CHUNK, quality.HOP, quality.WIDTH, quality.STRIDE
+    data = data + b" " * (size - len(data))
+    starts, at = [], 0
+    while at + size < len(data):
+        starts.append(at)
+        at += hop
+    starts.append(len(data) - size)
+    pooled = []
+    for s in sorted(set(starts)):
+        tops = [-math.inf] * quality.FILTERS
+        for place in range(s, s + size - width + 1, stride):
+            for f in range(quality.FILTERS):
+                z = sum(float(model.vectors[data[place + j]] @ model.filters[j * quality.VECTOR:(j + 1) * quality.VECTOR, f]) for j in range(width))
+                tops[f] = max(tops[f], z)
+        pooled.append([max(0.0, t + float(b)) for t, b in zip(tops, model.bias)])
+    mean = [sum(c[f] for c in pooled) / len(pooled) for f in range(quality.FILTERS)]
+    high = [max(c[f] for c in pooled) for f in range(quality.FILTERS)]
+    z = sum(a * float(w) for a, w in zip(mean, model.mean_weight)) + sum(a * float(w) for a, w in zip(high, model.max_weight)) + model.constant
+    return 1 / (1 + math.exp(-z))
+
+
+def test_quality_scores_by_plain_loops(spark):
+    rng = np.random.default_rng(4)
+    f32 = lambda *shape: rng.standard_normal(shape).astype(np.float32) * 0.4
+    model = quality.Model(f32(256, quality.VECTOR), f32(quality.WIDTH * quality.VECTOR, quality.FILTERS), f32(quality.FILTERS), f32(quality.FILTERS), f32(quality.FILTERS), 0.2)
+    texts = [None, "", "short", "x" * 256, "é" * 130, "word and word " * 40, "\x00 odd \U0001f600" * 60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.score(docs, model).collect():
+        want = plain_quality(model, (texts[r["doc_id"]] or "").encode())
+        assert r["score"] == pytest.approx(want, abs=1e-5) and r["predicted"] == (want >= 0.5)
+
+
+def plain_toxicity(model, text):
+    """The features by plain loops, each compression by a compressor of its own."""
+    import zstandard as zs
+
+    end = b"\x00" + toxicity.PAD * 2
+
+    def size(content, data):
+        how = zs.ZstdCompressionParameters(window_log=max(17, (len(content) + toxicity.WINDOW).bit_length() + 1), chain_log=15, hash_log=15, search_log=4, min_match=4, target_length=32,
+                                           strategy=zs.STRATEGY_GREEDY, write_content_size=0, write_dict_id=0, write_checksum=0, format=zs.FORMAT_ZSTD1_MAGICLESS)
+        return len(zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=how).compress(data))
+
+    data = b" " + (text or "").lower().encode() + b" "
+    windows, at = [], 0
+    while True:
+        windows.append(data[at:at + toxicity.WINDOW])
+        at += toxicity.STEP
+        if at >= len(data) - (toxicity.WINDOW - toxicity.STEP):
+            break
+    gains, words = [], set()
+    for w in windows:
+        gain = size(model.ordinary + end, w + toxicity.PAD) - size(model.toxic + model.ordinary + end, w + toxicity.PAD)
+        if gain >= toxicity.GAIN:
+            gains.append(gain)
+            words |= set(re.findall(rb"[a-z\x80-\xff]+", w))
+    least = min((size(model.ordinary + model.toxic + end, b" " + w + b" " + toxicity.PAD) for w in model.toxic.split()), default=0)
+    found, whole = [0, 0, 0], 0
+    for w in words:
+        if len(w) < toxicity.WINDOW:
+            alone = size(model.ordinary + end, b" " + w + b" " + toxicity.PAD)
+            gain = alone - size(model.ordinary + model.toxic + end, b" " + w + b" " + toxicity.PAD)
+            found.append(max(0, gain))
+            whole += gain >= max(2, toxicity.WHOLE * (alone - least))
+    found.sort(reverse=True)
+    x = [max(gains, default=0), found[0], sum(found[:3]), whole > 0, math.log1p(whole), math.log1p(len(gains))]
+    return 1 / (1 + math.exp(-sum(float(a) * b for a, b in zip(x, model.weights)) - model.weights[-1]))
+
+
+def test_toxicity_scores_by_plain_loops(spark):
+    rng = random.Random(8)
+    noise = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    rows = [(" ".join(noise() for _ in range(60)) + (f" scumbag {noise()} vileword" if i % 2 else ""), i % 2) for i in range(240)]
+    model = toxicity.fit(rows, {0: 120, 1: 120})
+    texts = [None, "", "scumbag", rows[0][0], rows[1][0] * 4, "VileWord, é " * 30, "x" * 500] + [t for t, _ in rows[40:52]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(docs, model).collect():
+        assert r["score"] == pytest.approx(plain_toxicity(model, texts[r["doc_id"]]), abs=1e-9), texts[r["doc_id"]]
+
+
 # ---------------------------------------------------------------- chat formatting
 def by_hand(turns, speaker, opening=None):
     out, mask = "" if opening is None else f"<|im_start|>system\n{opening}<|im_end|>\n", []
