@@ -38,13 +38,12 @@ def _head(who: Column, perspective: Column) -> Column:
 
 
 def _dealt(rows: DataFrame, part_turns: int) -> DataFrame:
-    """Adds (part, piece) to distinct rows of (conv, m)."""
-    part = F.floor(F.col("m.turn") / part_turns).cast("long")
-    rows = rows.withColumn("part", part)
-    counts = rows.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST * part_turns).select(F.col("conv").alias("f_conv"), F.col("part").alias("f_part"))
-    # turns of crowded parts: few, as each part has many rows
-    full = rows.join(counts, F.col("conv").eqNullSafe(F.col("f_conv")) & F.col("part").eqNullSafe(F.col("f_part")), "left_semi")
-    turns = full.groupBy("conv", "part", F.col("m.turn").alias("turn")).agg(F.count(F.lit(1)).alias("n")).select(
+    """Adds (part, piece) to rows of (conv, m)."""
+    rows = rows.withColumn("part", F.floor(F.col("m.turn") / part_turns).cast("long"))
+    each = rows.groupBy("conv", "part", F.col("m.turn").alias("turn")).agg(F.count(F.lit(1)).alias("n"))  # reads no texts
+    crowded = each.groupBy("conv", "part").agg(F.sum("n").alias("all"), F.collect_list(F.struct("turn", "n")).alias("turns")).filter(F.col("all") > MOST * part_turns)
+    # a part has at most part_turns turn numbers; crowded ones are few, as each has many rows
+    turns = crowded.select("conv", "part", F.inline("turns")).select(
         F.col("conv").alias("t_conv"), F.col("part").alias("t_part"), F.col("turn").alias("t_turn"), F.ceil(F.col("n") / F.lit(part_turns)).alias("pieces"),
         F.coalesce(F.col("turn") - F.col("part") * part_turns, F.lit(0)).cast("long").alias("place")).checkpoint()
     same = F.col("conv").eqNullSafe(F.col("t_conv")) & F.col("part").eqNullSafe(F.col("t_part")) & F.col("m.turn").eqNullSafe(F.col("t_turn"))
@@ -61,9 +60,10 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     prepare(turns)
     who, text = F.coalesce(F.col(speaker_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     text = F.regexp_replace(text, r"<\|(im_start|im_end)\|>", "< |$1| >")
-    rows = turns.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), who.alias("who"), text.alias("text")).alias("m")).distinct()
+    rows = turns.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), who.alias("who"), text.alias("text")).alias("m"))
     dealt = _dealt(rows, part_turns)
-    parts = dealt.groupBy("conv", "part", "piece").agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    # equal rows merge before the shuffle
+    parts = dealt.groupBy("conv", "part", "piece").agg(F.array_sort(F.collect_set("m")).alias("ms"))
     order = F.struct(F.col("m.turn").isNull(), "m.turn", "m.text")
     rules = dealt.filter(F.col("m.who") == SYSTEM).groupBy("conv").agg(F.min_by(F.struct("part", "piece", "m.text"), order).alias("r"))
     speakers = rows.select("conv", F.col("m.who").alias("perspective")).filter(F.col("perspective") != SYSTEM).distinct()

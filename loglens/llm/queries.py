@@ -86,13 +86,13 @@ QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_chat_forma
 ORACLE_SQL = {
     "op3_chat_format": r"""
 WITH m AS (
-  SELECT DISTINCT conv_id, CAST(floor(turn / 128) AS BIGINT) AS part, turn, coalesce(role, '') AS who,
+  SELECT conv_id, CAST(floor(turn / 128) AS BIGINT) AS part, turn, coalesce(role, '') AS who,
          regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '< |\1| >', 'g') AS text
   FROM conversations
 ), n AS (
   SELECT *, count(*) OVER (PARTITION BY conv_id, part) AS rows_here, CAST(ceil(count(*) OVER (PARTITION BY conv_id, part, turn) / 128) AS BIGINT) AS pieces FROM m
 ), d AS (
-  SELECT conv_id, part, turn, who, text,
+  SELECT DISTINCT conv_id, part, turn, who, text,
          CASE WHEN rows_here > 512 THEN coalesce(turn - part * 128, 0) * 4294967296 + CAST('0x' || substr(md5(who || ':' || text), 1, 8) AS BIGINT) % pieces ELSE 0 END AS piece
   FROM n
 ), rules AS (
