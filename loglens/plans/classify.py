@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from loglens import defaults
 from loglens.operators import lexical, routing, scoring, sessions
 from loglens.operators.encoders import encode_column
+from loglens.sources import logs as logs_source
 
 
 def classify_sessions(
@@ -60,3 +62,16 @@ def run_job(logs: DataFrame, prototypes: DataFrame, matrix: DataFrame, out_dir:
     """Classify and write the five outputs in one partitioned write."""
     labelled = classify_logs(logs, prototypes, matrix, **kw)
     return routing.write_outputs(labelled, out_dir, datetime.now().strftime("%Y%m%d_%H%M%S"))
+
+
+def run_files(spark: SparkSession, path: str, fmt: str, prototypes: DataFrame, matrix: DataFrame, out_dir: str, rejects_dir: str, **kw) -> tuple[str, DataFrame]:
+    """``run_job`` over CSV or JSON log files: records that do not parse go to ``rejects_dir`` as (file, record, raw).
+    Returns the run's folder and its summary: the counts of the sessions, the turns and the records."""
+    log = logs_source.read_logs_checked(spark, path, fmt)
+    run_ts = datetime.now().strftime("%Y%m%d_%H%M%S")
+    log.rejects.write.mode("overwrite").parquet(f"{rejects_dir.rstrip('/')}/run_ts={run_ts}")
+    labelled = classify_logs(log.rows, prototypes, matrix, **kw)
+    target = routing.write_outputs(labelled, out_dir, run_ts)
+    types = T.StructType([labelled.schema[c] for c in defaults.OUTPUT_COLUMNS])
+    written = routing.read_outputs(spark, out_dir, types, run_ts, defaults.SINK_ALL)  # nothing is scored twice
+    return target, routing.run_summary(written, sessions.normalise_logs(log.rows)).unionByName(log.counts())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loglens.functions.text import explode_positions
 
-from loglens.operators import chunking, completion, email, html_text, imports, replay, threads
+from loglens.operators import chunking, completion, email, html_text, imports, long_documents, replay, rounds, threads
 from loglens.sources import documents
 from loglens.sources.logs import read_eval_log
 from loglens.sources.source_tree import read_source_tree
@@ -53,10 +53,36 @@ def review_threads(
         reports.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/reports")
 
 
+def review_threads_in_rounds(
+    emails: DataFrame,
+    out_path: str,
+    fn: Callable[[str], str] | None = None,
+    completion_factory=None,
+    batch_factory=None,
+    flavour: str = "findings",
+    per_round: int = rounds.PER_ROUND,
+) -> None:
+    """``review_threads`` by the fold in rounds: model calls are batched across threads, and a job that was killed is
+    resumed by starting it again with the same arguments.  ``out_path`` gets ``run`` (the rounds), ``steps`` (what every
+    e-mail added) and, for the findings flavour, ``reports``."""
+    base = out_path.rstrip("/")
+    steps = rounds.fold_in_rounds(emails, f"{base}/run", fn, completion_factory, batch_factory, flavour, per_round=per_round)
+    steps.write.mode("overwrite").parquet(f"{base}/steps")
+    if flavour == "findings":
+        spark = emails.sparkSession
+        reports = rounds.fold_reports(spark, f"{base}/run", spark.read.parquet(f"{base}/steps"), fn, completion_factory)
+        reports.write.mode("overwrite").parquet(f"{base}/reports")
+
+
+def chunk_long_documents(pages: DataFrame, out_path: str, **kw) -> None:
+    """pages (doc_id, page_no, text) -> (doc_id, chunk_idx, chunk), no document being one value."""
+    long_documents.chunk_pages(pages, **kw).write.mode("overwrite").parquet(out_path)
+
+
 def report_threads(outputs: DataFrame, out_path: str, fn=None, completion_factory=None) -> None:
     """Known per-e-mail model outputs (thread_id, email_no, out) -> findings,
     rejects and the final conclusion per thread."""
-    f = threads.thread_findings(outputs)
+    f = threads.joined_findings(threads.thread_finding_pieces(outputs))
     threads.thread_reports(f, fn, completion_factory).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/reports")
     threads.finding_rejects(outputs).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/rejects")
 

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from loglens.plans import classify
+from loglens.plans import classify, jobs
 from loglens.plans import fixtures as fx
 from loglens.sources import taxonomy
 
@@ -119,3 +119,37 @@ def test_workload_jobs(spark, tmp_path):
     csv.write_text("Question,Answer,kb\nwhat is spark,spark is an engine,an engine for data\n")
     assert jobs.replay_eval(spark, str(csv), str(tmp_path / "ev")) == ["answer_relevance", "context_relevance", "groundedness", "coherence"]
     assert spark.read.parquet(str(tmp_path / "ev")).first().answer_relevance == 0.6667  # {is, spark} of {what, is, spark}
+
+
+def test_run_files_with_damaged_records(spark, tmp_path):
+    from loglens.sources import logs as source
+
+    logs, protos, matrix = _inputs(spark)
+    texts = logs.withColumn("session_id", F.col("session_id").cast("string")).withColumn("seq", F.col("seq").cast("long"))
+    source.write_logs(texts, str(tmp_path / "in"), "json")
+    (tmp_path / "in" / "more.json").write_text('{"session_id": "x"\nnonsense\n')
+    kw = {"watchlist": fx.FIXTURE_WATCHLIST, "high": fx.FLAGSHIP_HIGH, "low": fx.FLAGSHIP_LOW}
+    target, summary = classify.run_files(spark, str(tmp_path / "in"), "json", protos, matrix, str(tmp_path / "out"), str(tmp_path / "rejects"), **kw)
+    counts = {r["metric"]: r["n"] for r in summary.collect()}
+    assert counts["records_rejected"] == 2 and counts["records_read"] == logs.count() and counts["unparsed_timestamps"] > 0
+    assert counts["total_sessions"] == logs.select("session_id").distinct().count()
+    assert sorted(r["raw"] for r in spark.read.parquet(str(tmp_path / "rejects")).collect()) == ['nonsense', '{"session_id": "x"']
+    want = {r["session_id"]: r["label_source"] for r in classify.classify_logs(texts, protos, matrix, **kw).collect()}
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(target).where("sink = 'classification_logs'")
+    assert {r["session_id"]: r["label_source"] for r in back.collect()} == want
+
+
+def test_thread_review_in_rounds_and_long_documents(spark, tmp_path):
+    from loglens.operators import rounds
+
+    mails = fx.emails(spark, SF).where("thread_id % 40 = 1")
+    for where in ("a", "b"):
+        if where == "a":
+            jobs.review_threads(mails, str(tmp_path / "a"), fn=rounds.digest_finding)
+        else:
+            jobs.review_threads_in_rounds(mails, str(tmp_path / "b"), fn=rounds.digest_finding, per_round=4)
+    a, b = ({r["thread_id"]: (r["summary"], r["conclusion"]) for r in spark.read.parquet(str(tmp_path / x / "reports")).collect()} for x in ("a", "b"))
+    assert a == b and len(a) > 3
+    pages = fx.doc_pages(spark, SF).where("doc_id < 20")
+    jobs.chunk_long_documents(pages, str(tmp_path / "chunks"), piece_pages=3)
+    assert spark.read.parquet(str(tmp_path / "chunks")).select("doc_id").distinct().count() == 20
