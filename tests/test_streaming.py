@@ -59,3 +59,24 @@ def test_thread_stream_reports_late_mail(spark, tmp_path):
     assert {(r.kind, r.email_no) for r in res.where("kind = 'late'").collect()} == {("late", 2)}
     assert res.where("kind = 'delta'").count() == 2
     assert list(thread_state.gathered(res).first().deadlines) == ["a", "c", "d"]
+
+
+def test_thread_stream_by_buckets(spark, tmp_path):
+    """Few buckets of many threads, the null thread, ids beyond doubles, repeated numbers."""
+    big = 2**60 + 1
+    first = [(t, n, '{"deadlines": ["%s-%d", null]}' % (t, n)) for t in [None, 0, -5, big, *range(1, 60)] for n in (1, 2)]
+    later = [(big, 2, '{"deadlines": ["x"]}'), (big, 3, "no"), (None, 7, '{"deadlines": ["n"]}'), (7, 9, '{"summary_update": "u"}'), (7, 9, '{"deadlines": ["again"]}')]
+    schema = "thread_id long, email_no int, out string"
+    src, name = str(tmp_path / "src"), f"t_buckets_{uuid.uuid4().hex}"
+    for rows in (first, later):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    found = thread_state.thread_findings_stream(stream, buckets=3)
+    q = (found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
+         .trigger(availableNow=True).queryName(name).start())
+    q.awaitTermination(120)
+    res = spark.read.parquet(str(tmp_path / "out"))
+    told = sorted(((r.thread_id, r.email_no, r.kind) for r in res.where("kind <> 'delta'").collect()), key=str)
+    assert told == sorted([(7, 9, "late"), (big, 2, "late"), (big, 3, "rejected")], key=str)
+    lists = {r.thread_id: list(r.deadlines) for r in thread_state.gathered(res).collect()}
+    assert len(lists) == 63 and lists[big] == [f"{big}-1", None, f"{big}-2", None] and lists[None] == ["None-1", None, "None-2", None, "n"]
