@@ -3,7 +3,7 @@
 Candidates are maximal runs of at least ``LEAST`` characters that credentials are written in.  The network reads each
 one whole, with ``CONTEXT`` characters on either side: learned filters over learned character vectors, max-pooled over
 what lies before, inside and after the candidate, and averaged inside.  One logistic head per kind gives the
-probability of that kind.  Labelled findings train it: by default the candidates of a bounded sample of documents,
+probability of that kind.  Labelled findings train it: by default the candidates of all documents,
 labelled with the kinds of the pattern matches they overlap, or a table of findings that the user gives.
 
 Part of the findings is kept back: on it every head is calibrated (Platt), and its threshold is the highest at which
@@ -11,8 +11,9 @@ the recall of the kept-back findings of that kind stays at ``RECALL`` or more; a
 ``PRECISION`` are right there adds nothing.  Candidates that overlap no pattern
 match and reach a threshold are added as further spans of kind ``net_<kind>``; pattern matches always stay.
 
-Fitting reads a pseudo-random share of the documents (``SAMPLE_DOCS`` expected) and takes at most ``PER_CLASS`` findings
-with a kind and twice as many without, cropped to ``CROP`` characters; scanning reads all texts and candidates whole.
+Fitting reads every document and learns from every finding, cropped to ``CROP`` characters.  Findings are dealt to
+shards of about ``SHARD``; each round all shards train from the same weights, and the weights are averaged by the shards'
+sizes.  Calibration and thresholds come from sums and ranks over all kept-back findings (one in ``KEPT_BACK`` by a hash).
 
 Defined results: null and empty texts have no spans; positions count code points, ends are exclusive; null or repeated
 ids and repeated rows are scanned row by row; a head without kept-back findings adds nothing, without any findings the
@@ -44,7 +45,8 @@ KEYWORD = re.compile(r"(?i:passw|secret|token|api_?key)", re.ASCII)
 KINDS = ("assign", "access", "hex")
 
 LEAST, CONTEXT, CROP = 16, 24, 64
-SAMPLE_DOCS, PER_CLASS = 200_000, 3000
+#: findings of one shard
+SHARD = 20_000
 RECALL, PRECISION, KEPT_BACK = 0.99, 0.5, 4
 #: characters with a vector of their own (the last one stands for all others, the one before it for padding)
 CHARS, PAD, OTHER = 130, 128, 129
@@ -173,45 +175,50 @@ def probabilities(model: Model, windows: list[tuple[str, str, str]]) -> np.ndarr
     return labelled.sigmoid(logits(model, windows) * model.scale[:, 0] + model.scale[:, 1])
 
 
-def fit(rows: list[tuple[tuple[str, str, str], int]], seed: int = 13, epochs: int = EPOCHS) -> Model:
-    """``rows``: windows with the bits of their kinds.  Every KEPT_BACK-th one calibrates and sets the thresholds."""
+@dataclass
+class Training:
+    """Weights, their running moments, and the steps made."""
+
+    params: list[np.ndarray]
+    first: list[np.ndarray]
+    second: list[np.ndarray]
+    step: float = 0.0
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([*(x.ravel().astype(np.float64) for x in (*self.params, *self.first, *self.second)), [self.step]])
+
+    def unpacked(self, values: np.ndarray) -> Training:
+        sizes = [p.size for p in self.params] * 3
+        parts = np.split(values[:-1].astype(np.float32), np.cumsum(sizes)[:-1])
+        like = [x.reshape(p.shape) for x, p in zip(parts, self.params * 3)]
+        n = len(self.params)
+        return Training(like[:n], like[n:2 * n], like[2 * n:], float(values[-1]))
+
+
+def started(seed: int = 13) -> Training:
     rng = np.random.default_rng(seed)
     small = lambda *shape: rng.standard_normal(shape).astype(np.float32)
-    model = Model(small(CHARS, VECTOR) * 0.5, small(WIDTH * VECTOR, FILTERS) / np.sqrt(WIDTH * VECTOR).astype(np.float32), np.zeros(FILTERS, np.float32),
-                  np.vstack([small(FEATURES, len(KINDS)) * 0.1, np.zeros((1, len(KINDS)), np.float32)]))
-    order = rng.permutation(len(rows))
-    kept, used = order[::KEPT_BACK], np.setdiff1d(order, order[::KEPT_BACK])
+    params = [small(CHARS, VECTOR) * np.float32(0.5), small(WIDTH * VECTOR, FILTERS) / np.sqrt(WIDTH * VECTOR).astype(np.float32), np.zeros(FILTERS, np.float32),
+              np.vstack([small(FEATURES, len(KINDS)) * np.float32(0.1), np.zeros((1, len(KINDS)), np.float32)])]
+    return Training(params, [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params])
+
+
+def train(state: Training, rows: list[tuple[tuple[str, str, str], int]], epochs: range, of: int, seed: int = 13) -> Training:
+    """Some of ``of`` passes over the rows (windows with the bits of their kinds)."""
+    rng = np.random.default_rng(seed)
     y = np.array([[bits >> k & 1 for k in range(len(KINDS))] for _, bits in rows], dtype=np.float32).reshape(len(rows), len(KINDS))
-    if not len(used) or not y[used].any():
-        return model
-    codes, middle = zip(*(_sequence(rows[i][0], CROP) for i in used))
-    params = [model.vectors, model.filters, model.bias, model.heads]
-    first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    epochs = max(epochs, -(-STEPS * BATCH // len(used)))
-    for epoch in range(epochs):
-        rate, shuffled = RATE * (1 - epoch / epochs), rng.permutation(len(used))
-        for i in range(0, len(used), BATCH):
+    codes, middle = zip(*(_sequence(w, CROP) for w, _ in rows))
+    state = state.unpacked(state.packed())
+    for epoch in epochs:
+        rate, shuffled = RATE * (1 - epoch / of), rng.permutation(len(rows))
+        for i in range(0, len(rows), BATCH):
             at = shuffled[i:i + BATCH]
-            step += 1
-            for p, g, a, b in zip(params, gradients(params, [codes[j] for j in at], [middle[j] for j in at], y[used[at]]), first, second):
+            state.step += 1
+            for p, g, a, b in zip(state.params, gradients(state.params, [codes[j] for j in at], [middle[j] for j in at], y[at]), state.first, state.second):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
-                p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
-    if not len(kept):
-        return model
-    z = logits(model, [rows[i][0] for i in kept])
-    for k in range(len(KINDS)):
-        right = y[kept, k] == 1
-        if not right.any():
-            continue
-        if not right.all():
-            slope, constant = labelled.fit_logistic(z[:, [k]], y[kept, k].astype(np.float64))
-            model.scale[k] = [max(slope, 1e-3), constant]
-        p = labelled.sigmoid(z[:, k] * model.scale[k, 0] + model.scale[k, 1])
-        threshold = np.sort(p[right])[int(np.floor(right.sum() * (1 - RECALL)))]
-        if right[p >= threshold].mean() >= PRECISION:
-            model.thresholds[k] = threshold
-    return model
+                p -= rate * (a / (1 - 0.9**state.step)) / (np.sqrt(b / (1 - 0.99**state.step)) + 1e-6)
+    return state
 
 
 def gradients(params: list[np.ndarray], codes: list[np.ndarray], middle: list[int], y: np.ndarray) -> list[np.ndarray]:
@@ -272,23 +279,93 @@ def _labelled_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int32())], names=["before", "inside", "after", "kinds"])
 
 
-def learn(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
-          sample_docs: int = SAMPLE_DOCS, per_class: int = PER_CLASS) -> Model:
+def _windows(b: pa.RecordBatch) -> list[tuple[str, str, str]]:
+    return list(zip(*(b[c].to_pylist() for c in ("before", "inside", "after"))))
+
+
+def _trained(used: DataFrame) -> Training:
+    """The network after all passes over all findings."""
+    n, sc, state = used.count(), used.sparkSession.sparkContext, started()
+    shards = max(1, -(-n // SHARD))
+    dealt = used.repartition(shards).checkpoint()
+    epochs = max(EPOCHS, -(-STEPS * BATCH // (n // shards)))
+    for some in [range(epochs)] if shards == 1 else [range(e, e + 1) for e in range(epochs)]:
+        shared = sc.broadcast(state)  # a few thousand numbers
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, some=some) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            rows = sorted((w, bits) for b in batches for w, bits in zip(_windows(b), b["kinds"].to_pylist()))
+            if rows:
+                values = train(shared.value, rows, some, epochs, 1000 * TaskContext.get().partitionId() + some[0]).packed()
+                yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([values.tobytes()], pa.binary())], names=["n", "weights"])
+
+        made = dealt.mapInArrow(run, "n long, weights binary").rdd
+        total, size = made.map(lambda r: (np.frombuffer(bytes(r[1])) * r[0], r[0])).treeReduce(lambda x, y: (x[0] + y[0], x[1] + y[1]))
+        state = state.unpacked(total / size)
+    return state
+
+
+def _calibrated(model: Model, kept: DataFrame) -> Model:
+    """Slopes, constants and thresholds from all kept-back findings."""
+    shared = kept.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                some = b.slice(i, 256)
+                z = np.asarray(logits(shared.value, _windows(some)), dtype=np.float64)
+                yield pa.RecordBatch.from_arrays([some["kinds"], *(pa.array(z[:, k]) for k in range(len(KINDS)))], names=["kinds", *(f"z{k}" for k in range(len(KINDS)))])
+
+    scored = kept.mapInArrow(run, "kinds int, " + ", ".join(f"z{k} double" for k in range(len(KINDS)))).checkpoint()
+    right = [F.col("kinds").bitwiseAND(F.lit(1 << k)) != 0 for k in range(len(KINDS))]
+    counts = scored.agg(F.count(F.lit(1)), *[F.count_if(r) for r in right]).first()
+    n, hits = counts[0], counts[1:]
+    weights = {k: np.zeros(2) for k in range(len(KINDS)) if 0 < hits[k] < n}
+    moving = dict(weights)
+    for _ in range(60):  # Newton steps of ``labelled.fit_logistic``, one pass for all heads
+        if not moving:
+            break
+        sums = []
+        for k, w in moving.items():
+            z = F.col(f"z{k}")
+            p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z * float(w[0]) + float(w[1])))))
+            d, h = p - right[k].cast("double"), p * (1 - p)
+            sums += [F.sum(x) for x in (d * z, d, h * z * z, h * z, h)]
+        values = np.array(scored.agg(*sums).first(), dtype=np.float64).reshape(-1, 5)
+        penalty = np.array([1e-3 * n, 1e-9])
+        for (k, w), (gz, g, hzz, hz, h) in zip(list(moving.items()), values):
+            step = np.linalg.solve(np.array([[hzz, hz], [hz, h]]) + np.diag(penalty + 1e-9), np.array([gz, g]) + penalty * w)
+            weights[k] = moving[k] = w - step
+            if np.abs(step).max() < 1e-8:
+                del moving[k]
+    for k in range(len(KINDS)):
+        if not hits[k]:
+            continue
+        if k in weights:
+            model.scale[k] = [max(weights[k][0], 1e-3), weights[k][1]]
+        z = F.col(f"z{k}")
+        low = scored.where(right[k]).orderBy(z).offset(int(np.floor(hits[k] * (1 - RECALL)))).select(z).first()[0]  # the lowest hundredth
+        over = scored.where(z >= low).agg(F.avg(right[k].cast("double"))).first()[0]
+        if over >= PRECISION:
+            model.thresholds[k] = labelled.sigmoid(np.array([low]) * model.scale[k, 0] + model.scale[k, 1])[0]
+    return model
+
+
+def learn(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits the network.  ``findings`` (id_col, kind, start, end) are labelled findings, kinds as in ``KINDS``; without
     them the patterns label the candidates."""
     prepare(docs)
     rows = docs.select(F.col(id_col).alias("id"), body(text_col).alias("body"))
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    rows = rows.filter(F.pmod(F.xxhash64("id", "body", F.lit(13)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     if findings is not None:
         given = findings.select(F.col(id_col).alias("k"), F.struct("kind", "start", "end").alias("s")).filter("k IS NOT NULL")
         rows = rows.join(given.groupBy("k").agg(F.collect_list("s").alias("spans")), F.col("id") == F.col("k"), "left").drop("k")
-    found = rows.drop("id").mapInArrow(_labelled_candidates, FOUND).checkpoint()  # candidates of the sample, cropped
-    order = F.xxhash64("before", "inside", "after", F.lit(31))
-    taken = []
-    for condition, most in (("kinds > 0", per_class), ("kinds = 0", 2 * per_class)):
-        taken += found.filter(condition).orderBy(order, "before", "inside", "after").limit(most).collect()
-    return fit([((r["before"], r["inside"], r["after"]), r["kinds"]) for r in taken])
+    found = rows.drop("id").mapInArrow(_labelled_candidates, FOUND).checkpoint()  # all candidates, cropped
+    kept = F.pmod(F.xxhash64("before", "inside", "after", F.lit(31)), F.lit(KEPT_BACK)) == 0
+    used = found.where(~kept)
+    if used.where("kinds > 0").isEmpty():
+        return Model(*started().params)
+    return _calibrated(Model(*_trained(used).params), found.where(kept))
 
 
 SPANS = "array<struct<kind:string,start:long,end:long,probability:double>>"

@@ -263,3 +263,20 @@ def test_scan_odd_rows(spark):
     assert got == sorted(want, key=str)
     empty = docs.limit(0)
     assert secret_scan.scan(empty, secret_scan.learn(empty)).count() == 0
+
+
+def test_learns_from_every_finding(spark, monkeypatch):
+    """All findings reach the shards or are kept back; shards together learn what one does."""
+    rows, findings = planted(1600, 5)
+    docs, given = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(findings, "doc_id long, kind string, start long, end long")
+    seen, plain = [], secret_scan._trained
+    monkeypatch.setattr(secret_scan, "SHARD", 500)
+    monkeypatch.setattr(secret_scan, "_trained", lambda used: (seen.append(used.count()), plain(used))[1])
+    kept, calibrated = [], secret_scan._calibrated
+    monkeypatch.setattr(secret_scan, "_calibrated", lambda model, back: (kept.append(back.count()), calibrated(model, back))[1])
+    model = secret_scan.learn(docs, given)
+    assert seen[0] > 3 * 500 and seen[0] + kept[0] == sum(len(secret_scan.candidates(t)) for _, t in rows)
+    fresh, known = planted(400, 6)
+    hits = {(i, s["start"], s["end"]) for i, spans in enumerate(secret_scan.scan_texts(model, [t for _, t in fresh])) for s in spans}
+    want = {(i, a, z) for i, _, a, z in known}
+    assert len(hits & want) >= 0.95 * len(want) and len(hits - want) <= 0.05 * len(want)
