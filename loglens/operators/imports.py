@@ -4,15 +4,16 @@ Nodes are module names (file name without ``.py``); when two files share a
 name the greatest path wins (deterministic; collisions are reported by
 ``module_collisions``).  Edges go from a module to each imported top-level
 name that is itself a module of the tree; self-edges are kept.  Parsing uses
-the standard ``ast`` module inside Arrow batches; a file that does not parse
+the standard ``ast`` module, one file of an Arrow batch at a time; a file that does not parse
 contributes no imports and is reported with its error.
 """
 
 from __future__ import annotations
 
 import ast
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 from loglens.operators.sizes import BROADCAST_BYTES, broadcast_if_small, bytes_of
 
 MODULE_PATTERN = r"([^/]+)\.py$"
+#: import names that leave a task at a time
+OUT_ROWS = 16_384
 
 
 def python_files(files: DataFrame, path_col: str = "path") -> DataFrame:
@@ -55,6 +58,32 @@ def top_level_imports(source: str) -> tuple[list[str], str | None]:
     return found.names, None
 
 
+def import_batches(paths: pa.Array, sources: pa.Array, columns: list[str], keep_empty: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows of ``extract_imports`` for some files, at most OUT_ROWS at a time; one file's text is read at a time."""
+    out: tuple[list, list, list] = ([], [], [])
+
+    def batch() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=columns)
+        for x in out:
+            x.clear()
+        return made
+
+    for path, src in zip(paths, sources):
+        path = path.as_py()
+        names, err = top_level_imports(src.as_py() or "")
+        if err is not None or (keep_empty and not names):
+            names = [None]
+        while names:
+            some = names[:OUT_ROWS - len(out[0])]
+            names = names[len(some):]
+            for column, values in zip(out, ([path] * len(some), some, [err] * len(some))):
+                column.extend(values)
+            if len(out[0]) >= OUT_ROWS:
+                yield batch()
+    if out[0]:
+        yield batch()
+
+
 def extract_imports(files: DataFrame, path_col: str = "path", content_col: str = "content",
                     keep_empty: bool = False) -> DataFrame:
     """(path, import, parse_error): one row per import statement name; a file
@@ -66,22 +95,10 @@ def extract_imports(files: DataFrame, path_col: str = "path", content_col: str =
     ])
 
     def run(batches):
-        for pdf in batches:
-            out = {path_col: [], "import": [], "parse_error": []}
-            for path, src in zip(pdf[path_col], pdf[content_col]):
-                names, err = top_level_imports(src or "")
-                if err is not None or (keep_empty and not names):
-                    out[path_col].append(path)
-                    out["import"].append(None)
-                    out["parse_error"].append(err)
-                for n in names:
-                    out[path_col].append(path)
-                    out["import"].append(n)
-                    out["parse_error"].append(None)
-            if out[path_col]:
-                yield pd.DataFrame(out)
-
-    return files.select(path_col, content_col).mapInPandas(run, schema)
+        for b in batches:
+            yield from import_batches(b.column(0), b.column(1), schema.fieldNames(), keep_empty)
+
+    return files.select(F.col(path_col).cast("string"), F.col(content_col).cast("string")).mapInArrow(run, schema)
 
 
 def module_nodes(files: DataFrame, path_col: str = "path") -> DataFrame:
@@ -110,6 +127,8 @@ def import_edges(files: DataFrame, path_col: str = "path", content_col: str = "c
     losers = py.select(path_col, "module").join(broadcast_if_small(clashes), F.col("module") == F.col("clash"))
     losers = losers.where(F.col(path_col) != F.col("winner")).select(F.col(path_col).alias("loser"))
     py = py.join(broadcast_if_small(losers), F.col(path_col) == F.col("loser"), "left_anti")
+    # files of all sizes are dealt to all tasks: large ones that stand together would fill an Arrow batch
+    py = py.repartition(int(py.sparkSession.conf.get("spark.sql.shuffle.partitions")), path_col)
     imports = extract_imports(py, path_col, content_col).where(F.col("import").isNotNull())
     pairs = imports.select(F.regexp_extract(F.col(path_col), MODULE_PATTERN, 1).alias("src"), F.col("import").alias("dst"))
     modules = nodes.select(F.col("module").alias("dst"))

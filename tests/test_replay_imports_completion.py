@@ -73,3 +73,14 @@ def test_module_collisions_and_relative_imports(spark):
     assert [(r.module, list(r.paths)) for r in col] == [("x", ["a/x.py", "b/x.py"])]
     assert {(r.module, r.path) for r in imports.module_nodes(files).collect()} == {("x", "b/x.py"), ("z", "c/z.py")}
     assert sorted((r.src, r.dst) for r in imports.import_edges(files).collect()) == [("x", "z")]
+
+
+def test_imports_leave_in_bounded_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(imports, "OUT_ROWS", 7)
+    many = "".join(f"import m{i}.x\n" for i in range(40))
+    got = list(imports.import_batches(pa.array(["a.py", "b.py", "c.py", None]), pa.array([many, "def (", None, "import z"]), ["path", "import", "parse_error"]))
+    assert max(b.num_rows for b in got) == 7
+    rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    assert [r[1] for r in rows] == [*(f"m{i}" for i in range(40)), None, "z"] and rows[40][0] == "b.py" and "SyntaxError" in rows[40][2]
