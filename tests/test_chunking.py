@@ -102,3 +102,23 @@ def test_many_matches_are_linear(spark):
     b = chunking.with_boundaries(df).first().boundaries
     assert list(b) == boundaries(text)
     assert time.time() - t0 < 60
+
+
+def test_order_texts_equal_their_parts(spark, tmp_path):
+    """Texts written after the meeting are the parts in order: nulls, repeated orders, more than 99 lines."""
+    from datetime import date
+
+    from loglens.plans import fixtures as fx
+
+    orders = [(1, 7, "F", "1-URGENT"), (1, 8, "O", "1-URGENT"), (2, None, "F", None), (3, 9, None, "2-HIGH"), (None, 5, "F", "1-URGENT"), (None, None, None, None), (6, None, "O", "3")]
+    lines = [(1, n % 7, n, 100 - n, float(n % 50), n + 0.5, date(2024, 1, 1 + n % 28)) for n in range(120)]
+    lines += [(2, None, 1, 1, 50.0, 1.0, date(2024, 1, 1)), (4, 1, None, 1, None, None, None), (5, 1, None, None, 45.0, 2.0, None), (None, 2, 3, 4, 5.0, 6.0, None), (8, 1, 2, 3, 4.0, 5.5, None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate date").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {}
+    for r in sorted(fx.order_text_parts(spark, str(tmp_path)).collect(), key=lambda r: (r.part_seq, r.text)):
+        want[r.doc_id] = want.get(r.doc_id, "") + r.text
+    texts = fx.order_texts(spark, str(tmp_path))
+    assert {r.doc_id: r.text for r in texts.collect()} == want and 1 in want and None in want
+    plan = fx.order_texts(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Delivery note" not in plan[plan.index("Exchange"):]  # notes are written behind the shuffle
