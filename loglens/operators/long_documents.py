@@ -89,9 +89,10 @@ def _paragraphs(text: str, goes_on: bool) -> tuple[list[str], str]:
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [_paragraphs(t, g) for t, g in zip(b["text"].to_pylist(), b["goes_on"].to_pylist())]
-        yield pa.RecordBatch.from_arrays([b["doc"], b["unit"], b["piece"], b["mode"], pa.array([[len(p) for p in ps] for ps, _ in found], pa.list_(pa.int32())),
-                                          pa.array([len(left) for _, left in found], pa.int32())], names=["doc", "unit", "piece", "mode", "sizes", "left"])
+        texts = b["text"].to_pylist()
+        found = [_paragraphs(t, g) for t, g in zip(texts, b["goes_on"].to_pylist())]
+        yield pa.RecordBatch.from_arrays([b["doc"], b["unit"], b["piece"], pa.array([len(t) for t in texts], pa.int64()), pa.array([[len(p) for p in ps] for ps, _ in found], pa.list_(pa.int32())),
+                                          pa.array([len(left) for _, left in found], pa.int32())], names=["doc", "unit", "piece", "n", "sizes", "left"])
 
 
 def _packed(chunk_size: int):
@@ -191,16 +192,16 @@ def chunk_pages(pages: DataFrame, id_col: str = "doc_id", page_col: str = "page_
     both = pieces.join(_renamed(marks, ["doc", "piece"], "_m"), _same(["doc", "piece"], "_m"))
     found = both.select("doc", "piece", "of", "items", "cuts", "before").mapInArrow(_fragments, f"doc {kind}, unit long, piece long, goes_on boolean, text string").checkpoint()
     cut = _renamed(marks.groupBy("doc").agg(F.bool_or("cut").alias("cut")), ["doc"], "_c")
-    units = found.groupBy("doc", "unit").agg(F.sum(F.length("text")).alias("n")).join(cut, _same(["doc"], "_c"))
+    lengths = found.mapInArrow(_lengths, f"doc {kind}, unit long, piece long, n long, sizes array<int>, left int").checkpoint()  # numbers alone meet the units' modes
+    units = lengths.groupBy("doc", "unit").agg(F.sum("n").alias("n")).join(cut, _same(["doc"], "_c"))
     mode = F.when(~F.col("cut"), "keep").when(F.col("n") > F.lit(chunk_size * resplit_factor), "split").otherwise("whole")
     units = units.select("doc", "unit", mode.alias("mode"))
-    found = found.join(_renamed(units, ["doc", "unit"], "_u"), _same(["doc", "unit"], "_u")).select("doc", "unit", "piece", "goes_on", "text", "mode").checkpoint()
 
     # packing: lengths only, each unit in order
-    sizes = found.mapInArrow(_lengths, f"doc {kind}, unit long, piece long, mode string, sizes array<int>, left int")
+    sizes = lengths.join(_renamed(units, ["doc", "unit"], "_u"), _same(["doc", "unit"], "_u")).select("doc", "unit", "piece", "mode", "sizes", "left")
     sizes = sizes.repartition("doc", "unit").sortWithinPartitions("doc", "unit", "piece")
     runs = sizes.mapInArrow(_packed(chunk_size), f"doc {kind}, unit long, piece long, mode string, carried int, first array<int>, chunk array<long>").checkpoint()
-    with_runs = found.join(_renamed(runs.drop("mode"), ["doc", "unit", "piece"], "_r"), _same(["doc", "unit", "piece"], "_r"))
+    with_runs = found.join(_renamed(runs, ["doc", "unit", "piece"], "_r"), _same(["doc", "unit", "piece"], "_r"))
     parts = with_runs.select("doc", "unit", "piece", "goes_on", "text", "mode", "carried", "first", "chunk").mapInArrow(_parts, f"doc {kind}, unit long, chunk long, piece long, part string")
     chunks = gathered(parts.withColumn("at", F.struct("doc", "unit", "chunk")), "at", {"part": "text"})
 
