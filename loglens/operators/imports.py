@@ -4,13 +4,12 @@ Nodes are module names (file name without ``.py``); when two files share a
 name the greatest path wins (deterministic; collisions are reported by
 ``module_collisions``).  Edges go from a module to each imported top-level
 name that is itself a module of the tree; self-edges are kept.  Parsing uses
-the standard ``ast`` module, one file of an Arrow batch at a time; a file that does not parse
-contributes no imports and is reported with its error.
+the standard ``ast`` module, some files at a time in a child process that is replaced after a bounded amount of text
+(``import_names``); a file that does not parse contributes no imports and is reported with its error.
 """
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,11 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loglens.operators.import_names import Parser, top_level_imports  # noqa: F401
 from loglens.operators.sizes import BROADCAST_BYTES, broadcast_if_small, bytes_of
 
 MODULE_PATTERN = r"([^/]+)\.py$"
 #: import names that leave a task at a time
 OUT_ROWS = 16_384
+#: files, and characters of their texts, that go to the parser at a time (a longer file goes alone)
+PARSE_FILES, PARSE_CHARS = 1_000, 1 << 20
 
 
 def python_files(files: DataFrame, path_col: str = "path") -> DataFrame:
@@ -32,34 +34,25 @@ def python_files(files: DataFrame, path_col: str = "path") -> DataFrame:
     )
 
 
-class _Imported(ast.NodeVisitor):
-    """Gathers the first name part of every import; relative imports without a module have none."""
-
-    def __init__(self):
-        self.names: list[str] = []
-
-    def visit_Import(self, node: ast.Import) -> None:
-        self.names += [alias.name.partition(".")[0] for alias in node.names]
-
-    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
-        if node.module:
-            self.names.append(node.module.partition(".")[0])
-
-
-def top_level_imports(source: str) -> tuple[list[str], str | None]:
-    """Top-level names imported anywhere in ``source``, and the error of a file
-    that the parser gives up on for whatever reason (syntax, null bytes, nesting
-    too deep for it): such a file imports nothing."""
-    found = _Imported()
+def _parsed(paths: pa.Array, sources: pa.Array) -> Iterator[tuple[str | None, list[str], str | None]]:
+    """(path, names, error) of every file; few texts are Python values at a time."""
+    parser, held, size = Parser(), [], 0
     try:
-        found.visit(ast.parse(source))
-    except Exception as e:  # one file must not end the job (MemoryError and RecursionError included)
-        return [], f"{type(e).__name__}: {e}"
-    return found.names, None
+        for path, src in zip(paths, sources):
+            src = src.as_py() or ""
+            if held and (len(held) >= PARSE_FILES or size + len(src) > PARSE_CHARS):
+                some, held, size = held, [], 0
+                yield from ((p, *found) for (p, _), found in zip(some, parser([s for _, s in some])))
+            held.append((path.as_py(), src))
+            size += len(src)
+        if held:
+            yield from ((p, *found) for (p, _), found in zip(held, parser([s for _, s in held])))
+    finally:
+        parser.close()
 
 
 def import_batches(paths: pa.Array, sources: pa.Array, columns: list[str], keep_empty: bool = False) -> Iterator[pa.RecordBatch]:
-    """The rows of ``extract_imports`` for some files, at most OUT_ROWS at a time; one file's text is read at a time."""
+    """The rows of ``extract_imports`` for some files, at most OUT_ROWS at a time."""
     out: tuple[list, list, list] = ([], [], [])
 
     def batch() -> pa.RecordBatch:
@@ -68,9 +61,7 @@ def import_batches(paths: pa.Array, sources: pa.Array, columns: list[str], keep_
             x.clear()
         return made
 
-    for path, src in zip(paths, sources):
-        path = path.as_py()
-        names, err = top_level_imports(src.as_py() or "")
+    for path, names, err in _parsed(paths, sources):
         if err is not None or (keep_empty and not names):
             names = [None]
         while names:

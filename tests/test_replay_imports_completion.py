@@ -1,6 +1,6 @@
 import pytest
 
-from loglens.operators import completion, imports, replay
+from loglens.operators import completion, import_names, imports, replay
 
 
 def test_detect_columns():
@@ -84,3 +84,30 @@ def test_imports_leave_in_bounded_batches(monkeypatch):
     assert max(b.num_rows for b in got) == 7
     rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
     assert [r[1] for r in rows] == [*(f"m{i}" for i in range(40)), None, "z"] and rows[40][0] == "b.py" and "SyntaxError" in rows[40][2]
+
+
+def test_parsed_names_stay_out_of_the_worker(monkeypatch):
+    import subprocess
+    import sys
+
+    import pyarrow as pa
+
+    # CPython keeps each name it has parsed: here the parsing process is another one, and is replaced
+    code = ("import sys, pyarrow as pa; from loglens.operators import imports, import_names; import_names.PARSER_BYTES = 100_000\n"
+            "texts = pa.array([''.join(f'import q{k}.core as c{k}\\n' for k in range(i, i + 1000)) for i in range(0, 40_000, 1000)])\n"
+            "before = sys.getallocatedblocks()\n"
+            "n = sum(b.num_rows for b in imports.import_batches(texts, texts, ['path', 'import', 'parse_error']))\n"
+            "print(n, sys.getallocatedblocks() - before)")
+    n, kept = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=imports.__file__.rpartition("/loglens/")[0]).stdout.split())
+    assert n == 40_000 and kept < 20_000  # 120,000 and more if they stayed
+
+    started = []
+    real = subprocess.Popen
+    monkeypatch.setattr(subprocess, "Popen", lambda *a, **k: started.append(real(*a, **k)) or started[-1])
+    monkeypatch.setattr(imports, "PARSE_FILES", 2)
+    monkeypatch.setattr(import_names, "PARSER_BYTES", 60)
+    texts = ["import a\n", "def (", None, "x" * 100 + "\nimport b", "\0", "import c, d.e\n" * 3, "import f"]
+    got = [r for b in imports.import_batches(pa.array(list("stuvwxy")), pa.array(texts), ["path", "import", "parse_error"]) for r in b.to_pylist()]
+    assert [(r["path"], r["import"]) for r in got] == [("s", "a"), ("t", None), ("v", "b"), ("w", None), *[("x", i) for i in "cd" * 3], ("y", "f")]
+    assert [r["parse_error"] for r in got if r["path"] in "tw"] == [imports.top_level_imports(t)[1] for t in ("def (", "\0")]
+    assert len(started) > 1 and all(p.returncode == 0 for p in started)
