@@ -48,3 +48,28 @@ def test_a_long_document_takes_several_tasks(spark):
     want = chunking.chunk_documents(documents.assemble_pages(df))
     assert sorted((r["chunk_idx"], r["chunk"]) for r in got.collect()) == sorted((r["chunk_idx"], r["chunk"]) for r in want.collect())
     assert long_documents.chunk_pages(df.limit(0), piece_pages=50).count() == 0
+
+
+def test_texts_are_not_written_on_the_way(spark):
+    import hashlib
+    from pathlib import Path
+
+    from loglens.config import ensure_checkpoint_dir
+
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    held = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    rows = [(d, n, "".join(hashlib.sha512(f"{d} {n} {i}".encode()).hexdigest() for i in range(8))) for d in range(40) for n in range(1, 51)]
+    df, before = spark.createDataFrame(rows, "doc_id long, page_no int, text string"), held()
+    got = long_documents.chunk_pages(df, piece_pages=2).collect()
+    assert sum(r["chunk"].count("[Page ") for r in got) == len(rows)
+    assert held() - before < 200_000  # of 2 MB of text
+
+
+def test_repeated_and_unknown_pages(spark):
+    rows = [(7, 1, "a"), (7, 2, "b\n"), (7, 2, "b\n"), (7, 2, "b\n"), (7, None, "x"), (7, 4, "c"), (None, 1, "n"), (None, 2, "\nSection 1: Two\nm"), (8, None, "only"), (9, 3, None)]
+    rows += [(10, n % 3, "\n\nSection 2: Same\n" + "para\n\n" * 40) for n in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, text string").repartition(4)
+    want = chunking.chunk_documents(documents.assemble_pages(df), chunk_size=100).collect()
+    got = long_documents.chunk_pages(df, chunk_size=100, piece_pages=2).collect()
+    plain = lambda found: sorted((str(r["doc_id"]), r["chunk_idx"], r["chunk"]) for r in found)
+    assert plain(got) == plain(want)
